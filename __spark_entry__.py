@@ -132,23 +132,20 @@ def q_j1_example_pool(spark, sf):
 
 
 def q_x7_stratified_split(spark, sf):
-    train, test = sampling.stratified_split(_corpus(spark, sf), 0.2, SEED)
-    return (test.select("dataset", "doc_id", "label", F.lit("test").alias("split"))
-            .unionByName(train.select("dataset", "doc_id", "label", F.lit("train").alias("split"))))
+    a = sampling.stratified_assignment(_corpus(spark, sf), 0.2, SEED)
+    return a.select("dataset", "doc_id", "label", "split")
 
 
 def q_x6_holdout_split(spark, sf):
-    train, test = sampling.holdout_split(spark, _corpus(spark, sf), SAMPLE_SIZE, 0.2, SEED)
-    return (test.select("dataset", "doc_id", "label", F.lit("test").alias("split"))
-            .unionByName(train.select("dataset", "doc_id", "label", F.lit("train").alias("split"))))
+    a = sampling.holdout_assignment(spark, _corpus(spark, sf), SAMPLE_SIZE, 0.2, SEED)
+    return a.select("dataset", "doc_id", "label", "split")
 
 
 def q_x8_validation_split(spark, sf):
-    train, _ = sampling.holdout_split(spark, _corpus(spark, sf), SAMPLE_SIZE, 0.2, SEED)
-    fit, val = sampling.stratified_split(train.select("dataset", "doc_id", "text", "label"), 0.2, SEED,
-                                         salt="validation")
-    return (val.select("dataset", "doc_id", "label", F.lit("validation").alias("split"))
-            .unionByName(fit.select("dataset", "doc_id", "label", F.lit("train").alias("split"))))
+    a = sampling.holdout_assignment(spark, _corpus(spark, sf), SAMPLE_SIZE, 0.2, SEED)
+    train = a.where(F.col("split") == "train").drop("split")
+    v = sampling.stratified_assignment(train, 0.2, SEED, salt="validation", test_name="validation")
+    return v.select("dataset", "doc_id", "label", "split")
 
 
 # --------------------------------------------------------------------------- prompts

@@ -14,6 +14,8 @@ no ``limit`` funnels rows through one task, so the same code serves a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,21 +35,10 @@ def _bucket(key: Column) -> Column:
     return F.conv(F.substring(key, 1, BUCKET_HEX_DIGITS), 16, 10).cast("int")
 
 
-def first_n_by_key(df: DataFrame, by: list[str], quota, key: str = "sample_key",
-                   id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``df`` whose rank in (``key``, ``id_col``) order within their
-    ``by`` group is <= the quota.  Adds ``sample_rank`` only for the
-    boundary bucket rows (NULL otherwise) — callers that need the exact
-    rank of every row use :func:`rank_in_group` on the (bounded) result.
-
-    ``quota`` is an int (same for all groups) or a DataFrame with the ``by``
-    columns and an integer column ``quota``.
-
-    Size bounds: the bucket table has at most 65,536 rows per group and is
-    broadcast; callers pass few groups (dataset x label).
-    """
+def _bucket_decisions(keyed: DataFrame, by: list[str], quota) -> DataFrame:
+    """Per (group, bucket) below the quota: take the whole bucket (``_all``)
+    or only its first ``_need`` rows.  At most 65,536 rows per group."""
     b = "_bucket"
-    keyed = df.withColumn(b, _bucket(F.col(key)))
     counts = keyed.groupBy(*by, b).agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("_cum", F.sum("_cnt").over(w))
@@ -55,9 +46,42 @@ def first_n_by_key(df: DataFrame, by: list[str], quota, key: str = "sample_key",
         counts = counts.withColumn("quota", F.lit(quota))
     else:
         counts = counts.join(F.broadcast(quota.select(*by, "quota")), by)
-    decisions = (counts.where(F.col("_cum") - F.col("_cnt") < F.col("quota"))
-                 .select(*by, b, (F.col("_cum") <= F.col("quota")).alias("_all"),
-                         (F.col("quota") - (F.col("_cum") - F.col("_cnt"))).alias("_need")))
+    return (counts.where(F.col("_cum") - F.col("_cnt") < F.col("quota"))
+            .select(*by, b, (F.col("_cum") <= F.col("quota")).alias("_all"),
+                    (F.col("quota") - (F.col("_cum") - F.col("_cnt"))).alias("_need")))
+
+
+def mark_first_n_by_key(df: DataFrame, by: list[str], quota, key: str = "sample_key", id_col: str = "doc_id",
+                        flag: str = "_selected") -> DataFrame:
+    """All rows of ``df`` plus a boolean ``flag``: TRUE when the row's rank in
+    (``key``, ``id_col``) order within its ``by`` group is <= the quota.
+
+    ``quota`` is an int (same for all groups) or a DataFrame with the ``by``
+    columns and an integer column ``quota``.  The bucket table is broadcast
+    (at most 65,536 rows per group; callers pass few groups such as
+    dataset x label); only rows of the single boundary bucket per group are
+    ranked, in a window partitioned by (group, bucket)."""
+    b = "_bucket"
+    keyed = df.withColumn(b, _bucket(F.col(key)))
+    decisions = _bucket_decisions(keyed, by, quota)
+    j = keyed.join(F.broadcast(decisions), by + [b], "left")
+    edge = F.coalesce(~F.col("_all"), F.lit(False))
+    plain = j.where(~edge).withColumn(flag, F.coalesce(F.col("_all"), F.lit(False)))
+    wr = Window.partitionBy(*by, b).orderBy(key, id_col)
+    ranked = j.where(edge).withColumn(flag, F.row_number().over(wr) <= F.col("_need"))
+    cols = list(df.columns) + [flag]
+    return plain.select(*cols).unionByName(ranked.select(*cols))
+
+
+def first_n_by_key(df: DataFrame, by: list[str], quota, key: str = "sample_key",
+                   id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` whose rank in (``key``, ``id_col``) order within their
+    ``by`` group is <= the quota (see :func:`mark_first_n_by_key`).  Only
+    rows of buckets below the quota pass the broadcast join, so nothing but
+    the selection and the boundary buckets is shuffled."""
+    b = "_bucket"
+    keyed = df.withColumn(b, _bucket(F.col(key)))
+    decisions = _bucket_decisions(keyed, by, quota)
     picked = keyed.join(F.broadcast(decisions), by + [b])
     whole = picked.where("_all")
     edge = picked.where(~F.col("_all"))
@@ -149,54 +173,84 @@ def stratified_quotas(counts: DataFrame, test_size: float, by: list[str] | None
                     .cast("long").alias("quota"))
 
 
-def stratified_split(corpus: DataFrame, test_size: float = 0.2, seed: int = 42, by: list[str] | None = None,
-                     salt: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(train, test): per class the first ``quota`` rows in key order go to
-    test, the rest to train.  Exact and fully distributed."""
+def stratified_assignment(corpus: DataFrame, test_size: float = 0.2, seed: int = 42,
+                          by: list[str] | None = None, salt: str | None = None,
+                          test_name: str = "test", train_name: str = "train") -> DataFrame:
+    """Labelled rows with a ``split`` column: per class the first ``quota``
+    rows in key order are ``test_name``, the rest ``train_name``.  Exact and
+    fully distributed (one count pass, one marking pass)."""
     by = list(by or ["dataset"])
     labelled = corpus.where(F.col("label").isin(0, 1))
     quotas = stratified_quotas(class_counts(labelled, by), test_size, by)
-    keyed = with_key(labelled, seed, salt)
-    test = first_n_by_key(keyed, by + ["label"], quotas)
-    train = exclude(keyed, test, by + ["doc_id"])
-    return train, test
+    marked = mark_first_n_by_key(with_key(labelled, seed, salt), by + ["label"], quotas)
+    return marked.withColumn("split", F.when(F.col("_selected"), test_name).otherwise(train_name)) \
+        .drop("_selected", "sample_key")
 
 
-def holdout_split(spark, corpus: DataFrame, sample_size: int | None, test_size: float = 0.2, seed: int = 42,
-                  by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Train/test split of the supervised baseline, decided per corpus:
+def stratified_split(corpus: DataFrame, test_size: float = 0.2, seed: int = 42, by: list[str] | None = None,
+                     salt: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(train, test) views of :func:`stratified_assignment`."""
+    a = stratified_assignment(corpus, test_size, seed, by, salt)
+    return a.where(F.col("split") == "train").drop("split"), a.where(F.col("split") == "test").drop("split")
+
 
-    * ``sample_size`` smaller than the corpus: a balanced test sample when
-      both classes have ``sample_size // 2`` rows, else a simple sample;
-      train is the rest;
+def holdout_assignment(spark, corpus: DataFrame, sample_size: int | None, test_size: float = 0.2,
+                       seed: int = 42, by: list[str] | None = None) -> DataFrame:
+    """Train/test ``split`` of the supervised baseline, decided per group:
+
+    * ``sample_size`` smaller than the group: a balanced test sample when
+      both classes have ``sample_size // 2`` rows, else a simple sample of
+      ``sample_size`` rows; train is the rest;
     * otherwise a stratified ``test_size`` split.
 
-    The decision reads one tiny aggregate (class counts per group)."""
+    The decision reads one tiny aggregate (class counts per group, collected
+    to the driver); the rows are then marked by a single bucket cut whose
+    groups are (group, class) — or the group alone for a simple sample."""
     by = list(by or ["dataset"])
     counts = {}
     for r in class_counts(corpus, by).collect():
         counts.setdefault(tuple(r[c] for c in by), {})[r["label"]] = r["n_class"]
-    tests, trains = [], []
+    rows = []  # (group..., sub-group label or -1, quota)
     for grp, cc in counts.items():
-        cond = None
-        for c, v in zip(by, grp):
-            cond = (F.col(c) == v) if cond is None else (cond & (F.col(c) == v))
-        part = corpus.where(cond)
         n = sum(cc.values())
         if sample_size and sample_size < n:
             half = sample_size // 2
             if cc.get(0, 0) >= half and cc.get(1, 0) >= half:
-                test = balanced_sample(part, sample_size, seed, by)
+                rows += [(*grp, lab, half) for lab in (0, 1)]
             else:
-                test = simple_sample(part.where(F.col("label").isin(0, 1)), sample_size, seed, by)
-            train = exclude(part.where(F.col("label").isin(0, 1)), test, by + ["doc_id"])
+                rows.append((*grp, -1, sample_size))
         else:
-            train, test = stratified_split(part, test_size, seed, by)
-        tests.append(test.select(*corpus.columns))
-        trains.append(train.select(*corpus.columns))
-    out_test, out_train = tests[0], trains[0]
-    for t in tests[1:]:
-        out_test = out_test.unionByName(t)
-    for t in trains[1:]:
-        out_train = out_train.unionByName(t)
-    return out_train, out_test
+            n_test = math.ceil(test_size * n)
+            for lab, q in _largest_remainder(cc, n_test).items():
+                rows.append((*grp, lab, q))
+    schema = ", ".join(f"{c} {corpus.schema[c].dataType.simpleString()}" for c in by) + ", _g int, quota long"
+    quotas = spark.createDataFrame(rows, schema)
+    simple_groups = quotas.where(F.col("_g") == -1).select(*by)
+    labelled = corpus.where(F.col("label").isin(0, 1))
+    # groups drawing a simple sample rank all their rows together (_g = -1)
+    g = F.when(F.col("_simple"), F.lit(-1)).otherwise(F.col("label"))
+    keyed = (with_key(labelled, seed)
+             .join(F.broadcast(simple_groups.withColumn("_simple", F.lit(True))), by, "left")
+             .withColumn("_g", g.cast("int")).drop("_simple"))
+    marked = mark_first_n_by_key(keyed, by + ["_g"], quotas)
+    return marked.withColumn("split", F.when(F.col("_selected"), "test").otherwise("train")) \
+        .drop("_selected", "sample_key", "_g")
+
+
+def _largest_remainder(class_counts: dict, n_draws: int) -> dict:
+    """Integer per-class draws proportional to the class sizes summing to
+    ``n_draws``: floors first, then the largest remainders (ties by label)."""
+    total = sum(class_counts.values())
+    cont = {k: v / total * n_draws for k, v in class_counts.items()}
+    out = {k: math.floor(c) for k, c in cont.items()}
+    left = n_draws - sum(out.values())
+    for k in sorted(cont, key=lambda k: (-(cont[k] - out[k]), k))[:left]:
+        out[k] += 1
+    return out
+
+
+def holdout_split(spark, corpus: DataFrame, sample_size: int | None, test_size: float = 0.2, seed: int = 42,
+                  by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(train, test) views of :func:`holdout_assignment`."""
+    a = holdout_assignment(spark, corpus, sample_size, test_size, seed, by)
+    return a.where(F.col("split") == "train").drop("split"), a.where(F.col("split") == "test").drop("split")

@@ -137,3 +137,23 @@ def as_results(flat: DataFrame, generation_options: dict | None = None) -> DataF
         F.lit(None).cast("double").alias("training_time")))
     return flat.select(*KEYS, "sample_size", iso_timestamp().alias("timestamp"), "error",
                        metrics.alias("metrics"))
+
+
+def run_benchmark(spark: SparkSession, corpus: DataFrame, models: list, strategies: list[str],
+                  datasets: list[str], results_path: str, model_names: list[str] | None = None,
+                  **grid_options) -> DataFrame:
+    """Resumable benchmark: cells with a successful document under
+    ``results_path`` are kept, every other cell (missing, failed, corrupt)
+    is run in one grid job and its document rewritten in place.  Returns
+    the result documents of the whole grid."""
+    from ..sources.datasets import _exists
+    from ..sources.results import read_results, write_results
+
+    done = read_results(spark, results_path) if _exists(spark, results_path) else None
+    names = model_names or [m.name for m in models]
+    grid = experiment_grid(spark, names, strategies, datasets)
+    pending = pending_cells(grid, done).collect()  # at most one row per experiment
+    if pending:
+        flat = run_grid(spark, corpus, models, strategies, datasets, done=done, model_names=names, **grid_options)
+        write_results(as_results(flat), results_path)
+    return read_results(spark, results_path).join(grid.select(*KEYS), KEYS, "left_semi")
