@@ -360,6 +360,15 @@ def q_j4_pending_cells(spark, sf):
     return grid.pending_cells(g, _grid(spark, sf))
 
 
+def q_m7_trained_baseline(spark, sf):
+    """Supervised baseline per dataset (Spark ML pipeline); rows-only check:
+    the fitted models are not reproducible in SQL."""
+    from textbench.operators import trained
+    out = trained.run_baselines(spark, _corpus(spark, sf), DATASETS, sample_size=SAMPLE_SIZE)
+    return out.select("model", "strategy", "dataset", "error", "n", "accuracy", "precision", "recall", "f1_score",
+                      "true_negatives", "false_positives", "false_negatives", "true_positives")
+
+
 _QUERIES = {
     "s1_corpus": q_s1_corpus,
     "a1_dataset_stats": q_a1_dataset_stats,
@@ -408,6 +417,7 @@ _QUERIES = {
     "a27_counts": q_a27_counts,
     "f13_f18_model_parameters": q_f13_f18_model_parameters,
     "j4_pending_cells": q_j4_pending_cells,
+    "m7_trained_baseline": q_m7_trained_baseline,
 }
 
 
