@@ -76,19 +76,20 @@ def mark_first_n_by_key(df: DataFrame, by: list[str], quota, key: str = "sample_
 def first_n_by_key(df: DataFrame, by: list[str], quota, key: str = "sample_key",
                    id_col: str = "doc_id") -> DataFrame:
     """Rows of ``df`` whose rank in (``key``, ``id_col``) order within their
-    ``by`` group is <= the quota (see :func:`mark_first_n_by_key`).  Only
-    rows of buckets below the quota pass the broadcast join, so nothing but
-    the selection and the boundary buckets is shuffled."""
+    ``by`` group is <= the quota (see :func:`mark_first_n_by_key`).
+
+    For draws whose size is bounded (samples, few-shot examples): only rows
+    of buckets below the quota survive the broadcast join — at most the
+    quota plus one boundary bucket per group — and they are ranked in a
+    window partitioned by (group, bucket), one bucket per window partition.
+    The corpus is scanned once per pass."""
     b = "_bucket"
     keyed = df.withColumn(b, _bucket(F.col(key)))
     decisions = _bucket_decisions(keyed, by, quota)
     picked = keyed.join(F.broadcast(decisions), by + [b])
-    whole = picked.where("_all")
-    edge = picked.where(~F.col("_all"))
     wr = Window.partitionBy(*by, b).orderBy(key, id_col)
-    edge = edge.withColumn("_r", F.row_number().over(wr)).where(F.col("_r") <= F.col("_need")).drop("_r")
-    cols = [c for c in df.columns]
-    return whole.select(*cols).unionByName(edge.select(*cols))
+    picked = picked.withColumn("_r", F.row_number().over(wr))
+    return picked.where(F.col("_all") | (F.col("_r") <= F.col("_need"))).select(*df.columns)
 
 
 def rank_in_group(df: DataFrame, by: list[str], key: str = "sample_key", id_col: str = "doc_id",

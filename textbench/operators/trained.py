@@ -30,7 +30,7 @@ from .sampling import holdout_assignment, stratified_assignment
 class BaselineSpec:
     name: str
     classifier: str = "logreg"          # "logreg" or "naive_bayes"
-    num_features: int = 1 << 18
+    num_features: int = 1 << 16
     reg_params: list = field(default_factory=lambda: [0.0, 0.1])
 
 
@@ -46,7 +46,7 @@ def _pipeline(spec: BaselineSpec, reg: float, config: dict) -> Pipeline:
         clf = NaiveBayes(featuresCol="features", labelCol="_y", smoothing=reg, modelType="multinomial")
     else:
         clf = LogisticRegression(featuresCol="features", labelCol="_y", regParam=reg,
-                                 maxIter=max(10, 10 * int(config["num_epochs"])), elasticNetParam=0.0)
+                                 maxIter=max(10, 5 * int(config["num_epochs"])), elasticNetParam=0.0)
     return Pipeline(stages=[tok, tf, idf, clf])
 
 
@@ -59,26 +59,33 @@ def _f1(pred: DataFrame) -> float:
     return r["f1_score"] if r else 0.0
 
 
-def train_and_evaluate(spark: SparkSession, corpus: DataFrame, spec: BaselineSpec, dataset: str,
-                       sample_size: int | None, config: dict | None = None) -> tuple[DataFrame, dict]:
-    """Train one baseline on one dataset; return (test predictions, info).
+def prepare_splits(spark: SparkSession, corpus: DataFrame, dataset: str, sample_size: int | None,
+                   config: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fit, validation, test) rows of one dataset, persisted (memory,
+    spilling to disk): ML training reads its input once per pass, and every
+    baseline of the dataset shares the same splits.
 
     Split: :func:`holdout_assignment` (test) and a stratified validation
-    carve-out of the training rows; each regularisation value is fitted on
-    the rest and scored on validation; the best by F1 (first on ties)
-    predicts the test rows."""
+    carve-out of the training rows."""
     config = dict(config or TRAINING_CONFIG)
     seed = int(config["seed"])
     data = corpus.where(F.col("dataset") == dataset)
     split = holdout_assignment(spark, data, sample_size, float(config["test_size"]), seed)
     train = split.where("split = 'train'").drop("split")
-    test = split.where("split = 'test'").drop("split")
     fit_val = stratified_assignment(train, float(config["test_size"]), seed, salt="validation",
                                     test_name="validation")
-    # ML input is read once per pass (IDF, every optimiser iteration):
-    # persist it (memory, spilling to disk) instead of recomputing the splits
-    fit = _prep(fit_val.where("split = 'train'")).persist(StorageLevel.MEMORY_AND_DISK)
-    val = _prep(fit_val.where("split = 'validation'")).persist(StorageLevel.MEMORY_AND_DISK)
+    lvl = StorageLevel.MEMORY_AND_DISK
+    fit = _prep(fit_val.where("split = 'train'")).persist(lvl)
+    val = _prep(fit_val.where("split = 'validation'")).persist(lvl)
+    test = _prep(split.where("split = 'test'").drop("split")).persist(lvl)
+    return fit, val, test
+
+
+def train_and_evaluate(spec: BaselineSpec, splits: tuple, config: dict | None = None) -> tuple[DataFrame, dict]:
+    """Fit each regularisation value on the fit rows, keep the best by
+    validation F1 (first on ties), predict the test rows."""
+    config = dict(config or TRAINING_CONFIG)
+    fit, val, test = splits
     t0 = time.perf_counter()
     best, best_f1, best_reg = None, -1.0, None
     for reg in spec.reg_params:
@@ -88,13 +95,11 @@ def train_and_evaluate(spark: SparkSession, corpus: DataFrame, spec: BaselineSpe
             best, best_f1, best_reg = model, f1, reg
     training_time = time.perf_counter() - t0
     t1 = time.perf_counter()
-    pred = best.transform(_prep(test)).select("dataset", "doc_id", "label",
-                                              F.col("prediction").cast("int").alias("prediction"))
+    pred = best.transform(test).select("dataset", "doc_id", "label",
+                                       F.col("prediction").cast("int").alias("prediction"))
     pred = pred.persist(StorageLevel.MEMORY_AND_DISK)
     n = pred.count()
     predict_time = time.perf_counter() - t1
-    fit.unpersist()
-    val.unpersist()
     info = {"training_time": training_time, "per_row_time": predict_time / max(n, 1), "best_reg": best_reg,
             "validation_f1": best_f1, "n_test": n}
     return pred, info
@@ -102,18 +107,27 @@ def train_and_evaluate(spark: SparkSession, corpus: DataFrame, spec: BaselineSpe
 
 def run_baselines(spark: SparkSession, corpus: DataFrame, datasets: list[str], specs: list | None = None,
                   sample_size: int | None = 1000, config: dict | None = None) -> DataFrame:
-    """Flat result rows (same shape as the grid's) for every baseline x dataset."""
+    """Flat result rows (same shape as the grid's) for every baseline x dataset;
+    a failing experiment becomes an error row, the others go on."""
     config = dict(config or TRAINING_CONFIG)
     specs = specs or DEFAULT_BASELINES
     rows = []
-    for spec in specs:
-        for ds in datasets:
+    for ds in datasets:
+        try:
+            splits = prepare_splits(spark, corpus, ds, sample_size, config)
+        except Exception as e:
+            rows += [(spec.name, ds, f"{type(e).__name__}: {e}", None, None) for spec in specs]
+            continue
+        for spec in specs:
             try:
-                pred, info = train_and_evaluate(spark, corpus, spec, ds, sample_size, config)
+                pred, info = train_and_evaluate(spec, splits, config)
                 m = calculate_metrics(pred.withColumn("model", F.lit(spec.name)), ["model", "dataset"]).first()
+                pred.unpersist()
                 rows.append((spec.name, ds, None, m.asDict(), info))
             except Exception as e:  # one failed experiment does not stop the grid
                 rows.append((spec.name, ds, f"{type(e).__name__}: {e}", None, None))
+        for part in splits:
+            part.unpersist()
     out = []
     for name, ds, err, m, info in rows:
         base = {"model": name, "strategy": FINE_TUNED_STRATEGY, "dataset": ds, "error": err,

@@ -114,6 +114,23 @@ def corpus_from_tables(documents: DataFrame, labels: DataFrame, name: str, confi
                      mapped_label("label", config.get("label_mapping")).alias("label"))
 
 
+def corpora_from_tables(documents: DataFrame, labels: DataFrame, configs: dict) -> DataFrame:
+    """Several labelled corpora that share one text table and one label
+    table, in a single join: every label row is first expanded to one row
+    per dataset (``dataset, doc_id, label``), then joined once to the texts.
+    The text table is scanned and shuffled once, whatever the number of
+    datasets."""
+    text_cols = {cfg.get("text_column", "text") for cfg in configs.values()}
+    if len(text_cols) != 1:
+        return union_corpora([corpus_from_tables(documents, labels, n, c) for n, c in configs.items()])
+    per_ds = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("dataset"), mapped_label(cfg["label_column"], cfg.get("label_mapping")).alias("label"))
+        for name, cfg in configs.items()])).alias("_d")
+    labs = labels.select("doc_id", per_ds).select("doc_id", "_d.dataset", "_d.label")
+    docs = documents.select("doc_id", F.col(text_cols.pop()).alias("text"))
+    return labs.join(docs, "doc_id").select("dataset", "doc_id", "text", "label")
+
+
 def union_corpora(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators.scoring import ExprModel, PythonModel
-from .sources.datasets import corpus_from_tables, union_corpora
+from .sources.datasets import corpora_from_tables
 
 TABLE_DATASETS = {
     "quality": {"text_column": "text", "label_column": "quality", "label_mapping": {"1": 0, "0": 1}},
@@ -70,4 +70,4 @@ def corpus(spark: SparkSession, sf_dir: str, names: list[str] | None = None) ->
     """``dataset, doc_id, text, label`` for the table datasets."""
     docs, labs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     names = names or list(TABLE_DATASETS)
-    return union_corpora([corpus_from_tables(docs, labs, n, TABLE_DATASETS[n]) for n in names])
+    return corpora_from_tables(docs, labs, {n: TABLE_DATASETS[n] for n in names})
