@@ -171,9 +171,7 @@ def q_f2_f5_prompts(spark, sf):
 
 
 def q_f3_few_shot_prompts(spark, sf):
-    c = _corpus(spark, sf)
-    test = _test(spark, sf)
-    ex = sampling.few_shot_examples(c, test, N_EXAMPLES, SEED)
+    test, ex = sampling.sample_with_examples(_corpus(spark, sf), SAMPLE_SIZE, N_EXAMPLES, SEED)
     block = prompts.few_shot_block(ex, by=["dataset"], max_text_length=MAX_LEN)
     p = prompts.build_prompt("text", "few_shot", "examples_text", MAX_LEN)
     return test.join(F.broadcast(block), "dataset").select(
@@ -181,8 +179,7 @@ def q_f3_few_shot_prompts(spark, sf):
 
 
 def q_f4_example_block(spark, sf):
-    c = _corpus(spark, sf)
-    ex = sampling.few_shot_examples(c, _test(spark, sf), N_EXAMPLES, SEED)
+    _, ex = sampling.sample_with_examples(_corpus(spark, sf), SAMPLE_SIZE, N_EXAMPLES, SEED)
     b = prompts.few_shot_block(ex, by=["dataset"], max_text_length=MAX_LEN)
     return b.select("dataset", F.md5("examples_text").alias("block_md5"),
                     F.char_length("examples_text").alias("block_len"), "n_examples")

@@ -77,3 +77,15 @@ def test_few_shot_examples_exclude_test(spark):
     assert ex.join(test, ["dataset", "doc_id"], "left_semi").count() == 0
     bal = sampling.balanced_few_shot_examples(c, test, 3, 42)
     assert bal.groupBy("dataset", "label").count().where("count != 1").count() == 0
+
+
+def test_one_pass_draw_equals_two_pass(spark):
+    for sf in (SF001, SF01):
+        c = testbed.corpus(spark, sf)
+        t1 = sampling.balanced_sample(c, 100, 42)
+        e1 = sampling.few_shot_examples(c, t1, 3, 42)
+        t2, e2 = sampling.sample_with_examples(c, 100, 3, 42)
+        key = ["dataset", "doc_id"]
+        assert {tuple(r) for r in t1.select(*key).collect()} == {tuple(r) for r in t2.select(*key).collect()}
+        assert ({tuple(r) for r in e1.select(*key, "example_rank").collect()}
+                == {tuple(r) for r in e2.select(*key, "example_rank").collect()})

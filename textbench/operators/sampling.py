@@ -137,6 +137,34 @@ def few_shot_examples(corpus: DataFrame, test: DataFrame, n_examples: int = 3, s
     return rank_in_group(chosen, by, name="example_rank")
 
 
+def sample_with_examples(corpus: DataFrame, sample_size: int, n_examples: int, seed: int = 42,
+                         by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(test, examples) from one bucket cut over the corpus.
+
+    ``test`` = :func:`balanced_sample`; ``examples`` = :func:`few_shot_examples`
+    of that test set.  Both follow the same key order, so the examples are
+    among the first ``k + n`` rows of each class (k = sample_size // 2) or
+    the first ``n`` rows without a class: one pass takes that bounded
+    candidate set (persisted), the two draws are exact windows over it."""
+    by = list(by or ["dataset"])
+    k = sample_size // 2
+    grp = F.when(F.col("label").isin(0, 1), F.col("label")).otherwise(F.lit(-1))
+    keyed = with_key(corpus, seed).withColumn("_cls", grp.cast("int"))
+    quota = corpus.sparkSession.createDataFrame([(0, k + n_examples), (1, k + n_examples), (-1, n_examples)],
+                                                "_cls int, quota long")
+    # quota per (group, class) present: an equi-join on the class group
+    quotas = keyed.select(*by, "_cls").distinct().join(F.broadcast(quota), "_cls")
+    cand = first_n_by_key(keyed, by + ["_cls"], quotas).withColumn(
+        "_rk", F.row_number().over(Window.partitionBy(*by, "_cls").orderBy("sample_key", "doc_id")))
+    cand = cand.persist()
+    is_test = (F.col("_cls") >= 0) & (F.col("_rk") <= k)
+    test = cand.where(is_test).select(*corpus.columns, "sample_key")
+    rest = cand.where(~is_test)
+    ex = rest.withColumn("example_rank", F.row_number().over(Window.partitionBy(*by).orderBy("sample_key", "doc_id")))
+    examples = ex.where(F.col("example_rank") <= n_examples).select(*corpus.columns, "sample_key", "example_rank")
+    return test, examples
+
+
 def balanced_few_shot_examples(corpus: DataFrame, test: DataFrame | None = None, n_examples: int = 3,
                                seed: int = 42, by: list[str] | None = None) -> DataFrame:
     """``max(1, n_examples // 2)`` rows per class outside the test set,

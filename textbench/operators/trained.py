@@ -30,24 +30,27 @@ from .sampling import holdout_assignment, stratified_assignment
 class BaselineSpec:
     name: str
     classifier: str = "logreg"          # "logreg" or "naive_bayes"
-    num_features: int = 1 << 16
     reg_params: list = field(default_factory=lambda: [0.0, 0.1])
 
 
-DEFAULT_BASELINES = [BaselineSpec("spark-ml/tfidf-logreg"), BaselineSpec("spark-ml/tfidf-naive-bayes", "naive_bayes",
-                                                                          reg_params=[1.0])]
+DEFAULT_BASELINES = [BaselineSpec("spark-ml/tfidf-logreg"),
+                     BaselineSpec("spark-ml/tfidf-naive-bayes", "naive_bayes", reg_params=[1.0])]
 
+NUM_FEATURES = 1 << 16
 
-def _pipeline(spec: BaselineSpec, reg: float, config: dict) -> Pipeline:
+
+def featurizer(num_features: int = NUM_FEATURES) -> Pipeline:
+    """Whole text -> lower-case word tokens -> hashed term counts -> TF-IDF."""
     tok = RegexTokenizer(inputCol="_text", outputCol="_tokens", pattern=r"\W+", toLowercase=True, minTokenLength=1)
-    tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=spec.num_features)
+    tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
     idf = IDF(inputCol="_tf", outputCol="features")
+    return Pipeline(stages=[tok, tf, idf])
+
+
+def classifier(spec: BaselineSpec, reg: float, config: dict):
     if spec.classifier == "naive_bayes":
-        clf = NaiveBayes(featuresCol="features", labelCol="_y", smoothing=reg, modelType="multinomial")
-    else:
-        clf = LogisticRegression(featuresCol="features", labelCol="_y", regParam=reg,
-                                 maxIter=max(10, 5 * int(config["num_epochs"])), elasticNetParam=0.0)
-    return Pipeline(stages=[tok, tf, idf, clf])
+        return NaiveBayes(featuresCol="features", labelCol="_y", smoothing=reg, modelType="multinomial")
+    return LogisticRegression(featuresCol="features", labelCol="_y", regParam=reg, maxIter=10, elasticNetParam=0.0)
 
 
 def _prep(df: DataFrame) -> DataFrame:
@@ -60,13 +63,15 @@ def _f1(pred: DataFrame) -> float:
 
 
 def prepare_splits(spark: SparkSession, corpus: DataFrame, dataset: str, sample_size: int | None,
-                   config: dict | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(fit, validation, test) rows of one dataset, persisted (memory,
-    spilling to disk): ML training reads its input once per pass, and every
-    baseline of the dataset shares the same splits.
+                   config: dict | None = None, num_features: int = NUM_FEATURES) -> dict:
+    """Feature vectors of one dataset's fit, validation and test rows.
 
     Split: :func:`holdout_assignment` (test) and a stratified validation
-    carve-out of the training rows."""
+    carve-out of the training rows.  The featurizer (IDF) is fitted on the
+    fit rows only, once per dataset, and the vectors of all three parts are
+    persisted in one frame (memory, spilling to disk): every classifier and
+    regularisation value of the dataset reads them, and ML training reads
+    its input once per optimiser pass."""
     config = dict(config or TRAINING_CONFIG)
     seed = int(config["seed"])
     data = corpus.where(F.col("dataset") == dataset)
@@ -74,29 +79,33 @@ def prepare_splits(spark: SparkSession, corpus: DataFrame, dataset: str, sample_
     train = split.where("split = 'train'").drop("split")
     fit_val = stratified_assignment(train, float(config["test_size"]), seed, salt="validation",
                                     test_name="validation")
-    lvl = StorageLevel.MEMORY_AND_DISK
-    fit = _prep(fit_val.where("split = 'train'")).persist(lvl)
-    val = _prep(fit_val.where("split = 'validation'")).persist(lvl)
-    test = _prep(split.where("split = 'test'").drop("split")).persist(lvl)
-    return fit, val, test
+    rows = _prep(fit_val.unionByName(split.where("split = 'test'"))).persist(StorageLevel.MEMORY_AND_DISK)
+    t0 = time.perf_counter()
+    feat_model = featurizer(num_features).fit(rows.where("split = 'train'"))
+    vectors = feat_model.transform(rows).select("split", "dataset", "doc_id", "label", "_y", "features") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    vectors.count()
+    rows.unpersist()
+    return {"vectors": vectors, "featurize_time": time.perf_counter() - t0,
+            "fit": vectors.where("split = 'train'"), "val": vectors.where("split = 'validation'"),
+            "test": vectors.where("split = 'test'")}
 
 
-def train_and_evaluate(spec: BaselineSpec, splits: tuple, config: dict | None = None) -> tuple[DataFrame, dict]:
+def train_and_evaluate(spec: BaselineSpec, splits: dict, config: dict | None = None) -> tuple[DataFrame, dict]:
     """Fit each regularisation value on the fit rows, keep the best by
     validation F1 (first on ties), predict the test rows."""
     config = dict(config or TRAINING_CONFIG)
-    fit, val, test = splits
     t0 = time.perf_counter()
     best, best_f1, best_reg = None, -1.0, None
     for reg in spec.reg_params:
-        model = _pipeline(spec, reg, config).fit(fit)
-        f1 = _f1(model.transform(val))
+        model = classifier(spec, reg, config).fit(splits["fit"])
+        f1 = _f1(model.transform(splits["val"]))
         if f1 > best_f1:
             best, best_f1, best_reg = model, f1, reg
-    training_time = time.perf_counter() - t0
+    training_time = time.perf_counter() - t0 + splits["featurize_time"]
     t1 = time.perf_counter()
-    pred = best.transform(test).select("dataset", "doc_id", "label",
-                                       F.col("prediction").cast("int").alias("prediction"))
+    pred = best.transform(splits["test"]).select("dataset", "doc_id", "label",
+                                                 F.col("prediction").cast("int").alias("prediction"))
     pred = pred.persist(StorageLevel.MEMORY_AND_DISK)
     n = pred.count()
     predict_time = time.perf_counter() - t1
@@ -126,8 +135,7 @@ def run_baselines(spark: SparkSession, corpus: DataFrame, datasets: list[str], s
                 rows.append((spec.name, ds, None, m.asDict(), info))
             except Exception as e:  # one failed experiment does not stop the grid
                 rows.append((spec.name, ds, f"{type(e).__name__}: {e}", None, None))
-        for part in splits:
-            part.unpersist()
+        splits["vectors"].unpersist()
     out = []
     for name, ds, err, m, info in rows:
         base = {"model": name, "strategy": FINE_TUNED_STRATEGY, "dataset": ds, "error": err,

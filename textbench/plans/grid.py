@@ -21,7 +21,7 @@ from ..functions.parsing import extract_prediction
 from ..functions.prompts import build_prompt_by_strategy, few_shot_block
 from ..functions.text import iso_timestamp
 from ..operators.metrics import METRIC_NAMES, counter_aggs, metric_columns, timing_aggs
-from ..operators.sampling import balanced_sample, few_shot_examples
+from ..operators.sampling import sample_with_examples
 from ..operators.scoring import score
 
 KEYS = ["model", "strategy", "dataset"]
@@ -58,10 +58,10 @@ def grid_prompts(corpus: DataFrame, cells: DataFrame, sample_size: int, seed: in
                  max_text_length: int) -> DataFrame:
     """One row per (model, strategy, dataset, test row) with its prompt.  Few
     shot cells whose dataset lacks examples carry ``prompt_error``."""
-    # bounded by sample_size x datasets; persisted because the few-shot pool
-    # and the prompts both read it
-    test = balanced_sample(corpus, sample_size, seed).select("dataset", "doc_id", "text", "label").persist()
-    examples = few_shot_examples(corpus, test, n_examples, seed)
+    # one pass over the corpus for both draws; the candidate set is bounded
+    # by (sample_size + n_examples) per class and persisted
+    test, examples = sample_with_examples(corpus, sample_size, n_examples, seed)
+    test = test.select("dataset", "doc_id", "text", "label")
     block = few_shot_block(examples, by=["dataset"], max_text_length=max_text_length)
     sd = cells.select("strategy", "dataset").distinct()
     rows = (test.join(F.broadcast(sd), "dataset")
