@@ -88,3 +88,13 @@ def test_prompt_shapes(spark):
         raise AssertionError("expected ValueError")
     except ValueError:
         pass
+
+
+def test_classification_prompt_few_shot(spark):
+    docs = spark.createDataFrame([(1, "texto"), (2, "outro")], "doc_id long, text string")
+    ex = spark.createDataFrame([("exemplo a", 0, 1), ("exemplo b", 1, 2)], "text string, label int, example_rank int")
+    out = prompts.classification_prompt(docs, "few_shot", ex).orderBy("doc_id").collect()
+    assert len(out) == 2
+    p = out[0]["prompt"]
+    assert p.index("exemplo a") < p.index("exemplo b") < p.index("texto")
+    assert "Classificação: Verdadeira\n---\nNotícia:\nexemplo b\n\nClassificação: Falsa\n---\n" in p

@@ -244,10 +244,11 @@ def classification_prompt(df: DataFrame, strategy: str = "zero_shot", examples:
     if strategy == "few_shot":
         if examples is None:
             raise ValueError("Few-shot prompts need examples.")
-        block = few_shot_block(examples, max_text_length=max_length).select("examples_text")
-        df = df.crossJoin(F.broadcast(block))
+        # one block row, attached by an equi-join on a constant key
+        block = few_shot_block(examples, max_text_length=max_length).select(F.lit(1).alias("_k"), "examples_text")
+        df = df.withColumn("_k", F.lit(1)).join(F.broadcast(block), "_k", "left")
         return df.withColumn("prompt", build_prompt(text_col, strategy, "examples_text", max_length)).drop(
-            "examples_text")
+            "examples_text", "_k")
     return df.withColumn("prompt", build_prompt(text_col, strategy, None, max_length))
 
 
