@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import BACKEND_MODEL_MAPPING
-from ..functions.text import normalize_backend_name
+from ..config import BACKEND_MODEL_MAPPING, MODEL_CONFIGS
+from ..functions.text import model_parameters, normalize_backend_name
 
 
 def registry_frame(spark: SparkSession, mapping: dict | None = None) -> DataFrame:
@@ -47,3 +47,16 @@ def resolve_backend_names(configured: DataFrame, available: DataFrame) -> DataFr
              .where("_rk = 1").select("model", F.col("name").alias("_loose")))
     return exact.join(loose, "model", "left").select(
         "model", "backend_name", F.coalesce("_exact", "_loose", "backend_name").alias("resolved"))
+
+
+def model_info(spark: SparkSession, models: list[str], configs: dict | None = None,
+               mapping: dict | None = None) -> DataFrame:
+    """Static description of each configured model: back-end name,
+    quantization, generation limit and parameter count read from the name.
+    (Joined to the report on ``model``; nothing is measured here.)"""
+    cfg = MODEL_CONFIGS if configs is None else configs
+    mp = BACKEND_MODEL_MAPPING if mapping is None else mapping
+    rows = [(m, mp.get(m), (cfg.get(m) or {}).get("quantization"), (cfg.get(m) or {}).get("max_new_tokens"))
+            for m in models]
+    df = spark.createDataFrame(rows, "model string, backend_name string, quantization string, max_new_tokens int")
+    return df.withColumn("num_parameters", model_parameters("model"))

@@ -64,12 +64,30 @@ def deterministic_latency(prompt: str = "prompt"):
     return F.char_length(F.col(prompt)) / F.lit(10000.0)
 
 
+def generation_options(model) -> dict:
+    """Benchmark-wide generation defaults merged with the model's own
+    overrides (the model wins)."""
+    from ..config import EXPERIMENT_CONFIG
+    return {**EXPERIMENT_CONFIG["generation_params"], **(model.options or {})}
+
+
+def _make(factory, options: dict):
+    """Call a model factory with the generation options when it takes them."""
+    import inspect
+    try:
+        takes = len(inspect.signature(factory).parameters) > 0
+    except (TypeError, ValueError):
+        takes = False
+    return factory(options) if takes else factory()
+
+
 def _python_scorer(model: PythonModel, prompt_col: str):
     factory, fallback_factory = model.factory, model.fallback_factory
+    options = generation_options(model)
 
     def run(batches):
-        generate = factory()
-        fallback = fallback_factory() if fallback_factory else None
+        generate = _make(factory, options)
+        fallback = _make(fallback_factory, options) if fallback_factory else None
         for pdf in batches:
             prompts = pdf[prompt_col]
             n = len(prompts)

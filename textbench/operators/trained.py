@@ -115,19 +115,28 @@ def train_and_evaluate(spec: BaselineSpec, splits: dict, config: dict | None = N
 
 
 def run_baselines(spark: SparkSession, corpus: DataFrame, datasets: list[str], specs: list | None = None,
-                  sample_size: int | None = 1000, config: dict | None = None) -> DataFrame:
-    """Flat result rows (same shape as the grid's) for every baseline x dataset;
-    a failing experiment becomes an error row, the others go on."""
+                  sample_size: int | None = 1000, config: dict | None = None, done: DataFrame | None = None) -> DataFrame:
+    """Flat result rows (same shape as the grid's) for every pending baseline x
+    dataset; a failing experiment becomes an error row, the others go on.
+    ``done``: earlier results; baselines with a successful result are skipped."""
     config = dict(config or TRAINING_CONFIG)
     specs = specs or DEFAULT_BASELINES
+    finished = set()
+    if done is not None:
+        finished = {(r["model"], r["dataset"]) for r in
+                    done.where(F.col("error").isNull() & (F.col("strategy") == FINE_TUNED_STRATEGY))
+                    .select("model", "dataset").distinct().collect()}  # one row per experiment
     rows = []
     for ds in datasets:
+        todo = [s for s in specs if (s.name, ds) not in finished]
+        if not todo:
+            continue
         try:
             splits = prepare_splits(spark, corpus, ds, sample_size, config)
         except Exception as e:
-            rows += [(spec.name, ds, f"{type(e).__name__}: {e}", None, None) for spec in specs]
+            rows += [(spec.name, ds, f"{type(e).__name__}: {e}", None, None) for spec in todo]
             continue
-        for spec in specs:
+        for spec in todo:
             try:
                 pred, info = train_and_evaluate(spec, splits, config)
                 m = calculate_metrics(pred.withColumn("model", F.lit(spec.name)), ["model", "dataset"]).first()
@@ -158,6 +167,20 @@ def run_baselines(spark: SparkSession, corpus: DataFrame, datasets: list[str], s
     return spark.createDataFrame([tuple(r.get(c) for c in cols) for r in out], schema)
 
 
+def baseline_results(flat: DataFrame, config: dict | None = None) -> DataFrame:
+    """Flat baseline rows -> result documents (metrics incl. training time,
+    the training configuration as a struct)."""
+    from ..plans.grid import as_results
+    docs = as_results(flat.withColumn("confusion_matrix", F.array(F.array("true_negatives", "false_positives"),
+                                                                  F.array("false_negatives", "true_positives"))))
+    m = docs.schema["metrics"].dataType.fieldNames()
+    metrics = F.when(F.col("error").isNull(), F.struct(
+        *[(F.col("training_time") if f == "training_time" else F.col(f"metrics.{f}")).alias(f) for f in m]))
+    return docs.join(flat.select("model", "strategy", "dataset", "training_time"), ["model", "strategy", "dataset"]) \
+        .withColumn("metrics", metrics).drop("training_time") \
+        .withColumn("training_config", F.when(F.col("error").isNull(), training_config_struct(config)))
+
+
 def training_config_struct(config: dict | None = None):
     """The training configuration as a struct column (stored with results)."""
     c = dict(config or TRAINING_CONFIG)

@@ -128,7 +128,7 @@ def run_grid(spark: SparkSession, corpus: DataFrame, models: list, strategies: l
     return cell_metrics(preds, cells).withColumn("sample_size", F.lit(sample_size).cast("long"))
 
 
-def as_results(flat: DataFrame, generation_options: dict | None = None) -> DataFrame:
+def as_results(flat: DataFrame) -> DataFrame:
     """Flat cell metrics -> result documents (``metrics`` struct, timestamp)."""
     metric_fields = METRIC_NAMES + ["avg_inference_time", "total_inference_time"]
     metrics = F.when(F.col("error").isNull(), F.struct(

@@ -123,3 +123,12 @@ def write_scored(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         w.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
     else:
         w.parquet(path)
+
+
+def latest_results(results: DataFrame, successful_only: bool = True) -> DataFrame:
+    """Newest document per experiment in an append-only result table
+    (ISO timestamps sort as text); ties broken by the error-free one."""
+    from pyspark.sql import Window
+    r = results.where(F.col("error").isNull()) if successful_only else results
+    w = Window.partitionBy(*KEYS).orderBy(F.desc_nulls_last("timestamp"), F.col("error").isNotNull())
+    return r.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
