@@ -336,6 +336,18 @@ def q_a6_f1_box_by_strategy(spark, sf):
                     "n_outliers")
 
 
+def q_a6_f1_box_by_model(spark, sf):
+    b = profile.box_stats(analysis.successful(_report(spark, sf)), "f1_score", ["model"])
+    return b.select("model", "n", *[_r(c).alias(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")],
+                    "n_outliers")
+
+
+def q_a6_f1_box_by_dataset(spark, sf):
+    b = profile.box_stats(analysis.successful(_report(spark, sf)), "f1_score", ["dataset"])
+    return b.select("dataset", "n", *[_r(c).alias(c) for c in ("q1", "median", "q3", "whisker_low", "whisker_high")],
+                    "n_outliers")
+
+
 def q_a26_distinct_values(spark, sf):
     return analysis.distinct_values(_report(spark, sf))
 
@@ -410,6 +422,8 @@ _QUERIES = {
     "a24_parameter_trend": q_a24_parameter_trend,
     "a25_parameter_bins": q_a25_parameter_bins,
     "a6_f1_box_by_strategy": q_a6_f1_box_by_strategy,
+    "a6_f1_box_by_model": q_a6_f1_box_by_model,
+    "a6_f1_box_by_dataset": q_a6_f1_box_by_dataset,
     "a26_distinct_values": q_a26_distinct_values,
     "a27_counts": q_a27_counts,
     "f13_f18_model_parameters": q_f13_f18_model_parameters,

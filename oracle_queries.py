@@ -309,6 +309,11 @@ ORACLE["a6_f1_box_by_strategy"] = f"""{G},
 ok AS (SELECT * FROM report WHERE error IS NULL),
 {_box('ok', 'f1_score', ['strategy'], True)}"""
 
+for _dim in ("model", "dataset"):
+    ORACLE[f"a6_f1_box_by_{_dim}"] = f"""{G},
+ok AS (SELECT * FROM report WHERE error IS NULL),
+{_box('ok', 'f1_score', [_dim], True)}"""
+
 ORACLE["a26_distinct_values"] = f"""{G}
 SELECT array_to_string(list_sort(list_distinct(list(model))), ', ') AS models,
        array_to_string(list_sort(list_distinct(list(strategy))), ', ') AS strategys,

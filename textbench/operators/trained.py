@@ -11,6 +11,7 @@ prediction are ordinary distributed ML jobs.  Whole texts are featurised
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -115,7 +116,8 @@ def train_and_evaluate(spec: BaselineSpec, splits: dict, config: dict | None = N
 
 
 def run_baselines(spark: SparkSession, corpus: DataFrame, datasets: list[str], specs: list | None = None,
-                  sample_size: int | None = 1000, config: dict | None = None, done: DataFrame | None = None) -> DataFrame:
+                  sample_size: int | None = 1000, config: dict | None = None, done: DataFrame | None = None,
+                  parallelism: int = 4) -> DataFrame:
     """Flat result rows (same shape as the grid's) for every pending baseline x
     dataset; a failing experiment becomes an error row, the others go on.
     ``done``: earlier results; baselines with a successful result are skipped."""
@@ -126,25 +128,33 @@ def run_baselines(spark: SparkSession, corpus: DataFrame, datasets: list[str], s
         finished = {(r["model"], r["dataset"]) for r in
                     done.where(F.col("error").isNull() & (F.col("strategy") == FINE_TUNED_STRATEGY))
                     .select("model", "dataset").distinct().collect()}  # one row per experiment
-    rows = []
-    for ds in datasets:
+    def one_dataset(ds):
         todo = [s for s in specs if (s.name, ds) not in finished]
         if not todo:
-            continue
+            return []
         try:
             splits = prepare_splits(spark, corpus, ds, sample_size, config)
         except Exception as e:
-            rows += [(spec.name, ds, f"{type(e).__name__}: {e}", None, None) for spec in todo]
-            continue
-        for spec in todo:
+            return [(spec.name, ds, f"{type(e).__name__}: {e}", None, None) for spec in todo]
+        def one_spec(spec):
             try:
                 pred, info = train_and_evaluate(spec, splits, config)
                 m = calculate_metrics(pred.withColumn("model", F.lit(spec.name)), ["model", "dataset"]).first()
                 pred.unpersist()
-                rows.append((spec.name, ds, None, m.asDict(), info))
+                return (spec.name, ds, None, m.asDict(), info)
             except Exception as e:  # one failed experiment does not stop the grid
-                rows.append((spec.name, ds, f"{type(e).__name__}: {e}", None, None))
+                return (spec.name, ds, f"{type(e).__name__}: {e}", None, None)
+
+        # the classifiers of a dataset share its persisted vectors
+        with ThreadPoolExecutor(max_workers=max(1, min(len(todo), parallelism))) as inner:
+            out_rows = list(inner.map(one_spec, todo))
         splits["vectors"].unpersist()
+        return out_rows
+
+    # datasets are independent experiments: their (small) jobs run side by
+    # side so the executors are not left idle between optimiser passes
+    with ThreadPoolExecutor(max_workers=max(1, min(len(datasets), parallelism))) as pool:
+        rows = [r for part in pool.map(one_dataset, datasets) for r in part]
     out = []
     for name, ds, err, m, info in rows:
         base = {"model": name, "strategy": FINE_TUNED_STRATEGY, "dataset": ds, "error": err,

@@ -62,22 +62,18 @@ def means_by(report: DataFrame, key: str, metrics: list[str] | None = None, orde
 
 def grouped_means(report: DataFrame) -> DataFrame:
     """Mean F1, accuracy and time per model, per strategy and per dataset in
-    one pass (grouping sets); ``grouping`` names the dimension."""
+    one pass (three grouping sets); ``dimension`` names the set."""
     dims = ["model", "strategy", "dataset"]
-    agg = report.cube(*dims).agg(
+    agg = report.groupingSets([[d] for d in dims], *dims).agg(
         F.avg("f1_score").alias("f1_score"), F.avg("accuracy").alias("accuracy"),
         F.avg("avg_inference_time").alias("avg_inference_time"),
-        F.grouping_id(*dims).alias("_gid"))
-    # keep only the three single-dimension sets
-    single = {0b011: "model", 0b101: "strategy", 0b110: "dataset"}
-    cond = None
-    for gid in single:
-        c = F.col("_gid") == gid
-        cond = c if cond is None else (cond | c)
-    name = F.when(F.col("_gid") == 0b011, "model").when(F.col("_gid") == 0b101, "strategy").otherwise("dataset")
-    value = F.coalesce(*[F.col(d) for d in dims])
-    return agg.where(cond).select(name.alias("dimension"), value.alias("value"), "f1_score", "accuracy",
-                                  "avg_inference_time")
+        *[F.grouping(d).alias(f"_g_{d}") for d in dims])
+    name = None
+    for d in dims:
+        cond = F.col(f"_g_{d}") == 0
+        name = F.when(cond, F.lit(d)) if name is None else name.when(cond, F.lit(d))
+    value = F.coalesce(*[F.when(F.col(f"_g_{d}") == 0, F.col(d)) for d in dims])
+    return agg.select(name.alias("dimension"), value.alias("value"), "f1_score", "accuracy", "avg_inference_time")
 
 
 def best_per_group(report: DataFrame, key: str, counterpart: str, metric: str = "f1_score") -> DataFrame:
