@@ -70,3 +70,15 @@ def test_all_null_best_is_empty(spark):
     assert analysis.best_overall(df).count() == 0
     b = analysis.best_per_group(df, "model", "strategy").first()
     assert b["best_strategy"] is None
+
+
+def test_predictions_table_gives_same_metrics(spark, scratch):
+    c = testbed.corpus(spark, SF001)
+    kw = dict(model_names=testbed.MODEL_NAMES, sample_size=100, timing="prompt_length")
+    direct = grid.run_grid(spark, c, testbed.rule_models(), testbed.STRATEGIES, ["quality"], **kw)
+    path = os.path.join(scratch, "predictions")
+    via = grid.run_grid(spark, c, testbed.rule_models(), testbed.STRATEGIES, ["quality"], predictions_path=path, **kw)
+    cols = ["model", "strategy", "dataset", "error", "n", "f1_score", "true_positives", "invalid_predictions"]
+    assert sorted(map(tuple, direct.select(*cols).collect()), key=str) == \
+        sorted(map(tuple, via.select(*cols).collect()), key=str)
+    assert os.path.isdir(os.path.join(path, "model=rules%2Fparity-1.5B"))

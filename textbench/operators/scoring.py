@@ -132,7 +132,9 @@ def score(df: DataFrame, models: list, prompt_col: str = "prompt", model_col: st
 
     ``timing="prompt_length"`` replaces measured latency with
     :func:`deterministic_latency` (reproducible runs); ``partitions`` sets
-    the number of Python tasks per model (round-robin repartition)."""
+    the number of Python tasks per model (round-robin repartition; default:
+    the cluster's default parallelism, so model calls are spread over all
+    executors rather than over however many partitions the prompts had)."""
     expr_models = [m for m in models if isinstance(m, ExprModel)]
     py_models = [m for m in models if isinstance(m, PythonModel)]
     known = [m.name for m in models]
@@ -154,10 +156,9 @@ def score(df: DataFrame, models: list, prompt_col: str = "prompt", model_col: st
         F.when(is_expr, deterministic_latency(prompt_col)).cast("double").alias("inference_time"),
         F.when(unknown, unmapped_error(m)).cast("string").alias("error")))
 
+    n_tasks = partitions or df.sparkSession.sparkContext.defaultParallelism
     for pm in py_models:
-        sub = df.where(m == pm.name)
-        if partitions:
-            sub = sub.repartition(partitions)
+        sub = df.where(m == pm.name).repartition(n_tasks)
         schema = T.StructType(sub.schema.fields + SCORED_FIELDS)
         parts.append(sub.mapInPandas(_python_scorer(pm, prompt_col), schema))
 
