@@ -28,11 +28,14 @@ def duck(sf_dir: str):
     return con
 
 
+STRICT = os.environ.get("STRICT") == "1"  # exact float equality, no rounding
+
+
 def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 9)
+        return v if STRICT else round(v, 9)
     if isinstance(v, (list, tuple)):
         return tuple(norm(x) for x in v)
     if hasattr(v, "asDict"):
