@@ -44,7 +44,7 @@ def _corpus(spark, sf):
 def _grid(spark, sf) -> DataFrame:
     """Flat grid metrics, persisted per session and input (bounded: one row
     per experiment) so the analysis queries share one grid run."""
-    k = (id(spark), sf)
+    k = (spark.sparkContext.applicationId, sf)
     if k not in _cache:
         g = grid.run_grid(spark, _corpus(spark, sf), testbed.rule_models(), STRATEGIES, DATASETS,
                           sample_size=SAMPLE_SIZE, seed=SEED, n_examples=N_EXAMPLES,

@@ -144,11 +144,18 @@ def run_benchmark(spark: SparkSession, corpus: DataFrame, models: list, strategi
                   **grid_options) -> DataFrame:
     """Resumable benchmark: cells with a successful document under
     ``results_path`` are kept, every other cell (missing, failed, corrupt)
-    is run in one grid job and its document rewritten in place.  Returns
-    the result documents of the whole grid."""
+    is run in one grid job and its document rewritten in place.  Scored
+    rows go to a table under the shared checkpoint folder first (unless a
+    ``predictions_path`` is given), so a lost executor never repeats model
+    calls.  Returns the result documents of the whole grid."""
+    import uuid
+
+    from ..session import scratch_path
     from ..sources.datasets import _exists
     from ..sources.results import read_results, write_results
 
+    grid_options.setdefault("predictions_path", scratch_path(spark, f"predictions-{uuid.uuid4().hex}"))
+
     done = read_results(spark, results_path) if _exists(spark, results_path) else None
     names = model_names or [m.name for m in models]
     grid = experiment_grid(spark, names, strategies, datasets)
