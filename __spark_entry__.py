@@ -57,6 +57,11 @@ def _report(spark, sf) -> DataFrame:
     return analysis.flat_report(_grid(spark, sf))
 
 
+def _ok(spark, sf) -> DataFrame:
+    """Successful experiments only: the analysis never sees failed cells."""
+    return analysis.successful(_report(spark, sf))
+
+
 def _r(c, digits=ROUND):
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
@@ -271,62 +276,62 @@ def _means(df, key):
 
 
 def q_a14_by_strategy(spark, sf):
-    return _means(analysis.means_by(_report(spark, sf), "strategy"), "strategy")
+    return _means(analysis.means_by(_ok(spark, sf), "strategy"), "strategy")
 
 
 def q_a15_by_model(spark, sf):
-    return _means(analysis.means_by(_report(spark, sf), "model"), "model")
+    return _means(analysis.means_by(_ok(spark, sf), "model"), "model")
 
 
 def q_a16_grouped_means(spark, sf):
-    g = analysis.grouped_means(_report(spark, sf))
+    g = analysis.grouped_means(_ok(spark, sf))
     return g.select("dimension", "value", _r("f1_score").alias("f1_score"), _r("accuracy").alias("accuracy"),
                     _r("avg_inference_time").alias("avg_inference_time"))
 
 
 def q_a17_best_strategy_per_model(spark, sf):
-    b = analysis.best_per_group(_report(spark, sf), "model", "strategy")
+    b = analysis.best_per_group(_ok(spark, sf), "model", "strategy")
     return b.select("model", _r("mean_f1_score").alias("mean_f1_score"), "best_strategy")
 
 
 def q_a17_best_model_per_strategy(spark, sf):
-    b = analysis.best_per_group(_report(spark, sf), "strategy", "model")
+    b = analysis.best_per_group(_ok(spark, sf), "strategy", "model")
     return b.select("strategy", _r("mean_f1_score").alias("mean_f1_score"), "best_model")
 
 
 def q_a18_best_overall(spark, sf):
-    return analysis.best_overall(_report(spark, sf)).select("model", "strategy", "dataset", "f1_score")
+    return analysis.best_overall(_ok(spark, sf)).select("model", "strategy", "dataset", "f1_score")
 
 
 def q_a20_compare_models(spark, sf):
-    p = analysis.compare_models(_report(spark, sf), STRATEGIES, DATASETS)
+    p = analysis.compare_models(_ok(spark, sf), STRATEGIES, DATASETS)
     return p.select("model", *[_r(F.col(f"`{c}`")).alias(c) for c in p.columns if c != "model"])
 
 
 def q_a21_heatmap_strategy(spark, sf):
-    r = _report(spark, sf).withColumn("short_model", text.short_model_name("model"))
+    r = _ok(spark, sf).withColumn("short_model", text.short_model_name("model"))
     p = r.groupBy("short_model").pivot("strategy", STRATEGIES).agg(F.avg("f1_score"))
     return p.select("short_model", *[_r(s).alias(s) for s in STRATEGIES])
 
 
 def q_a22_heatmap_dataset(spark, sf):
-    r = _report(spark, sf).withColumn("short_model", text.short_model_name("model"))
+    r = _ok(spark, sf).withColumn("short_model", text.short_model_name("model"))
     p = r.groupBy("short_model").pivot("dataset", DATASETS).agg(F.avg("f1_score"))
     return p.select("short_model", *[_r(d).alias(d) for d in DATASETS])
 
 
 def q_a23_statistical_analysis(spark, sf):
-    s = analysis.statistical_analysis(_report(spark, sf))
+    s = analysis.statistical_analysis(_ok(spark, sf))
     return s.select("model_strategy", *[_r(c).alias(c) for c in ("mean", "std", "min", "max")], "n")
 
 
 def q_a24_parameter_trend(spark, sf):
-    t = analysis.parameter_trend(_report(spark, sf))
+    t = analysis.parameter_trend(_ok(spark, sf))
     return t.select("metric", _r("slope").alias("slope"), _r("intercept").alias("intercept"), "n")
 
 
 def q_a25_parameter_bins(spark, sf):
-    b = analysis.parameter_bins(_report(spark, sf))
+    b = analysis.parameter_bins(_ok(spark, sf))
     return b.select("param_range", _r("f1_score").alias("f1_score"), "n")
 
 
@@ -349,7 +354,7 @@ def q_a6_f1_box_by_dataset(spark, sf):
 
 
 def q_a26_distinct_values(spark, sf):
-    return analysis.distinct_values(_report(spark, sf))
+    return analysis.distinct_values(_ok(spark, sf))
 
 
 def q_a27_counts(spark, sf):
@@ -357,7 +362,7 @@ def q_a27_counts(spark, sf):
 
 
 def q_f13_f18_model_parameters(spark, sf):
-    r = _report(spark, sf).select("model").distinct()
+    r = _ok(spark, sf).select("model").distinct()
     p = text.model_parameters("model")
     return r.select("model", p.alias("num_parameters"), text.parameter_bin(p).alias("param_range"),
                     text.short_model_name("model").alias("short_model"),

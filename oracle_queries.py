@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from oracle_sql import (ALT_NAMES, R, block_cte, corpus_cte, counters, fill, grid_ctes, key, lit, metric_select,
                         parse, prompt_expr, rule_response, sample_ctes, single_prompt, trunc)
 from textbench.functions.prompts import ALTERNATIVE_PROMPTS, CHAIN_OF_THOUGHT_TEMPLATE, SYSTEM_PROMPT, ZERO_SHOT_TEMPLATE
@@ -330,3 +332,10 @@ SELECT model, p AS num_parameters, {_bin} AS param_range, {_short} AS short_mode
        replace(model, '/', '_') || '_zero_shot_quality' AS zero_shot_key FROM mp"""
 
 ORACLE["j4_pending_cells"] = f"{G} SELECT model, strategy, dataset FROM grid WHERE error IS NOT NULL"
+
+
+# the analysis runs over successful experiments only (failed cells are dropped
+# before any aggregate): the same SQL over ``okr``, the filtered report
+for _k in ['a14_by_strategy', 'a15_by_model', 'a16_grouped_means', 'a17_best_strategy_per_model', 'a17_best_model_per_strategy', 'a18_best_overall', 'a20_compare_models', 'a21_heatmap_strategy', 'a22_heatmap_dataset', 'a23_statistical_analysis', 'a24_parameter_trend', 'a25_parameter_bins', 'a26_distinct_values', 'f13_f18_model_parameters']:
+    assert ORACLE[_k].startswith(G)
+    ORACLE[_k] = G + re.sub(r"\breport\b", "okr", ORACLE[_k][len(G):])

@@ -183,7 +183,8 @@ grid AS (
 report AS (
   SELECT model, strategy, dataset, accuracy, precision, recall, f1_score, avg_inference_time,
          CAST(NULL AS DOUBLE) AS vram_usage_gb, invalid_rate, error
-  FROM grid)
+  FROM grid),
+okr AS (SELECT * FROM report WHERE error IS NULL)
 """
 
 
