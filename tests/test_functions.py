@@ -98,3 +98,11 @@ def test_classification_prompt_few_shot(spark):
     p = out[0]["prompt"]
     assert p.index("exemplo a") < p.index("exemplo b") < p.index("texto")
     assert "Classificação: Verdadeira\n---\nNotícia:\nexemplo b\n\nClassificação: Falsa\n---\n" in p
+
+
+def test_extract_prediction_word_and_binary_modes(spark):
+    word = {"Passo 1: fonte. Classificação: Verdadeira": 1, "Em 2010: Verdadeira": 0, "realmente não sei": -1, "A notícia é REAL.": 0,
+            "falsa": 1, "10": -1, "1": 1, "É verídica": 0}
+    assert _col(spark, list(word), lambda c: parsing.extract_prediction(c, "word")) == list(word.values())
+    binary = {"Sim.": 1, "Não": 0, "não sei": 0, "Simplesmente": -1, "talvez": -1}
+    assert _col(spark, list(binary), lambda c: parsing.extract_prediction(c, "binary")) == list(binary.values())

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 # ---------------------------------------------------------------------------
 FAKE_KEYWORDS = ["falsa", "fake", "falso", "mentira", "desinformação", "1"]
 TRUE_KEYWORDS = ["verdadeira", "verdadeiro", "real", "verídica", "0"]
+# answers of the yes/no template ("is this fake news?")
+YES_WORDS = ["sim"]
+NO_WORDS = ["não", "nao"]
 # ---------------------------------------------------------------------------
 
 LABELS = (0, 1)
@@ -25,16 +28,31 @@ def _any_contains(s: Column, words: list[str]) -> Column:
     return cond
 
 
-def extract_prediction(response) -> Column:
+def _any_word(s: Column, words: list[str]) -> Column:
+    """Whole-word match (Unicode word boundaries) of any of ``words``."""
+    alt = "|".join(w.replace(".", r"\.") for w in words)
+    return s.rlike(f"(?U)(^|[^\\w])({alt})([^\\w]|$)")
+
+
+def extract_prediction(response, mode: str = "legacy") -> Column:
     """1 when the answer contains a fake keyword, else 0 when it contains a
-    true keyword, else -1.  Plain substring tests: ``"1"`` matches any answer
-    containing that digit and ``"real"`` matches ``"realmente"`` (kept as is
-    for parity).  NULL answers give -1."""
+    true keyword, else -1.  NULL answers give -1.
+
+    ``legacy`` (default, parity): plain substring tests — ``"1"`` matches any
+    answer containing that digit and ``"real"`` matches ``"realmente"``.
+    ``word``: the same keywords, whole words only.  ``binary``: answers of the
+    yes/no template — yes (fake) -> 1, no -> 0."""
     r = F.col(response) if isinstance(response, str) else response
     low = F.lower(r)
-    return (F.when(_any_contains(low, FAKE_KEYWORDS), F.lit(1))
-             .when(_any_contains(low, TRUE_KEYWORDS), F.lit(0))
-             .otherwise(F.lit(INVALID))).cast("int")
+    if mode == "legacy":
+        fake, true = _any_contains(low, FAKE_KEYWORDS), _any_contains(low, TRUE_KEYWORDS)
+    elif mode == "word":
+        fake, true = _any_word(low, FAKE_KEYWORDS), _any_word(low, TRUE_KEYWORDS)
+    elif mode == "binary":
+        fake, true = _any_word(low, YES_WORDS), _any_word(low, NO_WORDS)
+    else:
+        raise ValueError("mode must be 'legacy', 'word' or 'binary'")
+    return (F.when(fake, F.lit(1)).when(true, F.lit(0)).otherwise(F.lit(INVALID))).cast("int")
 
 
 def is_valid_prediction(prediction) -> Column:
