@@ -82,3 +82,18 @@ def test_predictions_table_gives_same_metrics(spark, scratch):
     assert sorted(map(tuple, direct.select(*cols).collect()), key=str) == \
         sorted(map(tuple, via.select(*cols).collect()), key=str)
     assert os.path.isdir(os.path.join(path, "model=rules%2Fparity-1.5B"))
+
+
+def test_benchmark_job_end_to_end(spark, scratch):
+    from textbench.operators import trained
+    from textbench.plans import jobs
+    c = testbed.corpus(spark, SF001)
+    path = os.path.join(scratch, "results")
+    nb = [trained.BaselineSpec("spark-ml/tfidf-naive-bayes", "naive_bayes", reg_params=[1.0])]
+    rep = jobs.benchmark_job(spark, c, testbed.rule_models(), ["toxic"], path, os.path.join(scratch, "report"),
+                             model_names=testbed.MODEL_NAMES, baselines=nb, sample_size=100, timing="prompt_length")
+    rows = rep.collect()
+    strategies = {r["strategy"] for r in rows}
+    assert strategies == {"zero_shot", "few_shot", "chain_of_thought", "fine_tuned"}
+    assert all(r["error"] is None for r in rows)
+    assert len(rows) == 4 * 3 + 1  # registered rule models x strategies + one baseline
