@@ -97,3 +97,27 @@ def test_benchmark_job_end_to_end(spark, scratch):
     assert strategies == {"zero_shot", "few_shot", "chain_of_thought", "fine_tuned"}
     assert all(r["error"] is None for r in rows)
     assert len(rows) == 4 * 3 + 1  # registered rule models x strategies + one baseline
+
+
+def test_empty_sample_and_row_failure_isolation(spark):
+    from textbench.operators.scoring import ExprModel, PythonModel
+    c = testbed.corpus(spark, SF001, ["quality"])  # no rows for "toxic"
+
+    def flaky():
+        def gen(prompts):
+            if prompts.str.contains("Raciocínio:").any():  # chain-of-thought prompts fail
+                raise RuntimeError("backend timeout")
+            return prompts.map(lambda p: "Falsa")
+        return gen
+    models = [ExprModel("rules/always-1B", "'Falsa'"), PythonModel("rules/flaky-2B", flaky)]
+    g = grid.run_grid(spark, c, models, testbed.STRATEGIES, ["quality", "toxic"], sample_size=100,
+                      timing="prompt_length")
+    cells = {(r["model"], r["strategy"], r["dataset"]): r for r in g.collect()}
+    assert len(cells) == 2 * 3 * 2
+    for (m, s, d), r in cells.items():
+        if d == "toxic":
+            assert r["error"] == grid.EMPTY_SAMPLE_ERROR and r["f1_score"] is None
+        elif m == "rules/flaky-2B" and s == "chain_of_thought":
+            assert r["error"].startswith("RuntimeError") and r["accuracy"] is None
+        else:
+            assert r["error"] is None and r["n"] == 61
