@@ -231,10 +231,11 @@ def q_a8_confusion_matrix(spark, sf):
 def _corpus_predictions(spark, sf):
     """Every labelled document scored zero-shot by every rule model."""
     c = _corpus(spark, sf)
-    models = spark.createDataFrame([(m,) for m in testbed.RULE_SQL], "model string").coalesce(1)
     p = c.select("dataset", "doc_id", "label", prompts.build_prompt("text", "zero_shot", None, MAX_LEN).alias("prompt"))
+    # one row per (document, model): a generator over the model names, no join
+    p = p.withColumn("model", F.explode(F.array(*[F.lit(m) for m in testbed.RULE_SQL])))
     from textbench.operators.scoring import score
-    scored = score(p.join(F.broadcast(models)), testbed.rule_models(), timing="prompt_length")
+    scored = score(p, testbed.rule_models(), timing="prompt_length")
     return scored.withColumn("prediction", parsing.extract_prediction("response"))
 
 

@@ -30,3 +30,16 @@ def test_grid_has_no_cartesian_product(spark):
                       sample_size=100, timing="prompt_length", model_names=testbed.MODEL_NAMES)
     plan = _plan(g)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_no_registered_query_uses_a_cross_or_nested_loop_join(spark):
+    import __spark_entry__ as E
+    from tests.conftest import SF001
+    bad = []
+    for name, q in E.queries().items():
+        if name == "m7_trained_baseline":  # fits models eagerly; its frames are checked elsewhere
+            continue
+        plan = _plan(q(spark, SF001))
+        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+            bad.append(name)
+    assert bad == []
