@@ -46,9 +46,11 @@ def _grid(spark, sf) -> DataFrame:
     per experiment) so the analysis queries share one grid run."""
     k = (spark.sparkContext.applicationId, sf)
     if k not in _cache:
-        g = grid.run_grid(spark, _corpus(spark, sf), testbed.rule_models(), STRATEGIES, DATASETS,
+        # sample on keys and labels only; texts are attached to the drawn rows
+        g = grid.run_grid(spark, testbed.corpus_keys(spark, sf), testbed.rule_models(), STRATEGIES, DATASETS,
                           sample_size=SAMPLE_SIZE, seed=SEED, n_examples=N_EXAMPLES,
-                          max_text_length=MAX_LEN, timing="prompt_length", model_names=testbed.MODEL_NAMES)
+                          max_text_length=MAX_LEN, timing="prompt_length", model_names=testbed.MODEL_NAMES,
+                          texts=testbed.texts(spark, sf))
         _cache[k] = g.persist()
     return _cache[k]
 
@@ -175,8 +177,16 @@ def q_f2_f5_prompts(spark, sf):
     return out[0].unionByName(out[1])
 
 
+def _drawn_with_text(spark, sf):
+    """Test sample and few-shot examples drawn on keys, texts attached after."""
+    from textbench.sources.datasets import attach_text
+    test, ex = sampling.sample_with_examples(testbed.corpus_keys(spark, sf), SAMPLE_SIZE, N_EXAMPLES, SEED)
+    t = testbed.texts(spark, sf)
+    return attach_text(test, t), attach_text(ex, t)
+
+
 def q_f3_few_shot_prompts(spark, sf):
-    test, ex = sampling.sample_with_examples(_corpus(spark, sf), SAMPLE_SIZE, N_EXAMPLES, SEED)
+    test, ex = _drawn_with_text(spark, sf)
     block = prompts.few_shot_block(ex, by=["dataset"], max_text_length=MAX_LEN)
     p = prompts.build_prompt("text", "few_shot", "examples_text", MAX_LEN)
     return test.join(F.broadcast(block), "dataset").select(
@@ -184,7 +194,7 @@ def q_f3_few_shot_prompts(spark, sf):
 
 
 def q_f4_example_block(spark, sf):
-    _, ex = sampling.sample_with_examples(_corpus(spark, sf), SAMPLE_SIZE, N_EXAMPLES, SEED)
+    _, ex = _drawn_with_text(spark, sf)
     b = prompts.few_shot_block(ex, by=["dataset"], max_text_length=MAX_LEN)
     return b.select("dataset", F.md5("examples_text").alias("block_md5"),
                     F.char_length("examples_text").alias("block_len"), "n_examples")
@@ -200,7 +210,7 @@ def q_f7_alternative_prompts(spark, sf):
 
 
 def q_f11_chat_messages(spark, sf):
-    c = _test(spark, sf)
+    c, _ = _drawn_with_text(spark, sf)
     msgs = prompts.chat_messages(prompts.build_prompt("text", "zero_shot", None, MAX_LEN))
     return c.select("dataset", "doc_id", F.size(msgs).alias("n_messages"),
                     msgs[0]["role"].alias("role_0"), msgs[1]["role"].alias("role_1"),

@@ -23,6 +23,7 @@ from ..functions.text import iso_timestamp
 from ..operators.metrics import METRIC_NAMES, counter_aggs, metric_columns, timing_aggs
 from ..operators.sampling import sample_with_examples
 from ..operators.scoring import score
+from ..sources.datasets import attach_text
 
 KEYS = ["model", "strategy", "dataset"]
 
@@ -55,12 +56,17 @@ def reusable_results(grid: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def grid_prompts(corpus: DataFrame, cells: DataFrame, sample_size: int, seed: int, n_examples: int,
-                 max_text_length: int) -> DataFrame:
+                 max_text_length: int, texts: DataFrame | None = None) -> DataFrame:
     """One row per (model, strategy, dataset, test row) with its prompt.  Few
-    shot cells whose dataset lacks examples carry ``prompt_error``."""
+    shot cells whose dataset lacks examples carry ``prompt_error``.
+
+    ``texts`` (``doc_id, text``): when given, ``corpus`` carries only keys and
+    labels, and the texts of the drawn rows are attached after sampling."""
     # one pass over the corpus for both draws; the candidate set is bounded
     # by (sample_size + n_examples) per class and persisted
     test, examples = sample_with_examples(corpus, sample_size, n_examples, seed)
+    if texts is not None:
+        test, examples = attach_text(test, texts), attach_text(examples, texts)
     test = test.select("dataset", "doc_id", "text", "label")
     block = few_shot_block(examples, by=["dataset"], max_text_length=max_text_length)
     sd = cells.select("strategy", "dataset").distinct()
@@ -106,13 +112,15 @@ def run_grid(spark: SparkSession, corpus: DataFrame, models: list, strategies: l
              sample_size: int = EXPERIMENT_CONFIG["test_sample_size"], seed: int = EXPERIMENT_CONFIG["random_seed"],
              n_examples: int = EXPERIMENT_CONFIG["few_shot_examples"], max_text_length: int = 2000,
              timing: str = "wall", done: DataFrame | None = None, predictions_path: str | None = None,
-             partitions: int | None = None, model_names: list[str] | None = None) -> DataFrame:
+             partitions: int | None = None, model_names: list[str] | None = None,
+             texts: DataFrame | None = None) -> DataFrame:
     """Flat metrics for every pending cell of the grid.
 
     ``model_names``: the configured models (default: the registered ones);
     a configured model missing from ``models`` yields error rows for its
     cells, the other cells are unaffected.
     ``done``: earlier results; their successful cells are skipped (resume).
+    ``texts``: see :func:`grid_prompts` (sample on keys, attach texts after).
     ``predictions_path``: when given, scored rows are written there (a
     table in shared storage, partitioned by cell) and the metrics are read
     from it, so model calls are never repeated after a lost executor."""
@@ -120,7 +128,7 @@ def run_grid(spark: SparkSession, corpus: DataFrame, models: list, strategies: l
     cells = pending_cells(grid, done)
     # bounded by sample_size x cells; persisted so the prompt expression is
     # computed once and the model branches read a plain column
-    prompts = grid_prompts(corpus, cells, sample_size, seed, n_examples, max_text_length).persist()
+    prompts = grid_prompts(corpus, cells, sample_size, seed, n_examples, max_text_length, texts).persist()
     preds = score_grid(prompts, models, timing, partitions)
     if predictions_path:
         preds.write.mode("overwrite").partitionBy(*KEYS).parquet(predictions_path)

@@ -131,6 +131,27 @@ def corpora_from_tables(documents: DataFrame, labels: DataFrame, configs: dict)
     return labs.join(docs, "doc_id").select("dataset", "doc_id", "text", "label")
 
 
+def corpus_keys_from_tables(documents: DataFrame, labels: DataFrame, configs: dict) -> DataFrame:
+    """``dataset, doc_id, label`` of several corpora without their texts:
+    label rows (one per dataset) that have a document.  Only the ``doc_id``
+    column of the text table is read.  Samples are drawn from this and the
+    texts attached afterwards (:func:`attach_text`), so a huge text table is
+    never shuffled to pick a few thousand rows."""
+    per_ds = F.explode(F.array(*[
+        F.struct(F.lit(name).alias("dataset"), mapped_label(cfg["label_column"], cfg.get("label_mapping")).alias("label"))
+        for name, cfg in configs.items()])).alias("_d")
+    labs = labels.select("doc_id", per_ds).select("doc_id", "_d.dataset", "_d.label")
+    return labs.join(documents.select("doc_id"), "doc_id", "left_semi").select("dataset", "doc_id", "label")
+
+
+def attach_text(rows: DataFrame, documents: DataFrame, text_column: str = "text") -> DataFrame:
+    """Texts for a bounded set of rows (a sample, few-shot examples): the rows
+    are broadcast and the text table is only streamed past them (broadcast
+    hash join, no shuffle of the texts)."""
+    docs = documents.select("doc_id", F.col(text_column).alias("text"))
+    return docs.join(F.broadcast(rows), "doc_id").select(*rows.columns, "text")
+
+
 def union_corpora(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators.scoring import ExprModel, PythonModel
-from .sources.datasets import corpora_from_tables
+from .sources.datasets import corpora_from_tables, corpus_keys_from_tables
 
 TABLE_DATASETS = {
     "quality": {"text_column": "text", "label_column": "quality", "label_mapping": {"1": 0, "0": 1}},
@@ -71,3 +71,14 @@ def corpus(spark: SparkSession, sf_dir: str, names: list[str] | None = None) ->
     docs, labs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     names = names or list(TABLE_DATASETS)
     return corpora_from_tables(docs, labs, {n: TABLE_DATASETS[n] for n in names})
+
+
+def corpus_keys(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> DataFrame:
+    """``dataset, doc_id, label`` (no text) for the table datasets."""
+    docs, labs = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    names = names or list(TABLE_DATASETS)
+    return corpus_keys_from_tables(docs, labs, {n: TABLE_DATASETS[n] for n in names})
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
