@@ -43,3 +43,14 @@ def test_no_registered_query_uses_a_cross_or_nested_loop_join(spark):
         if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
             bad.append(name)
     assert bad == []
+
+
+def test_texts_are_attached_by_broadcast_probe(spark):
+    from textbench.sources.datasets import attach_text
+    keys = testbed.corpus_keys(spark, SF01)
+    drawn = attach_text(sampling.balanced_sample(keys, 100, 42), testbed.texts(spark, SF01))
+    plan = _plan(drawn)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    text_scans = [l for l in plan.splitlines() if l.startswith("ReadSchema") and "text" in l]
+    assert len(text_scans) == 1  # the text table is read once, as the streamed side
+    assert drawn.count() == 200
