@@ -63,3 +63,16 @@ def start_metrics_stream(spark: SparkSession, scored_path: str, sink, name: str
     if trigger_seconds:
         q = q.trigger(processingTime=f"{trigger_seconds} seconds")
     return q.start()
+
+
+def results_sink(path: str, sample_size: int | None = None):
+    """``foreachBatch`` function writing each micro-batch's experiment metrics
+    as result documents (only the experiments in the batch are rewritten)."""
+    from ..plans.grid import as_results
+    from ..sources.results import write_results
+
+    def sink(batch: DataFrame, epoch_id: int) -> None:
+        flat = batch.withColumn("sample_size", F.lit(sample_size).cast("long"))
+        write_results(as_results(flat), path)
+
+    return sink
