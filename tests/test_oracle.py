@@ -7,7 +7,7 @@ from tests.conftest import SF001
 
 KEYS = ["s1_corpus", "a1_dataset_stats", "a5_length_box", "x1_balanced_sample", "x7_stratified_split",
         "f1_truncate", "f3_few_shot_prompts", "f12_parse_conversations", "m6_grid", "a14_by_strategy",
-        "a24_parameter_trend", "a20_compare_models"]
+        "a24_parameter_trend", "a20_compare_models", "x6_holdout_split", "x8_validation_split"]
 
 
 @pytest.mark.parametrize("name", KEYS)
