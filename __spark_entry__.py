@@ -26,6 +26,11 @@ from textbench.functions import parsing, prompts, text  # noqa: E402
 from textbench.operators import metrics, profile, sampling  # noqa: E402
 from textbench.plans import analysis, grid  # noqa: E402
 
+try:  # the training-data operators are optional: everything else works without them
+    from textbench.llm import queries as _llm  # noqa: E402
+except ImportError:
+    _llm = None
+
 SAMPLE_SIZE = 100
 SEED = 42
 N_EXAMPLES = 3
@@ -455,9 +460,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return dict(_QUERIES) | (_llm.QUERIES if _llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle_queries import ORACLE
-    return dict(ORACLE)
+    return dict(ORACLE) | (_llm.ORACLE if _llm else {})
