@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .line_quality import op1_line_frequency
 from .substring_dedup import op10_substring_dedup
 
 QUERIES = {
+    "op1_line_frequency": op1_line_frequency,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
