@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .line_quality import op1_line_frequency
+from .minhash import op3_minhash
 from .substring_dedup import op10_substring_dedup
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
+    "op3_minhash": op3_minhash,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
