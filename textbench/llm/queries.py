@@ -5,12 +5,14 @@ from __future__ import annotations
 from .byte_bpe import op4_byte_bpe
 from .line_quality import op1_line_frequency
 from .minhash import op3_minhash
+from .pii import op9_pii
 from .substring_dedup import op10_substring_dedup
 
 QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op3_minhash": op3_minhash,
     "op4_byte_bpe": op4_byte_bpe,
+    "op9_pii": op9_pii,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
