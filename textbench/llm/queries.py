@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op4_byte_bpe
+from .decontaminate import op7_decontaminate
 from .line_quality import op1_line_frequency
 from .minhash import op3_minhash
 from .pii import op9_pii
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op3_minhash": op3_minhash,
     "op4_byte_bpe": op4_byte_bpe,
+    "op7_decontaminate": op7_decontaminate,
     "op9_pii": op9_pii,
     "op10_substring_dedup": op10_substring_dedup,
 }
