@@ -9,7 +9,15 @@ from .minhash import op3_minhash
 from .pii import op9_pii
 from .substring_dedup import op10_substring_dedup
 
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_line_frequency": op1_line_frequency,
     "op3_minhash": op3_minhash,
     "op4_byte_bpe": op4_byte_bpe,
