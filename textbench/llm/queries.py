@@ -8,6 +8,7 @@ from .line_quality import op1_line_frequency
 from .minhash import op3_minhash
 from .pii import op9_pii
 from .substring_dedup import op10_substring_dedup
+from .token_files import op5_token_files
 
 
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op1_line_frequency": op1_line_frequency,
     "op3_minhash": op3_minhash,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_token_files": op5_token_files,
     "op7_decontaminate": op7_decontaminate,
     "op9_pii": op9_pii,
     "op10_substring_dedup": op10_substring_dedup,
