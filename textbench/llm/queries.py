@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op4_byte_bpe
 from .decontaminate import op7_decontaminate
+from .language_model import op8_language_model
 from .line_quality import op1_line_frequency
 from .minhash import op3_minhash
 from .pii import op9_pii
@@ -24,6 +25,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_files": op5_token_files,
     "op7_decontaminate": op7_decontaminate,
+    "op8_language_model": op8_language_model,
     "op9_pii": op9_pii,
     "op10_substring_dedup": op10_substring_dedup,
 }
