@@ -91,9 +91,9 @@ def pieces(batch, column: str = "text", most: int = SLICE_BYTES):
 class Words:
     """Words of a run of documents: spans, hashes, and where each document's begin."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, separator: np.ndarray = SEPARATOR):
         self.data, self.bounds = data, bounds
-        inside = ~SEPARATOR[data]
+        inside = ~separator[data]
         start, end = inside.copy(), inside.copy()
         if len(data):
             begins = bounds[:-1][bounds[:-1] < bounds[1:]]
