@@ -5,14 +5,15 @@ from __future__ import annotations
 from .byte_bpe import op4_byte_bpe
 from .decontaminate import op7_decontaminate
 from .language_model import op8_language_model
+from .license_scan import op6_license_scan
 from .line_quality import op1_line_frequency
 from .minhash import op3_minhash
 from .pii import op9_pii
+from .quality_bayes import op2_quality_bayes
 from .substring_dedup import op10_substring_dedup
 from .token_files import op5_token_files
 
 
-
 def pipeline(spark, sf_dir):
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -21,9 +22,11 @@ def pipeline(spark, sf_dir):
 QUERIES = {
     "pipeline": pipeline,
     "op1_line_frequency": op1_line_frequency,
+    "op2_quality_bayes": op2_quality_bayes,
     "op3_minhash": op3_minhash,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_token_files": op5_token_files,
+    "op6_license_scan": op6_license_scan,
     "op7_decontaminate": op7_decontaminate,
     "op8_language_model": op8_language_model,
     "op9_pii": op9_pii,
