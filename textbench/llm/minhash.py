@@ -10,15 +10,20 @@ At similarity s a pair shares no table with probability
 Steps, each a Spark job over tables:
 
 1. Documents with equal sets collapse to the one with the smallest id.
-2. A signature that only one set has can be in no shared key, so pairs are
-   formed from shared signatures only.  Members of a table key point to its
-   smallest id; connected components of these pointers are candidate groups,
-   and any two sets that share a key are in one group.
-3. Groups are verified on full sets.  A group above ``chunk`` sets is dealt into
+2. A signature that only one set has can be in no shared key: sets without a
+   shared signature on both sides have no candidates.
+3. Of the rest, a set can be linked only if ``percent`` of its shingles are in
+   other sets, too.  Blocks of sets send their distinct shingles once and learn
+   which ones other blocks have; sets with too many shingles of their own go.
+   This is exact, and takes most documents that merely share a passage.
+4. The sets left form table keys.  Members of a key point to its smallest id;
+   connected components of these pointers are candidate groups, and any two
+   sets that share a key are in one group.
+5. Groups are verified on full sets.  A group above ``chunk`` sets is dealt into
    chunks, and each pair of chunks is a task of its own, so a task holds
    2 * chunk sets whatever the group's size.  A task returns a spanning forest
    of the links it finds, never all pairs.
-4. Components of these links give each document its smallest reachable id.
+6. Components of these links give each document its smallest reachable id.
 
 Fewer words than a shingle: the whole sequence is the one shingle.  No words or
 null text: linked with nothing.  Null ``doc_id``: left out of the result, as
@@ -34,12 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Words, documents, mix, pieces, span_hashes, text_bytes, written
+from .common import (LOWER, U64, Words, block_count, block_of, documents, mix, pieces, span_hashes, text_bytes,
+                     text_size, written)
+from .substring_dedup import from_planes, planes
 
 SHINGLE = 5
 PERCENT = 85
 ROWS = 4
 SIDE = 20
+BLOCK_BYTES = 4 << 20
 #: Sets of a candidate group that one side of a verification task holds.
 CHUNK = 256
 
@@ -121,20 +129,89 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def candidate_edges(sets: DataFrame, side: int = SIDE) -> DataFrame:
-    """(a, b): each set that shares a table key, with the smallest id of the key."""
+def shared_signatures(sets: DataFrame, side: int = SIDE) -> DataFrame:
+    """(doc_id, one, two): of each set the signatures that other sets have, too,
+    where there are some on both sides."""
     halves = sets.select("doc_id", F.posexplode("signatures").alias("place", "signature"))
     shared = (halves.groupBy("signature").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
               .where("least < most").select("signature"))
-    mine = (halves.join(shared, "signature").groupBy("doc_id")
+    return (halves.join(shared, "signature").groupBy("doc_id")
             .agg(F.collect_list(F.when(F.col("place") < side, F.col("signature"))).alias("one"),
-                 F.collect_list(F.when(F.col("place") >= side, F.col("signature"))).alias("two")))
+                 F.collect_list(F.when(F.col("place") >= side, F.col("signature"))).alias("two"))
+            .where((F.size("one") > 0) & (F.size("two") > 0)))
+
+
+def _ranges(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    bucket = ((hashes >> U64(32)) * U64(buckets)) >> U64(32)
+    return np.searchsorted(bucket, np.arange(buckets + 1, dtype=U64))
+
+
+def _send(shingle: int, buckets: int):
+    def send(table: pa.Table) -> pa.Table:
+        hashes = np.unique(shingle_sets(table, shingle)[0])
+        cut = _ranges(hashes, buckets)
+        sent = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+        return pa.table({
+            "bucket": pa.array(sent, pa.int32()),
+            "block": pa.array([table["block"][0].as_py()] * len(sent), pa.int32()),
+            "hashes": pa.array([planes(np.diff(hashes[cut[b]:cut[b + 1]], prepend=U64(0))) for b in sent],
+                               pa.binary())})
+    return send
+
+
+def _elsewhere(table: pa.Table) -> pa.Table:
+    """For one range of hashes: which entries more than one block has."""
+    hashes = [np.cumsum(from_planes(x.as_py(), U64), dtype=U64) for x in table["hashes"]]
+    size = np.cumsum([0] + [len(x) for x in hashes])
+    _, entry, count = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    shared = count[entry] > 1
+    return pa.table({"block": table["block"], "bucket": table["bucket"], "shared": pa.array(
+        [np.packbits(shared[a:b]).tobytes() for a, b in zip(size, size[1:])], pa.binary())})
+
+
+def _survivors(shingle: int, percent: int, buckets: int):
+    def survivors(table: pa.Table, answers: pa.Table) -> pa.Table:
+        grams, edge = shingle_sets(table, shingle)
+        hashes, entry, count = np.unique(grams, return_inverse=True, return_counts=True)
+        shared, cut = count > 1, _ranges(hashes, buckets)
+        for bucket, bits in zip(answers["bucket"].to_pylist(), answers["shared"].to_pylist()):
+            a, b = cut[bucket], cut[bucket + 1]
+            shared[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+        held = np.concatenate([[0], np.cumsum(shared[entry])])[edge]
+        kept = np.flatnonzero(100 * np.diff(held) >= percent * np.diff(edge))
+        return pa.table({"doc_id": table["doc_id"].take(pa.array(kept)),
+                         "grams": pa.array([grams[edge[i]:edge[i + 1]].tobytes() for i in kept], pa.binary())})
+    return survivors
+
+
+def linkable_sets(docs: DataFrame, candidates: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE,
+                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, grams) of the candidates (doc_id) that share enough shingles with
+    other candidates to be linked with any."""
+    blocks = block_count(text_size(docs), block_bytes)
+    dealt = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+             .join(candidates.hint("merge"), "doc_id")  # the same plan at every size
+             .withColumn("block", block_of("doc_id", blocks)).repartition(blocks, "block"))
+    sent = dealt.groupBy("block").applyInArrow(_send(shingle, blocks), "bucket int, block int, hashes binary")
+    answers = sent.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(
+        _elsewhere, "block int, bucket int, shared binary")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        _survivors(shingle, percent, blocks), "doc_id long, grams binary")
+
+
+def candidate_edges(mine: DataFrame) -> DataFrame:
+    """(a, b): pointers from each set to the smallest ids of its shared keys.  A set
+    points to one of them, and that one to the others: the components are the
+    same, and a group of n sets has about n pointers, not one for each key."""
     keys = (mine.select("doc_id", "two", F.explode("one").alias("first"))
             .select("doc_id", "first", F.explode("two").alias("second"))
             .select("doc_id", F.xxhash64("first", "second").alias("key")))
     least = (keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("most"))
              .where("a < most").select("key", "a"))
-    return (keys.join(least, "key").where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct())
+    ends = keys.join(least, "key").groupBy("doc_id").agg(F.collect_set("a").alias("ends"))
+    ends = ends.withColumn("a", F.array_min("ends"))
+    others = ends.select("a", F.explode("ends").alias("b")).where("a != b").distinct()
+    return ends.where("a != doc_id").select("a", F.col("doc_id").alias("b")).unionByName(others)
 
 
 def _links(one: list[np.ndarray], two: list[np.ndarray] | None, percent: int) -> list[tuple[int, int]]:
@@ -212,34 +289,17 @@ def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
                                        "b": pa.array([max(e) for e in edges], pa.int64())})
 
 
-def _grams(shingle: int):
-    def run(batches):
-        for whole in batches:
-            for batch in pieces(whole):
-                grams, edge = shingle_sets(batch, shingle)
-                raw = [grams[a:b].tobytes() for a, b in zip(edge, edge[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("task"), pa.array(raw, pa.binary())],
-                    ["doc_id", "task", "grams"])
-    return run
-
-
-def verified_links(docs: DataFrame, groups: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE,
-                   chunk: int = CHUNK) -> DataFrame:
-    """(a, b) links within candidate groups (id, component), confirmed on full sets."""
+def verified_links(sets: DataFrame, groups: DataFrame, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+    """(a, b) links between sets (doc_id, grams) of one group (id, component)."""
     size = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
     placed = groups.join(size, "component").select(
         F.col("id").alias("doc_id"), F.col("component").alias("task"), "chunks")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        placed.select("doc_id", "task"), "doc_id")
-    sets = texts.mapInArrow(_grams(shingle), "doc_id long, task long, grams binary").join(
-        size.withColumnRenamed("component", "task"), "task")
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
-    dealt = (sets.withColumn("chunk", mine)
+    dealt = (sets.join(placed, "doc_id")
+             .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
              .select("task", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"),
                      "chunk", "doc_id", "grams"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "task", "low", "high").sortWithinPartitions("task", "low", "high")
     return dealt.mapInArrow(_verify(percent), "a long, b long")
 
@@ -254,8 +314,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
              .select(F.col("least").alias("a"), F.col("doc_id").alias("b")))
     sets = found.join(same.select(F.col("least").alias("doc_id"), "n_shingles", "set_a", "set_b"),
                       ["doc_id", "n_shingles", "set_a", "set_b"], "left_semi")
-    groups = components(candidate_edges(sets, side), "minhash-groups")
-    links = verified_links(docs, groups, percent, shingle, chunk)
+    mine = written(shared_signatures(sets, side), "minhash-signatures")
+    linkable = written(linkable_sets(docs, mine.select("doc_id"), percent, shingle), "minhash-linkable")
+    edges = candidate_edges(mine.join(linkable.select("doc_id"), "doc_id", "left_semi"))
+    links = verified_links(linkable, components(edges, "minhash-groups"), percent, chunk)
     labels = components(links.unionByName(twins), "minhash-links")
     out = (members.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
            .join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
