@@ -52,7 +52,7 @@ def _grid(spark, sf) -> DataFrame:
     k = (spark.sparkContext.applicationId, sf)
     if k not in _cache:
         # sample on keys and labels only; texts are attached to the drawn rows
-        g = grid.run_grid(spark, testbed.corpus_keys(spark, sf), testbed.rule_models(), STRATEGIES, DATASETS,
+        g = grid.run_grid(spark, _keys(spark, sf), testbed.rule_models(), STRATEGIES, DATASETS,
                           sample_size=SAMPLE_SIZE, seed=SEED, n_examples=N_EXAMPLES,
                           max_text_length=MAX_LEN, timing="prompt_length", model_names=testbed.MODEL_NAMES,
                           texts=testbed.texts(spark, sf))
@@ -73,8 +73,9 @@ def _r(c, digits=ROUND):
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
-def _test(spark, sf):
-    return sampling.balanced_sample(_corpus(spark, sf), SAMPLE_SIZE, SEED)
+def _keys(spark, sf) -> DataFrame:
+    """Keys and labels: every draw is made on these, texts are attached after."""
+    return testbed.corpus_keys(spark, sf)
 
 
 # --------------------------------------------------------------------------- dataset layer
@@ -119,45 +120,41 @@ def q_p11_preview(spark, sf):
 # --------------------------------------------------------------------------- sampling and joins
 
 def q_x1_balanced_sample(spark, sf):
-    return _test(spark, sf).select("dataset", "doc_id", "label")
+    return sampling.balanced_sample(_keys(spark, sf), SAMPLE_SIZE, SEED).select("dataset", "doc_id", "label")
 
 
 def q_x2_simple_sample(spark, sf):
-    return sampling.simple_sample(_corpus(spark, sf), SAMPLE_SIZE, SEED).select("dataset", "doc_id", "label")
+    return sampling.simple_sample(_keys(spark, sf), SAMPLE_SIZE, SEED).select("dataset", "doc_id", "label")
 
 
 def q_x4_balanced_examples(spark, sf):
-    c = _corpus(spark, sf)
-    ex = sampling.balanced_few_shot_examples(c, _test(spark, sf), N_EXAMPLES, SEED)
+    ex = sampling.balanced_few_shot_examples(_keys(spark, sf), SAMPLE_SIZE, N_EXAMPLES, SEED)
     return ex.select("dataset", "doc_id", "label", "example_rank")
 
 
 def q_x5_few_shot_examples(spark, sf):
-    c = _corpus(spark, sf)
-    ex = sampling.few_shot_examples(c, _test(spark, sf), N_EXAMPLES, SEED)
+    ex = sampling.few_shot_examples(_keys(spark, sf), SAMPLE_SIZE, N_EXAMPLES, SEED)
     return ex.select("dataset", "doc_id", "label", "example_rank")
 
 
 def q_j1_example_pool(spark, sf):
-    pool = sampling.exclude(_corpus(spark, sf), _test(spark, sf))
+    pool = sampling.example_pool(_keys(spark, sf), SAMPLE_SIZE, SEED)
     return pool.groupBy("dataset").agg(F.count(F.lit(1)).alias("pool_rows"))
 
 
 def q_x7_stratified_split(spark, sf):
-    a = sampling.stratified_assignment(_corpus(spark, sf), 0.2, SEED)
+    a = sampling.stratified_assignment(_keys(spark, sf), 0.2, SEED)
     return a.select("dataset", "doc_id", "label", "split")
 
 
 def q_x6_holdout_split(spark, sf):
-    a = sampling.holdout_assignment(spark, _corpus(spark, sf), SAMPLE_SIZE, 0.2, SEED)
+    a = sampling.holdout_assignment(spark, _keys(spark, sf), SAMPLE_SIZE, 0.2, SEED)
     return a.select("dataset", "doc_id", "label", "split")
 
 
 def q_x8_validation_split(spark, sf):
-    a = sampling.holdout_assignment(spark, _corpus(spark, sf), SAMPLE_SIZE, 0.2, SEED)
-    train = a.where(F.col("split") == "train").drop("split")
-    v = sampling.stratified_assignment(train, 0.2, SEED, salt="validation", test_name="validation")
-    return v.select("dataset", "doc_id", "label", "split")
+    a = sampling.three_way_assignment(_keys(spark, sf), SAMPLE_SIZE, 0.2, SEED)
+    return a.where("split != 'test'").select("dataset", "doc_id", "label", "split")
 
 
 # --------------------------------------------------------------------------- prompts
@@ -183,28 +180,40 @@ def q_f2_f5_prompts(spark, sf):
 
 
 def _drawn_with_text(spark, sf):
-    """Test sample and few-shot examples drawn on keys, texts attached after."""
-    from textbench.sources.datasets import attach_text
-    test, ex = sampling.sample_with_examples(testbed.corpus_keys(spark, sf), SAMPLE_SIZE, N_EXAMPLES, SEED)
-    t = testbed.texts(spark, sf)
-    return attach_text(test, t), attach_text(ex, t)
+    """Test rows and few-shot examples drawn on keys, texts attached in one probe."""
+    return grid.drawn_rows(_keys(spark, sf), SAMPLE_SIZE, SEED, N_EXAMPLES, testbed.texts(spark, sf), len(DATASETS))
 
 
 def q_f3_few_shot_prompts(spark, sf):
-    test, ex = _drawn_with_text(spark, sf)
-    block = prompts.few_shot_block(ex, by=["dataset"], max_text_length=MAX_LEN)
+    drawn = _drawn_with_text(spark, sf)
+    block = prompts.few_shot_block(drawn.where("NOT _test"), by=["dataset"], max_text_length=MAX_LEN)
     p = prompts.build_prompt("text", "few_shot", "examples_text", MAX_LEN)
-    return test.join(F.broadcast(block), "dataset").select(
+    return drawn.where("_test").join(F.broadcast(block), "dataset").select(
         "dataset", "doc_id", F.md5(p).alias("prompt_md5"), F.char_length(p).alias("prompt_len"))
 
 
 def q_f4_example_block(spark, sf):
-    _, ex = _drawn_with_text(spark, sf)
+    ex = _drawn_with_text(spark, sf).where("NOT _test")
     b = prompts.few_shot_block(ex, by=["dataset"], max_text_length=MAX_LEN)
     return b.select("dataset", F.md5("examples_text").alias("block_md5"),
                     F.char_length("examples_text").alias("block_len"), "n_examples")
 
 
+def q_f6_step_prompts(spark, sf):
+    """The extra chain-of-thought template, through the prompt builder, for every document."""
+    p = prompts.build_prompt("text", "chain_of_thought_steps", None, MAX_LEN)
+    return testbed.table(spark, sf, "documents").select("doc_id", F.md5(p).alias("prompt_md5"),
+                                                        F.char_length(p).alias("prompt_len"))
+
+
+def q_f10_classification_prompt(spark, sf):
+    """The convenience wrapper, few-shot, with one example block for each corpus row."""
+    c = _corpus(spark, sf).where("dataset = 'toxic'")
+    ex = _drawn_with_text(spark, sf).where("NOT _test AND dataset = 'toxic'")
+    out = prompts.classification_prompt(c, "few_shot", ex, MAX_LEN)
+    return out.select("doc_id", F.md5("prompt").alias("prompt_md5"), F.char_length("prompt").alias("prompt_len"))
+
+
 def q_f7_alternative_prompts(spark, sf):
     d = testbed.table(spark, sf, "documents")
     cols = []
@@ -215,13 +224,33 @@ def q_f7_alternative_prompts(spark, sf):
 
 
 def q_f11_chat_messages(spark, sf):
-    c, _ = _drawn_with_text(spark, sf)
+    c = _corpus(spark, sf)
     msgs = prompts.chat_messages(prompts.build_prompt("text", "zero_shot", None, MAX_LEN))
     return c.select("dataset", "doc_id", F.size(msgs).alias("n_messages"),
                     msgs[0]["role"].alias("role_0"), msgs[1]["role"].alias("role_1"),
                     F.md5(msgs[0]["content"]).alias("content_0_md5"), F.md5(msgs[1]["content"]).alias("content_1_md5"))
 
 
+def q_f20_backend_names(spark, sf):
+    """Loose comparison form of back-end names made from every document's source and language."""
+    d = testbed.table(spark, sf, "documents")
+    name = F.concat(F.element_at(F.array(F.lit(" https://huggingface.co/Hub/"), F.lit("hf.co/Org/"), F.lit("Local-")),
+                                 (F.col("doc_id") % 3 + 1).cast("int")), F.upper("source"), F.lit(":"), F.upper("lang"))
+    return d.select("doc_id", text.normalize_backend_name(name).alias("backend_name"))
+
+
+def q_j6_resolved_backends(spark, sf):
+    """Names configured for the sources, resolved against a listing made from the documents."""
+    from textbench.operators import registry
+    d = testbed.table(spark, sf, "documents")
+    sources = d.groupBy("source").agg(F.min("doc_id").alias("position"))
+    configured = sources.select(F.col("source").alias("model"),
+                                F.concat(F.lit("hf.co/Org/"), "source", F.lit(":latest")).alias("backend_name"))
+    listed = sources.where("source LIKE '%1%'").select(
+        F.concat(F.lit("https://huggingface.co/org/"), F.upper("source")).alias("name"), "position")
+    return registry.resolve_backend_names(configured, listed)
+
+
 # --------------------------------------------------------------------------- parsing, scoring, metrics
 
 def q_f12_parse_conversations(spark, sf):
@@ -255,10 +284,24 @@ def _corpus_predictions(spark, sf):
 
 
 def q_m1_score_corpus(spark, sf):
-    preds = _corpus_predictions(spark, sf)
-    out = metrics.calculate_metrics(preds, ["model", "dataset"]).drop("confusion_matrix")
-    t = preds.groupBy("model", "dataset").agg(_r(F.avg("inference_time")).alias("avg_inference_time"))
-    return out.join(t, ["model", "dataset"])
+    # counters and timing in one aggregate: every row is scored once
+    agg = _corpus_predictions(spark, sf).groupBy("model", "dataset").agg(*metrics.counter_aggs(), *metrics.timing_aggs())
+    named = [c.alias(n) for c, n in zip(metrics.metric_columns(), metrics.METRIC_NAMES) if n != "confusion_matrix"]
+    return agg.select("model", "dataset", "n", *named, _r("avg_inference_time").alias("avg_inference_time"))
+
+
+def _broken_backend():
+    raise RuntimeError("the back end cannot be opened")
+
+
+def q_m5_isolation(spark, sf):
+    """A model whose back end cannot be opened fails its own cells only."""
+    from textbench.operators.scoring import PythonModel
+    good = [m for m in testbed.rule_models() if isinstance(m, PythonModel)]
+    g = grid.run_grid(spark, _keys(spark, sf), [*good, PythonModel("rules/broken-3B", _broken_backend)], STRATEGIES,
+                      DATASETS, sample_size=SAMPLE_SIZE, seed=SEED, n_examples=N_EXAMPLES, max_text_length=MAX_LEN,
+                      timing="prompt_length", texts=testbed.texts(spark, sf))
+    return g.select("model", "strategy", "dataset", "error", "n", "f1_score")
 
 
 def q_p6_error_analysis(spark, sf):
@@ -325,15 +368,13 @@ def q_a20_compare_models(spark, sf):
 
 
 def q_a21_heatmap_strategy(spark, sf):
-    r = _ok(spark, sf).withColumn("short_model", text.short_model_name("model"))
-    p = r.groupBy("short_model").pivot("strategy", STRATEGIES).agg(F.avg("f1_score"))
-    return p.select("short_model", *[_r(s).alias(s) for s in STRATEGIES])
+    p = analysis.heatmap(_ok(spark, sf), "strategy", STRATEGIES)
+    return p.select(text.short_model_name("model").alias("short_model"), *[_r(c).alias(c) for c in STRATEGIES])
 
 
 def q_a22_heatmap_dataset(spark, sf):
-    r = _ok(spark, sf).withColumn("short_model", text.short_model_name("model"))
-    p = r.groupBy("short_model").pivot("dataset", DATASETS).agg(F.avg("f1_score"))
-    return p.select("short_model", *[_r(d).alias(d) for d in DATASETS])
+    p = analysis.heatmap(_ok(spark, sf), "dataset", DATASETS)
+    return p.select(text.short_model_name("model").alias("short_model"), *[_r(d).alias(d) for d in DATASETS])
 
 
 def q_a23_statistical_analysis(spark, sf):
@@ -390,17 +431,68 @@ def q_j4_pending_cells(spark, sf):
     return grid.pending_cells(g, _grid(spark, sf))
 
 
+def q_l4_latest_results(spark, sf):
+    """Newest document per experiment of an append-only table: the grid's, and a
+    later round of its zero-shot cells."""
+    from textbench.sources import datasets, results
+    g = _grid(spark, sf).select("model", "strategy", "dataset", "error", "sample_size", "f1_score")
+    first = g.withColumn("timestamp", F.lit("2026-01-01T00:00:00.000000"))
+    later = (g.where("strategy = 'zero_shot'").withColumn("timestamp", F.lit("2026-01-02T00:00:00.000000"))
+             .withColumn("sample_size", F.col("sample_size") + 1))
+    return results.latest_results(datasets.union_corpora([first, later]))
+
+
+def q_m12_report_models(spark, sf):
+    """Report rows with the description of their model."""
+    from textbench.operators import registry
+    info = registry.model_info(spark, testbed.MODEL_NAMES)
+    r = registry.report_with_models(_ok(spark, sf), info)
+    return r.select("model", "strategy", "dataset", "f1_score", "backend_name", "num_parameters")
+
+
 def q_m7_trained_baseline(spark, sf):
-    """Supervised baseline per dataset (Spark ML pipeline); rows-only check:
-    the fitted models are not reproducible in SQL."""
+    """Supervised baselines (Spark ML pipeline): the protocol, which SQL can state:
+    who ran, on how many test rows of each class.  The fitted quality is tested
+    against a majority-class floor."""
     from textbench.operators import trained
-    out = trained.run_baselines(spark, _corpus(spark, sf), DATASETS, sample_size=SAMPLE_SIZE)
-    return out.select("model", "strategy", "dataset", "error", "n", "accuracy", "precision", "recall", "f1_score",
-                      "true_negatives", "false_positives", "false_negatives", "true_positives")
+    out = trained.run_baselines(spark, _keys(spark, sf), DATASETS, sample_size=SAMPLE_SIZE,
+                                texts=testbed.texts(spark, sf))
+    return out.select("model", "strategy", "dataset", "error", "n",
+                      (F.col("true_negatives") + F.col("false_positives")).alias("actual_negatives"),
+                      (F.col("false_negatives") + F.col("true_positives")).alias("actual_positives"))
+
+
+# --------------------------------------------------------------------------- landed files
+
+def q_s1_landed_corpus(spark, sf):
+    """A landed JSON-lines copy of documents and labels, read through the registry."""
+    import uuid
+
+    from textbench.session import scratch_path
+    from textbench.sources import datasets
+    folder = scratch_path(spark, f"landed-{uuid.uuid4().hex}")
+    d = testbed.table(spark, sf, "documents").join(testbed.table(spark, sf, "labels"), "doc_id")
+    d.select(F.col("doc_id").alias("key"), F.col("text").alias("body"), "quality").write.json(f"{folder}/landed.json")
+    registry = {"landed": {"id_column": "key", "text_column": "body", "label_column": "quality",
+                           "label_mapping": {"1": 0, "0": 1}}}
+    c = datasets.read_dataset(spark, "landed", folder, registry, schema="key long, body string, quality int",
+                              multi_line_json=False)
+    return c.select("dataset", "doc_id", "label", F.md5("text").alias("text_md5"))
+
+
+def q_p2_unmapped_labels(spark, sf):
+    """Raw label values outside the map, counted: here the map knows one value only."""
+    from textbench.sources import datasets
+    labels = testbed.table(spark, sf, "labels")
+    parts = [datasets.apply_label_mapping(labels.select(F.lit(name).alias("dataset"), "doc_id",
+                                                        F.col(name).alias("label")), {"1": 1}) for name in DATASETS]
+    return datasets.unmapped_labels(datasets.union_corpora(parts))
 
 
 _QUERIES = {
     "s1_corpus": q_s1_corpus,
+    "s1_landed_corpus": q_s1_landed_corpus,
+    "p2_unmapped_labels": q_p2_unmapped_labels,
     "a1_dataset_stats": q_a1_dataset_stats,
     "a2_dataset_comparison": q_a2_dataset_comparison,
     "a3_class_distribution": q_a3_class_distribution,
@@ -420,10 +512,15 @@ _QUERIES = {
     "f2_f5_prompts": q_f2_f5_prompts,
     "f3_few_shot_prompts": q_f3_few_shot_prompts,
     "f4_example_block": q_f4_example_block,
+    "f6_step_prompts": q_f6_step_prompts,
+    "f10_classification_prompt": q_f10_classification_prompt,
+    "f20_backend_names": q_f20_backend_names,
+    "j6_resolved_backends": q_j6_resolved_backends,
     "f7_alternative_prompts": q_f7_alternative_prompts,
     "f11_chat_messages": q_f11_chat_messages,
     "f12_parse_conversations": q_f12_parse_conversations,
     "m6_grid": q_m6_grid,
+    "m5_isolation": q_m5_isolation,
     "a8_confusion_matrix": q_a8_confusion_matrix,
     "m1_score_corpus": q_m1_score_corpus,
     "p6_error_analysis": q_p6_error_analysis,
@@ -449,6 +546,8 @@ _QUERIES = {
     "a27_counts": q_a27_counts,
     "f13_f18_model_parameters": q_f13_f18_model_parameters,
     "j4_pending_cells": q_j4_pending_cells,
+    "l4_latest_results": q_l4_latest_results,
+    "m12_report_models": q_m12_report_models,
     "m7_trained_baseline": q_m7_trained_baseline,
 }
 

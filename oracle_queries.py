@@ -6,7 +6,8 @@ import re
 
 from oracle_sql import (ALT_NAMES, R, block_cte, corpus_cte, counters, fill, grid_ctes, key, lit, metric_select,
                         parse, prompt_expr, rule_response, sample_ctes, single_prompt, trunc)
-from textbench.functions.prompts import ALTERNATIVE_PROMPTS, CHAIN_OF_THOUGHT_TEMPLATE, SYSTEM_PROMPT, ZERO_SHOT_TEMPLATE
+from textbench.functions.prompts import (
+    ALTERNATIVE_PROMPTS, CHAIN_OF_THOUGHT_STEPS_TEMPLATE, CHAIN_OF_THOUGHT_TEMPLATE, SYSTEM_PROMPT, ZERO_SHOT_TEMPLATE)
 from textbench.testbed import RULE_SQL, STRATEGIES, TABLE_DATASETS
 
 SAMPLE = 100
@@ -61,13 +62,12 @@ def _box(src: str, value: str, by: list[str], rounded: bool) -> str:
     b = ", ".join(by)
     inside = f"v >= q1 - 1.5 * (q3 - q1) AND v <= q3 + 1.5 * (q3 - q1)"
     f = (lambda x: r(x)) if rounded else (lambda x: x)
-    wtype = "DOUBLE" if rounded else "BIGINT"
     return f"""vals AS (SELECT {b}, {value} AS v FROM {src}),
 q AS (SELECT {b}, CAST(count(v) AS BIGINT) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median,
              quantile_cont(v, 0.75) AS q3 FROM vals WHERE v IS NOT NULL GROUP BY {b})
 SELECT {', '.join('q.' + c for c in by)}, q.n, {f('q.q1')} AS q1, {f('q.median')} AS median, {f('q.q3')} AS q3,
-       {f(f'CAST(min(v) FILTER (WHERE {inside}) AS {wtype})')} AS whisker_low,
-       {f(f'CAST(max(v) FILTER (WHERE {inside}) AS {wtype})')} AS whisker_high,
+       {f(f'least(q.q1, CAST(min(v) FILTER (WHERE {inside}) AS DOUBLE))')} AS whisker_low,
+       {f(f'greatest(q.q3, CAST(max(v) FILTER (WHERE {inside}) AS DOUBLE))')} AS whisker_high,
        CAST(count(*) FILTER (WHERE NOT ({inside})) AS BIGINT) AS n_outliers
 FROM vals JOIN q USING ({b}) WHERE v IS NOT NULL
 GROUP BY {', '.join('q.' + c for c in by)}, q.n, q.q1, q.median, q.q3"""
@@ -88,7 +88,7 @@ FROM corpus"""
 ORACLE["x1_balanced_sample"] = f"{WS} SELECT dataset, doc_id, label FROM test"
 
 ORACLE["x2_simple_sample"] = f"""{W}
-SELECT dataset, doc_id, label FROM corpus
+SELECT dataset, doc_id, label FROM corpus WHERE label IN (0, 1)
 QUALIFY row_number() OVER (PARTITION BY dataset ORDER BY {key(SEED)}, doc_id) <= {SAMPLE}"""
 
 ORACLE["x4_balanced_examples"] = f"""{WS},
@@ -186,10 +186,37 @@ SELECT dataset, md5(examples_text) AS block_md5, CAST(length(examples_text) AS I
 _acols = ", ".join(f"md5({fill(ALTERNATIVE_PROMPTS[n], text=trunc('text', M))}) AS {n}_md5" for n in ALT_NAMES)
 ORACLE["f7_alternative_prompts"] = f"SELECT doc_id, {_acols} FROM documents"
 
-ORACLE["f11_chat_messages"] = f"""{WS}
+ORACLE["f11_chat_messages"] = f"""{W}
 SELECT dataset, doc_id, CAST(2 AS INTEGER) AS n_messages, 'system' AS role_0, 'user' AS role_1,
        md5({lit(SYSTEM_PROMPT)}) AS content_0_md5, md5({single_prompt(ZERO_SHOT_TEMPLATE)}) AS content_1_md5
-FROM test"""
+FROM corpus"""
+
+ORACLE["f6_step_prompts"] = f"""
+SELECT doc_id, md5({single_prompt(CHAIN_OF_THOUGHT_STEPS_TEMPLATE)}) AS prompt_md5,
+       CAST(length({single_prompt(CHAIN_OF_THOUGHT_STEPS_TEMPLATE)}) AS INTEGER) AS prompt_len FROM documents"""
+
+ORACLE["f10_classification_prompt"] = f"""{WS}{block_cte(M)}
+SELECT c.doc_id, md5({prompt_expr("'few_shot'", 'c.text', 'b.examples_text', M)}) AS prompt_md5,
+       CAST(length({prompt_expr("'few_shot'", 'c.text', 'b.examples_text', M)}) AS INTEGER) AS prompt_len
+FROM corpus c JOIN block b ON c.dataset = b.dataset WHERE c.dataset = 'toxic'"""
+
+ORACLE["f20_backend_names"] = """
+SELECT doc_id, lower(CASE doc_id % 3 WHEN 0 THEN 'hf.co/Hub/' || upper(source) WHEN 1 THEN 'hf.co/Org/' || upper(source)
+                     ELSE 'Local-' || upper(source) || ':' || upper(lang) END) AS backend_name FROM documents"""
+
+ORACLE["j6_resolved_backends"] = """
+SELECT source AS model, 'hf.co/Org/' || source || ':latest' AS backend_name,
+       CASE WHEN source LIKE '%1%' THEN 'https://huggingface.co/org/' || upper(source)
+            ELSE 'hf.co/Org/' || source || ':latest' END AS resolved
+FROM (SELECT DISTINCT source FROM documents)"""
+
+ORACLE["s1_landed_corpus"] = """
+SELECT 'landed' AS dataset, d.doc_id, CAST(1 - l.quality AS INTEGER) AS label, md5(d.text) AS text_md5
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+
+ORACLE["p2_unmapped_labels"] = " UNION ALL ".join(
+    f"SELECT {lit(d)} AS dataset, CAST({d} AS VARCHAR) AS label_raw, CAST(count(*) AS BIGINT) AS n FROM labels "
+    f"WHERE {d} IS NULL OR {d} <> 1 GROUP BY {d}" for d in DS)
 
 # --------------------------------------------------------------------------- parsing, scoring, metrics
 
@@ -331,6 +358,28 @@ mp AS (SELECT model, {_params} AS p FROM ms)
 SELECT model, p AS num_parameters, {_bin} AS param_range, {_short} AS short_model,
        replace(model, '/', '_') || '_zero_shot_quality' AS zero_shot_key FROM mp"""
 
+ORACLE["m5_isolation"] = f"""{G}
+SELECT model, strategy, dataset, error, n, f1_score FROM grid WHERE model = 'rules/hash-4b'
+UNION ALL SELECT 'rules/broken-3B', strategy, dataset, 'RuntimeError: the back end cannot be opened', NULL, NULL
+FROM grid WHERE model = 'rules/hash-4b'"""
+
+ORACLE["l4_latest_results"] = f"""{G}
+SELECT model, strategy, dataset, error, sample_size + CASE WHEN strategy = 'zero_shot' THEN 1 ELSE 0 END AS sample_size,
+       f1_score, CASE WHEN strategy = 'zero_shot' THEN '2026-01-02T00:00:00.000000'
+                      ELSE '2026-01-01T00:00:00.000000' END AS timestamp
+FROM grid WHERE error IS NULL"""
+
+ORACLE["m12_report_models"] = f"""{G}
+SELECT model, strategy, dataset, f1_score, CAST(NULL AS VARCHAR) AS backend_name, {_params} AS num_parameters
+FROM grid WHERE error IS NULL"""
+
+_base = "('spark-ml/tfidf-logreg'), ('spark-ml/tfidf-naive-bayes')"
+ORACLE["m7_trained_baseline"] = f"""{W}, {_holdout()},
+t AS (SELECT dataset, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE label = 0) AS BIGINT) AS actual_negatives,
+             CAST(count(*) FILTER (WHERE label = 1) AS BIGINT) AS actual_positives FROM ho_test GROUP BY dataset)
+SELECT m.model, 'fine_tuned' AS strategy, t.dataset, CAST(NULL AS VARCHAR) AS error, t.n, t.actual_negatives,
+       t.actual_positives FROM t, (VALUES {_base}) AS m(model)"""
+
 ORACLE["j4_pending_cells"] = f"{G} SELECT model, strategy, dataset FROM grid WHERE error IS NOT NULL"
 
 

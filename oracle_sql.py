@@ -60,7 +60,8 @@ def sample_ctes(sample_size: int = 100, seed: int = 42, n_examples: int = 3) ->
 keyed AS (SELECT *, {key(seed)} AS k FROM corpus WHERE label IN (0, 1)),
 test AS (SELECT dataset, doc_id, text, label FROM keyed
          QUALIFY row_number() OVER (PARTITION BY dataset, label ORDER BY k, doc_id) <= {k}),
-pool AS (SELECT c.* FROM corpus c ANTI JOIN test t ON c.dataset = t.dataset AND c.doc_id = t.doc_id),
+pool AS (SELECT c.* FROM corpus c ANTI JOIN test t ON c.dataset = t.dataset AND c.doc_id = t.doc_id
+         WHERE c.label IN (0, 1)),
 ex AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY {key(seed)}, doc_id) AS example_rank FROM pool
        QUALIFY example_rank <= {n_examples})"""
 

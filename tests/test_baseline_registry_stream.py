@@ -65,20 +65,3 @@ def test_streaming_metrics_match_batch(spark, scratch):
     assert final["n"] == 200
     for c in ("accuracy", "precision", "recall", "f1_score", "f1_macro", "invalid_predictions"):
         assert final[c] == batch[c]
-
-
-def test_streaming_results_sink(spark, scratch):
-    from textbench.sources import results
-    src = os.path.join(scratch, "scored")
-    rows = [("m", "s", d, i, i % 2, i % 2, 0.01, None) for d in ("a", "b") for i in range(20)]
-    spark.createDataFrame(rows, metrics_stream.SCORED_SCHEMA).write.parquet(os.path.join(src, "batch=0"))
-    out = os.path.join(scratch, "results")
-    q = metrics_stream.start_metrics_stream(spark, src, metrics_stream.results_sink(out, 20),
-                                            name=f"sink_{int(time.time())}")
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    docs = {r["dataset"]: r for r in results.read_results(spark, out).collect()}
-    assert set(docs) == {"a", "b"}
-    assert docs["a"]["metrics"]["accuracy"] == 1.0 and docs["a"]["sample_size"] == 20

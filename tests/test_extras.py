@@ -68,7 +68,7 @@ def test_baseline_resume_and_documents(spark, scratch):
     results.write_results(docs, path)
     back = results.read_results(spark, path).collect()
     assert len(back) == 1 and back[0]["strategy"] == "fine_tuned"
-    assert back[0]["metrics"]["training_time"] > 0 and back[0]["training_config"]["max_length"] == 512
+    assert back[0]["metrics"]["training_time"] > 0 and back[0]["training_config"]["classifier"] == "naive_bayes"
     again = trained.run_baselines(spark, c, ["toxic"], spec, sample_size=100,
                                   done=results.read_results(spark, path))
     assert again.count() == 0

@@ -12,16 +12,34 @@ def _plan(df) -> str:
     return qe.explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
-def test_sample_prunes_text_and_never_windows_a_whole_class(spark):
+def _joins(plan: str) -> int:
+    tree = plan.split("\n\n(")[0]
+    return sum(tree.count(j) for j in ("SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin"))
+
+
+def test_sample_prunes_text_and_needs_no_window(spark):
     c = testbed.corpus(spark, SF01)
     plan = _plan(sampling.balanced_sample(c, 100, 42).select("dataset", "doc_id", "label"))
     schemas = [l for l in plan.splitlines() if l.startswith("ReadSchema")]
     assert schemas and all("text" not in s for s in schemas)
-    windows = [l for l in plan.splitlines() if l.startswith("Arguments") and "windowspecdefinition" in l]
-    assert windows
-    for w in windows:
-        # a running sum over the (bounded) bucket table, or a rank inside one bucket
-        assert "_bucket" in w, w
+    assert "windowspecdefinition" not in plan  # rows are compared with their group's cutoff
+
+
+def test_splits_join_labels_and_documents_once(spark):
+    import __spark_entry__ as E
+    # one join of labels and documents, and one broadcast of cutoffs per draw
+    assert _joins(_plan(E.queries()["x7_stratified_split"](spark, SF01))) <= 2
+    assert _joins(_plan(E.queries()["x8_validation_split"](spark, SF01))) <= 3
+
+
+def test_job_reads_the_texts_once_and_never_shuffles_them(spark):
+    c, t = testbed.corpus_keys(spark, SF01), testbed.texts(spark, SF01)
+    plan = _plan(grid.drawn_rows(c, 100, 42, 3, t, 2))
+    text_scans = [l for l in plan.splitlines() if l.startswith("ReadSchema") and "text" in l]
+    assert len(text_scans) == 1
+    shuffled = [l for l in plan.splitlines() if l.startswith("Input") and "text#" in l]
+    exchanges = plan.split("Exchange\n")[1:]
+    assert all("text#" not in e.split("\n\n")[0] for e in exchanges), shuffled
 
 
 def test_grid_has_no_cartesian_product(spark):
@@ -36,7 +54,7 @@ def test_no_registered_query_uses_a_cross_or_nested_loop_join(spark):
     import __spark_entry__ as E
     from tests.conftest import SF001
     bad = []
-    for name, q in E.queries().items():
+    for name, q in E._QUERIES.items():
         if name == "m7_trained_baseline":  # fits models eagerly; its frames are checked elsewhere
             continue
         plan = _plan(q(spark, SF001))

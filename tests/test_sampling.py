@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF001, SF01
@@ -84,8 +85,41 @@ def test_one_pass_draw_equals_two_pass(spark):
         c = testbed.corpus(spark, sf)
         t1 = sampling.balanced_sample(c, 100, 42)
         e1 = sampling.few_shot_examples(c, t1, 3, 42)
-        t2, e2 = sampling.sample_with_examples(c, 100, 3, 42)
+        drawn = sampling.sample_with_examples(c, 100, 3, 42)
+        t2, e2 = drawn.where("_test"), drawn.where("NOT _test")
         key = ["dataset", "doc_id"]
         assert {tuple(r) for r in t1.select(*key).collect()} == {tuple(r) for r in t2.select(*key).collect()}
         assert ({tuple(r) for r in e1.select(*key, "example_rank").collect()}
                 == {tuple(r) for r in e2.select(*key, "example_rank").collect()})
+        e3 = sampling.few_shot_examples(c, 100, 3, 42)
+        assert ({tuple(r) for r in e1.select(*key, "example_rank").collect()}
+                == {tuple(r) for r in e3.select(*key, "example_rank").collect()})
+
+
+def _labels(spark):
+    rows = [("d", i, f"t{i}", [0, 1, None][i % 3]) for i in range(60)]
+    return spark.createDataFrame(rows, "dataset string, doc_id long, text string, label int")
+
+
+def test_unlabelled_rows_are_never_drawn(spark):
+    c = _labels(spark)
+    drawn = sampling.sample_with_examples(c, 10, 3, 42).collect()
+    assert len(drawn) == 13 and all(r["label"] in (0, 1) for r in drawn)
+    assert all(r["label"] in (0, 1) for r in sampling.simple_sample(c, 50, 42).collect())
+    assert all(r["label"] in (0, 1) for r in sampling.few_shot_examples(c, 10, 3, 42).collect())
+
+
+def test_too_small_class_is_an_error(spark):
+    c = _labels(spark).where("label = 1 OR label IS NULL")
+    with pytest.raises(ValueError, match="class 0 has 0"):
+        sampling.balanced_few_shot_examples(c, None, 3, 42)
+
+
+def test_cutoffs_against_brute_force(spark):
+    c = sampling.with_key(_labels(spark), 7)
+    rows = sorted((r["sample_key"], r["doc_id"]) for r in c.collect())
+    for n in (0, 1, 17, 60, 1000):
+        got = sampling.first_n_by_key(c, ["dataset"], n)
+        assert sorted((r["sample_key"], r["doc_id"]) for r in got.collect()) == rows[:n]
+    tied = c.withColumn("sample_key", F.lit("0" * 32))
+    assert sorted(r["doc_id"] for r in sampling.first_n_by_key(tied, ["dataset"], 5).collect()) == [0, 1, 2, 3, 4]

@@ -7,10 +7,10 @@ example that happens to contain ``{text}`` is kept verbatim.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import truncate_text
+from .text import coerce_text, truncate_text
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES — prompt texts, byte for byte (note the blank at the end of
@@ -143,6 +143,17 @@ def get_template(strategy: str) -> str:
     return TEMPLATES[strategy]
 
 
+def registered_strategies() -> list[str]:
+    """Every strategy a prompt can be built for: the benchmark's and the extra templates."""
+    return list(TEMPLATES)
+
+
+def check_strategies(strategies: list[str]) -> None:
+    unknown = [s for s in strategies if s not in TEMPLATES]
+    if unknown:
+        raise ValueError(f"Invalid strategy {unknown}. Options: {list(TEMPLATES)}")
+
+
 def _pieces(template: str) -> list:
     """Template -> list of constant strings and placeholder names."""
     out, rest = [], template
@@ -167,12 +178,14 @@ def fill(template: str, **values: Column) -> Column:
 
 def label_text(label) -> Column:
     lab = F.col(label) if isinstance(label, str) else label
-    return F.when(lab == 0, F.lit(TRUE_LABEL_TEXT)).otherwise(F.lit(FAKE_LABEL_TEXT))
+    # examples are drawn from classes 0 and 1; anything else here is a mistake
+    return (F.when(lab == 0, F.lit(TRUE_LABEL_TEXT)).when(lab == 1, F.lit(FAKE_LABEL_TEXT))
+            .otherwise(F.raise_error(F.lit("an example needs a label of 0 or 1")).cast("string")))
 
 
 def example_line(text, label, max_text_length: int = 2000) -> Column:
     """One few-shot example block, newline-terminated."""
-    t = F.col(text) if isinstance(text, str) else text
+    t = coerce_text(F.col(text) if isinstance(text, str) else text)
     body = fill(FEW_SHOT_EXAMPLE_TEMPLATE, text=truncate_text(t, max_text_length // 2), label=label_text(label))
     return F.concat(body, F.lit("\n"))
 
@@ -195,16 +208,15 @@ def few_shot_block(examples: DataFrame, order_col: str = "example_rank", by: lis
 def build_prompt(text, strategy: str, examples_text=None, max_text_length: int = 2000,
                  use_system_prompt: bool = True) -> Column:
     """Prompt for one fixed strategy."""
-    if strategy not in VALID_STRATEGIES:
-        raise ValueError(f"Invalid strategy. Options: {VALID_STRATEGIES}")
-    t = truncate_text(F.col(text) if isinstance(text, str) else text, max_text_length)
+    check_strategies([strategy])
+    t = truncate_text(coerce_text(F.col(text) if isinstance(text, str) else text), max_text_length)
     if strategy == "few_shot":
         if examples_text is None:
             raise ValueError("Few-shot prompts need examples (examples_text column).")
         ex = F.col(examples_text) if isinstance(examples_text, str) else examples_text
         body = fill(FEW_SHOT_TEMPLATE, examples=ex, text=t)
     else:
-        body = fill(TEMPLATES[strategy], text=t)
+        body = fill(get_template(strategy), text=t)
     if use_system_prompt:
         body = F.concat(F.lit(SYSTEM_PROMPT + "\n\n"), body)
     return body
@@ -212,15 +224,17 @@ def build_prompt(text, strategy: str, examples_text=None, max_text_length: int =
 
 def build_prompt_by_strategy(text, strategy_col="strategy", examples_text="examples_text",
                              max_text_length: int = 2000, use_system_prompt: bool = True) -> Column:
-    """Prompt when the strategy is a column: ``CASE strategy``.  The text is
-    truncated once and shared by all branches.  A few-shot row without
-    examples yields NULL (the caller turns that into an error)."""
+    """Prompt when the strategy is a column: a CASE over the registered
+    strategies.  The text is truncated once and shared by all branches.  A
+    few-shot row without examples yields NULL (the caller turns that into an
+    error), and so does an unknown strategy (:func:`check_strategies` first)."""
     s = F.col(strategy_col) if isinstance(strategy_col, str) else strategy_col
-    t = truncate_text(F.col(text) if isinstance(text, str) else text, max_text_length)
+    t = truncate_text(coerce_text(F.col(text) if isinstance(text, str) else text), max_text_length)
     ex = F.col(examples_text) if isinstance(examples_text, str) else examples_text
-    body = (F.when(s == "zero_shot", fill(ZERO_SHOT_TEMPLATE, text=t))
-             .when(s == "few_shot", fill(FEW_SHOT_TEMPLATE, examples=ex, text=t))
-             .when(s == "chain_of_thought", fill(CHAIN_OF_THOUGHT_TEMPLATE, text=t)))
+    body = F.when(s == "few_shot", fill(FEW_SHOT_TEMPLATE, examples=ex, text=t))
+    for name in registered_strategies():
+        if name != "few_shot":
+            body = body.when(s == name, fill(get_template(name), text=t))
     if use_system_prompt:
         body = F.concat(F.lit(SYSTEM_PROMPT + "\n\n"), body)
     return body
@@ -250,9 +264,3 @@ def classification_prompt(df: DataFrame, strategy: str = "zero_shot", examples:
         return df.withColumn("prompt", build_prompt(text_col, strategy, "examples_text", max_length)).drop(
             "examples_text", "_k")
     return df.withColumn("prompt", build_prompt(text_col, strategy, None, max_length))
-
-
-def rank_examples(examples: DataFrame, key: str = "sample_key", by: list | None = None) -> DataFrame:
-    """Number example rows 1..n within each group in key order."""
-    w = Window.partitionBy(*(by or [])).orderBy(key, "doc_id")
-    return examples.withColumn("example_rank", F.row_number().over(w))

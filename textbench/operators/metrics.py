@@ -134,11 +134,12 @@ def error_summary(df: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def first_example(df: DataFrame, by: list[str] | None = None, order: str = "doc_id") -> DataFrame:
     """The first row of each group in ``order`` (the example shown for a
-    subset such as the false positives)."""
-    from pyspark.sql import Window
+    subset such as the false positives): a partial aggregate, so a group of
+    any size sends one row per task."""
     by = list(by or [])
-    w = Window.partitionBy(*by).orderBy(order)
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    rest = [c for c in df.columns if c not in by]
+    first = df.groupBy(*by).agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
+    return first.select(*by, "_first.*").select(*df.columns)
 
 
 def timing_aggs(time_col: str = "inference_time") -> list[Column]:

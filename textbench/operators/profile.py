@@ -57,7 +57,8 @@ def _interp(lo_v: Column, hi_v: Column, frac: Column) -> Column:
 def integer_box_stats(df: DataFrame, value: Column | str, by: list[str]) -> DataFrame:
     """Box-plot statistics of an integer column per group: n, q1, median, q3
     (linear interpolation between order statistics), the whiskers (most
-    extreme values within 1.5 IQR of the box) and the number of outliers."""
+    extreme values within 1.5 IQR of the box, never inside the box) and the
+    number of outliers."""
     v = F.col(value) if isinstance(value, str) else value
     hist = df.select(*by, v.cast("long").alias("_v")).where(F.col("_v").isNotNull()) \
         .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
@@ -86,8 +87,8 @@ def integer_box_stats(df: DataFrame, value: Column | str, by: list[str]) -> Data
     j = hist.join(F.broadcast(qs), by)
     inside = (F.col("_v") >= low_fence) & (F.col("_v") <= high_fence)
     return j.groupBy(*by, "n", "q1", "median", "q3").agg(
-        F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
-        F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
+        F.least(F.col("q1"), F.min(F.when(inside, F.col("_v")))).alias("whisker_low"),
+        F.greatest(F.col("q3"), F.max(F.when(inside, F.col("_v")))).alias("whisker_high"),
         F.coalesce(F.sum(F.when(~inside, F.col("_c"))), F.lit(0)).alias("n_outliers"))
 
 
@@ -108,5 +109,6 @@ def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     j = df.where(v.isNotNull()).join(F.broadcast(qs), by)
     inside = (v >= F.col("q1") - 1.5 * iqr) & (v <= F.col("q3") + 1.5 * iqr)
     return j.groupBy(*by, "n", "q1", "median", "q3").agg(
-        F.min(F.when(inside, v)).alias("whisker_low"), F.max(F.when(inside, v)).alias("whisker_high"),
+        F.least(F.col("q1"), F.min(F.when(inside, v))).alias("whisker_low"),
+        F.greatest(F.col("q3"), F.max(F.when(inside, v))).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"))

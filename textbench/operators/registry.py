@@ -36,7 +36,7 @@ def resolve_backend_names(configured: DataFrame, available: DataFrame) -> DataFr
     position`` (listing order).  Returns ``model, backend_name, resolved``
     where ``resolved`` is the exact name if listed, else the first listed
     name with the same normalised form, else the configured name."""
-    av = available.select("name", "position")
+    av = available.groupBy("name").agg(F.min("position").alias("position"))  # a name may be listed twice
     exact = configured.join(F.broadcast(av.withColumnRenamed("name", "backend_name")), "backend_name", "left") \
         .select("model", "backend_name", F.when(F.col("position").isNotNull(), F.col("backend_name"))
                 .alias("_exact"))
@@ -49,6 +49,21 @@ def resolve_backend_names(configured: DataFrame, available: DataFrame) -> DataFr
         "model", "backend_name", F.coalesce("_exact", "_loose", "backend_name").alias("resolved"))
 
 
+def attach_backends(spark: SparkSession, models: list, available: DataFrame | None = None,
+                    mapping: dict | None = None) -> list:
+    """The models with the back-end name each is called by: the registry's entry,
+    resolved against the names that the back end lists (``available``, if given).
+    Models without an entry are left out, so their cells get the registry error.
+    One row per configured model comes to the driver."""
+    from dataclasses import replace
+    names = spark.createDataFrame([(m.name,) for m in models], "model string")
+    looked = backend_lookup(names, registry_frame(spark, mapping)).where("error IS NULL").select("model", "backend_name")
+    if available is not None:
+        looked = resolve_backend_names(looked, available).select("model", F.col("resolved").alias("backend_name"))
+    found = {r["model"]: r["backend_name"] for r in looked.collect()}
+    return [replace(m, backend_name=found[m.name]) for m in models if m.name in found]
+
+
 def model_info(spark: SparkSession, models: list[str], configs: dict | None = None,
                mapping: dict | None = None) -> DataFrame:
     """Static description of each configured model: back-end name,
@@ -60,3 +75,8 @@ def model_info(spark: SparkSession, models: list[str], configs: dict | None = No
             for m in models]
     df = spark.createDataFrame(rows, "model string, backend_name string, quantization string, max_new_tokens int")
     return df.withColumn("num_parameters", model_parameters("model"))
+
+
+def report_with_models(report: DataFrame, info: DataFrame) -> DataFrame:
+    """Report rows with the description of their model (one row per model)."""
+    return report.join(F.broadcast(info), "model", "left")

@@ -3,13 +3,13 @@
 Every draw orders rows by ``md5("<seed>|<doc_id>")`` with ``doc_id`` as tie
 break, so the same rows come out on any cluster size and in the SQL oracle.
 
-Taking "the first n rows in key order" per group is done by *bucket cut*
-(:func:`first_n_by_key`): the first four hex digits of the key split every
-group into 65,536 buckets whose sizes are counted with a partial
-aggregate; buckets wholly below the quota are taken, and only the single
-boundary bucket per group is ranked.  No task ever sees a whole class and
-no ``limit`` funnels rows through one task, so the same code serves a
-500-row benchmark sample and an 80/20 split of a whole corpus.
+"The first n rows in key order" of a group are the rows up to a *cutoff*, the
+(key, id) of its n-th row (:func:`cutoffs`).  The first four hex digits of the
+key split every group into 65,536 buckets whose sizes are counted with a
+partial aggregate; only the bucket that holds the n-th row is ranked, and the
+cutoffs come to the driver, one row per group.  Drawing is then a comparison
+of each row with its group's cutoff: no shuffle, no ``limit``, no window over
+what is drawn, whatever the quota.  Callers pass few groups (dataset x label).
 """
 
 from __future__ import annotations
@@ -35,61 +35,69 @@ def _bucket(key: Column) -> Column:
     return F.conv(F.substring(key, 1, BUCKET_HEX_DIGITS), 16, 10).cast("int")
 
 
-def _bucket_decisions(keyed: DataFrame, by: list[str], quota) -> DataFrame:
-    """Per (group, bucket) below the quota: take the whole bucket (``_all``)
-    or only its first ``_need`` rows.  At most 65,536 rows per group."""
-    b = "_bucket"
-    counts = keyed.groupBy(*by, b).agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _quota_rows(df: DataFrame, by: list[str], quota) -> DataFrame:
+    """One row (``by``, ``quota``) per group with a quota of its own."""
+    if isinstance(quota, dict):
+        schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by] + ["quota long"])
+        return df.sparkSession.createDataFrame([(*g, int(n)) for g, n in quota.items()], schema)
+    return quota.select(*by, F.col("quota").cast("long").alias("quota"))
+
+
+def cutoffs(df: DataFrame, by: list[str], quota, key: str = "sample_key", id_col: str = "doc_id") -> DataFrame:
+    """(``by``, ``_cut_key``, ``_cut_id``): the quota-th row of each group in
+    (key, id) order, as a local table.  Groups with fewer rows than their quota
+    have no cutoff (NULL: every row is within); groups without a quota or with
+    a quota of zero are not listed (no row is within).
+
+    ``quota``: an int for all groups, a dict (group tuple -> int) or a frame
+    with the ``by`` columns and ``quota``."""
+    spark = df.sparkSession
+    keyed = df.select(*by, F.col(id_col).alias("_id"), F.col(key).alias("_key")).withColumn("_b", _bucket(F.col("_key")))
+    counts = keyed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = counts.withColumn("_cum", F.sum("_cnt").over(w))
-    if isinstance(quota, int):
-        counts = counts.withColumn("quota", F.lit(quota))
-    else:
-        counts = counts.join(F.broadcast(quota.select(*by, "quota")), by)
-    return (counts.where(F.col("_cum") - F.col("_cnt") < F.col("quota"))
-            .select(*by, b, (F.col("_cum") <= F.col("quota")).alias("_all"),
-                    (F.col("quota") - (F.col("_cum") - F.col("_cnt"))).alias("_need")))
+    counts = (counts.withColumn("quota", F.lit(quota).cast("long")) if isinstance(quota, int)
+              else counts.join(F.broadcast(_quota_rows(df, by, quota)), by))
+    edge = (counts.where("quota > 0").groupBy(*by, "quota")
+            .agg(F.min(F.when(F.col("_cum") >= F.col("quota"), F.struct("_b", (
+                F.col("quota") - F.col("_cum") + F.col("_cnt")).alias("_need")))).alias("_e")).collect())
+    schema = spark.createDataFrame([], ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+                                   + f", _cut_key string, _cut_id {df.schema[id_col].dataType.simpleString()}").schema
+    full = [(*[r[c] for c in by], None, None) for r in edge if r["_e"] is None]
+    bounds = [(*[r[c] for c in by], r["_e"]["_b"], r["_e"]["_need"]) for r in edge if r["_e"] is not None]
+    ranked = []
+    if bounds:
+        b = spark.createDataFrame(bounds, ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+                                  + ", _b int, _need long")
+        wr = Window.partitionBy(*by).orderBy("_key", "_id")
+        ranked = (keyed.join(F.broadcast(b), [*by, "_b"]).withColumn("_r", F.row_number().over(wr))
+                  .where(F.col("_r") == F.col("_need")).select(*by, "_key", "_id").collect())
+    return spark.createDataFrame(full + [tuple(r) for r in ranked], schema)
 
 
 def mark_first_n_by_key(df: DataFrame, by: list[str], quota, key: str = "sample_key", id_col: str = "doc_id",
                         flag: str = "_selected") -> DataFrame:
     """All rows of ``df`` plus a boolean ``flag``: TRUE when the row's rank in
-    (``key``, ``id_col``) order within its ``by`` group is <= the quota.
-
-    ``quota`` is an int (same for all groups) or a DataFrame with the ``by``
-    columns and an integer column ``quota``.  The bucket table is broadcast
-    (at most 65,536 rows per group; callers pass few groups such as
-    dataset x label); only rows of the single boundary bucket per group are
-    ranked, in a window partitioned by (group, bucket)."""
-    b = "_bucket"
-    keyed = df.withColumn(b, _bucket(F.col(key)))
-    decisions = _bucket_decisions(keyed, by, quota)
-    j = keyed.join(F.broadcast(decisions), by + [b], "left")
-    edge = F.coalesce(~F.col("_all"), F.lit(False))
-    plain = j.where(~edge).withColumn(flag, F.coalesce(F.col("_all"), F.lit(False)))
-    wr = Window.partitionBy(*by, b).orderBy(key, id_col)
-    ranked = j.where(edge).withColumn(flag, F.row_number().over(wr) <= F.col("_need"))
-    cols = list(df.columns) + [flag]
-    return plain.select(*cols).unionByName(ranked.select(*cols))
+    (``key``, ``id_col``) order within its ``by`` group is <= the quota.  One
+    pass: the cutoffs, one row per group, are broadcast."""
+    cut = cutoffs(df, by, quota, key, id_col).withColumn("_listed", F.lit(True))
+    k, i = F.col(key), F.col(id_col)
+    before = (k < F.col("_cut_key")) | ((k == F.col("_cut_key")) & (i <= F.col("_cut_id")))
+    within = F.col("_listed") & (F.col("_cut_key").isNull() | before)
+    return (df.join(F.broadcast(cut), by, "left").withColumn(flag, F.coalesce(within, F.lit(False)))
+            .select(*df.columns, flag))
 
 
 def first_n_by_key(df: DataFrame, by: list[str], quota, key: str = "sample_key",
                    id_col: str = "doc_id") -> DataFrame:
     """Rows of ``df`` whose rank in (``key``, ``id_col``) order within their
-    ``by`` group is <= the quota (see :func:`mark_first_n_by_key`).
-
-    For draws whose size is bounded (samples, few-shot examples): only rows
-    of buckets below the quota survive the broadcast join — at most the
-    quota plus one boundary bucket per group — and they are ranked in a
-    window partitioned by (group, bucket), one bucket per window partition.
-    The corpus is scanned once per pass."""
-    b = "_bucket"
-    keyed = df.withColumn(b, _bucket(F.col(key)))
-    decisions = _bucket_decisions(keyed, by, quota)
-    picked = keyed.join(F.broadcast(decisions), by + [b])
-    wr = Window.partitionBy(*by, b).orderBy(key, id_col)
-    picked = picked.withColumn("_r", F.row_number().over(wr))
-    return picked.where(F.col("_all") | (F.col("_r") <= F.col("_need"))).select(*df.columns)
+    ``by`` group is <= the quota (see :func:`mark_first_n_by_key`)."""
+    return mark_first_n_by_key(df, by, quota, key, id_col).where("_selected").select(*df.columns)
+
+
+def labelled(corpus: DataFrame) -> DataFrame:
+    """Rows of class 0 or 1: no draw takes any other (unmapped labels are NULL)."""
+    return corpus.where(F.col("label").isin(0, 1))
 
 
 def rank_in_group(df: DataFrame, by: list[str], key: str = "sample_key", id_col: str = "doc_id",
@@ -106,112 +114,118 @@ def balanced_sample(corpus: DataFrame, sample_size: int = 1000, seed: int = 42,
     label (NULL, unmapped) are never drawn."""
     by = list(by or ["dataset"])
     per_class = sample_size // 2
-    keyed = with_key(corpus.where(F.col("label").isin(0, 1)), seed, salt)
-    return first_n_by_key(keyed, by + ["label"], per_class)
+    return first_n_by_key(with_key(labelled(corpus), seed, salt), by + ["label"], per_class)
 
 
 def simple_sample(corpus: DataFrame, n: int, seed: int = 42, by: list[str] | None = None,
                   salt: str | None = None) -> DataFrame:
-    """``min(n, rows)`` rows per group in key order (unbalanced)."""
+    """``min(n, rows)`` labelled rows per group in key order (unbalanced)."""
     by = list(by or ["dataset"])
-    return first_n_by_key(with_key(corpus, seed, salt), by, n)
+    return first_n_by_key(with_key(labelled(corpus), seed, salt), by, n)
+
+
+def mark_test(corpus: DataFrame, sample_size: int, seed: int = 42, by: list[str] | None = None,
+              flag: str = "_test") -> DataFrame:
+    """Labelled rows with their ``sample_key`` and whether :func:`balanced_sample`
+    draws them: the example pool is what is not drawn, without a join."""
+    by = list(by or ["dataset"])
+    return mark_first_n_by_key(with_key(labelled(corpus), seed), by + ["label"], sample_size // 2, flag=flag)
+
+
+def example_pool(corpus: DataFrame, sample_size: int, seed: int = 42, by: list[str] | None = None) -> DataFrame:
+    """Labelled rows outside the balanced test sample, with ``sample_key``."""
+    return mark_test(corpus, sample_size, seed, by).where("NOT _test").drop("_test")
 
 
 def exclude(df: DataFrame, taken: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Left anti join on the row key: everything not in ``taken``.  ``taken``
-    is a bounded sample here, so it is broadcast when small (AQE decides
-    at run time; no hint is forced)."""
+    """Left anti join on the row key: everything not in ``taken``.  For an
+    arbitrary ``taken``; a sample's own complement is :func:`example_pool`.
+    Pass keys only, and attach texts to what is left."""
     keys = keys or ["dataset", "doc_id"]
     return df.join(taken.select(*keys).distinct(), keys, "left_anti")
 
 
-def few_shot_examples(corpus: DataFrame, test: DataFrame, n_examples: int = 3, seed: int = 42,
+def few_shot_examples(corpus: DataFrame, test: DataFrame | int, n_examples: int = 3, seed: int = 42,
                       by: list[str] | None = None) -> DataFrame:
-    """The examples actually used for few-shot prompts: ``n_examples`` rows
-    of the corpus outside the test set, in key order, with their rank
-    ``example_rank`` (1..n).  Groups with fewer rows get fewer examples;
-    the grid turns that into an error result for the few-shot cells."""
+    """The examples actually used for few-shot prompts: ``n_examples`` labelled
+    rows outside the test set, in key order, with their rank ``example_rank``
+    (1..n).  ``test``: the test rows, or the size of the balanced test sample.
+    Groups with fewer rows get fewer examples; the grid turns that into an
+    error result for the few-shot cells."""
     by = list(by or ["dataset"])
-    pool = exclude(corpus, test, by + ["doc_id"])
-    chosen = simple_sample(pool, n_examples, seed, by)
-    return rank_in_group(chosen, by, name="example_rank")
+    pool = (example_pool(corpus, test, seed, by) if isinstance(test, int)
+            else with_key(labelled(exclude(corpus, test, by + ["doc_id"])), seed))
+    return rank_in_group(first_n_by_key(pool, by, n_examples), by, name="example_rank")
 
 
 def sample_with_examples(corpus: DataFrame, sample_size: int, n_examples: int, seed: int = 42,
-                         by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(test, examples) from one bucket cut over the corpus.
-
-    ``test`` = :func:`balanced_sample`; ``examples`` = :func:`few_shot_examples`
-    of that test set.  Both follow the same key order, so the examples are
-    among the first ``k + n`` rows of each class (k = sample_size // 2) or
-    the first ``n`` rows without a class: one pass takes that bounded
-    candidate set (persisted), the two draws are exact windows over it."""
+                         by: list[str] | None = None) -> DataFrame:
+    """Test rows and few-shot examples in one frame: the drawn rows with
+    ``sample_key``, ``_test`` and ``example_rank`` (NULL on test rows).  Two
+    cutoffs and one pass; attach texts to it once, then divide it."""
     by = list(by or ["dataset"])
-    k = sample_size // 2
-    grp = F.when(F.col("label").isin(0, 1), F.col("label")).otherwise(F.lit(-1))
-    keyed = with_key(corpus, seed).withColumn("_cls", grp.cast("int"))
-    quota = corpus.sparkSession.createDataFrame([(0, k + n_examples), (1, k + n_examples), (-1, n_examples)],
-                                                "_cls int, quota long")
-    # quota per (group, class) present: an equi-join on the class group
-    quotas = keyed.select(*by, "_cls").distinct().join(F.broadcast(quota), "_cls")
-    cand = first_n_by_key(keyed, by + ["_cls"], quotas).withColumn(
-        "_rk", F.row_number().over(Window.partitionBy(*by, "_cls").orderBy("sample_key", "doc_id")))
-    cand = cand.persist()
-    is_test = (F.col("_cls") >= 0) & (F.col("_rk") <= k)
-    test = cand.where(is_test).select(*corpus.columns, "sample_key")
-    rest = cand.where(~is_test)
-    ex = rest.withColumn("example_rank", F.row_number().over(Window.partitionBy(*by).orderBy("sample_key", "doc_id")))
-    examples = ex.where(F.col("example_rank") <= n_examples).select(*corpus.columns, "sample_key", "example_rank")
-    return test, examples
-
-
-def balanced_few_shot_examples(corpus: DataFrame, test: DataFrame | None = None, n_examples: int = 3,
+    marked = mark_test(corpus, sample_size, seed, by)
+    pool = marked.where("NOT _test")
+    cut = cutoffs(pool, by, n_examples).select(*by, F.col("_cut_key").alias("_k"), F.col("_cut_id").alias("_i"),
+                                               F.lit(True).alias("_listed"))
+    k, i = F.col("sample_key"), F.col("doc_id")
+    within = F.col("_listed") & (F.col("_k").isNull() | (k < F.col("_k")) | ((k == F.col("_k")) & (i <= F.col("_i"))))
+    drawn = (marked.join(F.broadcast(cut), by, "left")
+             .where(F.col("_test") | F.coalesce(within, F.lit(False))).select(*marked.columns))
+    # a group's examples are at most n_examples rows
+    rank = F.row_number().over(Window.partitionBy(*by, "_test").orderBy("sample_key", "doc_id"))
+    return drawn.withColumn("example_rank", F.when(~F.col("_test"), rank))
+
+
+def balanced_few_shot_examples(corpus: DataFrame, test: DataFrame | int | None = None, n_examples: int = 3,
                                seed: int = 42, by: list[str] | None = None) -> DataFrame:
-    """``max(1, n_examples // 2)`` rows per class outside the test set,
-    ordered by key across classes; ``class_short`` is TRUE on the groups
-    where a class has fewer rows than needed (the caller raises)."""
+    """``max(1, n_examples // 2)`` rows per class outside the test set, ordered
+    by key across classes.  A group where a class has fewer rows is an error."""
     by = list(by or ["dataset"])
     k = max(1, n_examples // 2)
-    pool = exclude(corpus, test, by + ["doc_id"]) if test is not None else corpus
-    chosen = first_n_by_key(with_key(pool.where(F.col("label").isin(0, 1)), seed), by + ["label"], k)
-    w = Window.partitionBy(*by, "label")
-    chosen = chosen.withColumn("class_short", F.count(F.lit(1)).over(w) < k)
-    return rank_in_group(chosen, by, name="example_rank")
+    if test is None:
+        pool = with_key(labelled(corpus), seed)
+    elif isinstance(test, int):
+        pool = example_pool(corpus, test, seed, by)
+    else:
+        pool = with_key(labelled(exclude(corpus, test, by + ["doc_id"])), seed)
+    found = {}
+    for r in class_counts(pool, by).collect():  # one row per group and class
+        found.setdefault(tuple(r[c] for c in by), {})[r["label"]] = r["n_class"]
+    groups = {tuple(r) for r in corpus.select(*by).distinct().collect()}
+    short = sorted((str(g), lab, found.get(g, {}).get(lab, 0)) for g in groups for lab in (0, 1)
+                   if found.get(g, {}).get(lab, 0) < k)
+    if short:
+        raise ValueError(f"too few rows for {k} example(s) per class: " + ", ".join(
+            f"{g} class {lab} has {n}" for g, lab, n in short))
+    return rank_in_group(first_n_by_key(pool, by + ["label"], k), by, name="example_rank")
 
 
 def class_counts(corpus: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = list(by or ["dataset"])
-    return corpus.where(F.col("label").isin(0, 1)).groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n_class"))
+    return labelled(corpus).groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n_class"))
 
 
-def stratified_quotas(counts: DataFrame, test_size: float, by: list[str] | None = None) -> DataFrame:
-    """Per-class test quotas that sum to ``ceil(test_size * n)``: floor of the
-    proportional share, then one extra row to the largest remainders (ties
-    by label).  Input: one row per (group, class) — tiny."""
-    by = list(by or ["dataset"])
-    g = Window.partitionBy(*by)
-    q = (counts.withColumn("_n", F.sum("n_class").over(g))
-         .withColumn("_n_test", F.ceil(F.lit(float(test_size)) * F.col("_n")))
-         .withColumn("_cont", F.col("n_class") / F.col("_n") * F.col("_n_test"))
-         .withColumn("_floor", F.floor("_cont"))
-         .withColumn("_left", F.col("_n_test") - F.sum("_floor").over(g))
-         .withColumn("_rem_rank", F.row_number().over(
-             g.orderBy(F.desc(F.col("_cont") - F.col("_floor")), F.col("label")))))
-    return q.select(*by, "label", "n_class",
-                    (F.col("_floor") + F.when(F.col("_rem_rank") <= F.col("_left"), 1).otherwise(0))
-                    .cast("long").alias("quota"))
+def _class_sizes(corpus: DataFrame, by: list[str]) -> dict:
+    """{group: {label: rows}}, collected: one row per group and class."""
+    sizes: dict = {}
+    for r in class_counts(corpus, by).collect():
+        sizes.setdefault(tuple(r[c] for c in by), {})[r["label"]] = r["n_class"]
+    return sizes
 
 
 def stratified_assignment(corpus: DataFrame, test_size: float = 0.2, seed: int = 42,
                           by: list[str] | None = None, salt: str | None = None,
-                          test_name: str = "test", train_name: str = "train") -> DataFrame:
+                          test_name: str = "test", train_name: str = "train", sizes: dict | None = None) -> DataFrame:
     """Labelled rows with a ``split`` column: per class the first ``quota``
     rows in key order are ``test_name``, the rest ``train_name``.  Exact and
-    fully distributed (one count pass, one marking pass)."""
+    fully distributed.  ``sizes``: the class sizes, where they are known."""
     by = list(by or ["dataset"])
-    labelled = corpus.where(F.col("label").isin(0, 1))
-    quotas = stratified_quotas(class_counts(labelled, by), test_size, by)
-    marked = mark_first_n_by_key(with_key(labelled, seed, salt), by + ["label"], quotas)
+    rows = labelled(corpus)
+    sizes = _class_sizes(rows, by) if sizes is None else sizes
+    quotas = {(*g, lab): q for g, cc in sizes.items() if sum(cc.values())
+              for lab, q in _largest_remainder(cc, math.ceil(test_size * sum(cc.values()))).items()}
+    marked = mark_first_n_by_key(with_key(rows, seed, salt), by + ["label"], quotas)
     return marked.withColumn("split", F.when(F.col("_selected"), test_name).otherwise(train_name)) \
         .drop("_selected", "sample_key")
 
@@ -233,37 +247,63 @@ def holdout_assignment(spark, corpus: DataFrame, sample_size: int | None, test_s
     * otherwise a stratified ``test_size`` split.
 
     The decision reads one tiny aggregate (class counts per group, collected
-    to the driver); the rows are then marked by a single bucket cut whose
-    groups are (group, class) — or the group alone for a simple sample."""
-    by = list(by or ["dataset"])
-    counts = {}
-    for r in class_counts(corpus, by).collect():
-        counts.setdefault(tuple(r[c] for c in by), {})[r["label"]] = r["n_class"]
-    rows = []  # (group..., sub-group label or -1, quota)
-    for grp, cc in counts.items():
+    to the driver); the rows are then marked in one pass whose groups are
+    (group, class) — or the group alone for a simple sample."""
+    return _holdout(corpus, sample_size, test_size, seed, list(by or ["dataset"]))[0]
+
+
+def _holdout(corpus: DataFrame, sample_size: int | None, test_size: float, seed: int,
+             by: list[str]) -> tuple[DataFrame, dict | None]:
+    """The assignment and, where the quotas settle them, the train rows' class sizes."""
+    rows = labelled(corpus)
+    quotas, train, simple = {}, {}, []
+    for grp, cc in _class_sizes(rows, by).items():
         n = sum(cc.values())
         if sample_size and sample_size < n:
             half = sample_size // 2
             if cc.get(0, 0) >= half and cc.get(1, 0) >= half:
-                rows += [(*grp, lab, half) for lab in (0, 1)]
+                own = {0: half, 1: half}
             else:
-                rows.append((*grp, -1, sample_size))
+                quotas[(*grp, -1)] = sample_size
+                simple.append(grp)
+                continue
         else:
-            n_test = math.ceil(test_size * n)
-            for lab, q in _largest_remainder(cc, n_test).items():
-                rows.append((*grp, lab, q))
-    schema = ", ".join(f"{c} {corpus.schema[c].dataType.simpleString()}" for c in by) + ", _g int, quota long"
-    quotas = spark.createDataFrame(rows, schema)
-    simple_groups = quotas.where(F.col("_g") == -1).select(*by)
-    labelled = corpus.where(F.col("label").isin(0, 1))
+            own = _largest_remainder(cc, math.ceil(test_size * n))
+        quotas.update({(*grp, lab): q for lab, q in own.items()})
+        train[grp] = {lab: cc.get(lab, 0) - q for lab, q in own.items() if cc.get(lab, 0) > q}
     # groups drawing a simple sample rank all their rows together (_g = -1)
-    g = F.when(F.col("_simple"), F.lit(-1)).otherwise(F.col("label"))
-    keyed = (with_key(labelled, seed)
-             .join(F.broadcast(simple_groups.withColumn("_simple", F.lit(True))), by, "left")
-             .withColumn("_g", g.cast("int")).drop("_simple"))
+    in_simple = F.lit(False)
+    for grp in simple:
+        same = F.lit(True)
+        for c, v in zip(by, grp):
+            same = same & F.col(c).eqNullSafe(F.lit(v))
+        in_simple = in_simple | same
+    keyed = with_key(rows, seed).withColumn("_g", F.when(in_simple, F.lit(-1)).otherwise(F.col("label")).cast("int"))
     marked = mark_first_n_by_key(keyed, by + ["_g"], quotas)
-    return marked.withColumn("split", F.when(F.col("_selected"), "test").otherwise("train")) \
+    out = marked.withColumn("split", F.when(F.col("_selected"), "test").otherwise("train")) \
         .drop("_selected", "sample_key", "_g")
+    return out, (None if simple else train)
+
+
+def three_way_assignment(corpus: DataFrame, sample_size: int | None, test_size: float = 0.2, seed: int = 42,
+                         by: list[str] | None = None) -> DataFrame:
+    """``split`` of every labelled row: ``test`` by :func:`holdout_assignment`, and
+    of the rest ``validation`` by a stratified carve-out, else ``train``."""
+    by = list(by or ["dataset"])
+    split, sizes = _holdout(corpus, sample_size, test_size, seed, by)
+    rest = split.where("split = 'train'").drop("split")
+    sizes = _class_sizes(rest, by) if sizes is None else sizes
+    quotas = {(*g, lab): q for g, cc in sizes.items() if sum(cc.values())
+              for lab, q in _largest_remainder(cc, math.ceil(test_size * sum(cc.values()))).items()}
+    keyed = with_key(rest, seed, "validation")
+    cut = cutoffs(keyed, by + ["label"], quotas).select(
+        *by, "label", F.col("_cut_key").alias("_k"), F.col("_cut_id").alias("_i"), F.lit(True).alias("_listed"))
+    k, i = sample_key(seed, salt="validation"), F.col("doc_id")
+    within = F.col("_listed") & (F.col("_k").isNull() | (k < F.col("_k")) | ((k == F.col("_k")) & (i <= F.col("_i"))))
+    # one pass over the marked rows: no union of the parts
+    return (split.join(F.broadcast(cut), by + ["label"], "left")
+            .withColumn("split", F.when((F.col("split") == "train") & F.coalesce(within, F.lit(False)), "validation")
+                        .otherwise(F.col("split"))).select(*split.columns))
 
 
 def _largest_remainder(class_counts: dict, n_draws: int) -> dict:

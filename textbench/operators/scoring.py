@@ -7,9 +7,10 @@ Two kinds of model:
   responders and for checks against a SQL oracle.
 * :class:`PythonModel` — a factory returning ``generate(prompts: Series) ->
   Series``.  Rows are scored with ``mapInPandas``: the factory is called once
-  per task, prompts arrive in Arrow batches, a failing batch is retried row
-  by row so that a bad row gets an ``error`` instead of failing the task,
-  and an optional fallback model is tried for failed rows.
+  per task, prompts arrive in Arrow batches.  A batch that fails, or returns
+  another number of answers, is retried row by row, so that a bad row gets an
+  ``error`` instead of failing the task; an optional fallback model is tried
+  for failed rows.  A factory that fails gives its model's rows that error.
 
 Both produce ``response string, inference_time double, error string``.
 """
@@ -43,6 +44,7 @@ class PythonModel:
     backend_name: str | None = None
     fallback_factory: Callable[[], Callable[[pd.Series], pd.Series]] | None = None
     options: dict = field(default_factory=dict)
+    per_row: bool = False  # ask for one answer at a time, each with its own time
 
 
 # model factories defined in this package travel to the Python workers by
@@ -66,9 +68,10 @@ def deterministic_latency(prompt: str = "prompt"):
 
 def generation_options(model) -> dict:
     """Benchmark-wide generation defaults merged with the model's own
-    overrides (the model wins)."""
+    overrides (the model wins), and the name the back end knows it by."""
     from ..config import EXPERIMENT_CONFIG
-    return {**EXPERIMENT_CONFIG["generation_params"], **(model.options or {})}
+    named = {"backend_name": model.backend_name} if model.backend_name else {}
+    return {**EXPERIMENT_CONFIG["generation_params"], **(model.options or {}), **named}
 
 
 def _make(factory, options: dict):
@@ -81,90 +84,124 @@ def _make(factory, options: dict):
     return factory(options) if takes else factory()
 
 
-def _python_scorer(model: PythonModel, prompt_col: str):
-    factory, fallback_factory = model.factory, model.fallback_factory
-    options = generation_options(model)
+NO_PROMPT_ERROR = "no prompt for this row"
 
+
+def _error(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
+class _Scorer:
+    """One Python model in one task.  The back end is opened on the first row
+    that needs it; a back end that cannot be opened fails its own rows only."""
+
+    def __init__(self, model: PythonModel):
+        self.model, self.options = model, generation_options(model)
+        self._made: dict = {}
+
+    def _open(self, which: str):
+        if which not in self._made:
+            factory = self.model.factory if which == "primary" else self.model.fallback_factory
+            try:
+                self._made[which] = (_make(factory, self.options), None)
+            except Exception as e:
+                self._made[which] = (None, e)
+        generate, error = self._made[which]
+        if error is not None:
+            raise error
+        return generate
+
+    def _answers(self, which: str, prompts: pd.Series) -> list:
+        answers = list(self._open(which)(prompts))
+        if len(answers) != len(prompts):
+            raise ValueError(f"{len(answers)} answers for {len(prompts)} prompts")
+        return answers
+
+    def _one(self, prompt) -> tuple:
+        start = time.perf_counter()
+        answer, error = None, None
+        try:
+            answer = self._answers("primary", pd.Series([prompt]))[0]
+        except Exception as e:
+            error = _error(e)
+            if self.model.fallback_factory is not None:
+                try:
+                    answer, error = self._answers("fallback", pd.Series([prompt]))[0], None
+                except Exception as e2:
+                    error = _error(e2)
+        return answer, time.perf_counter() - start, error
+
+    def score(self, prompts: pd.Series) -> list[tuple]:
+        """(response, seconds, error) of each prompt."""
+        if not self.model.per_row:
+            start = time.perf_counter()
+            try:
+                answers = self._answers("primary", prompts)
+                share = (time.perf_counter() - start) / max(len(answers), 1)
+                return [(a, share, None) for a in answers]
+            except Exception:
+                pass  # each row by itself below, so that only bad rows fail
+        return [self._one(p) for p in prompts]
+
+
+def _python_scorer(models: list[PythonModel], prompt_col: str, model_col: str):
     def run(batches):
-        generate = _make(factory, options)
-        fallback = _make(fallback_factory, options) if fallback_factory else None
+        scorers = {m.name: _Scorer(m) for m in models}
         for pdf in batches:
-            prompts = pdf[prompt_col]
-            n = len(prompts)
             out = pdf.copy()
-            t0 = time.perf_counter()
-            try:
-                resp = pd.Series(generate(prompts), index=prompts.index).astype(object)
-                per_row = (time.perf_counter() - t0) / max(n, 1)
-                out["response"] = resp
-                out["inference_time"] = per_row
-                out["error"] = None
-            except Exception:
-                resp, times, errs = [], [], []
-                for p in prompts:
-                    t1 = time.perf_counter()
-                    r, e = None, None
-                    try:
-                        r = generate(pd.Series([p])).iloc[0]
-                    except Exception as ex1:  # primary failed: try the fallback
-                        if fallback is not None:
-                            try:
-                                r = fallback(pd.Series([p])).iloc[0]
-                            except Exception as ex2:
-                                e = f"{type(ex2).__name__}: {ex2}"
-                        else:
-                            e = f"{type(ex1).__name__}: {ex1}"
-                    resp.append(r)
-                    times.append(time.perf_counter() - t1)
-                    errs.append(e)
-                out["response"] = resp
-                out["inference_time"] = times
-                out["error"] = errs
+            rows = [(None, None, NO_PROMPT_ERROR)] * len(out)
+            for name, at in out.groupby(model_col, sort=False).indices.items():
+                asked = [i for i in at if out[prompt_col].iloc[i] is not None]
+                if asked:
+                    prompts = out[prompt_col].iloc[asked].reset_index(drop=True)
+                    for i, row in zip(asked, scorers[name].score(prompts)):
+                        rows[i] = row
+            for i, field_ in enumerate(SCORED_FIELDS):
+                kind = "float64" if field_.name == "inference_time" else object
+                out[field_.name] = pd.Series([r[i] for r in rows], index=out.index, dtype=kind)
             yield out
-
     return run
 
 
 def score(df: DataFrame, models: list, prompt_col: str = "prompt", model_col: str = "model",
           timing: str = "wall", partitions: int | None = None) -> DataFrame:
     """Add ``response``, ``inference_time`` and ``error`` to rows that carry a
-    model name.  Rows whose model is not registered get an error.
-
-    ``timing="prompt_length"`` replaces measured latency with
-    :func:`deterministic_latency` (reproducible runs); ``partitions`` sets
-    the number of Python tasks per model (round-robin repartition; default:
-    the cluster's default parallelism, so model calls are spread over all
-    executors rather than over however many partitions the prompts had)."""
+    model name.  Rows whose model is not registered, or whose prompt is NULL,
+    get an error.
+
+    All Python models run in one ``mapInPandas``, so the input is read once for
+    them.  ``inference_time`` is measured for Python models: a row's own time
+    where rows are scored one by one (``per_row``, or after a failed batch), its
+    share of the batch's time otherwise.  Expression models have no time of
+    their own (NULL).  ``timing="prompt_length"`` replaces both with
+    :func:`deterministic_latency` (reproducible runs).
+
+    ``partitions`` sets the number of Python tasks (default: the cluster's
+    default parallelism, so that model calls are spread over all executors
+    rather than over however many partitions the prompts had)."""
     expr_models = [m for m in models if isinstance(m, ExprModel)]
     py_models = [m for m in models if isinstance(m, PythonModel)]
     known = [m.name for m in models]
     m = F.col(model_col)
-    parts = []
 
     # expression models and unregistered names: one JVM-side projection
     resp = None
     for em in expr_models:
         e = F.expr(em.sql)
         resp = F.when(m == em.name, e) if resp is None else resp.when(m == em.name, e)
-    rest = df.where(~m.isin(*[pm.name for pm in py_models])) if py_models else df
+    python_names = [pm.name for pm in py_models]
+    is_python = F.coalesce(m.isin(*python_names), F.lit(False)) if py_models else F.lit(False)
+    rest = df.where(~is_python) if py_models else df
     resp = resp if resp is not None else F.lit(None)
-    is_expr = m.isin(*[em.name for em in expr_models]) if expr_models else F.lit(False)
-    unknown = ~m.isin(*known) if known else F.lit(True)
-    parts.append(rest.select(
-        "*",
-        resp.cast("string").alias("response"),
-        F.when(is_expr, deterministic_latency(prompt_col)).cast("double").alias("inference_time"),
-        F.when(unknown, unmapped_error(m)).cast("string").alias("error")))
-
-    n_tasks = partitions or df.sparkSession.sparkContext.defaultParallelism
-    for pm in py_models:
-        sub = df.where(m == pm.name).repartition(n_tasks)
-        schema = T.StructType(sub.schema.fields + SCORED_FIELDS)
-        parts.append(sub.mapInPandas(_python_scorer(pm, prompt_col), schema))
-
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    unknown = ~F.coalesce(m.isin(*known), F.lit(False)) if known else F.lit(True)
+    error = F.when(unknown, unmapped_error(F.coalesce(m, F.lit("")))).when(F.col(prompt_col).isNull(), NO_PROMPT_ERROR)
+    out = rest.select("*", F.when(error.isNull(), resp).cast("string").alias("response"),
+                      F.lit(None).cast("double").alias("inference_time"), error.cast("string").alias("error"))
+    if py_models:
+        n_tasks = partitions or df.sparkSession.sparkContext.defaultParallelism
+        asked = df.where(is_python).repartition(n_tasks)
+        schema = T.StructType(asked.schema.fields + SCORED_FIELDS)
+        out = out.unionByName(asked.mapInPandas(_python_scorer(py_models, prompt_col, model_col), schema))
     if timing == "prompt_length":
         out = out.withColumn("inference_time",
                              F.when(F.col("response").isNotNull(), deterministic_latency(prompt_col)))

@@ -13,6 +13,7 @@ from __future__ import annotations
 import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import Lock
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from ..config import FINE_TUNED_STRATEGY, TRAINING_CONFIG
 from ..functions.text import coerce_text
+from ..sources.datasets import attach_text
+from ..sources.results import TRAINING_CONFIG_TYPE
 from .metrics import calculate_metrics
-from .sampling import holdout_assignment, stratified_assignment
+from .sampling import three_way_assignment
 
 
 @dataclass
@@ -37,10 +40,7 @@ class BaselineSpec:
 DEFAULT_BASELINES = [BaselineSpec("spark-ml/tfidf-logreg"),
                      BaselineSpec("spark-ml/tfidf-naive-bayes", "naive_bayes", reg_params=[1.0])]
 
-NUM_FEATURES = 1 << 16
-
-
-def featurizer(num_features: int = NUM_FEATURES) -> Pipeline:
+def featurizer(num_features: int) -> Pipeline:
     """Whole text -> lower-case word tokens -> hashed term counts -> TF-IDF."""
     tok = RegexTokenizer(inputCol="_text", outputCol="_tokens", pattern=r"\W+", toLowercase=True, minTokenLength=1)
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
@@ -51,7 +51,8 @@ def featurizer(num_features: int = NUM_FEATURES) -> Pipeline:
 def classifier(spec: BaselineSpec, reg: float, config: dict):
     if spec.classifier == "naive_bayes":
         return NaiveBayes(featuresCol="features", labelCol="_y", smoothing=reg, modelType="multinomial")
-    return LogisticRegression(featuresCol="features", labelCol="_y", regParam=reg, maxIter=10, elasticNetParam=0.0)
+    return LogisticRegression(featuresCol="features", labelCol="_y", regParam=reg, elasticNetParam=0.0,
+                              maxIter=int(config["max_iterations"]))
 
 
 def _prep(df: DataFrame) -> DataFrame:
@@ -64,38 +65,43 @@ def _f1(pred: DataFrame) -> float:
 
 
 def prepare_splits(spark: SparkSession, corpus: DataFrame, dataset: str, sample_size: int | None,
-                   config: dict | None = None, num_features: int = NUM_FEATURES) -> dict:
+                   config: dict | None = None, texts: DataFrame | None = None) -> dict:
     """Feature vectors of one dataset's fit, validation and test rows.
 
-    Split: :func:`holdout_assignment` (test) and a stratified validation
-    carve-out of the training rows.  The featurizer (IDF) is fitted on the
-    fit rows only, once per dataset, and the vectors of all three parts are
-    persisted in one frame (memory, spilling to disk): every classifier and
-    regularisation value of the dataset reads them, and ML training reads
-    its input once per optimiser pass."""
-    config = dict(config or TRAINING_CONFIG)
-    seed = int(config["seed"])
+    The split (:func:`three_way_assignment`) is decided on keys and labels, and
+    the texts join once.  The featurizer (IDF) is fitted on the fit rows only,
+    once per dataset; keys and vectors of all three parts are persisted, never
+    the texts: every classifier and regularisation value of the dataset reads
+    them, and ML training reads its input once per optimiser pass."""
+    config = dict(TRAINING_CONFIG) | (config or {})
     data = corpus.where(F.col("dataset") == dataset)
-    split = holdout_assignment(spark, data, sample_size, float(config["test_size"]), seed)
-    train = split.where("split = 'train'").drop("split")
-    fit_val = stratified_assignment(train, float(config["test_size"]), seed, salt="validation",
-                                    test_name="validation")
-    rows = _prep(fit_val.unionByName(split.where("split = 'test'"))).persist(StorageLevel.MEMORY_AND_DISK)
+    split = three_way_assignment(data if texts is None else data.select("dataset", "doc_id", "label"), sample_size,
+                                 float(config["test_size"]), int(config["seed"]))
+    rows = _prep(split if texts is None else attach_text(split, texts))
     t0 = time.perf_counter()
-    feat_model = featurizer(num_features).fit(rows.where("split = 'train'"))
+    feat_model = featurizer(int(config["num_features"])).fit(rows.where("split = 'train'"))
     vectors = feat_model.transform(rows).select("split", "dataset", "doc_id", "label", "_y", "features") \
         .persist(StorageLevel.MEMORY_AND_DISK)
     vectors.count()
-    rows.unpersist()
     return {"vectors": vectors, "featurize_time": time.perf_counter() - t0,
             "fit": vectors.where("split = 'train'"), "val": vectors.where("split = 'validation'"),
             "test": vectors.where("split = 'test'")}
 
 
+def _optimiser(model, config: dict) -> tuple[int | None, bool | None]:
+    """Iterations that a fit took and whether it ended before the limit; a
+    closed-form classifier has neither."""
+    try:
+        iterations = int(model.summary.totalIterations)
+    except Exception:
+        return None, None
+    return iterations, iterations < int(config["max_iterations"])
+
+
 def train_and_evaluate(spec: BaselineSpec, splits: dict, config: dict | None = None) -> tuple[DataFrame, dict]:
     """Fit each regularisation value on the fit rows, keep the best by
     validation F1 (first on ties), predict the test rows."""
-    config = dict(config or TRAINING_CONFIG)
+    config = dict(TRAINING_CONFIG) | (config or {})
     t0 = time.perf_counter()
     best, best_f1, best_reg = None, -1.0, None
     for reg in spec.reg_params:
@@ -110,40 +116,62 @@ def train_and_evaluate(spec: BaselineSpec, splits: dict, config: dict | None = N
     pred = pred.persist(StorageLevel.MEMORY_AND_DISK)
     n = pred.count()
     predict_time = time.perf_counter() - t1
-    info = {"training_time": training_time, "per_row_time": predict_time / max(n, 1), "best_reg": best_reg,
-            "validation_f1": best_f1, "n_test": n}
+    iterations, converged = _optimiser(best, config)
+    info = {"training_time": training_time, "per_row_time": predict_time / max(n, 1), "reg_param": float(best_reg),
+            "validation_f1": best_f1, "n_test": n, "iterations": iterations, "converged": converged,
+            "classifier": spec.classifier, "num_features": int(config["num_features"]),
+            "max_iterations": int(config["max_iterations"]) if iterations is not None else None,
+            "seed": int(config["seed"]), "test_size": float(config["test_size"])}
     return pred, info
 
 
 def run_baselines(spark: SparkSession, corpus: DataFrame, datasets: list[str], specs: list | None = None,
                   sample_size: int | None = 1000, config: dict | None = None, done: DataFrame | None = None,
-                  parallelism: int = 4) -> DataFrame:
+                  parallelism: int = 4, texts: DataFrame | None = None, on_result=None) -> DataFrame:
     """Flat result rows (same shape as the grid's) for every pending baseline x
     dataset; a failing experiment becomes an error row, the others go on.
-    ``done``: earlier results; baselines with a successful result are skipped."""
-    config = dict(config or TRAINING_CONFIG)
+    ``done``: earlier results; baselines with a successful result are skipped.
+    ``texts``: splits are decided on the keys of ``corpus``, texts join after.
+    ``on_result(flat)``: called with each baseline's row as it ends, to save it."""
+    config = dict(TRAINING_CONFIG) | (config or {})
     specs = specs or DEFAULT_BASELINES
     finished = set()
     if done is not None:
         finished = {(r["model"], r["dataset"]) for r in
                     done.where(F.col("error").isNull() & (F.col("strategy") == FINE_TUNED_STRATEGY))
                     .select("model", "dataset").distinct().collect()}  # one row per experiment
+    saving = Lock()
+
+    def ended(name, ds, error, metrics=None, info=None):
+        row = {"model": name, "strategy": FINE_TUNED_STRATEGY, "dataset": ds, "error": error,
+               "sample_size": sample_size, **{k: v for k, v in (metrics or {}).items() if k in _FLAT_COLUMNS},
+               **{k: v for k, v in (info or {}).items() if k in _FLAT_COLUMNS}}
+        if info:
+            row |= {"avg_inference_time": info["per_row_time"],
+                    "total_inference_time": info["per_row_time"] * info["n_test"]}
+        row = tuple(row.get(c) for c in _FLAT_COLUMNS)
+        if on_result is not None:
+            with saving:  # one writer at a time in the result folder
+                on_result(spark.createDataFrame([row], _FLAT_SCHEMA))
+        return row
+
     def one_dataset(ds):
         todo = [s for s in specs if (s.name, ds) not in finished]
         if not todo:
             return []
         try:
-            splits = prepare_splits(spark, corpus, ds, sample_size, config)
+            splits = prepare_splits(spark, corpus, ds, sample_size, config, texts)
         except Exception as e:
-            return [(spec.name, ds, f"{type(e).__name__}: {e}", None, None) for spec in todo]
+            return [ended(spec.name, ds, f"{type(e).__name__}: {e}") for spec in todo]
+
         def one_spec(spec):
             try:
                 pred, info = train_and_evaluate(spec, splits, config)
                 m = calculate_metrics(pred.withColumn("model", F.lit(spec.name)), ["model", "dataset"]).first()
                 pred.unpersist()
-                return (spec.name, ds, None, m.asDict(), info)
             except Exception as e:  # one failed experiment does not stop the grid
-                return (spec.name, ds, f"{type(e).__name__}: {e}", None, None)
+                return ended(spec.name, ds, f"{type(e).__name__}: {e}")
+            return ended(spec.name, ds, None, m.asDict(), info)
 
         # the classifiers of a dataset share its persisted vectors
         with ThreadPoolExecutor(max_workers=max(1, min(len(todo), parallelism))) as inner:
@@ -155,43 +183,30 @@ def run_baselines(spark: SparkSession, corpus: DataFrame, datasets: list[str], s
     # side so the executors are not left idle between optimiser passes
     with ThreadPoolExecutor(max_workers=max(1, min(len(datasets), parallelism))) as pool:
         rows = [r for part in pool.map(one_dataset, datasets) for r in part]
-    out = []
-    for name, ds, err, m, info in rows:
-        base = {"model": name, "strategy": FINE_TUNED_STRATEGY, "dataset": ds, "error": err,
-                "sample_size": sample_size}
-        if m:
-            base.update({k: m[k] for k in ("n", "accuracy", "precision", "recall", "f1_score", "precision_macro",
-                                           "recall_macro", "f1_macro", "invalid_predictions", "invalid_rate",
-                                           "true_negatives", "false_positives", "false_negatives",
-                                           "true_positives")})
-            base.update({"avg_inference_time": info["per_row_time"],
-                         "total_inference_time": info["per_row_time"] * info["n_test"],
-                         "training_time": info["training_time"]})
-        out.append(base)
-    schema = ("model string, strategy string, dataset string, error string, sample_size long, n long, "
-              "accuracy double, precision double, recall double, f1_score double, precision_macro double, "
-              "recall_macro double, f1_macro double, invalid_predictions long, invalid_rate double, "
-              "true_negatives long, false_positives long, false_negatives long, true_positives long, "
-              "avg_inference_time double, total_inference_time double, training_time double")
-    cols = [c.split(" ")[0] for c in schema.split(", ")]
-    return spark.createDataFrame([tuple(r.get(c) for c in cols) for r in out], schema)
-
-
-def baseline_results(flat: DataFrame, config: dict | None = None) -> DataFrame:
-    """Flat baseline rows -> result documents (metrics incl. training time,
-    the training configuration as a struct)."""
+    return spark.createDataFrame(rows, _FLAT_SCHEMA)
+
+
+_FLAT_SCHEMA = ("model string, strategy string, dataset string, error string, sample_size long, n long, "
+                "accuracy double, precision double, recall double, f1_score double, precision_macro double, "
+                "recall_macro double, f1_macro double, invalid_predictions long, invalid_rate double, "
+                "true_negatives long, false_positives long, false_negatives long, true_positives long, "
+                "avg_inference_time double, total_inference_time double, training_time double, "
+                "classifier string, num_features int, reg_param double, max_iterations int, iterations int, "
+                "converged boolean, validation_f1 double, seed int, test_size double")
+_FLAT_COLUMNS = [c.split(" ")[0] for c in _FLAT_SCHEMA.split(", ")]
+
+
+def baseline_results(flat: DataFrame) -> DataFrame:
+    """Flat baseline rows -> result documents: metrics with the training time,
+    and as ``training_config`` what the run used."""
     from ..plans.grid import as_results
     docs = as_results(flat.withColumn("confusion_matrix", F.array(F.array("true_negatives", "false_positives"),
                                                                   F.array("false_negatives", "true_positives"))))
+    names = TRAINING_CONFIG_TYPE.fieldNames()
+    used = flat.select("model", "strategy", "dataset", "training_time", F.struct(*names).alias("training_config"))
     m = docs.schema["metrics"].dataType.fieldNames()
-    metrics = F.when(F.col("error").isNull(), F.struct(
+    ok = F.col("error").isNull()
+    metrics = F.when(ok, F.struct(
         *[(F.col("training_time") if f == "training_time" else F.col(f"metrics.{f}")).alias(f) for f in m]))
-    return docs.join(flat.select("model", "strategy", "dataset", "training_time"), ["model", "strategy", "dataset"]) \
-        .withColumn("metrics", metrics).drop("training_time") \
-        .withColumn("training_config", F.when(F.col("error").isNull(), training_config_struct(config)))
-
-
-def training_config_struct(config: dict | None = None):
-    """The training configuration as a struct column (stored with results)."""
-    c = dict(config or TRAINING_CONFIG)
-    return F.struct(*[F.lit(v).alias(k) for k, v in c.items()])
+    return (docs.join(used, ["model", "strategy", "dataset"]).withColumn("metrics", metrics).drop("training_time")
+            .withColumn("training_config", F.when(ok, F.col("training_config"))))

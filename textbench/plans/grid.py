@@ -1,14 +1,15 @@
-"""The benchmark grid as one Spark job.
+"""The benchmark grid as Spark jobs.
 
 ``pending = models x strategies x datasets`` minus cells that already have a
-successful result -> balanced test sample per dataset -> few-shot block
-per dataset -> prompts per (strategy, dataset) -> crossed with the models of
-each cell -> scored -> parsed -> one ``groupBy`` for all metrics.
-
-Shuffles: the sample (counts of md5 buckets, then a broadcast filter of the
-corpus scan), the few-shot pool (anti join with the bounded sample), and the
-metric aggregate (partial aggregation; a few longs per cell).  Everything
-broadcast is bounded by the grid size or by ``sample_size``.
+successful result -> balanced test sample and few-shot examples per dataset,
+drawn on keys in one pass -> texts attached to the drawn rows in one probe ->
+few-shot block per dataset -> prompts per (strategy, dataset) -> crossed with
+the models of each cell -> scored -> parsed -> one ``groupBy`` for all metrics.
+
+The resumable benchmark runs the pending cells in waves, one per model: scored
+rows go to a fixed place beside the results and documents are written after
+each wave, so a failure loses at most the wave it meets.  Everything broadcast
+is bounded by the grid size or by ``sample_size``.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from pyspark.sql import functions as F
 
 from ..config import EXPERIMENT_CONFIG
 from ..functions.parsing import extract_prediction
-from ..functions.prompts import build_prompt_by_strategy, few_shot_block
+from ..functions.prompts import build_prompt_by_strategy, check_strategies, few_shot_block
 from ..functions.text import iso_timestamp
 from ..operators.metrics import METRIC_NAMES, counter_aggs, metric_columns, timing_aggs
 from ..operators.sampling import sample_with_examples
-from ..operators.scoring import score
+from ..operators.scoring import generation_options, score
 from ..sources.datasets import attach_text
+from ..sources.results import GENERATION_TYPE
 
 KEYS = ["model", "strategy", "dataset"]
 
@@ -55,20 +57,26 @@ def reusable_results(grid: DataFrame, results: DataFrame) -> DataFrame:
     return results.where(F.col("error").isNull()).join(grid.select(*KEYS), KEYS, "left_semi")
 
 
-def grid_prompts(corpus: DataFrame, cells: DataFrame, sample_size: int, seed: int, n_examples: int,
-                 max_text_length: int, texts: DataFrame | None = None) -> DataFrame:
+def drawn_rows(corpus: DataFrame, sample_size: int, seed: int, n_examples: int,
+               texts: DataFrame | None = None, datasets: int | None = None) -> DataFrame:
+    """Test rows and examples of every dataset with their texts, in one frame
+    (see :func:`textbench.operators.sampling.sample_with_examples`).
+
+    ``texts`` (``doc_id, text``): rows are drawn on the keys and labels of
+    ``corpus`` and the texts attached afterwards, in one probe of the text
+    table; else ``corpus`` has the texts."""
+    keys = corpus.select("dataset", "doc_id", "label") if texts is not None else corpus
+    drawn = sample_with_examples(keys, sample_size, n_examples, seed)
+    if texts is None:
+        return drawn
+    return attach_text(drawn, texts, at_most=None if datasets is None else datasets * (sample_size + n_examples))
+
+
+def grid_prompts(drawn: DataFrame, cells: DataFrame, n_examples: int, max_text_length: int) -> DataFrame:
     """One row per (model, strategy, dataset, test row) with its prompt.  Few
-    shot cells whose dataset lacks examples carry ``prompt_error``.
-
-    ``texts`` (``doc_id, text``): when given, ``corpus`` carries only keys and
-    labels, and the texts of the drawn rows are attached after sampling."""
-    # one pass over the corpus for both draws; the candidate set is bounded
-    # by (sample_size + n_examples) per class and persisted
-    test, examples = sample_with_examples(corpus, sample_size, n_examples, seed)
-    if texts is not None:
-        test, examples = attach_text(test, texts), attach_text(examples, texts)
-    test = test.select("dataset", "doc_id", "text", "label")
-    block = few_shot_block(examples, by=["dataset"], max_text_length=max_text_length)
+    shot cells whose dataset lacks examples carry ``prompt_error``."""
+    test = drawn.where("_test").select("dataset", "doc_id", "text", "label")
+    block = few_shot_block(drawn.where("NOT _test"), by=["dataset"], max_text_length=max_text_length)
     sd = cells.select("strategy", "dataset").distinct()
     rows = (test.join(F.broadcast(sd), "dataset")
             .join(F.broadcast(block), "dataset", "left")
@@ -113,62 +121,127 @@ def run_grid(spark: SparkSession, corpus: DataFrame, models: list, strategies: l
              n_examples: int = EXPERIMENT_CONFIG["few_shot_examples"], max_text_length: int = 2000,
              timing: str = "wall", done: DataFrame | None = None, predictions_path: str | None = None,
              partitions: int | None = None, model_names: list[str] | None = None,
-             texts: DataFrame | None = None) -> DataFrame:
-    """Flat metrics for every pending cell of the grid.
+             texts: DataFrame | None = None, drawn: DataFrame | None = None) -> DataFrame:
+    """Flat metrics for every pending cell of the grid, in one job.
 
     ``model_names``: the configured models (default: the registered ones);
     a configured model missing from ``models`` yields error rows for its
     cells, the other cells are unaffected.
     ``done``: earlier results; their successful cells are skipped (resume).
-    ``texts``: see :func:`grid_prompts` (sample on keys, attach texts after).
+    ``texts``: see :func:`drawn_rows` (sample on keys, attach texts after);
+    ``drawn``: such rows, if they are there already.
     ``predictions_path``: when given, scored rows are written there (a
     table in shared storage, partitioned by cell) and the metrics are read
     from it, so model calls are never repeated after a lost executor."""
+    check_strategies(strategies)
     grid = experiment_grid(spark, model_names or [m.name for m in models], strategies, datasets)
     cells = pending_cells(grid, done)
-    # bounded by sample_size x cells; persisted so the prompt expression is
-    # computed once and the model branches read a plain column
-    prompts = grid_prompts(corpus, cells, sample_size, seed, n_examples, max_text_length, texts).persist()
-    preds = score_grid(prompts, models, timing, partitions)
+    if drawn is None:
+        drawn = drawn_rows(corpus, sample_size, seed, n_examples, texts, len(datasets))
+    preds = score_grid(grid_prompts(drawn, cells, n_examples, max_text_length), models, timing, partitions)
     if predictions_path:
-        preds.write.mode("overwrite").partitionBy(*KEYS).parquet(predictions_path)
-        preds = spark.read.parquet(predictions_path)
+        write_predictions(preds, predictions_path)
+        preds = read_predictions(spark, predictions_path, preds.schema).join(F.broadcast(cells), KEYS, "left_semi")
     return cell_metrics(preds, cells).withColumn("sample_size", F.lit(sample_size).cast("long"))
 
 
-def as_results(flat: DataFrame) -> DataFrame:
-    """Flat cell metrics -> result documents (``metrics`` struct, timestamp)."""
+def write_predictions(predictions: DataFrame, path: str) -> None:
+    """Scored rows by cell; only the cells in ``predictions`` are replaced."""
+    (predictions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS)
+     .parquet(path))
+
+
+def read_predictions(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Scored rows, the keys as text."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def as_results(flat: DataFrame, models: list | None = None) -> DataFrame:
+    """Flat cell metrics -> result documents (``metrics`` struct, timestamp, and
+    the generation options of the ``models`` that were called)."""
     metric_fields = METRIC_NAMES + ["avg_inference_time", "total_inference_time"]
     metrics = F.when(F.col("error").isNull(), F.struct(
         *[F.col(c) for c in metric_fields],
         F.lit(None).cast("double").alias("vram_usage_gb"),
         F.lit(None).cast("double").alias("training_time")))
+    generation = F.lit(None).cast(GENERATION_TYPE)
+    for m in models or []:
+        options = generation_options(m) | {"backend_name": m.backend_name}
+        used = F.struct(*[F.lit(options.get(f.name)).cast(f.dataType).alias(f.name) for f in GENERATION_TYPE.fields])
+        generation = F.when(F.col("model") == m.name, used).otherwise(generation)
     return flat.select(*KEYS, "sample_size", iso_timestamp().alias("timestamp"), "error",
-                       metrics.alias("metrics"))
+                       metrics.alias("metrics"), generation.alias("generation"))
 
 
 def run_benchmark(spark: SparkSession, corpus: DataFrame, models: list, strategies: list[str],
                   datasets: list[str], results_path: str, model_names: list[str] | None = None,
-                  **grid_options) -> DataFrame:
+                  predictions_path: str | None = None, sample_size: int = EXPERIMENT_CONFIG["test_sample_size"],
+                  seed: int = EXPERIMENT_CONFIG["random_seed"],
+                  n_examples: int = EXPERIMENT_CONFIG["few_shot_examples"], max_text_length: int = 2000,
+                  timing: str = "wall", texts: DataFrame | None = None, **grid_options) -> DataFrame:
     """Resumable benchmark: cells with a successful document under
-    ``results_path`` are kept, every other cell (missing, failed, corrupt)
-    is run in one grid job and its document rewritten in place.  Scored
-    rows go to a table under the shared checkpoint folder first (unless a
-    ``predictions_path`` is given), so a lost executor never repeats model
-    calls.  Returns the result documents of the whole grid."""
-    import uuid
+    ``results_path`` are kept, every other cell (missing, failed, corrupt) is
+    run and its document rewritten in place.
+
+    Pending cells run in waves, one per model.  A wave's scored rows are
+    written to ``predictions_path`` (default: beside the results, in a folder
+    named by the settings) and its documents right after, so a job that ends
+    early keeps every finished wave, and a rerun takes cells whose rows were
+    all scored without an error from that table and calls no model for them.
+    Returns the result documents of the whole grid."""
+    import hashlib
 
     from ..session import scratch_path
     from ..sources.datasets import _exists
     from ..sources.results import read_results, write_results
 
-    grid_options.setdefault("predictions_path", scratch_path(spark, f"predictions-{uuid.uuid4().hex}"))
-
+    check_strategies(strategies)
+    settings = f"{sample_size}|{seed}|{n_examples}|{max_text_length}|{timing}"
+    predictions_path = predictions_path or (
+        f"{results_path.rstrip('/')}_predictions/{hashlib.md5(settings.encode()).hexdigest()[:12]}")
     done = read_results(spark, results_path) if _exists(spark, results_path) else None
     names = model_names or [m.name for m in models]
     grid = experiment_grid(spark, names, strategies, datasets)
-    pending = pending_cells(grid, done).collect()  # at most one row per experiment
+    pending = [tuple(r) for r in pending_cells(grid, done).select(*KEYS).collect()]  # one row per experiment
     if pending:
-        flat = run_grid(spark, corpus, models, strategies, datasets, done=done, model_names=names, **grid_options)
-        write_results(as_results(flat), results_path)
+        import uuid
+        path = scratch_path(spark, f"drawn-{uuid.uuid4().hex}")
+        drawn_rows(corpus, sample_size, seed, n_examples, texts, len(datasets)).write.parquet(path)
+        drawn = spark.read.parquet(path)
+        expected = {r["dataset"]: r["n"] for r in drawn.where("_test").groupBy("dataset")
+                    .agg(F.count(F.lit(1)).alias("n")).collect()}
+        schema = prediction_schema(corpus)
+        scored = (_scored_cells(read_predictions(spark, predictions_path, schema))
+                  if _exists(spark, predictions_path) else {})
+        for name in names:
+            wave = [c for c in pending if c[0] == name]
+            ready = [c for c in wave if expected.get(c[2]) and scored.get(c) == expected[c[2]]]
+            asked = [c for c in wave if c not in ready]
+            if asked:
+                preds = score_grid(grid_prompts(drawn, _cells(spark, asked), n_examples, max_text_length),
+                                   [m for m in models if m.name == name], timing, grid_options.get("partitions"))
+                write_predictions(preds, predictions_path)
+            if wave:
+                cells = _cells(spark, wave)
+                rows = read_predictions(spark, predictions_path, schema)
+                flat = cell_metrics(rows.join(F.broadcast(cells), KEYS, "left_semi"), cells).withColumn(
+                    "sample_size", F.lit(sample_size).cast("long"))
+                write_results(as_results(flat, models), results_path)
     return read_results(spark, results_path).join(grid.select(*KEYS), KEYS, "left_semi")
+
+
+def prediction_schema(corpus: DataFrame) -> str:
+    """Columns of the scored rows; the keys are text."""
+    return (f"doc_id {corpus.schema['doc_id'].dataType.simpleString()}, label int, prompt string, response string, "
+            "inference_time double, error string, prediction int, model string, strategy string, dataset string")
+
+
+def _cells(spark: SparkSession, cells: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(cells, ", ".join(f"{k} string" for k in KEYS)).coalesce(1)
+
+
+def _scored_cells(predictions: DataFrame) -> dict:
+    """{cell: rows} of cells whose scored rows have no error: one row per experiment."""
+    rows = predictions.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("n"), F.count("error").alias("bad")).collect()
+    return {tuple(r[k] for k in KEYS): r["n"] for r in rows if not r["bad"]}

@@ -44,7 +44,9 @@ FORMATTED = {"accuracy", "precision", "recall", "f1_score", "invalid_rate"}
 def _cell(c: str) -> Column:
     if c in FORMATTED:
         return format_metric(c)
-    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+    # a bar or a line break in an error text would end the table's cell or row
+    plain = F.regexp_replace(F.col(c).cast("string"), r"\s*[\r\n]+\s*", " ")
+    return F.coalesce(F.replace(plain, F.lit("|"), F.lit("\\|")), F.lit(""))
 
 
 def _const(spark: SparkSession, section: int, lines: list[str]) -> DataFrame:

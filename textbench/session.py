@@ -26,7 +26,6 @@ def get_spark(master: str | None = None, app_name: str = "textbench", shuffle_pa
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # few-shot blocks and prompts are long strings; keep Arrow batches modest
         "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-        "spark.sql.sources.partitionOverwriteMode": "dynamic",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -41,14 +40,18 @@ def get_spark(master: str | None = None, app_name: str = "textbench", shuffle_pa
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting must point at shared storage and is only read
-    here.  When it is unset (local tests) a scratch folder is created and
-    registered, so ``DataFrame.checkpoint()`` works there too."""
+    On a cluster that setting must point at shared storage; it is only read
+    here, and an unset one is an error.  A local session may leave it unset: a
+    scratch folder is then created and registered, so that
+    ``DataFrame.checkpoint()`` works in tests, too."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not fallback and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = fallback or tempfile.mkdtemp(prefix="textbench-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -10,11 +10,13 @@ from ..config import LOCAL_FORMATS, dataset_config
 
 
 def read_source(spark: SparkSession, path: str, fmt: str, schema: StructType | str | None = None,
-                multi_line_json: bool = False) -> DataFrame:
+                multi_line_json: bool = False, multi_line_csv: bool = True) -> DataFrame:
     """One scan of a landed file or folder.
 
     * csv: header row, quoted fields may hold newlines (``multiLine`` +
-      ``escape='"'``); give a schema at scale instead of inferring one.
+      ``escape='"'``, one task per file); ``multi_line_csv=False`` states that
+      they do not, and the file is split.  Give a schema at scale instead of
+      inferring one.
     * json: JSON-lines by default (splittable); ``multi_line_json`` for
       whole-file arrays.
     * parquet: columnar, filters and projections reach the scan.
@@ -23,7 +25,7 @@ def read_source(spark: SparkSession, path: str, fmt: str, schema: StructType | s
     if schema is not None:
         r = r.schema(schema)
     if fmt == "csv":
-        r = r.option("header", True).option("multiLine", True).option("escape", '"')
+        r = r.option("header", True).option("multiLine", multi_line_csv).option("escape", '"')
         if schema is None:
             r = r.option("inferSchema", True)
         return r.csv(path)
@@ -41,13 +43,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def load_local_dataset(spark: SparkSession, name: str, data_dir: str, schema=None) -> DataFrame:
+def load_local_dataset(spark: SparkSession, name: str, data_dir: str, schema=None,
+                       multi_line_json: bool = True, multi_line_csv: bool = True) -> DataFrame:
     """First of ``{name}.csv``, ``{name}.json``, ``{name}.parquet`` that exists
-    (checked on the cluster file system), read with :func:`read_source`."""
+    (checked on the cluster file system), read with :func:`read_source`.  The
+    ``multi_line`` options off read line-delimited JSON and plain CSV in splits."""
     for fmt in LOCAL_FORMATS:
         path = f"{data_dir.rstrip('/')}/{name}.{fmt}"
         if _exists(spark, path):
-            return read_source(spark, path, fmt, schema=schema, multi_line_json=(fmt == "json"))
+            return read_source(spark, path, fmt, schema=schema, multi_line_json=multi_line_json,
+                               multi_line_csv=multi_line_csv)
     raise FileNotFoundError(f"Dataset '{name}' not found in {data_dir}; land the file there first.")
 
 
@@ -82,24 +87,43 @@ def apply_label_mapping(df: DataFrame, mapping: dict | None, keep_raw: bool = Tr
     return out.withColumn("label", mapped_label("label", mapping))
 
 
+def content_ids(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    """Ids from the rows' content, the same however the files are split: a 64-bit
+    hash of all columns, and of the copy's number among equal rows (which are
+    interchangeable).  Costs a shuffle of the rows; name an ``id_column`` for
+    large corpora."""
+    columns = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in sorted(df.columns)]
+    w = Window.partitionBy("_h1", "_h2").orderBy(F.lit(0))
+    out = df.withColumns({"_h1": F.xxhash64(*columns), "_h2": F.hash(F.lit(7), *columns)})
+    out = out.withColumn("_copy", F.row_number().over(w))
+    return out.withColumn(name, F.xxhash64("_h1", "_h2", "_copy")).drop("_h1", "_h2", "_copy")
+
+
 def read_dataset(spark: SparkSession, name: str, data_dir: str, registry: dict | None = None,
-                 schema=None) -> DataFrame:
+                 schema=None, **read_options) -> DataFrame:
     """Registry lookup -> landed file -> standard columns -> mapped labels.
 
     Adds ``dataset`` and, when the source has no id column configured, a
-    ``doc_id`` from the file position (stable for the same files)."""
+    ``doc_id`` from the row's content (:func:`content_ids`): samples are the
+    same on every cluster and read."""
     cfg = dataset_config(name, registry)
-    df = load_local_dataset(spark, name, data_dir, schema=schema)
-    df = standardize_columns(df, cfg)
+    df = load_local_dataset(spark, name, data_dir, schema=schema, **read_options)
     id_col = cfg.get("id_column")
     if id_col and id_col in df.columns:
         df = df.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else df
     elif "doc_id" not in df.columns:
-        df = df.withColumn("doc_id", F.monotonically_increasing_id())
-    df = apply_label_mapping(df, cfg.get("label_mapping"))
+        df = content_ids(df)
+    df = apply_label_mapping(standardize_columns(df, cfg), cfg.get("label_mapping"))
     return df.withColumn("dataset", F.lit(name))
 
 
+def unmapped_labels(corpus: DataFrame) -> DataFrame:
+    """(dataset, label_raw, n): raw label values that the map does not cover, with
+    their rows.  These rows are in no sample; this is their report."""
+    return (corpus.where(F.col("label").isNull()).groupBy("dataset", F.col("label_raw").cast("string").alias("label_raw"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 def corpus_from_tables(documents: DataFrame, labels: DataFrame, name: str, config: dict) -> DataFrame:
     """A labelled corpus assembled from a text table and a label table that
     share ``doc_id``: ``dataset, doc_id, text, label``.
@@ -144,12 +168,18 @@ def corpus_keys_from_tables(documents: DataFrame, labels: DataFrame, configs: di
     return labs.join(documents.select("doc_id"), "doc_id", "left_semi").select("dataset", "doc_id", "label")
 
 
-def attach_text(rows: DataFrame, documents: DataFrame, text_column: str = "text") -> DataFrame:
-    """Texts for a bounded set of rows (a sample, few-shot examples): the rows
-    are broadcast and the text table is only streamed past them (broadcast
-    hash join, no shuffle of the texts)."""
+#: Most rows that are broadcast to attach texts to them.
+MOST_BROADCAST = 1_000_000
+
+
+def attach_text(rows: DataFrame, documents: DataFrame, text_column: str = "text", at_most: int | None = None) -> DataFrame:
+    """Texts for drawn rows (a sample, few-shot examples).  With ``at_most``, the
+    caller's bound on their number, up to ``MOST_BROADCAST`` they are broadcast
+    and the text table is only streamed past them; otherwise the planner chooses
+    the join.  The result is the same."""
     docs = documents.select("doc_id", F.col(text_column).alias("text"))
-    return docs.join(F.broadcast(rows), "doc_id").select(*rows.columns, "text")
+    few = at_most is not None and at_most <= MOST_BROADCAST
+    return docs.join(F.broadcast(rows) if few else rows, "doc_id").select(*rows.columns, "text")
 
 
 def union_corpora(frames: list[DataFrame]) -> DataFrame:

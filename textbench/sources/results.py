@@ -2,9 +2,11 @@
 
 Results are JSON documents partitioned by ``model/strategy/dataset``: one
 folder per experiment, rewritten in place by dynamic partition overwrite,
-so a rerun replaces exactly the cells it recomputed.  Reading is tolerant:
-an undecodable document is kept as ``_corrupt_record`` and treated as "not
-done" (its cell is rerun), never as a failure of the whole read.
+so a rerun replaces exactly the cells it recomputed.  Documents kept flat, one
+indented JSON file per experiment with the keys in the body, are read as well
+(:func:`read_flat_results`).  Reading is tolerant: an undecodable document is
+kept as ``_corrupt_record`` and treated as "not done" (its cell is rerun),
+never as a failure of the whole read; :func:`corrupt_documents` lists them.
 """
 
 from __future__ import annotations
@@ -36,18 +38,29 @@ METRICS_TYPE = T.StructType([
     T.StructField("training_time", T.DoubleType()),
 ])
 
+#: What a baseline run used: settings, and what the optimiser did.
 TRAINING_CONFIG_TYPE = T.StructType([
-    T.StructField("num_epochs", T.IntegerType()),
-    T.StructField("batch_size", T.IntegerType()),
-    T.StructField("eval_batch_size", T.IntegerType()),
-    T.StructField("max_length", T.IntegerType()),
-    T.StructField("warmup_steps", T.IntegerType()),
-    T.StructField("weight_decay", T.DoubleType()),
-    T.StructField("learning_rate", T.DoubleType()),
+    T.StructField("classifier", T.StringType()),
+    T.StructField("num_features", T.IntegerType()),
+    T.StructField("reg_param", T.DoubleType()),
+    T.StructField("max_iterations", T.IntegerType()),
+    T.StructField("iterations", T.IntegerType()),
+    T.StructField("converged", T.BooleanType()),
+    T.StructField("validation_f1", T.DoubleType()),
     T.StructField("seed", T.IntegerType()),
     T.StructField("test_size", T.DoubleType()),
 ])
 
+#: The generation options a model was called with.
+GENERATION_TYPE = T.StructType([
+    T.StructField("max_new_tokens", T.IntegerType()),
+    T.StructField("temperature", T.DoubleType()),
+    T.StructField("top_p", T.DoubleType()),
+    T.StructField("do_sample", T.BooleanType()),
+    T.StructField("repetition_penalty", T.DoubleType()),
+    T.StructField("backend_name", T.StringType()),
+])
+
 # document body; the three keys come from the partition folders
 DOCUMENT_SCHEMA = T.StructType([
     T.StructField("sample_size", T.LongType()),
@@ -55,6 +68,7 @@ DOCUMENT_SCHEMA = T.StructType([
     T.StructField("error", T.StringType()),
     T.StructField("metrics", METRICS_TYPE),
     T.StructField("training_config", TRAINING_CONFIG_TYPE),
+    T.StructField("generation", GENERATION_TYPE),
     T.StructField("_corrupt_record", T.StringType()),
 ])
 
@@ -81,23 +95,11 @@ def conform(results: DataFrame) -> DataFrame:
 def write_results(results: DataFrame, path: str) -> None:
     """One JSON document per experiment under ``model=/strategy=/dataset=``;
     only the partitions present in ``results`` are replaced."""
-    spark = results.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     (conform(results).repartition(*KEYS).write.mode("overwrite").partitionBy(*KEYS)
-     .option("ignoreNullFields", "false").json(path))
+     .option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").json(path))
 
 
-def read_results(spark: SparkSession, path: str, include_corrupt: bool = False) -> DataFrame:
-    """All result documents under ``path`` with the key columns restored
-    from the folders.  Undecodable documents are dropped (they count as not
-    done) unless ``include_corrupt``."""
-    df = (spark.read.schema(DOCUMENT_SCHEMA).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").option("basePath", path).json(path))
-    # partition values come back as strings
-    df = df.select(*[F.col(k).cast("string").alias(k) for k in KEYS],
-                   *[c for c in DOCUMENT_SCHEMA.fieldNames()])
-    if include_corrupt:
-        return df
+def _without_corrupt(df: DataFrame) -> DataFrame:
     # Spark refuses scans whose only needed column is the corrupt-record
     # column (e.g. under count()); the always-true length test keeps a data
     # column in the scan without changing the result
@@ -105,6 +107,32 @@ def read_results(spark: SparkSession, path: str, include_corrupt: bool = False)
     return df.where(ok).drop("_corrupt_record")
 
 
+def read_results(spark: SparkSession, path: str, include_corrupt: bool = False) -> DataFrame:
+    """All result documents under ``path`` with the key columns restored
+    from the folders, as text (a dataset ``007`` stays ``007``).  Undecodable
+    documents are dropped (they count as not done) unless ``include_corrupt``."""
+    schema = T.StructType(DOCUMENT_SCHEMA.fields + [T.StructField(k, T.StringType()) for k in KEYS])
+    df = (spark.read.schema(schema).option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", "_corrupt_record").option("basePath", path).json(path))
+    df = df.select(*KEYS, *DOCUMENT_SCHEMA.fieldNames())
+    return df if include_corrupt else _without_corrupt(df)
+
+
+def read_flat_results(spark: SparkSession, path: str, include_corrupt: bool = False) -> DataFrame:
+    """Result documents kept flat: JSON files, indented or not, one document
+    each, with ``model``, ``strategy`` and ``dataset`` in the body."""
+    schema = T.StructType([T.StructField(k, T.StringType()) for k in KEYS] + DOCUMENT_SCHEMA.fields)
+    df = (spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", True)
+          .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+    return df if include_corrupt else _without_corrupt(df)
+
+
+def corrupt_documents(results: DataFrame) -> DataFrame:
+    """Keys and text of undecodable documents, of a read with ``include_corrupt``."""
+    return (results.select(*KEYS, "timestamp", "_corrupt_record").where(F.col("_corrupt_record").isNotNull())
+            .drop("timestamp"))
+
+
 def successful_results(spark: SparkSession, path: str) -> DataFrame:
     return read_results(spark, path).where(F.col("error").isNull())
 
@@ -126,9 +154,13 @@ def write_scored(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def latest_results(results: DataFrame, successful_only: bool = True) -> DataFrame:
-    """Newest document per experiment in an append-only result table
-    (ISO timestamps sort as text); ties broken by the error-free one."""
+    """Newest document per experiment in an append-only result table (ISO
+    timestamps sort as text).  Among documents of one time a successful one
+    goes before a failed one, then the larger sample."""
     from pyspark.sql import Window
     r = results.where(F.col("error").isNull()) if successful_only else results
-    w = Window.partitionBy(*KEYS).orderBy(F.desc_nulls_last("timestamp"), F.col("error").isNotNull())
+    order = [F.desc_nulls_last("timestamp"), F.col("error").isNotNull()]
+    if "sample_size" in results.columns:
+        order.append(F.desc_nulls_last("sample_size"))
+    w = Window.partitionBy(*KEYS).orderBy(*order)
     return r.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

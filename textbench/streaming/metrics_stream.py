@@ -3,7 +3,7 @@
 A long benchmark writes scored rows batch by batch (for example one folder
 per experiment, as ``run_grid(predictions_path=...)`` does).  This module
 reads that folder as a stream and keeps the per-experiment counters as a
-streaming aggregate, so the metric documents of every experiment are
+streaming aggregate, so the running metrics of every experiment are
 refreshed as rows arrive, without rescanning finished batches.  The
 counters are additive, which is what makes the aggregate incremental;
 state is one row of longs per experiment.
@@ -53,9 +53,9 @@ def streaming_cell_metrics(scored: DataFrame) -> DataFrame:
 def start_metrics_stream(spark: SparkSession, scored_path: str, sink, name: str = "cell_metrics",
                          trigger_seconds: int | None = None):
     """Start the stream; ``sink(batch_df, epoch_id)`` receives the full
-    current table of experiment metrics each micro-batch (for example a
-    call to :func:`textbench.sources.results.write_results`).  The
-    checkpoint lives under the session's shared checkpoint folder."""
+    current table of experiment metrics each micro-batch, for display or a
+    progress table.  These are running figures: result documents, which mark a
+    cell as done, are written by the benchmark alone.  The checkpoint lives under the session's shared checkpoint folder."""
     ckpt = os.path.join(checkpoint_dir(spark), f"stream-{name}")
     q = (streaming_cell_metrics(scored_stream(spark, scored_path))
          .writeStream.outputMode("complete").option("checkpointLocation", ckpt)
@@ -63,16 +63,3 @@ def start_metrics_stream(spark: SparkSession, scored_path: str, sink, name: str
     if trigger_seconds:
         q = q.trigger(processingTime=f"{trigger_seconds} seconds")
     return q.start()
-
-
-def results_sink(path: str, sample_size: int | None = None):
-    """``foreachBatch`` function writing each micro-batch's experiment metrics
-    as result documents (only the experiments in the batch are rewritten)."""
-    from ..plans.grid import as_results
-    from ..sources.results import write_results
-
-    def sink(batch: DataFrame, epoch_id: int) -> None:
-        flat = batch.withColumn("sample_size", F.lit(sample_size).cast("long"))
-        write_results(as_results(flat), path)
-
-    return sink
