@@ -8,6 +8,7 @@ from .language_model import op8_language_model
 from .license_scan import op6_license_scan
 from .line_quality import op1_line_frequency
 from .minhash import op3_minhash
+from .oracle import ORACLE
 from .pii import op9_pii
 from .quality_bayes import op2_quality_bayes
 from .substring_dedup import op10_substring_dedup
@@ -33,5 +34,4 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-#: DuckDB SQL for the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
