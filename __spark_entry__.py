@@ -128,7 +128,8 @@ def q_x2_simple_sample(spark, sf):
 
 
 def q_x4_balanced_examples(spark, sf):
-    ex = sampling.balanced_few_shot_examples(_keys(spark, sf), SAMPLE_SIZE, N_EXAMPLES, SEED)
+    # the smallest test tables leave a class without rows: the query shows what is there
+    ex = sampling.balanced_few_shot_examples(_keys(spark, sf), SAMPLE_SIZE, N_EXAMPLES, SEED, strict=False)
     return ex.select("dataset", "doc_id", "label", "example_rank")
 
 

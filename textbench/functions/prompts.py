@@ -254,13 +254,12 @@ def classification_prompt(df: DataFrame, strategy: str = "zero_shot", examples:
                           max_length: int = 2000, text_col: str = "text") -> DataFrame:
     """Convenience wrapper: add a ``prompt`` column to ``df``.  Few-shot
     examples (a small frame with ``text``, ``label`` and an order column
-    ``example_rank``) are collapsed into one block and broadcast."""
+    ``example_rank``) are collapsed into one block."""
     if strategy == "few_shot":
         if examples is None:
             raise ValueError("Few-shot prompts need examples.")
-        # one block row, attached by an equi-join on a constant key
-        block = few_shot_block(examples, max_text_length=max_length).select(F.lit(1).alias("_k"), "examples_text")
-        df = df.withColumn("_k", F.lit(1)).join(F.broadcast(block), "_k", "left")
-        return df.withColumn("prompt", build_prompt(text_col, strategy, "examples_text", max_length)).drop(
-            "examples_text", "_k")
+        # one block (at most the given examples), as a scalar subquery: no join
+        block = few_shot_block(examples, max_text_length=max_length).select("examples_text").scalar()
+        out = df.withColumn("_examples", block)
+        return out.withColumn("prompt", build_prompt(text_col, strategy, "_examples", max_length)).drop("_examples")
     return df.withColumn("prompt", build_prompt(text_col, strategy, None, max_length))

@@ -178,9 +178,10 @@ def sample_with_examples(corpus: DataFrame, sample_size: int, n_examples: int, s
 
 
 def balanced_few_shot_examples(corpus: DataFrame, test: DataFrame | int | None = None, n_examples: int = 3,
-                               seed: int = 42, by: list[str] | None = None) -> DataFrame:
+                               seed: int = 42, by: list[str] | None = None, strict: bool = True) -> DataFrame:
     """``max(1, n_examples // 2)`` rows per class outside the test set, ordered
-    by key across classes.  A group where a class has fewer rows is an error."""
+    by key across classes.  A group where a class has fewer rows is an error;
+    with ``strict`` off such a group gives the rows it has."""
     by = list(by or ["dataset"])
     k = max(1, n_examples // 2)
     if test is None:
@@ -189,13 +190,12 @@ def balanced_few_shot_examples(corpus: DataFrame, test: DataFrame | int | None =
         pool = example_pool(corpus, test, seed, by)
     else:
         pool = with_key(labelled(exclude(corpus, test, by + ["doc_id"])), seed)
-    found = {}
-    for r in class_counts(pool, by).collect():  # one row per group and class
-        found.setdefault(tuple(r[c] for c in by), {})[r["label"]] = r["n_class"]
-    groups = {tuple(r) for r in corpus.select(*by).distinct().collect()}
-    short = sorted((str(g), lab, found.get(g, {}).get(lab, 0)) for g in groups for lab in (0, 1)
-                   if found.get(g, {}).get(lab, 0) < k)
-    if short:
+    if strict:
+        found = _class_sizes(pool, by)
+        groups = {tuple(r) for r in corpus.select(*by).distinct().collect()}
+        short = sorted((str(g), lab, found.get(g, {}).get(lab, 0)) for g in groups for lab in (0, 1)
+                       if found.get(g, {}).get(lab, 0) < k)
+    if strict and short:
         raise ValueError(f"too few rows for {k} example(s) per class: " + ", ".join(
             f"{g} class {lab} has {n}" for g, lab, n in short))
     return rank_in_group(first_n_by_key(pool, by + ["label"], k), by, name="example_rank")
