@@ -9,15 +9,20 @@ an avalanche mix; prefix sums give the hash of every span at once.
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# functions travel to the Python workers by value: executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INV = pow(_BASE, -1, 2**64)
