@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, U64, Words, documents, mix, pieces, span_hashes, text_bytes, written
 
 MOST_LABELS = 50_000
-#: Significance that a feature's log odds need, and how many features are used.
-MIN_Z, MOST_FEATURES = 4.0, 20_000
+#: Significance that a feature's shares in the classes need, and how many features are used.
+MIN_Z, MOST_FEATURES = 5.0, 20_000
+#: Evidence is kept within these bounds: many rare words of one copied text say no more than that.
+MOST_EVIDENCE = 50.0
 SMOOTH = 0.5
 TARGETS = ("quality", "toxic")
 
@@ -101,19 +103,27 @@ class Evidence:
             return np.zeros(n)
         place = np.minimum(np.searchsorted(self.feature, features), len(self.feature) - 1)
         hit = self.feature[place] == features
-        return np.bincount(rows[hit], self.weight[place[hit]], n)
+        return np.clip(np.bincount(rows[hit], self.weight[place[hit]], n), -MOST_EVIDENCE, MOST_EVIDENCE)
 
     def calibrate(self, evidence: np.ndarray, label: np.ndarray, count: np.ndarray) -> None:
-        """A logistic curve of the evidence, by Newton steps over its bins."""
+        """A logistic curve of the evidence, its slope drawn towards one: Newton
+        steps over the bins, halved until the (concave) likelihood grows."""
+        def likelihood(a, b):
+            odds = a * evidence + b
+            return -np.sum(count * (np.logaddexp(0, odds) - label * odds)) - (a - 1) ** 2 / 2
+
         a, b = self.slope, self.prior
-        for _ in range(50):
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(a * evidence + b, -30, 30)))
-            slack, w = count * (label - p), count * p * (1 - p) + 1e-9
-            h = np.array([[np.sum(w * evidence**2) + 1, np.sum(w * evidence)], [np.sum(w * evidence), np.sum(w) + 1e-6]])
+            slack, w = count * (label - p), count * p * (1 - p)
+            h = np.array([[np.sum(w * evidence**2) + 1, np.sum(w * evidence)],
+                          [np.sum(w * evidence), np.sum(w) + 1e-6]])
             step = np.linalg.solve(h, [np.sum(slack * evidence) + 1 - a, np.sum(slack)])
-            a, b = a + np.clip(step[0], -1, 1), b + np.clip(step[1], -2, 2)
-            if np.abs(step).max() < 1e-9:
+            while np.abs(step).max() > 1e-9 and not likelihood(a + step[0], b + step[1]) > likelihood(a, b):
+                step = step / 2
+            if np.abs(step).max() <= 1e-9:
                 break
+            a, b = a + step[0], b + step[1]
         self.slope, self.prior = float(a), float(b)
 
 
@@ -148,9 +158,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> dict[str
         n1, n0 = total[target]["a"] or 0, total[target]["b"] or 0
         a = F.log((F.col("n1") + SMOOTH) / (n1 - F.col("n1") + SMOOTH))
         b = F.log((F.col("n0") + SMOOTH) / (n0 - F.col("n0") + SMOOTH))
-        spread = F.sqrt(1 / (F.col("n1") + SMOOTH) + 1 / (F.col("n0") + SMOOTH))
+        # two shares compared, with their common share's spread
+        common = (F.col("n1") + F.col("n0") + SMOOTH) / (n1 + n0 + 2 * SMOOTH)
+        spread = F.sqrt(common * (1 - common) * (1 / (n1 + SMOOTH) + 1 / (n0 + SMOOTH)))
+        gap = F.abs(F.col("n1") / (n1 + SMOOTH) - F.col("n0") / (n0 + SMOOTH))
         chosen = (counts.where(F.col("target") == target).withColumn("weight", a - b)
-                  .withColumn("z", F.abs("weight") / spread).where(F.col("z") >= MIN_Z)
+                  .withColumn("z", gap / spread).where(F.col("z") >= MIN_Z)
                   .orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).select("feature", "weight").toPandas())
         if not (n1 and n0):
             chosen = chosen.iloc[:0]
@@ -161,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS) -> dict[str
     for target in TARGETS:
         # evidence rounded to bins: a bounded number of rows
         bins = (scored.where(F.col(target).isNotNull()).groupBy(
-                    F.round(F.greatest(F.least(f"e_{target}", F.lit(50.0)), F.lit(-50.0)), 1).alias("e"))
+                    F.round(f"e_{target}", 1).alias("e"))
                 .agg(F.avg(target).alias("share"), F.count(F.lit(1)).alias("n")).toPandas())
         if len(bins) and 0 < (bins["share"] * bins["n"]).sum() < bins["n"].sum():
             out[target].calibrate(bins["e"].to_numpy(), bins["share"].to_numpy(), bins["n"].to_numpy(float))
