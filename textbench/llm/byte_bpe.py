@@ -10,7 +10,9 @@ the two parts that the merge joins.
 
 Documents are dealt into blocks; each block names its distinct pieces, Spark
 encodes every distinct piece of the corpus, and each block gets the ids of its
-own pieces back.  No dictionary is broadcast or collected.
+own pieces back.  No dictionary is broadcast or collected.  What is dealt out
+travels in compressed packs: texts with the lengths of their pieces, sorted
+pieces, and ids in the order of the pieces they answer.
 
 Pieces of up to 62 bytes keep their borders in the bits of a long; longer ones
 fold over an array of parts, which takes time quadratic in the piece's length.
@@ -34,10 +36,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, block_of, documents, ragged, text_size
+from .common import U64, block_count, block_of, documents, ragged, span_hashes, text_bytes, text_size
 
 #: Bytes of text in a block: larger blocks repeat fewer pieces and need more memory.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+#: Bytes of text that a task gathers before it packs them by block.
+GATHER_BYTES = 12 << 20
+LEVEL = 6
 BUCKETS = 1 << 16
 _LONGEST_BITS = 62
 _NONE = 2**31 - 1
@@ -104,91 +109,229 @@ def fold_sql(ranks: dict[bytes, int], piece: str = "piece") -> str:
     return f"transform(array({table}), m -> transform(array(hex(cast({piece} as binary))), h -> {ids})[0])[0]"
 
 
-def _distinct(batches):
-    """Distinct pieces of each block in a partition."""
-    found: dict[int, pa.Array] = {}
-    for batch in batches:
-        blocks = batch.column("block").to_numpy(zero_copy_only=False)
+# --------------------------------------------------------------------------- packs
+
+def _pack(table: pa.Table | pa.RecordBatch) -> bytes:
+    import zstandard
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write(table)
+    return zstandard.ZstdCompressor(level=LEVEL).compress(sink.getvalue())
+
+
+def _unpack(blob: bytes) -> pa.Table:
+    import zstandard
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_all()
+
+
+def _byte_planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _strings(sizes: np.ndarray, data: bytes) -> pa.LargeStringArray:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(data))
+
+
+def _pack_documents(batches):
+    """Rows (block, doc_id, pieces) to packs, one for each block of what was gathered."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def flush():
+        table = pa.Table.from_batches(held)
+        blocks = table["block"].to_numpy()
         for block in np.unique(blocks):
-            words = batch.column("pieces").filter(pa.array(blocks == block)).flatten()
-            words = pc.unique(words)
-            found[block] = pc.unique(pa.concat_arrays([found[block], words])) if block in found else words
-    for block, words in found.items():
-        for begin in range(0, len(words), 20_000):
-            part = words.slice(begin, 20_000)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), part.cast(pa.string())],
-                                             ["block", "piece"])
-
-
-def _replace(docs: pa.Table, encoded: pa.Table) -> pa.Table:
-    """Ids of each document from the ids of its block's pieces."""
-    out = []
-    pieces_of = encoded["piece"].combine_chunks()
-    ids = encoded["ids"].combine_chunks()
+            rows = table.filter(pa.array(blocks == block))
+            pieces = rows["pieces"].combine_chunks()
+            data, ends = text_bytes(pieces.flatten())
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "pack": pa.array([_pack(
+                pa.RecordBatch.from_pydict({
+                    "doc_id": pa.array([rows["doc_id"].to_pylist()], pa.list_(pa.int64())),
+                    "counts": pa.array([_byte_planes(np.diff(np.asarray(pieces.offsets)))], pa.binary()),
+                    "sizes": pa.array([_byte_planes(np.diff(ends))], pa.binary()),
+                    "data": pa.array([data.tobytes()], pa.large_binary())}))], pa.binary())})
+
+    for batch in batches:
+        for part in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            held.append(part)
+            size += part.nbytes
+            if size >= GATHER_BYTES:
+                yield from flush()
+                held, size = [], 0
+    if held:
+        yield from flush()
+
+
+def _documents(table: pa.Table):
+    """(doc_ids, counts, pieces) of each pack of a block."""
+    for blob in table["pack"]:
+        row = _unpack(blob.as_py()).to_pylist()[0]
+        yield row["doc_id"], _from_planes(row["counts"]), _strings(_from_planes(row["sizes"]), row["data"])
+
+
+def _unique(parts: list[pa.Array]) -> pa.LargeStringArray:
+    return pc.unique(pa.concat_arrays([pa.array([], pa.large_string()), *parts]))
+
+
+def _by_bucket(table: pa.Table, buckets: int) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """A block's distinct pieces, sorted within hash buckets, and the buckets' bounds."""
+    distinct = _unique([pc.unique(pieces) for _, _, pieces in _documents(table)])
+    distinct = distinct.take(pc.sort_indices(distinct))
+    data, ends = text_bytes(distinct)
+    bucket = (((span_hashes(data, ends[:-1], ends[1:]) >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return distinct.take(pa.array(order)), np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _name(buckets: int):
+    def name(table: pa.Table) -> pa.Table:
+        pieces, cut = _by_bucket(table, buckets)
+        sent = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+        return pa.table({
+            "bucket": pa.array(sent, pa.int32()),
+            "block": pa.array([table["block"][0].as_py()] * len(sent), pa.int32()),
+            "pack": pa.array([_pack(pa.table({"piece": pieces.slice(cut[b], cut[b + 1] - cut[b])})) for b in sent],
+                             pa.binary())})
+    return name
+
+
+def _asked(table: pa.Table) -> list[pa.LargeStringArray]:
+    """The pieces of each pack of a bucket."""
+    return [_unpack(blob.as_py())["piece"].combine_chunks() for blob in table["pack"]]
+
+
+def _distinct(table: pa.Table) -> pa.Table:
+    """All distinct pieces of a bucket."""
+    distinct = _unique(_asked(table))
+    return pa.table({"bucket": pa.array(np.full(len(distinct), table["bucket"][0].as_py()), pa.int32()),
+                     "piece": distinct.cast(pa.string())})
+
+
+def _gather(ids: pa.ListArray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists at ``place``: their sizes and their values one after the other."""
     flat, at = ids.flatten().to_numpy(zero_copy_only=False), np.asarray(ids.offsets)
-    at = at - at[0] if len(at) else np.zeros(1, np.int32)
-    for batch in docs.to_batches(max_chunksize=500):
-        words = batch.column("pieces")
-        place = pc.index_in(words.flatten(), value_set=pieces_of).to_numpy(zero_copy_only=False).astype(np.int64)
-        size = (at[1:] - at[:-1])[place] if len(place) else np.zeros(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(size)])
-        chosen = flat[np.repeat(at[place] - ends[:-1], size) + np.arange(ends[-1])] if len(place) else flat[:0]
-        bounds = np.asarray(words.offsets)
-        out.append(pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), ragged(ends[bounds - bounds[0]], chosen.astype(np.int32), pa.int32())],
-            ["doc_id", "ids"]))
-    return pa.Table.from_batches(out, pa.schema([("doc_id", docs.schema.field("doc_id").type),
-                                                 ("ids", pa.list_(pa.int32()))]))
+    at = at - at[0] if len(at) else np.zeros(1, np.int64)
+    size = (at[1:] - at[:-1])[place].astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return size, flat[np.repeat(at[place] - ends[:-1], size) + np.arange(ends[-1])] if len(place) else flat[:0]
+
+
+def _answer(named: pa.Table, encoded: pa.Table) -> pa.Table:
+    """To each block of a bucket the ids of its pieces, in their order."""
+    ids, pieces = encoded["ids"].combine_chunks(), encoded["piece"].combine_chunks().cast(pa.large_string())
+    asked = _asked(named)
+    place = pc.index_in(pa.concat_arrays(asked), value_set=pieces).to_numpy(zero_copy_only=False)
+    cut, packs = np.cumsum([0] + [len(a) for a in asked]), []
+    for a, b in zip(cut, cut[1:]):
+        size, values = _gather(ids, place[a:b])
+        packs.append(_pack(pa.RecordBatch.from_pydict({"sizes": pa.array([_byte_planes(size)], pa.binary()),
+                                                       "ids": pa.array([_byte_planes(values)], pa.binary())})))
+    return pa.table({"block": named["block"], "bucket": named["bucket"], "pack": pa.array(packs, pa.binary())})
+
+
+def _replace(buckets: int, then):
+    def replace(table: pa.Table, answers: pa.Table) -> pa.Table:
+        pieces, cut = _by_bucket(table, buckets)
+        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for _, blob in sorted(zip(answers["bucket"].to_pylist(), answers["pack"].to_pylist())):
+            row = _unpack(blob).to_pylist()[0]
+            sizes.append(_from_planes(row["sizes"]))
+            ids.append(_from_planes(row["ids"]))
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        coded = ragged(ends, np.concatenate(ids).astype(np.int32), pa.int32())
+        out = []
+        for doc_ids, counts, own in _documents(table):
+            size, values = _gather(coded, pc.index_in(own, value_set=pieces).to_numpy(zero_copy_only=False))
+            ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+            out.append(then(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), ragged(ends, values, pa.int32())],
+                                                       ["doc_id", "ids"])))
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_batches(out)
+    return replace
+
+
+def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int, then, schema: str) -> DataFrame:
+    blocks = block_count(text_size(docs), block_bytes)
+    packs = docs.select(block_of("doc_id", blocks).alias("block"), F.col("doc_id").cast("long").alias("doc_id"),
+                        split_pieces("text", pattern).alias("pieces")).mapInArrow(
+        _pack_documents, "block int, pack binary")
+    dealt = packs.repartition(blocks, "block")
+    named = dealt.groupBy("block").applyInArrow(_name(blocks), "bucket int, block int, pack binary").repartition(
+        blocks, "bucket")
+    distinct = named.groupBy("bucket").applyInArrow(_distinct, "bucket int, piece string")
+    encoded = distinct.select("bucket", "piece", F.expr(fold_sql(ranks)).alias("ids"))
+    answers = named.groupBy("bucket").cogroup(encoded.groupBy("bucket")).applyInArrow(
+        _answer, "block int, bucket int, pack binary")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_replace(blocks, then), schema)
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, ids): the ids of each whole text."""
-    blocks = block_count(text_size(docs), block_bytes)
-    parts = max(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
-                        block_of("doc_id", blocks).alias("block")).repartition(blocks, "block")
-    split = dealt.select("block", "doc_id", split_pieces("text", pattern).alias("pieces"))
-    named = split.mapInArrow(_distinct, "block int, piece string").repartition(parts, "piece")
-    encoded = named.select("piece").distinct().select("piece", F.expr(fold_sql(ranks)).alias("ids"))
-    answers = named.join(encoded, "piece").select("block", "piece", "ids")
-    return split.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _replace, "doc_id long, ids array<int>")
+    return _coded(docs, ranks, pattern, block_bytes, lambda batch: batch, "doc_id long, ids array<int>")
+
+
+DECODED = "doc_id long, n_tokens long, raw binary, decoded binary"
+
+
+def _decoder(ranks: dict[bytes, int]):
+    by_id = sorted(ranks.items(), key=lambda item: item[1])
+    data = np.frombuffer(b"".join(token for token, _ in by_id), np.uint8)
+    sizes = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+    sizes[[rank for _, rank in by_id]] = [len(token) for token, _ in by_id]
+    starts = np.cumsum(sizes) - sizes
+
+    def decode_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column("ids")
+        flat, at = ids.flatten().to_numpy(zero_copy_only=False), np.asarray(ids.offsets)
+        at = at - at[0]
+        size = sizes[flat]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        text = data[np.repeat(starts[flat] - ends[:-1], size) + np.arange(ends[-1])]
+        return pa.RecordBatch.from_arrays([
+            batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), _binary(4 * at.astype(np.int64), flat.astype("<u4")),
+            _binary(ends[at], text)], ["doc_id", "n_tokens", "raw", "decoded"])
+    return decode_batch
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(doc_id, ids, decoded): the binary pieces of the ids, concatenated."""
-    pieces_by_id = {rank: token for token, rank in ranks.items()}
+    """(doc_id, n_tokens, raw, decoded): the ids as little-endian unsigned 32-bit
+    integers, and the binary pieces of the ids, concatenated."""
+    decode_batch = _decoder(ranks)
 
     def run(batches):
         for batch in batches:
-            texts = [b"".join(map(pieces_by_id.__getitem__, ids or ())) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.binary())],
-                                             ["doc_id", "ids", "decoded"])
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+            for begin in range(0, batch.num_rows, 200):
+                yield decode_batch(batch.slice(begin, 200))
+    return encoded.select("doc_id", "ids").mapInArrow(run, DECODED)
 
 
-def _little_endian(batches):
-    for batch in batches:
-        ids = batch.column("ids")
-        flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        at = np.asarray(ids.offsets) - np.asarray(ids.offsets)[0]
-        raw = [flat[a:b].tobytes() for a, b in zip(at, at[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at), pa.int64()),
-                                          pa.array(raw, pa.binary()), batch.column("decoded")],
-                                         ["doc_id", "n_tokens", "raw", "decoded"])
+def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str,
+                      block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """:func:`decode` of :func:`encode`, in one task for each block."""
+    return _coded(docs, ranks, pattern, block_bytes, _decoder(ranks), DECODED)
+
+
+def _binary(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Binary values of a few rows from one buffer."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [
+        None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def digests(decoded: DataFrame) -> DataFrame:
-    raw = decoded.mapInArrow(_little_endian, "doc_id long, n_tokens long, raw binary, decoded binary")
-    return raw.select("doc_id", "n_tokens", F.sha2("raw", 256).alias("ids_sha256"),
-                      F.sha2("decoded", 256).alias("decoded_sha256"))
+    return decoded.select("doc_id", "n_tokens", F.sha2("raw", 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """Encoded and decoded again with the public vocabulary; digests of both."""
     import public_tokenizers
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return digests(decode(encode(docs, ranks, public_tokenizers.PATTERN), ranks))
+    return digests(encode_and_decode(docs, ranks, public_tokenizers.PATTERN))
 
 
 def op4_byte_bpe(spark, sf_dir):
