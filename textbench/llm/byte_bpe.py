@@ -43,7 +43,7 @@ BLOCK_BYTES = 8 << 20
 #: Bytes of text that a task gathers before it packs them by block.
 GATHER_BYTES = 12 << 20
 LEVEL = 6
-BUCKETS = 1 << 16
+BUCKETS = 1 << 13
 _LONGEST_BITS = 62
 _NONE = 2**31 - 1
 
@@ -256,6 +256,9 @@ def _replace(buckets: int, then):
 
 
 def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int, then, schema: str) -> DataFrame:
+    # the literal map makes a plan's printed form megabytes long, which the driver
+    # keeps for each run of it: print the beginning only
+    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", "100000")
     blocks = block_count(text_size(docs), block_bytes)
     packs = docs.select(block_of("doc_id", blocks).alias("block"), F.col("doc_id").cast("long").alias("doc_id"),
                         split_pieces("text", pattern).alias("pieces")).mapInArrow(
