@@ -10,9 +10,12 @@ segments of whole documents in ascending ``doc_id`` order (shard, segment,
 document ids, token counts, control bytes, data bytes), ``ranks`` the id of
 each rank.
 
-A text is tokenized by its distinct space-separated words: the tokenizer drops
-white space and never looks across it, so the ids are those of the whole text.
-Its own special tokens are recognised in texts, as the library does by default.
+A text is tokenized by its distinct words, each of them once in a task: the
+tokenizer lowers case, drops white space and never looks across it, nor across
+the border of a letter or digit and punctuation after it, so the ids are those of
+the whole text.  Words of letters only are encoded many at a time, where the
+tokens that end a word tell them apart.  The tokenizer's special tokens are
+recognised in texts, as the library does by default.
 
 Null or empty text: the end id alone.  Null ``doc_id``: before all others.
 Rows that share a ``doc_id`` are written one after the other.  An empty table
@@ -29,11 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, block_count, documents, pieces, ragged, shared_path, text_bytes, text_size
+from .common import (LOWER, Words, block_count, documents, pieces, ragged, shared_path, span_hashes, text_bytes,
+                     text_size)
 
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 2 << 20
 SHARD_BYTES = 16 << 20
 END_ID = 2
+#: Most segments whose starts are broadcast when files are read (about 40 bytes each).
+MOST_BROADCAST = 1_000_000
 
 #: Code lengths of the four codes that a control byte describes.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
@@ -50,19 +56,103 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
-def tokenize(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+_TAIL = np.zeros(256, bool)
+_TAIL[list(b".,;:!?")] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[list(range(48, 58)) + list(range(97, 123))] = True
+
+
+def _units(words: Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans to encode, words without punctuation at their end and that
+    punctuation, and each word's first unit."""
+    starts, ends = words.starts, words.ends.copy()
+    for _ in range(4):
+        ends -= _TAIL[data[ends - 1]] & (ends - starts > 1)
+    cut = (ends < words.ends) & _PLAIN[data[ends - 1]]
+    ends = np.where(cut, ends, words.ends)
+    first = np.arange(len(starts)) + np.cumsum(cut) - cut
+    unit_starts, unit_ends = (np.empty(len(starts) + int(cut.sum()), np.int64) for _ in range(2))
+    unit_starts[first], unit_ends[first] = starts, ends
+    unit_starts[first[cut] + 1], unit_ends[first[cut] + 1] = ends[cut], words.ends[cut]
+    return unit_starts, unit_ends, np.append(first, len(unit_starts))
+
+
+class WordIds:
+    """Ids of words, remembered within a task (forgotten beyond ``most``)."""
+
+    def __init__(self, path: str, most: int = 1_000_000):
+        self.tokenizer, self.most = _tokenizer(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self):
+        self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.bounds, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of new words."""
+        plain = np.array([t.isalpha() and t.lower().isalpha() for t in texts], bool)
+        order, sizes, ids = [], [], []
+        joined = np.flatnonzero(plain)
+        parts = [joined[i:i + 1000] for i in range(0, len(joined), 1000)]
+        rest = [np.flatnonzero(~plain)]
+        coded = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in part]) for part in parts],
+                                                 add_special_tokens=False)
+        for part, c in zip(parts, coded):
+            own = np.array(c.ids, np.uint32)
+            last = np.flatnonzero(self.ends[own])
+            if len(last) == len(part):
+                order.append(part)
+                sizes.append(np.diff(last, prepend=-1))
+                ids.append(own)
+            else:  # a word that the tokenizer splits after all
+                rest.append(part)
+        rest = np.concatenate(rest)
+        for begin in range(0, len(rest), 2000):
+            part = rest[begin:begin + 2000]
+            lists = [c.ids for c in self.tokenizer.encode_batch_fast([texts[i] for i in part], add_special_tokens=False)]
+            order.append(part)
+            sizes.append(np.array([len(x) for x in lists], np.int64))
+            ids.append(np.array([i for x in lists for i in x], np.uint32))
+        order, sizes, ids = (np.concatenate(x) for x in (order, sizes, ids))
+        begins, back = np.cumsum(sizes) - sizes, np.argsort(order)
+        sizes, begins = sizes[back], begins[back]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return sizes, ids[np.repeat(begins - ends[:-1], sizes) + np.arange(ends[-1])]
+
+    def look_up(self, hashes: np.ndarray, text_of) -> np.ndarray:
+        """Places in ``bounds`` of distinct hashes; ``text_of(i)`` gives the i-th's text."""
+        if len(self.hashes) > self.most:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            sizes, ids = self._encode([text_of(i) for i in new])
+            added = np.arange(len(new)) + len(self.bounds) - 1
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, ids])
+            merged, place = np.concatenate([self.hashes, hashes[new]]), np.concatenate([self.place, added])
+            order = np.argsort(merged, kind="stable")
+            self.hashes, self.place = merged[order], place[order]
+            at = np.searchsorted(self.hashes, hashes)
+        return self.place[at] if len(hashes) else np.zeros(0, np.int64)
+
+
+def tokenize(texts: pa.Array, known: WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each closed by ``end_id``, and each text's bounds."""
     words = Words(*text_bytes(texts))
-    _, first, entry = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    data = LOWER[words.data]
+    starts, ends, first_unit = _units(words, data)
+    hashes, first, entry = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
     raw = words.data.tobytes()
-    distinct = [raw[a:b].decode() for a, b in zip(words.starts[first], words.ends[first])]
-    coded = [e.ids for e in _tokenizer(path).encode_batch(distinct, add_special_tokens=False)]
-    at = np.cumsum([0] + [len(c) for c in coded])
-    flat = np.array([i for c in coded for i in c], np.uint32)
-    size = (at[1:] - at[:-1])[entry]
-    ends = np.concatenate([[0], np.cumsum(size)])
-    plain = flat[np.repeat(at[entry] - ends[:-1], size) + np.arange(ends[-1])]
-    bounds = ends[words.first]
+    place = known.look_up(hashes, lambda i: raw[starts[first[i]]:ends[first[i]]].decode())[entry]
+    size = known.bounds[place + 1] - known.bounds[place]
+    unit_ends = np.concatenate([[0], np.cumsum(size)])
+    plain = known.ids[np.repeat(known.bounds[place] - unit_ends[:-1], size) + np.arange(unit_ends[-1])]
+    bounds = unit_ends[first_unit[words.first]]
     # one place more for each document's end
     ids = np.insert(plain, bounds[1:], np.uint32(end_id))
     return ids, bounds + np.arange(len(bounds))
@@ -88,26 +178,55 @@ def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
     return word & MASKS[size]
 
 
-def token_counts(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(id, n): how often each id is in the corpus; a task sends its own sums."""
+def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, ids): each text's ids as little-endian unsigned 32-bit integers,
+    stored by byte plane."""
     def run(batches):
-        total = np.zeros(1, np.int64)
+        known = WordIds(path)
         for whole in batches:
             for batch in pieces(whole, most=SEGMENT_BYTES):
-                ids, _ = tokenize(batch.column("text"), path, end_id)
-                total = total + np.bincount(ids, minlength=len(total)) if not len(ids) or ids.max() < len(total) else \
-                    np.bincount(ids) + np.pad(total, (0, int(ids.max()) + 1 - len(total)))
+                ids, bounds = tokenize(batch.column("text"), known, end_id)
+                raw = [_planes(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())],
+                                                 ["doc_id", "ids"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+
+
+def _planes(ids: np.ndarray) -> bytes:
+    """Byte planes up to the highest that is used, and their number."""
+    planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    used = max((i + 1 for i in range(4) if planes[i].any()), default=1)
+    return bytes([used]) + planes[:used].tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    return sum(planes[i].astype(np.uint32) << np.uint32(8 * i) for i in range(raw[0]))
+
+
+def id_counts(tokens: DataFrame) -> DataFrame:
+    """(id, n): how often each id is in the corpus; a task sends its own sums."""
+    def run(batches):
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for raw in batch.column("ids"):
+                own = np.bincount(_from_planes(raw.as_py()))
+                if len(own) > len(total):
+                    total = np.pad(total, (0, len(own) - len(total)))
+                total[:len(own)] += own
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(held, pa.int64()), "n": pa.array(total[held], pa.int64())})
-    return docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> None:
-    """Tokenizes ``docs`` and writes the files to ``folder``."""
+    """Tokenizes ``docs`` once, counts the ids, and writes the files to ``folder``."""
     spark = docs.sparkSession
-    counts = token_counts(docs, tokenizer_path, end_id)
+    plain = shared_path(spark, "tokenized")
+    tokenized(docs, tokenizer_path, end_id).write.option("compression", "zstd").parquet(plain)
+    tokens = spark.read.schema("doc_id long, ids binary").parquet(plain)
     # one row for each id of the vocabulary: its size bounds what the driver holds
-    by_rank = [r["id"] for r in counts.orderBy(F.desc("n"), "id").select("id").collect()]
+    by_rank = [r["id"] for r in id_counts(tokens).orderBy(F.desc("n"), "id").select("id").collect()]
     spark.createDataFrame([(r, i) for r, i in enumerate(by_rank)], "rank int, id int").coalesce(1).write.parquet(
         f"{folder}/ranks")
     rank = np.zeros(max(by_rank, default=0) + 1, np.uint32)
@@ -116,21 +235,21 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     def run(batches):
         segment = 0
         for whole in batches:
-            for batch in pieces(whole, most=SEGMENT_BYTES):
-                ids, bounds = tokenize(batch.column("text"), tokenizer_path, end_id)
+            for batch in pieces(whole, "ids", SEGMENT_BYTES):
+                lists = [_from_planes(raw.as_py()) for raw in batch.column("ids")]
+                ids = np.concatenate(lists)
                 control, data = encode_ranks(rank[ids])
                 edge = np.array([0, batch.num_rows])
                 yield pa.RecordBatch.from_arrays([
                     batch.column("shard").slice(0, 1), pa.array([segment], pa.int32()),
                     pa.ListArray.from_arrays(pa.array(edge, pa.int32()), batch.column("doc_id")),
-                    ragged(edge, np.diff(bounds), pa.int64()), pa.array([len(ids)], pa.int64()),
-                    pa.array([control], pa.binary()), pa.array([data], pa.binary()),
+                    ragged(edge, np.array([len(x) for x in lists], np.int64), pa.int64()),
+                    pa.array([len(ids)], pa.int64()), pa.array([control], pa.binary()), pa.array([data], pa.binary()),
                 ], ["shard", "segment", "doc_ids", "counts", "n_tokens", "control", "data"])
                 segment += 1
-    shards = block_count(text_size(docs), SHARD_BYTES)
-    ordered = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-               .repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions("doc_id")
-               .select("doc_id", "text", F.spark_partition_id().alias("shard")))
+    shards = block_count(text_size(tokens, "ids"), SHARD_BYTES)
+    ordered = (tokens.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions("doc_id")
+               .select("doc_id", "ids", F.spark_partition_id().alias("shard")))
     ordered.mapInArrow(run, "shard int, segment int, doc_ids array<long>, counts array<long>, n_tokens long, "
                             "control binary, data binary").write.parquet(f"{folder}/tokens")
 
@@ -159,7 +278,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + bounds[:-1]),
                      ragged(bounds, ids, pa.int32())], ["doc_id", "start", "ids"])
-    return tokens.join(starts, ["shard", "segment"]).select(
+    few = segments.count() <= MOST_BROADCAST
+    return tokens.join(F.broadcast(starts) if few else starts, ["shard", "segment"]).select(
         "doc_ids", "counts", "n_tokens", "control", "data", "start").mapInArrow(
         run, "doc_id long, start long, ids array<int>")
 
