@@ -68,6 +68,31 @@ def test_copies_of_a_text_are_not_boilerplate(spark):
     assert all(r["kept"] for r in line_quality.judge(d, 2, 0.0).collect())
 
 
+def test_line_limit_of_small_hosts_by_default(spark, tmp_path):
+    """The registered defaults remove lines and reject depleted documents of a host of 40 texts."""
+    import duckdb
+
+    from textbench.llm.oracle import ORACLE
+    footer = "All 24 sections of this site are listed in the footer of each page of it"
+    rows = []
+    for i in range(40):
+        own = " ".join(chr(97 + i % 26) * (1 + i // 26) + chr(97 + k) for k in range(2 if i in (30, 31) else 20))
+        lines = [own] + [footer] * (i % 5 == 0 or i in (30, 31)) + ["seen in five texts only"] * (i % 8 == 1)
+        rows.append((i, "\n".join(lines), "host"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: tuple(r) for r in line_quality.op1_line_frequency(spark, str(tmp_path)).collect()}
+    want = _expected_lines(d.collect(), 5)
+    assert {i: (*r[1:7], r[8], r[7]) for i, r in got.items()} == want
+    assert {i for i, r in got.items() if r[8]} == {5, 10, 15, 20, 25, 30, 31, 35}
+    assert [i for i, r in got.items() if not r[7]] == [30, 31]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(db.execute(ORACLE["op1_line_frequency"]).fetchall()) == sorted(got.values())
+    left = {r["doc_id"]: r["text"] for r in line_quality.keep_documents(d).collect()}
+    assert [i for i, t in left.items() if footer in t] == [0] and not {30, 31} & set(left)
+
+
 # ------------------------------------------------------------------ 2
 
 def _site_rows(spark):

@@ -5,8 +5,8 @@ Spark counts for each host (``source``) and line the distinct documents that
 hold it.  A line above the limit is boilerplate: it is removed from every
 document of the host but the first (smallest ``doc_id``), so each line is kept
 once.  A document left with too few of its words is depleted and rejected.
-The limit is the larger of ``min_documents`` and ``host_share`` of the host's
-documents.  Exact copies of a text count as one document, because copies are
+The limit is ``host_share`` of the host's documents, and at least the small floor
+``min_documents``, alike at every table size.  Exact copies of a text count as one document, because copies are
 not boilerplate.
 
 Base figures of whole texts go along: words, their characters, symbols,
@@ -29,7 +29,8 @@ from .common import LOWER, U64, Words, documents, mix, pieces, span_hashes, text
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-MIN_DOCUMENTS = 50
+#: A line in more distinct texts of its host than this and than the share is boilerplate.
+MIN_DOCUMENTS = 5
 HOST_SHARE = 0.005
 #: A document whose remaining words are under this share of its words is depleted.
 MIN_LEFT_PERCENT = 30
