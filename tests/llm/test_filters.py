@@ -196,6 +196,20 @@ def test_decontamination_finds_copies_and_new_parameters(spark):
     assert left.columns == d.columns and {r["doc_id"] for r in left.collect()} == {2, 4, 5, 6, 7}
 
 
+def test_decontamination_finds_verbatim_copies_with_few_literals(spark, monkeypatch):
+    items = ["What is 17 times 23?", "Who wrote Hamlet?", "Add 3 4 5 6 7 8 9 10 11 12 and then 13 14 15 16",
+             "is Paris or Rome bigger", "Please tell every one of the good readers here about 1 2 3 4 5 6 7"]
+    bench = _bench(spark, list(enumerate(items)))
+    d = make(spark, [f"first a line. {t} and on" for t in items]
+             + ["What is 18 times 23?", "who wrote Macbeth?", "Add 3 4 5 6 9 9 9 10 1 1 and then 13 14 15 1",
+                "so please tell every one of the good readers here about 9 8 7 6 5 4 3"])
+    want = {(i, i): True for i in range(5)} | {(8, 4): False}
+    for shipped in (decontaminate.MOST_SHIPPED, 1):
+        monkeypatch.setattr(decontaminate, "MOST_SHIPPED", shipped)
+        got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.contaminated_pairs(d, bench).collect()}
+        assert got == want
+
+
 def test_decontamination_without_shipped_hashes_is_the_same(spark, docs, monkeypatch):
     bench = _bench(spark, [(9, " ".join(words_of(docs.where("doc_id = 4").first()["text"])))])
     some = sorted(map(tuple, decontaminate.contaminated_pairs(docs, bench).collect()))

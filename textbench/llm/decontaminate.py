@@ -10,9 +10,12 @@ count.  A document is contaminated by an item when its good windows cover
 ``min_cover`` of the item's windows; the same question with other numbers, names
 or units is caught, too.
 
-Items shorter than a window are one window.  A window needs ``min_literal``
-literal tokens (or all of a shorter item's), so that placeholders alone never
-match.  Windows that no item has are dropped before the join where the
+Items shorter than a window are one window.  A template window needs
+``min_literal`` literal tokens (or all of a shorter item's), so that placeholders
+alone never match.  An item's windows under that minimum are raw windows: they
+meet windows of the same words, slot values included, so a verbatim copy is found
+however few literals it has.  Cover is the larger share of the item's template
+windows and of all its windows.  Windows that no item has are dropped before the join where the
 benchmark's window hashes are few enough to ship (``MOST_SHIPPED``, counted
 first); beyond that all windows are joined.
 
@@ -88,81 +91,91 @@ def _types(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _windows(batch, name: str, window: int, min_literal: int, sizes, wanted: np.ndarray | None):
-    """Template windows of a batch.  ``sizes`` None: a benchmark's, each item by
-    windows of its own size, min(window, words)."""
+    """Template windows of a batch, and raw ones.  ``sizes`` has (size, raw) of the
+    windows to make; None: a benchmark's, each item by windows of its own size,
+    min(window, words), raw where literals are too few."""
     words = Words(*text_bytes(batch.column("text")))
     kind, template, value = _types(words)
     document = words.document()
     slot = np.concatenate([[0], np.cumsum(kind != LITERAL)])
     out = []
-    for size in sizes if sizes is not None else range(1, window + 1):
+    for size, raw in sizes if sizes is not None else [(n, r) for n in range(1, window + 1) for r in (False, True)]:
         at = words.windows(size)
         if sizes is None and size < window:
             at = at[words.counts[document[at]] == size]
-        slots = slot[at + size] - slot[at]
-        at = at[size - slots >= min(min_literal, size)]
-        hashes = mix(span_hashes(template, at, at + size) + U64(size))
+        enough = size - (slot[at + size] - slot[at]) >= min(min_literal, size)
+        if not raw:
+            at = at[enough]
+        elif sizes is None:
+            at = at[~enough]
+        hashes = mix(span_hashes(value if raw else template, at, at + size) + U64(size + (raw << 32)))
         if wanted is not None and len(wanted):
             place = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
             hit = wanted[place] == hashes
             at, hashes = at[hit], hashes[hit]
         elif wanted is not None:
             at, hashes = at[:0], hashes[:0]
-        out.append((at, hashes, np.full(len(at), size)))
-    at, hashes, size = (np.concatenate(x) for x in zip(*out))
+        out.append((at, hashes, np.full(len(at), size), np.full(len(at), raw)))
+    at, hashes, size, raw = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
+    hashes, raw = hashes.astype(U64, copy=False), raw.astype(bool, copy=False)
     where = np.flatnonzero(kind != LITERAL)
-    begin, count = slot[at], slot[at + size] - slot[at]
+    begin, count = slot[at], np.where(raw, 0, slot[at + size] - slot[at])
     ends = np.concatenate([[0], np.cumsum(count)])
     chosen = where[np.repeat(begin - ends[:-1], count) + np.arange(ends[-1])] if ends[-1] else where[:0]
     of = document[at]
     return pa.RecordBatch.from_arrays(
         [batch.column(name).take(pa.array(of)), pa.array(hashes.view(np.int64)),
-         pa.array((at - words.first[of]).astype(np.int64)), pa.array(size.astype(np.int32)),
+         pa.array((at - words.first[of]).astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(raw),
          ragged(ends, value[chosen].view(np.int64), pa.int64())],
-        [name, "template", "place", "size", "slots"])
+        [name, "template", "place", "size", "raw", "slots"])
 
 
 def template_windows(texts: DataFrame, name: str, window: int = WINDOW, min_literal: int = MIN_LITERAL,
                      sizes=None, wanted: np.ndarray | None = None) -> DataFrame:
-    """(name, template, place, size, slots) of each window of ``texts`` (name, text)."""
+    """(name, template, place, size, raw, slots) of each window of ``texts`` (name, text)."""
     def run(batches):
         for whole in batches:
             for batch in pieces(whole):
                 yield _windows(batch, name, window, min_literal, sizes, wanted)
     return texts.where(F.col(name).isNotNull()).select(F.col(name).cast("long").alias(name), "text").mapInArrow(
-        run, f"{name} long, template long, place long, size int, slots array<long>")
+        run, f"{name} long, template long, place long, size int, raw boolean, slots array<long>")
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_literal: int = MIN_LITERAL,
                        min_cover: float = MIN_COVER) -> DataFrame:
     """(doc_id, item_id, n_windows, cover, exact): the items that each document
-    holds, ``exact`` false where slots were given other values."""
+    holds, ``exact`` false where slots were given other values; ``n_windows`` counts
+    template and raw windows."""
     items = written(template_windows(benchmark, "item_id", window, min_literal), "benchmark-windows")
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most ``window``
+    sizes = sorted(map(tuple, items.select("size", "raw").distinct().collect()))  # at most 2 * ``window``
     hashes = items.select("template").distinct()
     few = hashes.limit(MOST_SHIPPED + 1).count() <= MOST_SHIPPED
     wanted = None
     if few:
         wanted = np.sort(np.array([r["template"] for r in hashes.collect()], np.int64).view(U64))
     held = template_windows(docs, "doc_id", window, min_literal, sizes, wanted)
-    of_item = items.select("item_id", "template", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
-    met = held.join(F.broadcast(of_item) if few else of_item, "template")
+    of_item = items.select("item_id", "template", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"),
+                           F.struct("place", "raw").alias("spot"))
+    met = held.drop("raw").join(F.broadcast(of_item) if few else of_item, "template")
     good = (met.withColumn("offset", F.col("place") - F.col("item_place"))
             .withColumn("same", F.col("slots") == F.col("item_slots"))
             .withColumn("pairs", F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
     # one row for each alignment; an alignment holds no more rows than its item has windows
     aligned = good.groupBy("doc_id", "item_id", "offset").agg(
-        F.collect_set("item_place").alias("places"),
-        F.collect_set(F.when(F.col("same"), F.col("item_place"))).alias("same_places"),
+        F.collect_set("spot").alias("places"),
+        F.collect_set(F.when(F.col("same"), F.col("spot"))).alias("same_places"),
         F.min("same").alias("exact"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     values = F.array_distinct(F.transform("pairs", lambda p: p["a"]))
     aligned = aligned.withColumn("places", F.when(F.size(values) == F.size("pairs"), F.col("places"))
                                  .otherwise(F.col("same_places")))
-    total = items.groupBy("item_id").agg(F.count_distinct("place").alias("total"))
-    found = (aligned.select("doc_id", "item_id", "exact", F.explode("places").alias("item_place"))
-             .groupBy("doc_id", "item_id").agg(F.count_distinct("item_place").alias("n_windows"),
+    typed = F.count_distinct(F.when(~F.col("raw"), F.col("place")))
+    total = items.groupBy("item_id").agg(F.count_distinct("place").alias("total"), typed.alias("total_typed"))
+    share = F.greatest(F.col("n_windows") / F.col("total"), F.col("n_typed") / F.nullif("total_typed", F.lit(0)))
+    found = (aligned.select("doc_id", "item_id", "exact", F.explode("places").alias("spot"))
+             .select("doc_id", "item_id", "exact", "spot.place", "spot.raw")
+             .groupBy("doc_id", "item_id").agg(F.count_distinct("place").alias("n_windows"), typed.alias("n_typed"),
                                                F.min("exact").alias("exact"))
-             .join(total, "item_id").withColumn("cover", F.col("n_windows") / F.col("total")))
+             .join(total, "item_id").withColumn("cover", share))
     return found.where(F.col("cover") >= min_cover).select("doc_id", "item_id", "n_windows", "cover", "exact")
 
 
