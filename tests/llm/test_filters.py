@@ -210,6 +210,24 @@ def test_decontamination_finds_verbatim_copies_with_few_literals(spark, monkeypa
         assert got == want
 
 
+def test_decontamination_is_independent_of_sentence_and_line_starts(spark, monkeypatch):
+    item = ("Janet has 16 ducks at home. Robert sells 3 of them to Maria today. Oscar buys 4 more ducks from Janet. "
+            "Susan keeps 9 of the rest")
+    names = {"Janet": "Helga", "Robert": "Pedro", "Maria": "Greta", "Oscar": "Niels", "Susan": "Linda"}
+    other = re.sub("|".join(names), lambda m: names[m[0]], item)
+    words = item.split()
+    d = make(spark, [item, other, "\n".join(" ".join(words[i:i + 2]) for i in range(0, len(words), 2)),
+                     "as asked Janet has 16 ducks at home. " + item.split(". ", 1)[1].lower(),
+                     # the second Janet is another than the first, at a sentence start
+                     "She" + item[5:], other.replace("from Helga", "from Wilma")])
+    for shipped in (decontaminate.MOST_SHIPPED, 1):
+        monkeypatch.setattr(decontaminate, "MOST_SHIPPED", shipped)
+        got = {r["doc_id"]: (r["cover"], r["exact"])
+               for r in decontaminate.contaminated_pairs(d, _bench(spark, [(1, item)])).collect()}
+        assert got[0] == (1.0, True) and got[1] == (1.0, False) and got[2] == (1.0, True)
+        assert got[4][0] >= 0.5 and 5 not in got
+
+
 def test_decontamination_without_shipped_hashes_is_the_same(spark, docs, monkeypatch):
     bench = _bench(spark, [(9, " ".join(words_of(docs.where("doc_id = 4").first()["text"])))])
     some = sorted(map(tuple, decontaminate.contaminated_pairs(docs, bench).collect()))

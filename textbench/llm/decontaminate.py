@@ -1,12 +1,14 @@
 """Operator 7: benchmark decontamination by template canonicalisation.
 
 Words become template tokens: numbers, units after a number, and names (capital
-words inside a sentence) become typed placeholders; all others lower case
-without outer punctuation.  Windows of ``window`` template tokens of documents
+words) become typed placeholders; all others lower case without outer
+punctuation.  A capital word at the start of a text, sentence or line may be a
+name or not, so its windows are made in every form, with it as a literal and as a
+name; where a text is wrapped or a sentence begins thus loses no match.  Windows of ``window`` template tokens of documents
 and benchmark items meet in a hash join.  Windows of one document, item and
 offset form an alignment; an alignment whose item slots do not map to document
 slots as a function is inconsistent, and only its windows with equal slots
-count.  A document is contaminated by an item when its good windows cover
+count, and those without doubtful names if their slots alone map.  A document is contaminated by an item when its good windows cover
 ``min_cover`` of the item's windows; the same question with other numbers, names
 or units is caught, too.
 
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, documents, mix, pieces, ragged, span_hashes, text_bytes, written
+from .common import U64, Words, _tables, documents, mix, pieces, ragged, span_hashes, text_bytes, written
 
 WINDOW = 8
 MIN_LITERAL = 4
@@ -51,10 +53,12 @@ months year years cent cents dollar dollars euro euros percent degree degrees mp
 _NUMBER = re.compile(r"[$€£¥]?[+-]?\d[\d.,:/]*(?:st|nd|rd|th|%|°)?$")
 _EDGE = ".,;:!?\"'()[]{}«»“”‘’¿¡…"
 LITERAL, NUMBER, NAME, UNIT = range(4)
+_RAW = U64(0xD6E8FEB86659FD93)
 
 
-def _types(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Kind, template hash and value hash of each word."""
+def _types(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Kind, template hash and value hash of each word, and whether a literal may
+    be a name (a capital word where any word has a capital)."""
     distinct, first, entry = np.unique(words.hashes(), return_index=True, return_inverse=True)
     raw = words.data.tobytes()
     n = len(distinct)
@@ -87,58 +91,103 @@ def _types(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside[np.searchsorted(words.starts, lines)[np.searchsorted(words.starts, lines) < len(entry)]] = False
     kind[capital[entry] & inside] = NAME
     value = value[entry]
-    return kind, np.where(kind == LITERAL, value, mix(kind.astype(U64))), value
-
-
-def _windows(batch, name: str, window: int, min_literal: int, sizes, wanted: np.ndarray | None):
+    doubtful = capital[entry] & (kind == LITERAL)
+    return kind, np.where(kind == LITERAL, value, mix(kind.astype(U64))), value, doubtful
+
+
+def _forms(template: np.ndarray, doubtful: np.ndarray, at: np.ndarray, literals: np.ndarray, size: int, least: int):
+    """(window, hash, names) of each form of the windows at ``at`` that keeps
+    ``least`` literals; ``names`` has a bit for each doubtful word taken as a name."""
+    power, inverse = _tables(len(template) + 1)
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(template * power[:len(template)], dtype=U64)])
+    total = (sums[at + size] - sums[at]) * inverse[at]
+    where = np.flatnonzero(doubtful)
+    before = np.concatenate([[0], np.cumsum(doubtful)])
+    first, count = before[at], before[at + size] - before[at]
+    change = mix(np.array([NAME], U64))[0] - template
+    held = np.flatnonzero(literals >= least)
+    for form in range(1 << int(count.max(initial=0))):
+        if form.bit_count() == 1:  # the first form with so many doubtful words
+            held = held[count[held] >= form.bit_length()]
+        chosen = held[literals[held] - form.bit_count() >= least]
+        if not len(chosen):
+            continue
+        hashes, names = total[chosen] + U64(size), np.zeros(len(chosen), U64)
+        for i in range(form.bit_length()):
+            if form >> i & 1:
+                word = where[first[chosen] + i]
+                offset = word - at[chosen]
+                hashes += change[word] * power[offset]
+                names |= U64(1) << offset.astype(U64)
+        yield chosen, mix(hashes), names
+
+
+def _sieve(wanted: np.ndarray) -> np.ndarray:
+    """A table by leading bits of a hash: whether any of ``wanted`` begins with them."""
+    bits = max(16, len(wanted).bit_length() + 4)
+    table = np.zeros(1 << bits, bool)
+    table[wanted >> U64(64 - bits)] = True
+    return table
+
+
+def _windows(batch, name: str, window: int, min_literal: int, sizes, wanted: np.ndarray | None,
+             sieve: np.ndarray | None):
     """Template windows of a batch, and raw ones.  ``sizes`` has (size, raw) of the
     windows to make; None: a benchmark's, each item by windows of its own size,
     min(window, words), raw where literals are too few."""
     words = Words(*text_bytes(batch.column("text")))
-    kind, template, value = _types(words)
+    kind, template, value, doubtful = _types(words)
     document = words.document()
     slot = np.concatenate([[0], np.cumsum(kind != LITERAL)])
+    may = np.concatenate([[0], np.cumsum(doubtful)])
     out = []
     for size, raw in sizes if sizes is not None else [(n, r) for n in range(1, window + 1) for r in (False, True)]:
         at = words.windows(size)
         if sizes is None and size < window:
             at = at[words.counts[document[at]] == size]
-        enough = size - (slot[at + size] - slot[at]) >= min(min_literal, size)
-        if not raw:
-            at = at[enough]
-        elif sizes is None:
-            at = at[~enough]
-        hashes = mix(span_hashes(value if raw else template, at, at + size) + U64(size + (raw << 32)))
-        if wanted is not None and len(wanted):
-            place = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-            hit = wanted[place] == hashes
-            at, hashes = at[hit], hashes[hit]
-        elif wanted is not None:
-            at, hashes = at[:0], hashes[:0]
-        out.append((at, hashes, np.full(len(at), size), np.full(len(at), raw)))
-    at, hashes, size, raw = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 4
-    hashes, raw = hashes.astype(U64, copy=False), raw.astype(bool, copy=False)
-    where = np.flatnonzero(kind != LITERAL)
-    begin, count = slot[at], np.where(raw, 0, slot[at + size] - slot[at])
+        literals, least = size - (slot[at + size] - slot[at]), min(min_literal, size)
+        if raw:
+            if sizes is None:  # those that some form of theirs leaves with too few literals
+                at = at[literals - (may[at + size] - may[at]) < least]
+            forms = [(np.arange(len(at)), span_hashes(value, at, at + size) ^ _RAW, np.zeros(len(at), U64))]
+        else:
+            forms = _forms(template, doubtful, at, literals, size, least)
+        for chosen, hashes, names in forms:
+            if wanted is not None:
+                hit = np.flatnonzero(sieve[hashes >> U64(65 - len(sieve).bit_length())])
+                hit = hit[wanted[np.minimum(np.searchsorted(wanted, hashes[hit]), len(wanted) - 1)] == hashes[hit]]
+                chosen, hashes, names = chosen[hit], hashes[hit], names[hit]
+            begin = at[chosen]
+            slots = np.zeros((len(begin), size), bool)
+            if not raw:
+                for k in range(size):
+                    slots[:, k] = (kind[begin + k] != LITERAL) | (names >> U64(k) & U64(1)).astype(bool)
+            row, k = np.nonzero(slots)
+            out.append((begin, hashes, np.full(len(begin), size), np.full(len(begin), raw), names > 0, slots.sum(1),
+                        value[begin[row] + k]))
+    none = np.zeros(0, np.int64)
+    at, hashes, size, raw, named, count, values = (
+        (np.concatenate(x) for x in zip(*out)) if out else (none, none, none, none > 0, none > 0, none, none))
     ends = np.concatenate([[0], np.cumsum(count)])
-    chosen = where[np.repeat(begin - ends[:-1], count) + np.arange(ends[-1])] if ends[-1] else where[:0]
     of = document[at]
     return pa.RecordBatch.from_arrays(
         [batch.column(name).take(pa.array(of)), pa.array(hashes.view(np.int64)),
          pa.array((at - words.first[of]).astype(np.int64)), pa.array(size.astype(np.int32)), pa.array(raw),
-         ragged(ends, value[chosen].view(np.int64), pa.int64())],
-        [name, "template", "place", "size", "raw", "slots"])
+         pa.array(named), ragged(ends, values.view(np.int64), pa.int64())],
+        [name, "template", "place", "size", "raw", "named", "slots"])
 
 
 def template_windows(texts: DataFrame, name: str, window: int = WINDOW, min_literal: int = MIN_LITERAL,
                      sizes=None, wanted: np.ndarray | None = None) -> DataFrame:
-    """(name, template, place, size, raw, slots) of each window of ``texts`` (name, text)."""
+    """(name, template, place, size, raw, named, slots) of each form of each window of
+    ``texts`` (name, text); ``named``: with a doubtful word taken as a name."""
     def run(batches):
+        sieve = None if wanted is None else _sieve(wanted)
         for whole in batches:
             for batch in pieces(whole):
-                yield _windows(batch, name, window, min_literal, sizes, wanted)
+                yield _windows(batch, name, window, min_literal, sizes, wanted, sieve)
     return texts.where(F.col(name).isNotNull()).select(F.col(name).cast("long").alias(name), "text").mapInArrow(
-        run, f"{name} long, template long, place long, size int, raw boolean, slots array<long>")
+        run, f"{name} long, template long, place long, size int, raw boolean, named boolean, slots array<long>")
 
 
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_literal: int = MIN_LITERAL,
@@ -155,18 +204,26 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         wanted = np.sort(np.array([r["template"] for r in hashes.collect()], np.int64).view(U64))
     held = template_windows(docs, "doc_id", window, min_literal, sizes, wanted)
     of_item = items.select("item_id", "template", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"),
-                           F.struct("place", "raw").alias("spot"))
+                           F.struct("place", "raw").alias("spot"), F.col("named").alias("item_named"))
     met = held.drop("raw").join(F.broadcast(of_item) if few else of_item, "template")
     good = (met.withColumn("offset", F.col("place") - F.col("item_place"))
             .withColumn("same", F.col("slots") == F.col("item_slots"))
             .withColumn("pairs", F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
-    # one row for each alignment; an alignment holds no more rows than its item has windows
+    # one row for each alignment; an alignment holds no more rows than its item has window forms
+    plain = ~F.col("named") & ~F.col("item_named")
+
+    def all_pairs(column):
+        return F.array_distinct(F.flatten(F.collect_set(column)))
+
+    def consistent(pairs):
+        return F.size(F.array_distinct(F.transform(pairs, lambda p: p["a"]))) == F.size(pairs)
+
     aligned = good.groupBy("doc_id", "item_id", "offset").agg(
-        F.collect_set("spot").alias("places"),
-        F.collect_set(F.when(F.col("same"), F.col("spot"))).alias("same_places"),
-        F.min("same").alias("exact"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    values = F.array_distinct(F.transform("pairs", lambda p: p["a"]))
-    aligned = aligned.withColumn("places", F.when(F.size(values) == F.size("pairs"), F.col("places"))
+        F.collect_set("spot").alias("places"), F.collect_set(F.when(plain, F.col("spot"))).alias("plain_places"),
+        F.collect_set(F.when(F.col("same"), F.col("spot"))).alias("same_places"), F.min("same").alias("exact"),
+        all_pairs("pairs").alias("pairs"), all_pairs(F.when(plain, F.col("pairs"))).alias("plain_pairs"))
+    aligned = aligned.withColumn("places", F.when(consistent("pairs"), F.col("places"))
+                                 .when(consistent("plain_pairs"), F.array_union("plain_places", "same_places"))
                                  .otherwise(F.col("same_places")))
     typed = F.count_distinct(F.when(~F.col("raw"), F.col("place")))
     total = items.groupBy("item_id").agg(F.count_distinct("place").alias("total"), typed.alias("total_typed"))
