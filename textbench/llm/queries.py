@@ -9,6 +9,7 @@ from .license_scan import op6_license_scan
 from .line_quality import op1_line_frequency
 from .minhash import op3_minhash
 from .oracle import ORACLE
+from .periodic_runs import op12_periodic_runs
 from .pii import op9_pii
 from .quality_bayes import op2_quality_bayes
 from .substring_dedup import op10_substring_dedup
@@ -32,6 +33,7 @@ QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_pii": op9_pii,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
