@@ -14,6 +14,7 @@ from .pii import op9_pii
 from .quality_bayes import op2_quality_bayes
 from .substring_dedup import op10_substring_dedup
 from .token_files import op5_token_files
+from .whitening import op11_whitening
 
 
 def pipeline(spark, sf_dir):
@@ -33,6 +34,7 @@ QUERIES = {
     "op8_language_model": op8_language_model,
     "op9_pii": op9_pii,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_whitening": op11_whitening,
     "op12_periodic_runs": op12_periodic_runs,
 }
 
