@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .byte_bpe import op4_byte_bpe
 from .decontaminate import op7_decontaminate
+from .html_extract import op13_html_extract
 from .language_model import op8_language_model
 from .license_scan import op6_license_scan
 from .line_quality import op1_line_frequency
@@ -36,6 +37,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_whitening": op11_whitening,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_html_extract": op13_html_extract,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
