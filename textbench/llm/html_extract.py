@@ -265,7 +265,7 @@ def train(pages: DataFrame, column: str = "html", marked: int = MARKED, layouts:
     short = pages.select(F.col(column).alias("html")).where(F.length("html").between(1, MARKED_CHARS))
     n = short.count()
     share = min(1.0, 2 * marked / n) if n else 1.0
-    sample = short.select(key, "html").where(F.pmod("key", F.lit(1 << 20)) < int(share * (1 << 20)) + 1) \
+    sample = short.select(key, "html").where(F.pmod("key", F.lit(1 << 40)) < int(share * (1 << 40)) + 1) \
         .groupBy("key").agg(F.first("html").alias("html")).orderBy("key").limit(marked).collect()
     texts = [" ".join(t.split()[:POOL_WORDS]) for r in sample for t in Page(r["html"]).text]
     texts = sorted(set(texts)) or list(TEXTS)
