@@ -69,6 +69,7 @@ DOCUMENT_SCHEMA = T.StructType([
     T.StructField("metrics", METRICS_TYPE),
     T.StructField("training_config", TRAINING_CONFIG_TYPE),
     T.StructField("generation", GENERATION_TYPE),
+    T.StructField("fingerprint", T.StringType()),
     T.StructField("_corrupt_record", T.StringType()),
 ])
 
