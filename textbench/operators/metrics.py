@@ -93,6 +93,37 @@ def calculate_metrics(df: DataFrame, by: list[str] | None = None, label: str = "
     return with_metrics(confusion_counts(df, by, label, prediction), keep=by)
 
 
+#: Further metrics by name: an aggregate over ``label`` and ``prediction``, and whether more is better.
+_REGISTERED: dict = {}
+
+
+def register_metric(name: str, aggregate, more_is_better: bool = True) -> None:
+    """A metric of one's own: ``aggregate()`` gives an aggregate column over the
+    columns ``label`` and ``prediction``.  It may then be named wherever a metric is."""
+    if name in METRIC_NAMES:
+        raise ValueError(f"'{name}' is a metric already")
+    _REGISTERED[name] = (aggregate, more_is_better)
+
+
+def metric_value(df: DataFrame, name: str, label: str = "label", prediction: str = "prediction") -> float | None:
+    """One metric of labelled predictions, by name; None without rows."""
+    rows = df.select(F.col(label).alias("label"), F.col(prediction).alias("prediction"))
+    if name in _REGISTERED:
+        value = rows.agg(_REGISTERED[name][0]().cast("double").alias("value")).first()["value"]
+        return None if value is None else float(value)
+    if name not in METRIC_NAMES or name == "confusion_matrix":
+        raise ValueError(f"unknown metric '{name}'; options: {sorted([*METRIC_NAMES, *_REGISTERED])}")
+    row = calculate_metrics(rows).first()
+    return float(row[name]) if row and row["n"] else None
+
+
+def more_is_better(name: str) -> bool:
+    return _REGISTERED[name][1] if name in _REGISTERED else name not in FEWER_IS_BETTER
+
+
+FEWER_IS_BETTER = {"invalid_predictions", "invalid_rate", "false_positives", "false_negatives"}
+
+
 def metrics_from_confusion(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Metrics from stored counters (tn, fp, fn, tp, invalid, n) — used to
     re-derive published results."""

@@ -33,16 +33,18 @@ def benchmark_job(spark: SparkSession, corpus: DataFrame, models: list, datasets
                   report_dir: str | None = None, strategies: list[str] | None = None,
                   model_names: list[str] | None = None, baselines: list | None = None,
                   sample_size: int = EXPERIMENT_CONFIG["test_sample_size"], texts: DataFrame | None = None,
-                  **grid_options) -> DataFrame:
+                  models_path: str | None = None, training_config: dict | None = None, **grid_options) -> DataFrame:
     """Grid (resume) -> baselines (resume) -> report; returns the report rows.
     ``texts`` (``doc_id, text``): samples and splits are drawn on the keys of
     ``corpus`` and texts attached to the drawn rows.  Every document is written
-    as its wave or baseline ends."""
+    as its wave or baseline ends, and every fitted baseline is kept under
+    ``models_path`` (default: beside the results)."""
     strategies = strategies or PROMPTING_STRATEGIES
     run_benchmark(spark, corpus, models, strategies, datasets, results_path, model_names=model_names,
                   sample_size=sample_size, texts=texts, **grid_options)
     if baselines is not None:
-        trained.run_baselines(spark, corpus, datasets, baselines, sample_size=sample_size,
+        trained.run_baselines(spark, corpus, datasets, baselines, sample_size=sample_size, config=training_config,
+                              models_path=models_path or f"{results_path.rstrip('/')}_models",
                               done=read_results(spark, results_path), texts=texts,
                               on_result=lambda flat: write_results(trained.baseline_results(flat), results_path))
     ok = successful_results(spark, results_path)

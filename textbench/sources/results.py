@@ -49,6 +49,15 @@ TRAINING_CONFIG_TYPE = T.StructType([
     T.StructField("validation_f1", T.DoubleType()),
     T.StructField("seed", T.IntegerType()),
     T.StructField("test_size", T.DoubleType()),
+    T.StructField("metric", T.StringType()),
+    T.StructField("validation_score", T.DoubleType()),
+    T.StructField("best_iteration", T.IntegerType()),
+    T.StructField("history", T.ArrayType(T.StructType([
+        T.StructField("iteration", T.IntegerType()),
+        T.StructField("train_loss", T.DoubleType()),
+        T.StructField("validation_loss", T.DoubleType())]))),
+    T.StructField("model_path", T.StringType()),
+    T.StructField("reused", T.BooleanType()),
 ])
 
 #: The generation options a model was called with.
