@@ -51,8 +51,10 @@ def short_model_name(model) -> Column:
 
 
 def display_title(s) -> Column:
-    """``snake_case`` -> ``Snake Case`` (display only)."""
-    return F.initcap(F.regexp_replace(_c(s), "_", " "))
+    """``snake_case`` -> ``Snake Case``: each run of letters begins with a capital one,
+    the others are small, whatever stands between the runs (``gpt-4o`` -> ``Gpt-4O``)."""
+    runs = F.split(F.regexp_replace(_c(s), "_", " "), r"(?<=\p{L})(?=\P{L})|(?<=\P{L})(?=\p{L})", -1)
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 30)))), "")
 
 
 def experiment_key(model, strategy, dataset) -> Column:

@@ -1,10 +1,7 @@
 """Corpus profiling: counts, class balance, text-length statistics.
 
-Quantiles of integer values (text lengths) are computed exactly without
-gathering a group into one task: rows are first reduced to a histogram
-``(group, value) -> count`` (bounded by the number of distinct values, not
-by the number of rows), and the interpolated quantile positions are found
-on cumulative counts of that histogram.
+Quantiles are exact and computed without gathering, sorting or windowing a
+group (:mod:`textbench.operators.quantiles`).
 """
 
 from __future__ import annotations
@@ -13,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import text_length
+from .quantiles import box_statistics
 
 
 def dataset_stats(corpus: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -50,46 +48,10 @@ def class_distribution(corpus: DataFrame, by: list[str] | None = None) -> DataFr
     return counts.withColumn("share_pct", F.col("n") * 100.0 / F.sum("n").over(w))
 
 
-def _interp(lo_v: Column, hi_v: Column, frac: Column) -> Column:
-    return lo_v + (hi_v - lo_v) * frac
-
-
 def integer_box_stats(df: DataFrame, value: Column | str, by: list[str]) -> DataFrame:
-    """Box-plot statistics of an integer column per group: n, q1, median, q3
-    (linear interpolation between order statistics), the whiskers (most
-    extreme values within 1.5 IQR of the box, never inside the box) and the
-    number of outliers."""
+    """Box-plot statistics of an integer column per group (:func:`box_statistics`)."""
     v = F.col(value) if isinstance(value, str) else value
-    hist = df.select(*by, v.cast("long").alias("_v")).where(F.col("_v").isNotNull()) \
-        .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumn("_cum", F.sum("_c").over(w)) \
-        .withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
-    # 0-based rank range of each value: [cum - c, cum - 1]
-    lo_rank, hi_rank = F.col("_cum") - F.col("_c"), F.col("_cum") - 1
-
-    def order_stat(rank: Column) -> Column:
-        return F.min(F.when((lo_rank <= rank) & (rank <= hi_rank), F.col("_v")))
-
-    aggs = [F.first("_n").alias("n")]
-    for name, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
-        pos = (F.col("_n") - 1) * q
-        aggs += [order_stat(F.floor(pos)).alias(f"_{name}_lo"), order_stat(F.ceil(pos)).alias(f"_{name}_hi"),
-                 F.first(pos - F.floor(pos)).alias(f"_{name}_f")]
-    qs = hist.groupBy(*by).agg(*aggs)
-    for name in ("q1", "median", "q3"):
-        qs = qs.withColumn(name, _interp(F.col(f"_{name}_lo").cast("double"), F.col(f"_{name}_hi").cast("double"),
-                                         F.col(f"_{name}_f")))
-    qs = qs.select(*by, "n", "q1", "median", "q3")
-    iqr = F.col("q3") - F.col("q1")
-    low_fence, high_fence = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
-    # the quantile table has one row per group: broadcast back onto the histogram
-    j = hist.join(F.broadcast(qs), by)
-    inside = (F.col("_v") >= low_fence) & (F.col("_v") <= high_fence)
-    return j.groupBy(*by, "n", "q1", "median", "q3").agg(
-        F.least(F.col("q1"), F.min(F.when(inside, F.col("_v")))).alias("whisker_low"),
-        F.greatest(F.col("q3"), F.max(F.when(inside, F.col("_v")))).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, F.col("_c"))), F.lit(0)).alias("n_outliers"))
+    return box_statistics(df, v.cast("long"), by)
 
 
 def length_box_stats(corpus: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -98,17 +60,5 @@ def length_box_stats(corpus: DataFrame, by: list[str] | None = None) -> DataFram
 
 
 def box_stats(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Box-plot statistics of a real-valued column on a small table (one row
-    per experiment); exact percentiles."""
-    v = F.col(value)
-    qs = df.where(v.isNotNull()).groupBy(*by).agg(
-        F.count(v).alias("n"),
-        F.percentile(v, 0.25).alias("q1"), F.percentile(v, 0.5).alias("median"),
-        F.percentile(v, 0.75).alias("q3"))
-    iqr = F.col("q3") - F.col("q1")
-    j = df.where(v.isNotNull()).join(F.broadcast(qs), by)
-    inside = (v >= F.col("q1") - 1.5 * iqr) & (v <= F.col("q3") + 1.5 * iqr)
-    return j.groupBy(*by, "n", "q1", "median", "q3").agg(
-        F.least(F.col("q1"), F.min(F.when(inside, v))).alias("whisker_low"),
-        F.greatest(F.col("q3"), F.max(F.when(inside, v))).alias("whisker_high"),
-        F.count_if(~inside).alias("n_outliers"))
+    """Box-plot statistics of a real-valued column per group (:func:`box_statistics`)."""
+    return box_statistics(df, F.col(value).cast("double"), by)

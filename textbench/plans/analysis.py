@@ -136,6 +136,27 @@ def parameter_trend(report: DataFrame, metrics: list[str] | None = None) -> Data
     return wide.selectExpr(f"stack({len(metrics)}, {stacks}) as (metric, slope, intercept, n)")
 
 
+def fitted_values(report: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """The trend line at each experiment (rows with a known parameter count):
+    ``metric``, ``num_parameters``, ``value`` and ``fitted`` = slope x parameters +
+    intercept.  The trend, a row for each metric, is broadcast."""
+    metrics = metrics or ["f1_score", "accuracy", "avg_inference_time"]
+    rep = with_parameters(report).where(F.col("num_parameters").isNotNull())
+    long = rep.select(*KEYS, "num_parameters", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("_m"))
+    return (long.select(*KEYS, "num_parameters", "_m.metric", "_m.value")
+            .join(F.broadcast(parameter_trend(report, metrics)), "metric")
+            .select(*KEYS, "metric", "num_parameters", "value",
+                    (F.col("slope") * F.col("num_parameters") + F.col("intercept")).alias("fitted")))
+
+
+def split_sizes(assignment: DataFrame) -> DataFrame:
+    """Rows, and rows of each class, in each part of a split (``dataset, split, label``)."""
+    return assignment.groupBy("dataset", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 0).alias("negatives"),
+        F.count_if(F.col("label") == 1).alias("positives"))
+
+
 def parameter_bins(report: DataFrame, metric: str = "f1_score") -> DataFrame:
     """Mean metric per parameter-size bin (right-closed), ascending."""
     rep = with_parameters(report).where(F.col("num_parameters").isNotNull())

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..config import EXPERIMENT_CONFIG, PROMPTING_STRATEGIES
 from ..operators import trained
 from ..sources.datasets import corpus_keys_from_tables
-from ..sources.results import read_results, successful_results, write_results
+from ..sources.results import read_results, successful_results, write_flat_results, write_results
 from .grid import run_benchmark
 from .report import generate_report
 
@@ -33,12 +33,14 @@ def benchmark_job(spark: SparkSession, corpus: DataFrame, models: list, datasets
                   report_dir: str | None = None, strategies: list[str] | None = None,
                   model_names: list[str] | None = None, baselines: list | None = None,
                   sample_size: int = EXPERIMENT_CONFIG["test_sample_size"], texts: DataFrame | None = None,
-                  models_path: str | None = None, training_config: dict | None = None, **grid_options) -> DataFrame:
+                  models_path: str | None = None, training_config: dict | None = None, flat_path: str | None = None,
+                  **grid_options) -> DataFrame:
     """Grid (resume) -> baselines (resume) -> report; returns the report rows.
     ``texts`` (``doc_id, text``): samples and splits are drawn on the keys of
     ``corpus`` and texts attached to the drawn rows.  Every document is written
     as its wave or baseline ends, and every fitted baseline is kept under
-    ``models_path`` (default: beside the results)."""
+    ``models_path`` (default: beside the results).  ``flat_path``: a folder that gets
+    each document as one named file, too."""
     strategies = strategies or PROMPTING_STRATEGIES
     run_benchmark(spark, corpus, models, strategies, datasets, results_path, model_names=model_names,
                   sample_size=sample_size, texts=texts, **grid_options)
@@ -47,6 +49,8 @@ def benchmark_job(spark: SparkSession, corpus: DataFrame, models: list, datasets
                               models_path=models_path or f"{results_path.rstrip('/')}_models",
                               done=read_results(spark, results_path), texts=texts,
                               on_result=lambda flat: write_results(trained.baseline_results(flat), results_path))
+    if flat_path:
+        write_flat_results(read_results(spark, results_path), flat_path)
     ok = successful_results(spark, results_path)
     if report_dir:
         return generate_report(ok, report_dir)

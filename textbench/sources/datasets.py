@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..config import LOCAL_FORMATS, dataset_config
+from ..functions.names import free_name
 
 
 def read_source(spark: SparkSession, path: str, fmt: str, schema: StructType | str | None = None,
@@ -87,16 +88,46 @@ def apply_label_mapping(df: DataFrame, mapping: dict | None, keep_raw: bool = Tr
     return out.withColumn("label", mapped_label("label", mapping))
 
 
-def content_ids(df: DataFrame, name: str = "doc_id") -> DataFrame:
+#: Copies of one row that a task numbers.
+COPIES_A_TASK = 100_000
+
+
+def content_ids(df: DataFrame, name: str = "doc_id", copies_a_task: int = COPIES_A_TASK) -> DataFrame:
     """Ids from the rows' content, the same however the files are split: a 64-bit
-    hash of all columns, and of the copy's number among equal rows (which are
-    interchangeable).  Costs a shuffle of the rows; name an ``id_column`` for
-    large corpora."""
-    columns = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in sorted(df.columns)]
-    w = Window.partitionBy("_h1", "_h2").orderBy(F.lit(0))
-    out = df.withColumns({"_h1": F.xxhash64(*columns), "_h2": F.hash(F.lit(7), *columns)})
-    out = out.withColumn("_copy", F.row_number().over(w))
-    return out.withColumn(name, F.xxhash64("_h1", "_h2", "_copy")).drop("_h1", "_h2", "_copy")
+    hash of all columns, and of the copy's number among equal rows.
+
+    Equal rows are interchangeable, so they are counted (a partial aggregate: a row
+    that is a third of the corpus sends one row a task) and written out again,
+    numbered from one; more than ``copies_a_task`` of them are dealt to several
+    tasks.  Costs a shuffle of the distinct rows; name an ``id_column`` for large
+    corpora."""
+    h1, h2, n, part = (free_name([*df.columns, name], x) for x in ("h1", "h2", "n", "part"))
+    shown = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in sorted(df.columns)]
+    keyed = df.select("*", F.xxhash64(*shown).alias(h1), F.hash(F.lit(7), *shown).alias(h2))
+    every = [F.col(f"`{c}`") for c in df.columns]
+    if any(_has_map(f.dataType) for f in df.schema.fields):  # no grouping by maps
+        row = free_name([*df.columns, h1, h2], "row")
+        counted = keyed.groupBy(h1, h2).agg(F.first(F.struct(*every)).alias(row), F.count(F.lit(1)).alias(n)) \
+            .select(f"{row}.*", h1, h2, n)
+    else:
+        counted = keyed.groupBy(*every, h1, h2).agg(F.count(F.lit(1)).alias(n))
+
+    def numbered(rows: DataFrame, first: Column, last: Column) -> DataFrame:
+        copy = free_name([*df.columns, name], "copy")
+        out = rows.select(*every, h1, h2, F.explode(F.sequence(first, last)).alias(copy))
+        return out.select(*every, F.xxhash64(h1, h2, F.col(copy).cast("int")).alias(name))
+    few = numbered(counted.where(F.col(n) <= copies_a_task), F.lit(1).cast("long"), F.col(n))
+    parts = counted.where(F.col(n) > copies_a_task).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / copies_a_task))).alias(part))
+    # a number of its own: adaptive execution would see small rows and put them together
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts.repartition(tasks, F.col(h1), F.col(h2), F.col(part))
+    start = F.col(part) * copies_a_task
+    return few.unionByName(numbered(parts, start + 1, F.least(F.col(n), start + copies_a_task)))
+
+
+def _has_map(kind) -> bool:
+    return "map<" in kind.simpleString()
 
 
 def read_dataset(spark: SparkSession, name: str, data_dir: str, registry: dict | None = None,

@@ -4,14 +4,17 @@ Results are JSON documents partitioned by ``model/strategy/dataset``: one
 folder per experiment, rewritten in place by dynamic partition overwrite,
 so a rerun replaces exactly the cells it recomputed.  Documents kept flat, one
 indented JSON file per experiment with the keys in the body, are read as well
-(:func:`read_flat_results`).  Reading is tolerant: an undecodable document is
+(:func:`read_flat_results`) and written (:func:`write_flat_results`).  Reading is tolerant: an undecodable document is
 kept as ``_corrupt_record`` and treated as "not done" (its cell is rerun),
 never as a failure of the whole read; :func:`corrupt_documents` lists them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import uuid
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,6 +131,68 @@ def read_results(spark: SparkSession, path: str, include_corrupt: bool = False)
     return df if include_corrupt else _without_corrupt(df)
 
 
+def flat_name(model: str, strategy: str, dataset: str) -> str:
+    """File name of an experiment's flat document: the keys joined by ``_``, ``/`` of
+    the model as ``_``, other characters that a path may not hold as ``%XX``."""
+    from urllib.parse import quote
+    return "_".join(quote(k, safe=" ") for k in (model.replace("/", "_"), strategy, dataset)) + ".json"
+
+
+def _plain(value):
+    if isinstance(value, Row):
+        return {k: _plain(v) for k, v in value.asDict().items()}
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    return value
+
+
+def write_flat_results(results: DataFrame, path: str) -> list[str]:
+    """One indented document ``{model}_{strategy}_{dataset}.json`` for each experiment,
+    keys in the body, no ``error`` key on success; returns the names.
+
+    A document is written under a hidden name and renamed over the old one on the
+    file system of ``path``, so that a reader sees the old or the new one whole.
+    The rows, one for each experiment, come to the driver."""
+    spark = results.sparkSession
+    docs = {}
+    for row in conform(results).collect():
+        body = {k: v for k, v in _plain(row).items() if v is not None}
+        name = flat_name(row["model"], row["strategy"], row["dataset"])
+        if name in docs:
+            raise ValueError(f"two experiments share the file name '{name}'")
+        docs[name] = json.dumps(body, indent=2, ensure_ascii=False).encode()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    make = jvm.org.apache.hadoop.fs.Path
+    folder = make(path)
+    fs = folder.getFileSystem(conf)
+    fs.mkdirs(folder)
+    for name, body in docs.items():
+        hidden, target = make(folder, f".{uuid.uuid4().hex}.tmp"), make(folder, name)
+        out = fs.create(hidden, False)
+        try:
+            out.write(body)
+        finally:
+            out.close()
+        _replace(spark, fs, hidden, target)
+    return sorted(docs)
+
+
+def _replace(spark: SparkSession, fs, hidden, target) -> None:
+    """Renames over an existing file, in one step where the file system can."""
+    jvm = spark.sparkContext._jvm
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    hidden, target = fs.makeQualified(hidden), fs.makeQualified(target)
+    try:
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf())
+    except Exception:  # a file system without one
+        fs.delete(target, False)
+        if not fs.rename(hidden, target):
+            raise OSError(f"cannot rename to {target.toString()}") from None
+        return
+    context.rename(hidden, target, overwrite)
+
+
 def read_flat_results(spark: SparkSession, path: str, include_corrupt: bool = False) -> DataFrame:
     """Result documents kept flat: JSON files, indented or not, one document
     each, with ``model``, ``strategy`` and ``dataset`` in the body."""
@@ -147,6 +212,22 @@ def successful_results(spark: SparkSession, path: str) -> DataFrame:
     return read_results(spark, path).where(F.col("error").isNull())
 
 
+def result_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """What lies under ``path``: files, documents that can be read, successful and
+    failed ones, and undecodable ones."""
+    schema = T.StructType(DOCUMENT_SCHEMA.fields + [T.StructField(k, T.StringType()) for k in KEYS])
+    docs = (spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+            .option("basePath", path).json(path).select(F.col("_metadata.file_path").alias("file"), "timestamp", "error",
+                                                        F.col("_corrupt_record").alias("corrupt")))
+    good = F.col("corrupt").isNull()
+    # the scan needs a column of the document besides the corrupt one
+    seen = F.length(F.coalesce("timestamp", "error", F.lit(""))) >= 0
+    return docs.where(seen).agg(
+        F.count_distinct("file").alias("files"), F.count_if(good).alias("loaded"),
+        F.count_if(good & F.col("error").isNull()).alias("successful"),
+        F.count_if(good & F.col("error").isNotNull()).alias("failed"), F.count_if(~good).alias("undecodable"))
+
+
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """CSV with a header, every field quoted.  ``single_file`` only for
     frames that are small by construction (a report)."""
