@@ -9,6 +9,7 @@ benchmark parameters are the engine's: balanced samples of 100 rows
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -26,10 +27,10 @@ from textbench.functions import parsing, prompts, text  # noqa: E402
 from textbench.operators import metrics, profile, sampling  # noqa: E402
 from textbench.plans import analysis, grid  # noqa: E402
 
-try:  # the training-data operators are optional: everything else works without them
+# the training-data operators are optional: everything else works without them
+_llm = None
+if importlib.util.find_spec("textbench.llm") and importlib.util.find_spec("textbench.llm.queries"):
     from textbench.llm import queries as _llm  # noqa: E402
-except ImportError:
-    _llm = None
 
 SAMPLE_SIZE = 100
 SEED = 42
@@ -170,14 +171,10 @@ def q_f1_truncate(spark, sf):
 
 
 def q_f2_f5_prompts(spark, sf):
-    """Zero-shot and chain-of-thought prompts of every labelled document."""
-    c = _corpus(spark, sf)
-    out = []
-    for s in ("zero_shot", "chain_of_thought"):
-        p = prompts.build_prompt("text", s, None, MAX_LEN)
-        out.append(c.select("dataset", "doc_id", F.lit(s).alias("strategy"), F.md5(p).alias("prompt_md5"),
-                            F.char_length(p).alias("prompt_len")))
-    return out[0].unionByName(out[1])
+    """Zero-shot and chain-of-thought prompts of every labelled document, the texts read once."""
+    rows = _corpus(spark, sf).withColumn("strategy", F.explode(F.array(F.lit("zero_shot"), F.lit("chain_of_thought"))))
+    p = prompts.build_prompt_by_strategy("text", "strategy", F.lit(None).cast("string"), MAX_LEN)
+    return rows.select("dataset", "doc_id", "strategy", F.md5(p).alias("prompt_md5"), F.char_length(p).alias("prompt_len"))
 
 
 def _drawn_with_text(spark, sf):
@@ -208,11 +205,13 @@ def q_f6_step_prompts(spark, sf):
 
 
 def q_f10_classification_prompt(spark, sf):
-    """The convenience wrapper, few-shot, with one example block for each corpus row."""
-    c = _corpus(spark, sf).where("dataset = 'toxic'")
-    ex = _drawn_with_text(spark, sf).where("NOT _test AND dataset = 'toxic'")
-    out = prompts.classification_prompt(c, "few_shot", ex, MAX_LEN)
-    return out.select("doc_id", F.md5("prompt").alias("prompt_md5"), F.char_length("prompt").alias("prompt_len"))
+    """The convenience wrapper, few-shot, with one example block for the rows of each corpus."""
+    drawn, out = _drawn_with_text(spark, sf).where("NOT _test"), []
+    for d in DATASETS:
+        c = _corpus(spark, sf).where(F.col("dataset") == d)
+        out.append(prompts.classification_prompt(c, "few_shot", drawn.where(F.col("dataset") == d), MAX_LEN))
+    return out[0].unionByName(out[1]).select("dataset", "doc_id", F.md5("prompt").alias("prompt_md5"),
+                                             F.char_length("prompt").alias("prompt_len"))
 
 
 def q_f7_alternative_prompts(spark, sf):
@@ -255,8 +254,8 @@ def q_j6_resolved_backends(spark, sf):
 # --------------------------------------------------------------------------- parsing, scoring, metrics
 
 def q_f12_parse_conversations(spark, sf):
-    conv = testbed.table(spark, sf, "conversations").where(F.col("role") == "assistant")
-    return conv.select("conv_id", "turn", parsing.extract_prediction("text").alias("prediction"))
+    conv = testbed.table(spark, sf, "conversations")
+    return conv.select("conv_id", "turn", "role", parsing.extract_prediction("text").alias("prediction"))
 
 
 def _grid_flat(g):
@@ -305,6 +304,45 @@ def q_m5_isolation(spark, sf):
     return g.select("model", "strategy", "dataset", "error", "n", "f1_score")
 
 
+def _asks_by_options():
+    def generate(prompt_texts, options):
+        def answer(p):
+            return "Falsa" if len(p) % options["max_new_tokens"] < 10 * options["temperature"] else "Verdadeira"
+        return prompt_texts.map(answer)
+    return generate
+
+
+def _scratch(spark, name):
+    import uuid
+
+    from textbench.session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def q_m2_row_options(spark, sf):
+    """Two option sets in one grid, by strategy and dataset, recorded in each scored row."""
+    from textbench.operators.scoring import ExprModel, PythonModel
+    models = [ExprModel("rules/options-2B", "CASE WHEN length(prompt) % options.max_new_tokens < 3 THEN 'Falsa' "
+                                            "ELSE 'Verdadeira' END", options={"temperature": 0.5}),
+              PythonModel("rules/options-py-3B", _asks_by_options)]
+    tokens = F.when(F.col("strategy") == "zero_shot", 4).when(F.col("strategy") == "few_shot", 16)
+    path = _scratch(spark, "options")
+    grid.run_grid(spark, _keys(spark, sf), models, STRATEGIES, DATASETS, sample_size=SAMPLE_SIZE, seed=SEED,
+                  n_examples=N_EXAMPLES, max_text_length=MAX_LEN, texts=testbed.texts(spark, sf), predictions_path=path,
+                  row_options=F.struct(tokens.alias("max_new_tokens"),
+                                       F.when(F.col("dataset") == "toxic", 0.9).alias("temperature")))
+    return spark.read.parquet(path).groupBy("model", "strategy", "dataset", "options.max_new_tokens", "options.temperature") \
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("prediction") == 1).alias("answered_fake"))
+
+
+def q_j5_backends(spark, sf):
+    """Back-end names of the documents' sources, looked up in a registry that knows some of them."""
+    from textbench.operators import registry
+    sources = testbed.table(spark, sf, "documents").select(F.col("source").alias("model"))
+    known = sources.distinct().where("model LIKE '%1%'").select("model", F.concat(F.lit("hub/"), "model").alias("backend_name"))
+    return registry.backend_lookup(sources, known)
+
+
 def q_p6_error_analysis(spark, sf):
     preds = _corpus_predictions(spark, sf)
     return metrics.error_summary(preds, ["model", "dataset"]).withColumn("error_rate", _r("error_rate"))
@@ -388,6 +426,45 @@ def q_a24_parameter_trend(spark, sf):
     return t.select("metric", _r("slope").alias("slope"), _r("intercept").alias("intercept"), "n")
 
 
+def q_a24_fitted_values(spark, sf):
+    """Every experiment beside the trend of its metric."""
+    t = analysis.fitted_values(_ok(spark, sf))
+    return t.select("model", "strategy", "dataset", "metric", "num_parameters", _r("value").alias("value"),
+                    _r("fitted").alias("fitted"))
+
+
+def q_a27_split_sizes(spark, sf):
+    """Train and test sizes of the hold-out split."""
+    return analysis.split_sizes(sampling.holdout_assignment(spark, _keys(spark, sf), SAMPLE_SIZE, 0.2, SEED))
+
+
+def q_a27_inventory(spark, sf):
+    """Files, loaded, successful and failed documents of the grid, written and read again."""
+    from textbench.sources import results
+    path = _scratch(spark, "results")
+    results.write_results(grid.as_results(_grid(spark, sf)), path)
+    return results.result_inventory(spark, path)
+
+
+def q_s9_flat_documents(spark, sf):
+    """The grid's documents under their published names, written and read again."""
+    from textbench.sources import results
+    path = _scratch(spark, "flat")
+    results.write_flat_results(grid.as_results(_grid(spark, sf)), path)
+    back = results.read_flat_results(spark, path)
+    return back.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "model", "strategy", "dataset",
+                       "error", "sample_size", "metrics.f1_score", "metrics.true_positives")
+
+
+def q_s10_csv_report(spark, sf):
+    """The report table as CSV, read again."""
+    from textbench.sources import results
+    path = _scratch(spark, "report")
+    results.write_csv(_report(spark, sf).select("model", "strategy", "dataset", "error", "f1_score", "invalid_rate"), path)
+    return spark.read.schema("model string, strategy string, dataset string, error string, f1_score double, "
+                             "invalid_rate double").option("header", True).option("escape", '"').csv(path)
+
+
 def q_a25_parameter_bins(spark, sf):
     b = analysis.parameter_bins(_ok(spark, sf))
     return b.select("param_range", _r("f1_score").alias("f1_score"), "n")
@@ -481,6 +558,20 @@ def q_s1_landed_corpus(spark, sf):
     return c.select("dataset", "doc_id", "label", F.md5("text").alias("text_md5"))
 
 
+def q_s3_csv_corpus(spark, sf):
+    """A landed CSV copy of the documents, line breaks and quotes inside the fields, read through the registry."""
+    from textbench.sources import datasets
+    folder = _scratch(spark, "landed")
+    d = testbed.table(spark, sf, "documents").join(testbed.table(spark, sf, "labels"), "doc_id")
+    (d.select(F.col("doc_id").alias("key"), F.col("text").alias("body"), F.col("toxic").alias("flag"))
+     .write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/landed.csv"))
+    registry = {"landed": {"id_column": "key", "text_column": "body", "label_column": "flag",
+                           "label_mapping": {"0": 0, "1": 1}}}
+    c = datasets.read_dataset(spark, "landed", folder, registry, schema="key long, body string, flag int")
+    return c.select("dataset", "doc_id", "label", F.md5("text").alias("text_md5"))
+
+
 def q_p2_unmapped_labels(spark, sf):
     """Raw label values outside the map, counted: here the map knows one value only."""
     from textbench.sources import datasets
@@ -493,6 +584,14 @@ def q_p2_unmapped_labels(spark, sf):
 _QUERIES = {
     "s1_corpus": q_s1_corpus,
     "s1_landed_corpus": q_s1_landed_corpus,
+    "s3_csv_corpus": q_s3_csv_corpus,
+    "s9_flat_documents": q_s9_flat_documents,
+    "s10_csv_report": q_s10_csv_report,
+    "m2_row_options": q_m2_row_options,
+    "j5_backends": q_j5_backends,
+    "a24_fitted_values": q_a24_fitted_values,
+    "a27_split_sizes": q_a27_split_sizes,
+    "a27_inventory": q_a27_inventory,
     "p2_unmapped_labels": q_p2_unmapped_labels,
     "a1_dataset_stats": q_a1_dataset_stats,
     "a2_dataset_comparison": q_a2_dataset_comparison,

@@ -196,9 +196,9 @@ SELECT doc_id, md5({single_prompt(CHAIN_OF_THOUGHT_STEPS_TEMPLATE)}) AS prompt_m
        CAST(length({single_prompt(CHAIN_OF_THOUGHT_STEPS_TEMPLATE)}) AS INTEGER) AS prompt_len FROM documents"""
 
 ORACLE["f10_classification_prompt"] = f"""{WS}{block_cte(M)}
-SELECT c.doc_id, md5({prompt_expr("'few_shot'", 'c.text', 'b.examples_text', M)}) AS prompt_md5,
+SELECT c.dataset, c.doc_id, md5({prompt_expr("'few_shot'", 'c.text', 'b.examples_text', M)}) AS prompt_md5,
        CAST(length({prompt_expr("'few_shot'", 'c.text', 'b.examples_text', M)}) AS INTEGER) AS prompt_len
-FROM corpus c JOIN block b ON c.dataset = b.dataset WHERE c.dataset = 'toxic'"""
+FROM corpus c JOIN block b ON c.dataset = b.dataset"""
 
 ORACLE["f20_backend_names"] = """
 SELECT doc_id, lower(CASE doc_id % 3 WHEN 0 THEN 'hf.co/Hub/' || upper(source) WHEN 1 THEN 'hf.co/Org/' || upper(source)
@@ -221,7 +221,7 @@ ORACLE["p2_unmapped_labels"] = " UNION ALL ".join(
 # --------------------------------------------------------------------------- parsing, scoring, metrics
 
 ORACLE["f12_parse_conversations"] = f"""
-SELECT conv_id, turn, CAST({parse('text')} AS INTEGER) AS prediction FROM conversations WHERE role = 'assistant'"""
+SELECT conv_id, turn, role, CAST({parse('text')} AS INTEGER) AS prediction FROM conversations"""
 
 _gcols = ["model", "strategy", "dataset", "error", "n", "accuracy", "precision", "recall", "f1_score",
           "precision_macro", "recall_macro", "f1_macro", "invalid_predictions", "invalid_rate", "true_negatives",
@@ -380,11 +380,55 @@ t AS (SELECT dataset, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE
 SELECT m.model, 'fine_tuned' AS strategy, t.dataset, CAST(NULL AS VARCHAR) AS error, t.n, t.actual_negatives,
        t.actual_positives FROM t, (VALUES {_base}) AS m(model)"""
 
+ORACLE["a24_fitted_values"] = f"""{G},
+rp AS (SELECT *, {_params} AS p FROM report WHERE {_params} IS NOT NULL)
+""" + " UNION ALL ".join(
+    f"SELECT model, strategy, dataset, {lit(m)} AS metric, p AS num_parameters, {r(m)} AS value, "
+    f"{r(f'(SELECT regr_slope({m}, p) FROM rp) * p + (SELECT regr_intercept({m}, p) FROM rp)')} AS fitted FROM rp"
+    for m in ("f1_score", "accuracy", "avg_inference_time"))
+
+ORACLE["a27_split_sizes"] = f"""WITH split_rows AS ({ORACLE["x6_holdout_split"]})
+SELECT dataset, split, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE label = 0) AS BIGINT) AS negatives,
+       CAST(count(*) FILTER (WHERE label = 1) AS BIGINT) AS positives FROM split_rows GROUP BY dataset, split"""
+
+ORACLE["a27_inventory"] = f"""{G}
+SELECT CAST(count(*) AS BIGINT) AS files, CAST(count(*) AS BIGINT) AS loaded,
+       CAST(count(*) FILTER (WHERE error IS NULL) AS BIGINT) AS successful,
+       CAST(count(*) FILTER (WHERE error IS NOT NULL) AS BIGINT) AS failed, CAST(0 AS BIGINT) AS undecodable FROM grid"""
+
+ORACLE["s9_flat_documents"] = f"""{G}
+SELECT replace(model, '/', '_') || '_' || strategy || '_' || dataset || '.json' AS file, model, strategy, dataset, error,
+       sample_size, f1_score, true_positives FROM grid"""
+
+ORACLE["s10_csv_report"] = f"{G} SELECT model, strategy, dataset, error, f1_score, invalid_rate FROM report"
+
+ORACLE["s3_csv_corpus"] = """
+SELECT 'landed' AS dataset, d.doc_id, CAST(l.toxic AS INTEGER) AS label, md5(d.text) AS text_md5
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+
+ORACLE["j5_backends"] = """
+SELECT source AS model, CASE WHEN source LIKE '%1%' THEN 'hub/' || source END AS backend_name,
+       CASE WHEN source NOT LIKE '%1%' THEN 'model ''' || source || ''' is not in the back-end registry' END AS error
+FROM (SELECT DISTINCT source FROM documents)"""
+
+_tok = "CASE strategy WHEN 'zero_shot' THEN 4 WHEN 'few_shot' THEN 16 ELSE 256 END"
+_heat = "CASE WHEN dataset = 'toxic' THEN 0.9::DOUBLE WHEN m.model = 'rules/options-2B' THEN 0.5::DOUBLE ELSE 0.1::DOUBLE END"
+ORACLE["m2_row_options"] = f"""{G},
+asked AS (SELECT m.model, strategy, dataset, label, length(prompt) AS n_chars, CAST({_tok} AS INTEGER) AS max_new_tokens,
+                 {_heat} AS temperature, prompt_error
+          FROM prompts p, (VALUES ('rules/options-2B'), ('rules/options-py-3B')) AS m(model)
+          WHERE p.model = 'rules/parity-1.5B')
+SELECT model, strategy, dataset, CASE WHEN prompt_error IS NULL THEN max_new_tokens END AS max_new_tokens,
+       CASE WHEN prompt_error IS NULL THEN temperature END AS temperature, CAST(count(*) AS BIGINT) AS n,
+       CAST(count(*) FILTER (WHERE prompt_error IS NULL AND CASE model WHEN 'rules/options-2B' THEN n_chars % max_new_tokens < 3
+                             ELSE n_chars % max_new_tokens < 10 * temperature END) AS BIGINT) AS answered_fake
+FROM asked GROUP BY ALL"""
+
 ORACLE["j4_pending_cells"] = f"{G} SELECT model, strategy, dataset FROM grid WHERE error IS NOT NULL"
 
 
 # the analysis runs over successful experiments only (failed cells are dropped
 # before any aggregate): the same SQL over ``okr``, the filtered report
-for _k in ['a14_by_strategy', 'a15_by_model', 'a16_grouped_means', 'a17_best_strategy_per_model', 'a17_best_model_per_strategy', 'a18_best_overall', 'a20_compare_models', 'a21_heatmap_strategy', 'a22_heatmap_dataset', 'a23_statistical_analysis', 'a24_parameter_trend', 'a25_parameter_bins', 'a26_distinct_values', 'f13_f18_model_parameters']:
+for _k in ['a14_by_strategy', 'a15_by_model', 'a16_grouped_means', 'a17_best_strategy_per_model', 'a17_best_model_per_strategy', 'a18_best_overall', 'a20_compare_models', 'a21_heatmap_strategy', 'a22_heatmap_dataset', 'a23_statistical_analysis', 'a24_parameter_trend', 'a24_fitted_values', 'a25_parameter_bins', 'a26_distinct_values', 'f13_f18_model_parameters']:
     assert ORACLE[_k].startswith(G)
     ORACLE[_k] = G + re.sub(r"\breport\b", "okr", ORACLE[_k][len(G):])

@@ -8,7 +8,9 @@ from tests.conftest import SF001
 KEYS = ["s1_corpus", "a1_dataset_stats", "a5_length_box", "x1_balanced_sample", "x7_stratified_split",
         "f1_truncate", "f3_few_shot_prompts", "f12_parse_conversations", "m6_grid", "a14_by_strategy",
         "a24_parameter_trend", "a20_compare_models", "x6_holdout_split", "x8_validation_split", "m5_isolation", "s1_landed_corpus",
-        "p2_unmapped_labels", "l4_latest_results", "m12_report_models", "j6_resolved_backends", "f20_backend_names"]
+        "p2_unmapped_labels", "l4_latest_results", "m12_report_models", "j6_resolved_backends", "f20_backend_names",
+        "s3_csv_corpus", "s9_flat_documents", "s10_csv_report", "m2_row_options", "j5_backends", "a24_fitted_values",
+        "a27_split_sizes", "a27_inventory", "f2_f5_prompts", "f10_classification_prompt"]
 
 
 @pytest.mark.parametrize("name", KEYS)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import free_name
 from .text import coerce_text, truncate_text
 
 # ---------------------------------------------------------------------------
@@ -260,6 +261,7 @@ def classification_prompt(df: DataFrame, strategy: str = "zero_shot", examples:
             raise ValueError("Few-shot prompts need examples.")
         # one block (at most the given examples), as a scalar subquery: no join
         block = few_shot_block(examples, max_text_length=max_length).select("examples_text").scalar()
-        out = df.withColumn("_examples", block)
-        return out.withColumn("prompt", build_prompt(text_col, strategy, "_examples", max_length)).drop("_examples")
+        name = free_name(df.columns, "examples")
+        out = df.withColumn(name, block)
+        return out.withColumn("prompt", build_prompt(text_col, strategy, name, max_length)).drop(name)
     return df.withColumn("prompt", build_prompt(text_col, strategy, None, max_length))
