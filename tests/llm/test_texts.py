@@ -260,3 +260,23 @@ def test_substring_dedup_edges(odd, empty):
     assert len(rows) == odd.count()
     assert all(r["n_removed"] == 0 for r in rows if r["doc_id"] in (None, 1))
     assert substring_dedup.remove_repeated(empty).count() == 0
+
+
+# ------------------------------------------------------------------ 5, spelling of special tokens
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_special_tokens_count_as_they_are_spelled(spark, order):
+    import pyarrow as pa
+    path = tokenizers_data.path("word_bpe_49k.json")
+    texts = ["a <|ENDOFTEXT|> b", "a <|endoftext|> b", "x<|endoftext|>y.", "X<|EndOfText|>Y!", "<|startoftext|>", "a<b A<B",
+             "ÀÉÎ Straße İstanbul ΑΣ σς ǅ ﬁ ſtop Ĳ don't naïve é", "<", None, "plain Words, here."][::order]
+    whole = token_files._tokenizer(path)
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    known = token_files.WordIds(path)
+    for chunk in (texts, texts[::-1]):  # words remembered from one call to the next
+        ids, bounds = token_files.tokenize(pa.array(chunk, pa.string()), known, 2)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == (want if chunk is texts else want[::-1])
+    for parts in (1, 4):
+        d = make(spark, texts).repartition(parts)
+        got = {r["doc_id"]: token_files._from_planes(r["ids"]).tolist() for r in token_files.tokenized(d, path).collect()}
+        assert got == dict(enumerate(want))

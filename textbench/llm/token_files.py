@@ -14,8 +14,10 @@ A text is tokenized by its distinct words, each of them once in a task: the
 tokenizer lowers case, drops white space and never looks across it, nor across
 the border of a letter or digit and punctuation after it, so the ids are those of
 the whole text.  Words of letters only are encoded many at a time, where the
-tokens that end a word tell them apart.  The tokenizer's special tokens are
-recognised in texts, as the library does by default.
+tokens that end a word tell them apart; those of Latin letters skip the tokenizer's
+normaliser and its pattern, which give them back in lower case and whole.  Words are
+remembered in lower case, except those with ``<``: the tokenizer's special tokens
+are recognised in texts as they are spelled, as the library does by default.
 
 Null or empty text: the end id alone.  Null ``doc_id``: before all others.
 Rows that share a ``doc_id`` are written one after the other.  An empty table
@@ -24,16 +26,19 @@ writes no segments and gives no rows.  Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import (LOWER, Words, block_count, documents, pieces, ragged, shared_path, span_hashes, text_bytes,
-                     text_size)
+                     text_size, worker_cache)
 
 SEGMENT_BYTES = 2 << 20
 SHARD_BYTES = 16 << 20
@@ -56,6 +61,30 @@ def _tokenizer(path: str):
     return _tokenizers[path]
 
 
+#: Letters whose lower case is one letter, the same in all Unicode versions.
+_LATIN = "^[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+$"
+
+
+def _words_only(path: str):
+    """The tokenizer for words of Latin letters in lower case, divided by blanks: the
+    same vocabulary and merges behind a plain split.  None if the tokenizer does
+    more to such words than to lower them and take them whole."""
+    key = path, "words"
+    if key not in _tokenizers:
+        from tokenizers import Tokenizer
+        rules = json.loads(_tokenizer(path).to_str())
+        steps = [n.get("type") for n in (rules["normalizer"] or {}).get("normalizers", [])]
+        before = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+        known = steps == ["NFC", "Replace", "Lowercase"] and [b.get("type") for b in before] == ["Split", "ByteLevel"] \
+            and "[\\p{L}]+" in before[0]["pattern"].get("Regex", "")
+        if known:
+            split = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+            rules |= {"normalizer": None, "added_tokens": [],
+                      "pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, before[1]]}}
+        _tokenizers[key] = Tokenizer.from_str(json.dumps(rules)) if known else None
+    return _tokenizers[key]
+
+
 _TAIL = np.zeros(256, bool)
 _TAIL[list(b".,;:!?")] = True
 _PLAIN = np.zeros(256, bool)
@@ -78,10 +107,10 @@ def _units(words: Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 class WordIds:
-    """Ids of words, remembered within a task (forgotten beyond ``most``)."""
+    """Ids of words, remembered within a Python worker (forgotten beyond ``most``)."""
 
     def __init__(self, path: str, most: int = 1_000_000):
-        self.tokenizer, self.most = _tokenizer(path), most
+        self.tokenizer, self.most, self.words_only = _tokenizer(path), most, _words_only(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -91,24 +120,31 @@ class WordIds:
         self.hashes, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.bounds, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids of new words."""
-        plain = np.array([t.isalpha() and t.lower().isalpha() for t in texts], bool)
-        order, sizes, ids = [], [], []
-        joined = np.flatnonzero(plain)
-        parts = [joined[i:i + 1000] for i in range(0, len(joined), 1000)]
-        rest = [np.flatnonzero(~plain)]
-        coded = self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in part]) for part in parts],
-                                                 add_special_tokens=False)
-        for part, c in zip(parts, coded):
-            own = np.array(c.ids, np.uint32)
-            last = np.flatnonzero(self.ends[own])
-            if len(last) == len(part):
-                order.append(part)
-                sizes.append(np.diff(last, prepend=-1))
-                ids.append(own)
-            else:  # a word that the tokenizer splits after all
-                rest.append(part)
+        texts = strings.to_pylist()
+        latin = np.asarray(pc.match_substring_regex(strings, _LATIN), bool)
+        if self.words_only is None:
+            latin[:] = False
+        plain = latin.copy()
+        others = np.flatnonzero(~latin)
+        plain[others] = [texts[i].isalpha() and texts[i].lower().isalpha() for i in others]
+        order, sizes, ids, rest = [], [], [], [np.flatnonzero(~plain)]
+        for tokenizer, chosen, lower in ((self.words_only, latin, True), (self.tokenizer, plain & ~latin, False)):
+            joined = np.flatnonzero(chosen)
+            parts = [joined[i:i + 250] for i in range(0, len(joined), 250)]
+            lines = (" ".join([texts[i] for i in part]) for part in parts)
+            lines = [line.lower() for line in lines] if lower else list(lines)
+            coded = tokenizer.encode_batch_fast(lines, add_special_tokens=False) if lines else []
+            for part, c in zip(parts, coded):
+                own = np.array(c.ids, np.uint32)
+                last = np.flatnonzero(self.ends[own])
+                if len(last) == len(part):
+                    order.append(part)
+                    sizes.append(np.diff(last, prepend=-1))
+                    ids.append(own)
+                else:  # a word that the tokenizer splits after all
+                    rest.append(part)
         rest = np.concatenate(rest)
         for begin in range(0, len(rest), 2000):
             part = rest[begin:begin + 2000]
@@ -122,15 +158,15 @@ class WordIds:
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return sizes, ids[np.repeat(begins - ends[:-1], sizes) + np.arange(ends[-1])]
 
-    def look_up(self, hashes: np.ndarray, text_of) -> np.ndarray:
-        """Places in ``bounds`` of distinct hashes; ``text_of(i)`` gives the i-th's text."""
+    def look_up(self, hashes: np.ndarray, texts_of) -> np.ndarray:
+        """Places in ``bounds`` of distinct hashes; ``texts_of(rows)`` gives the texts of some."""
         if len(self.hashes) > self.most:
             self._forget()
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
         known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
         new = np.flatnonzero(~known)
         if len(new):
-            sizes, ids = self._encode([text_of(i) for i in new])
+            sizes, ids = self._encode(texts_of(new))
             added = np.arange(len(new)) + len(self.bounds) - 1
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
             self.ids = np.concatenate([self.ids, ids])
@@ -146,9 +182,25 @@ def tokenize(texts: pa.Array, known: WordIds, end_id: int) -> tuple[np.ndarray,
     words = Words(*text_bytes(texts))
     data = LOWER[words.data]
     starts, ends, first_unit = _units(words, data)
-    hashes, first, entry = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    raw = words.data.tobytes()
-    place = known.look_up(hashes, lambda i: raw[starts[first[i]]:ends[first[i]]].decode())[entry]
+    marked = words.data == ord("<")
+    if marked.any():  # a special token may be there: as it is spelled
+        count = np.concatenate([[0], np.cumsum(marked)])
+        spelled = np.flatnonzero(count[ends] > count[starts])
+        edge = np.zeros(len(data) + 1, np.int64)
+        edge[starts[spelled]] += 1
+        np.add.at(edge, ends[spelled], -1)
+        as_is = np.cumsum(edge)[:-1] > 0
+        data[as_is] = words.data[as_is]
+    entry, hashes = pd.factorize(span_hashes(data, starts, ends))
+    first = np.empty(len(hashes), np.int64)
+    first[entry[::-1]] = np.arange(len(entry))[::-1]
+
+    def texts_of(rows: np.ndarray) -> pa.Array:
+        begin, size = starts[first[rows]], (ends - starts)[first[rows]]
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        raw = words.data[np.repeat(begin - bounds[:-1], size) + np.arange(bounds[-1])]
+        return pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw))
+    place = known.look_up(hashes, texts_of)[entry]
     size = known.bounds[place + 1] - known.bounds[place]
     unit_ends = np.concatenate([[0], np.cumsum(size)])
     plain = known.ids[np.repeat(known.bounds[place] - unit_ends[:-1], size) + np.arange(unit_ends[-1])]
@@ -182,7 +234,10 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids): each text's ids as little-endian unsigned 32-bit integers,
     stored by byte plane."""
     def run(batches):
-        known = WordIds(path)
+        kept = worker_cache()
+        known = kept.get(("words", path))
+        if known is None:
+            known = kept["words", path] = WordIds(path)
         for whole in batches:
             for batch in pieces(whole, most=SEGMENT_BYTES):
                 ids, bounds = tokenize(batch.column("text"), known, end_id)
