@@ -167,6 +167,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_prefix(columns) -> str:
+    """A beginning of names that no column's name has, whatever the case: helper
+    columns with it replace none of the caller's."""
+    prefix = "h_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def text_size(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts: one pass with a partial sum."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

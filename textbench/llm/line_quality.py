@@ -14,18 +14,20 @@ repeated lines, and words in repeated five-word windows.
 
 Null text: no words (fails the base rules).  Null ``source``: a host of its
 own.  Null ``doc_id``: base figures only; ``keep_documents`` keeps such rows.  Rows that share a
-``doc_id`` count as one document, whose lines are those of all of them.  Empty
-tables give no rows.  Other columns are ignored.
+``doc_id`` count as one document of their host for each text, and each row is judged
+by its own words and lines.  Empty tables give no rows.  Other columns are ignored
+and kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import LOWER, U64, Words, documents, mix, pieces, span_hashes, text_bytes
+from .common import LOWER, U64, Words, documents, free_prefix, mix, pieces, span_hashes, text_bytes, written
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -66,6 +68,11 @@ def _per_document(words: Words, flags: np.ndarray, first: np.ndarray) -> np.ndar
     return np.diff(np.concatenate([[0], np.cumsum(flags)])[first])
 
 
+def _content(words: Words) -> np.ndarray:
+    """Hash of each text's normalised words."""
+    return span_hashes(words.hashes(NORMAL), words.first[:-1], words.first[1:])
+
+
 def _base(batches):
     for whole in batches:
         for batch in pieces(whole):
@@ -82,6 +89,7 @@ def _base(batches):
             np.add.at(depth, at[twice] + 5, -1)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),
+                "content": pa.array(_content(words).view(np.int64)),
                 "n_words": pa.array(words.counts, pa.int64()),
                 "word_chars": pa.array(_per_document(words, words.inside & ~continued, words.bounds), pa.int64()),
                 "n_symbols": pa.array(_per_document(words, SYMBOL[words.data], words.bounds), pa.int64()),
@@ -92,9 +100,12 @@ def _base(batches):
 
 def base_figures(docs: DataFrame) -> DataFrame:
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _base, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed)
+        _base, "doc_id long, content long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    return out.withColumn("base_failed", _failed(F.col("n_words"), F.col("n_repeat_words")))
+
+
+def _failed(words: Column, repeated: Column) -> Column:
+    return (words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * words)
 
 
 def _host_key(batch) -> np.ndarray:
@@ -112,7 +123,7 @@ def _line_rows(batches):
             of = np.searchsorted(words.bounds, starts, side="right") - 1
             host = _host_key(batch)
             key = mix(span_hashes(words.hashes(NORMAL), first, last) + host[of])
-            content = span_hashes(words.hashes(NORMAL), words.first[:-1], words.first[1:])
+            content = _content(words)
             _, at, entry = np.unique(mix(key + mix(of.astype(U64) + U64(1))), return_index=True, return_inverse=True)
             held = np.bincount(entry, last - first, len(at)).astype(np.int64)
             ids = batch.column("doc_id").take(pa.array(of[at]))
@@ -142,63 +153,84 @@ def frequent_lines(docs: DataFrame, lines: DataFrame, min_documents: int = MIN_D
 
 
 def removed_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE) -> DataFrame:
-    """(doc_id, lines, n_removed_words): what each document loses."""
-    lines = document_lines(docs)
+    """(doc_id, content, lines, n_removed_words): what each text of a document loses."""
+    lines = written(document_lines(docs), "document-lines")
     frequent = frequent_lines(docs, lines, min_documents, host_share)
     return (lines.join(frequent, "line").where(F.col("doc_id") != F.col("first"))
-            .groupBy("doc_id").agg(F.collect_set("line").alias("lines"), F.sum("words").alias("n_removed_words")))
-
-
-def _without(batches):
-    """Texts without the lines named in ``__lines``."""
-    for whole in batches:
-        for batch in pieces(whole):
-            gone = batch.column("__lines").to_pylist()
-            if not any(gone):
-                yield batch
-                continue
-            words = Words(*text_bytes(batch.column("text")))
-            starts, ends, first, last = _lines(words)
-            of = np.searchsorted(words.bounds, starts, side="right") - 1
-            line = mix(span_hashes(words.hashes(NORMAL), first, last) + _host_key(batch)[of]).view(np.int64)
-            edges = np.searchsorted(of, np.arange(len(gone) + 1))
-            texts = batch.column("text").to_pylist()
-            for i, lines in enumerate(gone):
-                if lines:
-                    mine = slice(edges[i], edges[i + 1])
-                    hit = np.isin(line[mine], np.array(lines, np.int64))
-                    cuts = zip(starts[mine][hit] - words.bounds[i], ends[mine][hit] - words.bounds[i])
-                    raw, at, left = texts[i].encode(), 0, []
-                    for begin, end in cuts:
-                        left.append(raw[at:begin])
-                        at = min(end + 1, len(raw))
-                    texts[i] = b"".join([*left, raw[at:]]).decode()
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+            .groupBy("doc_id", "content", "line").agg(F.max("words").alias("words"))
+            .groupBy("doc_id", "content").agg(F.collect_list("line").alias("lines"), F.sum("words").alias("n_removed_words")))
+
+
+def _without(lines_column: str):
+    """Texts without the lines named in a column."""
+    def without(batches):
+        for whole in batches:
+            for batch in pieces(whole):
+                gone = batch.column(lines_column).to_pylist()
+                yield _cut(batch, gone) if any(gone) else batch
+    return without
+
+
+def _cut(batch: pa.RecordBatch, gone: list) -> pa.RecordBatch:
+    words = Words(*text_bytes(batch.column("text")))
+    starts, ends, first, last = _lines(words)
+    of = np.searchsorted(words.bounds, starts, side="right") - 1
+    line = mix(span_hashes(words.hashes(NORMAL), first, last) + _host_key(batch)[of]).view(np.int64)
+    edges = np.searchsorted(of, np.arange(len(gone) + 1))
+    texts = batch.column("text").to_pylist()
+    for i, lines in enumerate(gone):
+        if lines:
+            mine = slice(edges[i], edges[i + 1])
+            hit = np.isin(line[mine], np.array(lines, np.int64))
+            cuts = zip(starts[mine][hit] - words.bounds[i], ends[mine][hit] - words.bounds[i])
+            raw, at, left = texts[i].encode(), 0, []
+            for begin, end in cuts:
+                left.append(raw[at:begin])
+                at = min(end + 1, len(raw))
+            texts[i] = b"".join([*left, raw[at:]]).decode()
+    return batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+
+def _judged(figures: DataFrame, removed: DataFrame, p: str = "") -> DataFrame:
+    """Figures (columns behind the prefix ``p``) with what is removed and the verdict."""
+    key = (F.col(f"{p}doc_id") == F.col(f"{p}gone_doc_id")) & (F.col(f"{p}content") == F.col(f"{p}gone_content"))
+    gone = removed.select(F.col("doc_id").alias(f"{p}gone_doc_id"), F.col("content").alias(f"{p}gone_content"),
+                          F.col("lines").alias(f"{p}lines"), F.col("n_removed_words").alias(f"{p}n_removed_words"))
+    out = figures.join(gone, key, "left").drop(f"{p}gone_doc_id", f"{p}gone_content")
+    out = out.withColumn(f"{p}n_removed_words", F.coalesce(f"{p}n_removed_words", F.lit(0).cast("long")))
+    words = F.col(f"{p}n_words")
+    depleted = 100 * (words - F.col(f"{p}n_removed_words")) < MIN_LEFT_PERCENT * words
+    return out.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & ~depleted)
 
 
 def judge(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE) -> DataFrame:
     """A row for each document: base figures, ``n_removed_words`` (of lines above
     the limit) and ``kept``."""
-    removed = removed_lines(docs, min_documents, host_share).select("doc_id", "n_removed_words")
-    out = base_figures(docs).join(removed, "doc_id", "left").fillna(0, ["n_removed_words"])
-    depleted = 100 * (F.col("n_words") - F.col("n_removed_words")) < MIN_LEFT_PERCENT * F.col("n_words")
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    return _judged(base_figures(docs), removed_lines(docs, min_documents, host_share)).drop("lines", "content")
 
 
 def keep_documents(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE) -> DataFrame:
     """The documents that ``judge`` keeps, without the removed lines.  Columns are
     those of ``docs``; ``n_chars``, if there, follows the text."""
-    columns = docs.columns
-    rejected = judge(docs, min_documents, host_share).where(~F.col("kept") & F.col("doc_id").isNotNull())
-    rejected = rejected.select(F.col("doc_id").alias("__doc_id"))
-    removed = removed_lines(docs, min_documents, host_share).select(
-        F.col("doc_id").alias("__doc_id"), F.col("lines").alias("__lines"))
-    kept = docs.join(rejected, docs["doc_id"] == rejected["__doc_id"], "left_anti")
-    kept = kept.join(removed, kept["doc_id"] == removed["__doc_id"], "left").drop("__doc_id")
-    out = kept.mapInArrow(_without, kept.schema)
+    columns, p = docs.columns, free_prefix(docs.columns)
+
+    def flag(batches):
+        for whole in batches:
+            for batch in pieces(whole):
+                figures = next(_base(iter([batch.select(["text", f"{p}doc_id"]).rename_columns(["text", "doc_id"])])))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, figures.column("content"), figures.column("n_words"), figures.column("n_repeat_words")],
+                    [*batch.schema.names, f"{p}content", f"{p}n_words", f"{p}n_repeat_words"])
+    named = docs.withColumn(f"{p}doc_id", F.col("doc_id").cast("long"))
+    schema = StructType([*named.schema.fields, *(StructField(f"{p}{c}", LongType()) for c in ("content", "n_words", "n_repeat_words"))])
+    flagged = named.mapInArrow(flag, schema)
+    flagged = flagged.withColumn(f"{p}base_failed", _failed(F.col(f"{p}n_words"), F.col(f"{p}n_repeat_words")))
+    judged = _judged(flagged, removed_lines(docs, min_documents, host_share), p)
+    kept = judged.where(F.col(f"{p}kept") | F.col("doc_id").isNull()).select(*columns, f"{p}lines")
+    out = kept.mapInArrow(_without(f"{p}lines"), kept.schema)
     if "n_chars" in columns:
         size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("__lines").isNull(), F.col("n_chars")).otherwise(size))
+        out = out.withColumn("n_chars", F.when(F.col(f"{p}lines").isNull(), F.col("n_chars")).otherwise(size))
     return out.select(columns)
 
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, free_prefix
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: Patterns by kind, base kinds first, in the order of the result.
@@ -116,57 +116,59 @@ def _placed(matches: Column, between: Column) -> Column:
     return F.aggregate(matches, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda s: s["found"])
 
 
-def _confirmed(kind: str, rank: int, text: Column) -> Column:
+def _confirmed(kind: str, rank: int, text: Column, p: str) -> Column:
     """Spans of one kind that its validator confirms."""
-    placed = _placed(F.col(f"__m_{kind}"), F.col(f"__b_{kind}"))
+    placed = _placed(F.col(f"{p}m_{kind}"), F.col(f"{p}b_{kind}"))
     return F.transform(F.filter(placed, lambda s: _valid(kind, s["match"])), lambda s: F.struct(
         F.lit(rank).alias("rank"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"),
         _score(kind, text, s["start"], s["end"]).alias("score")))
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__spans``: (rank, start, end, kind, score), sorted by kind and start."""
+def _with_spans(docs: DataFrame, p: str) -> DataFrame:
+    """``docs`` with a column ``spans`` behind the free prefix ``p``: (rank, start, end, kind, score), sorted by kind and start."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("__digit", text.rlike("[0-9]"))
+    out = docs.withColumn(f"{p}digit", text.rlike("[0-9]"))
     found, between = {}, {}
     for kind, pattern in PATTERNS.items():
-        tried = F.col("__digit") if kind != "email" else F.lit(True)
+        tried = F.col(f"{p}digit") if kind != "email" else F.lit(True)
         if kind in _NEEDED:
             tried = tried & F.contains(text, F.lit(_NEEDED[kind]))
-        found[f"__m_{kind}"] = F.when(tried, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        found[f"{p}m_{kind}"] = F.when(tried, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     out = out.withColumns(found)
     for kind, pattern in PATTERNS.items():
-        between[f"__b_{kind}"] = F.when(F.size(f"__m_{kind}") > 0, F.split(text, pattern, -1))
+        between[f"{p}b_{kind}"] = F.when(F.size(f"{p}m_{kind}") > 0, F.split(text, pattern, -1))
     out = out.withColumns(between)
     spans = {}
     for rank, kind in enumerate(PATTERNS):
-        spans[f"__s_{kind}"] = F.when(F.col(f"__b_{kind}").isNotNull(), _confirmed(kind, rank, text))
+        spans[f"{p}s_{kind}"] = F.when(F.col(f"{p}b_{kind}").isNotNull(), _confirmed(kind, rank, text, p))
     out = out.withColumns(spans)
     none = F.expr("cast(array() as array<struct<rank:int,start:int,end:int,kind:string,score:double>>)")
-    every = F.flatten(F.array(*[F.coalesce(F.col(f"__s_{kind}"), none) for kind in PATTERNS]))
+    every = F.flatten(F.array(*[F.coalesce(F.col(f"{p}s_{kind}"), none) for kind in PATTERNS]))
 
     def step(taken, span):
         clash = F.exists(taken, lambda t: (t["start"] < span["end"]) & (span["start"] < t["end"]))
         keep = (span["rank"] < len(BASE)) | ((span["score"] >= THRESHOLD) & ~clash)
         return F.when(keep, F.concat(taken, F.array(span))).otherwise(taken)
-    out = out.withColumn("__every", every)
-    extra = F.exists("__every", lambda s: s["rank"] >= len(BASE))
-    out = out.withColumn("__spans", F.when(extra, F.aggregate("__every", none, step)).otherwise(F.col("__every")))
-    return out.select(*docs.columns, "__spans")
+    out = out.withColumn(f"{p}every", every)
+    extra = F.exists(f"{p}every", lambda s: s["rank"] >= len(BASE))
+    out = out.withColumn(f"{p}spans", F.when(extra, F.aggregate(f"{p}every", none, step)).otherwise(F.col(f"{p}every")))
+    return out.select(*docs.columns, f"{p}spans")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): an array of (kind, start, end, score) for each row."""
-    return _with_spans(docs.select("doc_id", "text")).select("doc_id", F.transform(
-        "__spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
+    p = free_prefix(["doc_id", "text"])
+    return _with_spans(docs.select("doc_id", "text"), p).select("doc_id", F.transform(
+        f"{p}spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
                                       s["score"].alias("score"))).alias("spans"))
 
 
 def mask_personal_data(docs: DataFrame) -> DataFrame:
     """``docs`` with each span replaced by its kind in angle brackets (spans that
     overlap become one); ``n_chars``, if there, follows the text."""
-    out = _with_spans(docs)
-    sort = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"], s["end"], s["kind"])))
+    p = free_prefix(docs.columns)
+    out = _with_spans(docs, p)
+    sort = F.array_sort(F.transform(f"{p}spans", lambda s: F.struct(s["start"], s["end"], s["kind"])))
 
     def step(state, span):
         piece = F.concat(F.substr(F.col("text"), state["at"] + 1, span["start"] - state["at"]),
@@ -176,11 +178,11 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("text"))
     masked = F.aggregate(sort, start, step, lambda s: F.concat(F.array_join(s["text"], ""),
                                                                F.substr(F.col("text"), s["at"] + 1)))
-    hit = F.size("__spans") > 0
-    out = out.withColumn("__masked", F.when(hit, masked).otherwise(F.col("text")))
-    new = {"text": F.col("__masked")}
+    hit = F.size(f"{p}spans") > 0
+    out = out.withColumn(f"{p}masked", F.when(hit, masked).otherwise(F.col("text")))
+    new = {"text": F.col(f"{p}masked")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(hit, F.char_length("__masked").cast(docs.schema["n_chars"].dataType)).otherwise(
+        new["n_chars"] = F.when(hit, F.char_length(f"{p}masked").cast(docs.schema["n_chars"].dataType)).otherwise(
             F.col("n_chars"))
     return out.withColumns(new).select(docs.columns)
 
