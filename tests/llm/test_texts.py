@@ -280,3 +280,32 @@ def test_special_tokens_count_as_they_are_spelled(spark, order):
         d = make(spark, texts).repartition(parts)
         got = {r["doc_id"]: token_files._from_planes(r["ids"]).tolist() for r in token_files.tokenized(d, path).collect()}
         assert got == dict(enumerate(want))
+
+
+# ------------------------------------------------------------------ 4, pieces of any length
+
+def test_long_pieces_take_no_quadratic_time(spark, ranks):
+    import time
+
+    import tiktoken
+    library = tiktoken.Encoding("own", pat_str=tokenizers_data.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = np.random.default_rng(5)
+    letters = "".join(r.choice(list("abcdefghijklmnopqrstuvwxyzéß中文字の"), 20_000))
+    long = ["x" * 5000, letters, "的是不我一有大在人了中到資要可以這個你會好為上來學就交也用能如時文說沒他看那問生過下請天們所多麼小之" * 300]
+    start = time.time()
+    own = [byte_bpe.merge(t.encode(), ranks) for t in long]
+    assert time.time() - start < 2
+    assert own == [library.encode_ordinary(t) for t in long]
+    for k in range(300):
+        t = "".join(r.choice(list("aabbc中é"), r.integers(1, 80)))
+        assert byte_bpe.merge(t.encode(), ranks) == library._core_bpe.encode_single_piece(t.encode())
+    d = make(spark, [*long, "a" * 62, "b" * 63, "ab" * 31, "z" * 200_000, None, ""], [1, 1, None, None, 3, 4, 5, 6, 7])
+    got = sorted((str(x["doc_id"]), x["ids"]) for x in byte_bpe.encode(d, ranks, tokenizers_data.PATTERN, 50_000).collect())
+    want = sorted((str(x["doc_id"]), library.encode_ordinary((x["text"] or "")[:0 if x["doc_id"] == 5 else None]))
+                  for x in d.collect() if x["doc_id"] != 5)
+    assert [g for g in got if g[0] != "5"] == want
+    z = [g for g in got if g[0] == "5"][0][1]
+    token = {v: k for k, v in ranks.items()}
+    assert b"".join(token[i] for i in z) == b"z" * 200_000
+    # the session's settings are as before
+    assert spark.conf.get("spark.sql.maxPlanStringLength") == spark.newSession().conf.get("spark.sql.maxPlanStringLength")

@@ -11,15 +11,19 @@ the two parts that the merge joins.
 Documents are dealt into blocks; each block names its distinct pieces, Spark
 encodes every distinct piece of the corpus, and each block gets the ids of its
 own pieces back.  No dictionary is broadcast or collected.  What is dealt out
-travels in compressed packs: texts with the lengths of their pieces, sorted
-pieces, and ids in the order of the pieces they answer.
-
-Pieces of up to 62 bytes keep their borders in the bits of a long; longer ones
-fold over an array of parts, which takes time quadratic in the piece's length.
+travels in compressed packs: texts as their distinct pieces and numbers into them,
+sorted pieces, and ids in the order of the pieces they answer.  The result is written
+to the shared folder and read from there.
+
+A piece that is a token of its own is that token.  Other pieces of up to 62 bytes
+are folded with their borders in the bits of a long.  Longer ones (text without
+blanks, encoded data) would take a fold quadratic time: Spark leaves them out, and
+the task that answers merges them with linked neighbours and a heap of pairs.
 Letters are those of Java's Unicode tables; characters added to Unicode later
 may be split differently by a library with newer tables.
 
-Null or empty text: no ids, empty decoded bytes.  Null and repeated ``doc_id``:
+Null or empty text: no ids, empty decoded bytes.  A text, or a piece, may have any
+length.  Null and repeated ``doc_id``:
 each row is encoded by itself.  An empty table gives no rows.  Other columns are
 ignored.
 """
@@ -27,6 +31,8 @@ ignored.
 from __future__ import annotations
 
 import base64
+import contextlib
+import heapq
 import json
 import zlib
 
@@ -36,16 +42,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, block_count, block_of, documents, ragged, span_hashes, text_bytes, text_size
+from .common import U64, block_count, documents, ragged, span_hashes, text_bytes, text_size, written
 
 #: Bytes of text in a block: larger blocks repeat fewer pieces and need more memory.
 BLOCK_BYTES = 8 << 20
 #: Bytes of text that a task gathers before it packs them by block.
-GATHER_BYTES = 12 << 20
+GATHER_BYTES = 24 << 20
+#: Pieces that travel to the fold in one row.
+PIECES_A_ROW = 2000
 LEVEL = 6
 BUCKETS = 1 << 13
 _LONGEST_BITS = 62
-_NONE = 2**31 - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -72,41 +79,60 @@ def rank_map_sql(ranks: dict[bytes, int]) -> str:
     return f"from_json('{json.dumps(buckets, separators=(',', ':'))}', 'array<map<string,int>>')"
 
 
-def fold_sql(ranks: dict[bytes, int], piece: str = "piece") -> str:
-    """SQL for the ids of a piece."""
+def fold_sql(ranks: dict[bytes, int], pieces: str = "pieces") -> str:
+    """SQL for the ids of each piece of an array; null for one that is too long to fold."""
     table, longest = rank_map_sql(ranks), max(map(len, ranks))
 
     def rank(key: str) -> str:
         return f"get(m, cast(crc32({key}) & {BUCKETS - 1} as int))[{key}]"
 
-    size = f"octet_length({piece})"
-    spans = f"""flatten(transform(sequence(0, {size} - 2), s ->
-        transform(sequence(s + 2, least({size}, s + {longest})), e -> named_struct(
+    spans = f"""flatten(transform(sequence(0, n - 2), s ->
+        transform(sequence(s + 2, least(n, s + {longest})), e -> named_struct(
             'r', {rank("substring(h, 2 * s + 1, 2 * (e - s))")}, 's', s, 'e', e))))"""
     borders = f"""aggregate(array_sort(filter({spans}, c -> c.r IS NOT NULL)), -1L, (b, c) -> CASE
         WHEN shiftright(b, c.s) & shiftright(b, c.e) & 1L = 1L
         THEN b & ~shiftleft(shiftleft(1L, c.e - c.s - 1) - 1L, c.s + 1) ELSE b END)"""
-    short = f"""transform(transform(array({borders}), b -> filter(sequence(0, {size}),
+    fold = f"""transform(transform(array({borders}), b -> filter(sequence(0, n),
         i -> shiftright(b, i) & 1L = 1L)), c -> transform(sequence(0, size(c) - 2),
         j -> {rank("substring(h, 2 * c[j] + 1, 2 * (c[j + 1] - c[j]))")}))[0]"""
-    pair = lambda a, b: f"coalesce({rank(f'concat({a}, {b})')}, {_NONE})"
-    long = f"""transform(aggregate(sequence(2, {size}),
-        transform(array(regexp_extract_all(h, '..', 0)), t -> named_struct('t', t,
-            'r', transform(sequence(0, size(t) - 2), i -> {pair("t[i]", "t[i + 1]")})))[0],
-        (st, k) -> CASE WHEN coalesce(array_min(st.r), {_NONE}) = {_NONE} THEN st ELSE
-            transform(array(cast(array_position(st.r, array_min(st.r)) as int)), p -> named_struct(
-                't', concat(slice(st.t, 1, p - 1), array(concat(get(st.t, p - 1), get(st.t, p))),
-                            slice(st.t, p + 2, size(st.t))),
-                'r', concat(slice(st.r, 1, greatest(p - 2, 0)),
-                    CASE WHEN p > 1 THEN array({pair("get(st.t, p - 2)", "concat(get(st.t, p - 1), get(st.t, p))")})
-                         ELSE slice(st.r, 1, 0) END,
-                    CASE WHEN p < size(st.r)
-                         THEN array({pair("concat(get(st.t, p - 1), get(st.t, p))", "get(st.t, p + 1)")})
-                         ELSE slice(st.r, 1, 0) END,
-                    slice(st.r, p + 2, size(st.r)))))[0] END).t, x -> {rank("x")})"""
-    ids = f"""CASE WHEN {size} = 1 THEN array({rank("h")})
-        WHEN {size} <= {_LONGEST_BITS} THEN {short} ELSE {long} END"""
-    return f"transform(array({table}), m -> transform(array(hex(cast({piece} as binary))), h -> {ids})[0])[0]"
+    folded = f"transform(array(cast(octet_length(h) div 2 as int)), n -> CASE WHEN n <= {_LONGEST_BITS} THEN {fold} END)[0]"
+    one = f"transform(array({rank('h')}), w -> CASE WHEN w IS NULL THEN {folded} ELSE array(w) END)[0]"
+    each = f"transform(transform({pieces}, p -> hex(cast(p as binary))), h -> {one})"
+    return f"transform(array({table}), m -> {each})[0]"
+
+
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one piece: the pair of lowest rank, the first of equal ones, is merged
+    until none is left; n log n in the piece's length."""
+    whole = ranks.get(piece)
+    if whole is not None:
+        return [whole]
+    n = len(piece)
+    end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i:i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, upto = heapq.heappop(heap)
+        right = after[i]
+        if end[i] < 0 or right >= n or end[right] != upto:  # one of the two has been merged since
+            continue
+        end[i], end[right] = upto, -1
+        after[i] = upto
+        if upto < n:
+            before[upto] = i
+            r = ranks.get(piece[i:end[upto]])
+            if r is not None:
+                heapq.heappush(heap, (r, i, end[upto]))
+        left = before[i]
+        if left >= 0:
+            r = ranks.get(piece[left:upto])
+            if r is not None:
+                heapq.heappush(heap, (r, left, upto))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i:end[i]]])
+        i = end[i]
+    return out
 
 
 # --------------------------------------------------------------------------- packs
@@ -148,11 +174,17 @@ def _pack_documents(batches):
         for block in np.unique(blocks):
             rows = table.filter(pa.array(blocks == block))
             pieces = rows["pieces"].combine_chunks()
-            data, ends = text_bytes(pieces.flatten())
+            coded = pc.dictionary_encode(pieces.flatten())
+            # in order of their bytes, the distinct pieces pack well
+            order = pc.sort_indices(coded.dictionary)
+            place = np.empty(len(order), np.int64)
+            place[order.to_numpy()] = np.arange(len(order))
+            data, ends = text_bytes(coded.dictionary.take(order))
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "pack": pa.array([_pack(
                 pa.RecordBatch.from_pydict({
                     "doc_id": pa.array([rows["doc_id"].to_pylist()], pa.list_(pa.int64())),
                     "counts": pa.array([_byte_planes(np.diff(np.asarray(pieces.offsets)))], pa.binary()),
+                    "codes": pa.array([_byte_planes(place[coded.indices.to_numpy()])], pa.binary()),
                     "sizes": pa.array([_byte_planes(np.diff(ends))], pa.binary()),
                     "data": pa.array([data.tobytes()], pa.large_binary())}))], pa.binary())})
 
@@ -168,10 +200,11 @@ def _pack_documents(batches):
 
 
 def _documents(table: pa.Table):
-    """(doc_ids, counts, pieces) of each pack of a block."""
+    """(doc_ids, counts, codes, distinct pieces) of each pack of a block."""
     for blob in table["pack"]:
         row = _unpack(blob.as_py()).to_pylist()[0]
-        yield row["doc_id"], _from_planes(row["counts"]), _strings(_from_planes(row["sizes"]), row["data"])
+        yield (row["doc_id"], _from_planes(row["counts"]), _from_planes(row["codes"]),
+               _strings(_from_planes(row["sizes"]), row["data"]))
 
 
 def _unique(parts: list[pa.Array]) -> pa.LargeStringArray:
@@ -180,7 +213,7 @@ def _unique(parts: list[pa.Array]) -> pa.LargeStringArray:
 
 def _by_bucket(table: pa.Table, buckets: int) -> tuple[pa.LargeStringArray, np.ndarray]:
     """A block's distinct pieces, sorted within hash buckets, and the buckets' bounds."""
-    distinct = _unique([pc.unique(pieces) for _, _, pieces in _documents(table)])
+    distinct = _unique([pieces for *_, pieces in _documents(table)])
     distinct = distinct.take(pc.sort_indices(distinct))
     data, ends = text_bytes(distinct)
     bucket = (((span_hashes(data, ends[:-1], ends[1:]) >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
@@ -205,11 +238,19 @@ def _asked(table: pa.Table) -> list[pa.LargeStringArray]:
     return [_unpack(blob.as_py())["piece"].combine_chunks() for blob in table["pack"]]
 
 
-def _distinct(table: pa.Table) -> pa.Table:
-    """All distinct pieces of a bucket."""
-    distinct = _unique(_asked(table))
-    return pa.table({"bucket": pa.array(np.full(len(distinct), table["bucket"][0].as_py()), pa.int32()),
-                     "piece": distinct.cast(pa.string())})
+QUESTIONS = "bucket int, pieces array<string>, packs array<struct<block:int,pack:binary>>"
+
+
+def _questions(table: pa.Table) -> pa.Table:
+    """Rows of a bucket: its distinct pieces, then who asked for which."""
+    distinct = _unique(_asked(table)).cast(pa.string())
+    ends = np.append(np.arange(0, len(distinct), PIECES_A_ROW), len(distinct))
+    ends = np.append(ends, len(distinct))
+    n = len(ends) - 1
+    asked = pa.StructArray.from_arrays([table["block"].combine_chunks(), table["pack"].combine_chunks()], ["block", "pack"])
+    packs = pa.ListArray.from_arrays(pa.array(np.append(np.zeros(n, np.int32), len(asked)).astype(np.int32)), asked)
+    return pa.table({"bucket": pa.array(np.full(n, table["bucket"][0].as_py()), pa.int32()),
+                     "pieces": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), distinct), "packs": packs})
 
 
 def _gather(ids: pa.ListArray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,17 +262,43 @@ def _gather(ids: pa.ListArray, place: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return size, flat[np.repeat(at[place] - ends[:-1], size) + np.arange(ends[-1])] if len(place) else flat[:0]
 
 
-def _answer(named: pa.Table, encoded: pa.Table) -> pa.Table:
-    """To each block of a bucket the ids of its pieces, in their order."""
-    ids, pieces = encoded["ids"].combine_chunks(), encoded["piece"].combine_chunks().cast(pa.large_string())
-    asked = _asked(named)
-    place = pc.index_in(pa.concat_arrays(asked), value_set=pieces).to_numpy(zero_copy_only=False)
-    cut, packs = np.cumsum([0] + [len(a) for a in asked]), []
-    for a, b in zip(cut, cut[1:]):
-        size, values = _gather(ids, place[a:b])
-        packs.append(_pack(pa.RecordBatch.from_pydict({"sizes": pa.array([_byte_planes(size)], pa.binary()),
-                                                       "ids": pa.array([_byte_planes(values)], pa.binary())})))
-    return pa.table({"block": named["block"], "bucket": named["bucket"], "pack": pa.array(packs, pa.binary())})
+def _answers(ranks: dict[bytes, int]):
+    """To each block of a bucket the ids of its pieces, in their order.  The rows of
+    a bucket follow each other, the last one says who asked."""
+    def filled(pieces: pa.Array, ids: pa.ListArray) -> pa.ListArray:
+        """Ids with those of the pieces that Spark did not fold."""
+        missing = np.flatnonzero(np.asarray(ids.is_null()))
+        if not len(missing):
+            return ids
+        lists = ids.to_pylist()
+        for i in missing:
+            lists[i] = merge(pieces[int(i)].as_py().encode(), ranks)
+        return pa.array(lists, ids.type)
+
+    def answer(pieces: pa.LargeStringArray, ids: pa.ListArray, bucket: int, packs: list) -> pa.RecordBatch:
+        out = []
+        for pack in packs:
+            asked = _unpack(pack["pack"])["piece"].combine_chunks()
+            size, values = _gather(ids, pc.index_in(asked, value_set=pieces).to_numpy(zero_copy_only=False))
+            out.append(_pack(pa.RecordBatch.from_pydict({"sizes": pa.array([_byte_planes(size)], pa.binary()),
+                                                         "ids": pa.array([_byte_planes(values)], pa.binary())})))
+        return pa.RecordBatch.from_pydict({
+            "block": pa.array([p["block"] for p in packs], pa.int32()),
+            "bucket": pa.array([bucket] * len(packs), pa.int32()), "pack": pa.array(out, pa.binary())})
+
+    def run(batches):
+        pieces, ids = [], []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                pieces.append(row.column("pieces").flatten())
+                ids.append(filled(pieces[-1], row.column("ids").flatten()))
+                packs = row.column("packs")[0].as_py()
+                if packs:
+                    yield answer(pa.concat_arrays(pieces).cast(pa.large_string()), pa.concat_arrays(ids),
+                                 batch.column("bucket")[i].as_py(), packs)
+                    pieces, ids = [], []
+    return run
 
 
 def _replace(buckets: int, then):
@@ -245,8 +312,9 @@ def _replace(buckets: int, then):
         ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         coded = ragged(ends, np.concatenate(ids).astype(np.int32), pa.int32())
         out = []
-        for doc_ids, counts, own in _documents(table):
-            size, values = _gather(coded, pc.index_in(own, value_set=pieces).to_numpy(zero_copy_only=False))
+        for doc_ids, counts, codes, own in _documents(table):
+            place = pc.index_in(own, value_set=pieces).to_numpy(zero_copy_only=False)
+            size, values = _gather(coded, place[codes] if len(codes) else codes)
             ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
             out.append(then(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), ragged(ends, values, pa.int32())],
                                                        ["doc_id", "ids"])))
@@ -255,22 +323,39 @@ def _replace(buckets: int, then):
     return replace
 
 
-def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int, then, schema: str) -> DataFrame:
-    # the literal map makes a plan's printed form megabytes long, which the driver
-    # keeps for each run of it: print the beginning only
-    docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", "100000")
+@contextlib.contextmanager
+def _short_plans(spark):
+    """While a job runs, plans are printed in short: the literal map makes a plan's
+    printed form megabytes long, which the driver keeps for each run of it."""
+    name = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "100000")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int, then, schema: str,
+           finish=lambda df: df) -> DataFrame:
     blocks = block_count(text_size(docs), block_bytes)
-    packs = docs.select(block_of("doc_id", blocks).alias("block"), F.col("doc_id").cast("long").alias("doc_id"),
+    # the text counts too: rows of one id, or of none, go to many blocks
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    packs = docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"),
                         split_pieces("text", pattern).alias("pieces")).mapInArrow(
         _pack_documents, "block int, pack binary")
     dealt = packs.repartition(blocks, "block")
     named = dealt.groupBy("block").applyInArrow(_name(blocks), "bucket int, block int, pack binary").repartition(
         blocks, "bucket")
-    distinct = named.groupBy("bucket").applyInArrow(_distinct, "bucket int, piece string")
-    encoded = distinct.select("bucket", "piece", F.expr(fold_sql(ranks)).alias("ids"))
-    answers = named.groupBy("bucket").cogroup(encoded.groupBy("bucket")).applyInArrow(
-        _answer, "block int, bucket int, pack binary")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_replace(blocks, then), schema)
+    asked = named.groupBy("bucket").applyInArrow(_questions, QUESTIONS)
+    answers = asked.select("bucket", "pieces", F.expr(fold_sql(ranks)).alias("ids"), "packs").mapInArrow(
+        _answers(ranks), "block int, bucket int, pack binary")
+    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_replace(blocks, then), schema)
+    with _short_plans(docs.sparkSession):
+        return written(finish(out), "byte-bpe")
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -314,9 +399,9 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 
 def encode_and_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str,
-                      block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """:func:`decode` of :func:`encode`, in one task for each block."""
-    return _coded(docs, ranks, pattern, block_bytes, _decoder(ranks), DECODED)
+                      block_bytes: int = BLOCK_BYTES, finish=lambda df: df) -> DataFrame:
+    """``finish`` of :func:`decode` of :func:`encode`, in one task for each block."""
+    return _coded(docs, ranks, pattern, block_bytes, _decoder(ranks), DECODED, finish)
 
 
 def _binary(ends: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -334,7 +419,7 @@ def round_trip(docs: DataFrame) -> DataFrame:
     """Encoded and decoded again with the public vocabulary; digests of both."""
     import public_tokenizers
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return digests(encode_and_decode(docs, ranks, public_tokenizers.PATTERN))
+    return encode_and_decode(docs, ranks, public_tokenizers.PATTERN, finish=digests)
 
 
 def op4_byte_bpe(spark, sf_dir):
