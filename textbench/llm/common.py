@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
-import types
 import uuid
 
 import numpy as np
@@ -127,16 +126,6 @@ class Words:
         return np.flatnonzero(left >= size)
 
 
-def worker_cache() -> dict:
-    """What a Python worker keeps from one task to the next.  Functions travel by
-    value, so that a global of theirs is new in every task; this is not."""
-    name = "textbench_worker_cache"
-    if name not in sys.modules:
-        sys.modules[name] = types.ModuleType(name)
-        sys.modules[name].kept = {}
-    return sys.modules[name].kept
-
-
 def ragged(array_offsets: np.ndarray, values: np.ndarray, kind) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(array_offsets.astype(np.int32)), pa.array(values, kind))
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import (LOWER, Words, block_count, documents, pieces, ragged, shared_path, span_hashes, text_bytes,
-                     text_size, worker_cache)
+                     text_size)
 
 SEGMENT_BYTES = 2 << 20
 SHARD_BYTES = 16 << 20
@@ -107,7 +107,7 @@ def _units(words: Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 class WordIds:
-    """Ids of words, remembered within a Python worker (forgotten beyond ``most``)."""
+    """Ids of words, remembered within a task (forgotten beyond ``most``)."""
 
     def __init__(self, path: str, most: int = 1_000_000):
         self.tokenizer, self.most, self.words_only = _tokenizer(path), most, _words_only(path)
@@ -234,10 +234,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids): each text's ids as little-endian unsigned 32-bit integers,
     stored by byte plane."""
     def run(batches):
-        kept = worker_cache()
-        known = kept.get(("words", path))
-        if known is None:
-            known = kept["words", path] = WordIds(path)
+        known = WordIds(path)
         for whole in batches:
             for batch in pieces(whole, most=SEGMENT_BYTES):
                 ids, bounds = tokenize(batch.column("text"), known, end_id)
