@@ -173,6 +173,60 @@ def test_license_scan_whole_text_and_edges(spark, docs, odd, empty):
     assert license_scan.scan_licenses(make(spark, ["All rights reserved."]), []).count() == 0
 
 
+def _best_windows(text, templates, threshold):
+    """All windows of a text, by the rule as stated."""
+    split = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower())
+    w, found = split(text), []
+    for k, (name, body) in enumerate(sorted(set(templates))):
+        t = split(body)
+        grams = set(zip(t, t[1:]))
+        for i in range(len(w) - 1):
+            if (w[i], w[i + 1]) in grams:
+                part = w[i:i + len(t)]
+                own = set(zip(part, part[1:]))
+                dice = 2 * len(own & grams) / (len(own) + len(grams))
+                if dice >= threshold:
+                    found.append((-len(own & grams), -dice, i, k, name, i + len(part)))
+    free, out = set(range(len(w))), []
+    for _, dice, i, _, name, end in sorted(found):
+        if set(range(i, end)) <= free:
+            free -= set(range(i, end))
+            out.append((i, end, name, round(-dice, 9)))
+    return sorted(out)
+
+
+def test_license_notices_inside_longer_units(spark):
+    texts = ["Copyright (c) 2020 Example Corp. All rights reserved.",
+             "Code here. Released under the MIT License. See file.",
+             " ".join(f"before{i}" for i in range(300)) + " " + license_scan.TEMPLATES[1][1].replace("sublicense", "rent").replace("\n", " * ")
+             + "".join(f" after{i}" for i in range(300)),
+             "what is released under the sea, the software and the license of it, is reserved for all"]
+    got = {}
+    for r in license_scan.scan_licenses(make(spark, texts)).collect():
+        got.setdefault(r["doc_id"], []).append((r["first_word"], r["end_word"], r["license"], round(r["dice"], 9), r["unit"]))
+    assert got[0] == [(5, 8, "All-Rights-Reserved", 1.0, "window")]
+    assert got[1] == [(2, 7, "MIT", 1.0, "window")]
+    assert [x[2] for x in got[2]] == ["MIT"] and 3 not in got
+    for i, text in enumerate(texts):
+        assert [x[:4] for x in got.get(i, [])] == _best_windows(text, license_scan.TEMPLATES, license_scan.THRESHOLD)
+
+
+def test_license_windows_against_brute_force(spark):
+    import random
+    r = random.Random(5)
+    templates = [("a", "x y z u v x y"), ("b", "y z u"), ("b", "u v w x"), ("c", "x x y"), ("d", "lone")]
+    texts = [" ".join(r.choice("xyzuvwq") for _ in range(r.randint(0, 60))) for _ in range(150)]
+    units = license_scan.scan_licenses(make(spark, texts), templates).collect()
+    whole = {x["doc_id"] for x in units if x["unit"] != "window"}
+    got = {}
+    for x in units:
+        got.setdefault(x["doc_id"], []).append((x["first_word"], x["end_word"], x["license"], round(x["dice"], 9)))
+    left = [i for i in range(len(texts)) if i not in whole]
+    assert len(left) > 100 and len(got) > 50
+    for i in left:
+        assert got.get(i, []) == _best_windows(texts[i], templates, license_scan.THRESHOLD)
+
+
 # ------------------------------------------------------------------ 7
 
 ITEMS = [(1, "Janet has 16 ducks that lay eggs and she sells Robert each of 16 eggs for 3 dollars every day"),
