@@ -215,8 +215,8 @@ def test_license_windows_against_brute_force(spark):
     import random
     r = random.Random(5)
     templates = [("a", "x y z u v x y"), ("b", "y z u"), ("b", "u v w x"), ("c", "x x y"), ("d", "lone")]
-    texts = [" ".join(r.choice("xyzuvwq") for _ in range(r.randint(0, 60))) for _ in range(150)]
-    units = license_scan.scan_licenses(make(spark, texts), templates).collect()
+    texts = [" ".join(r.choice("xyzuvw") for _ in range(r.randint(0, 60))) for _ in range(150)]
+    units = license_scan.scan_licenses(make(spark, texts), templates, 0.6).collect()
     whole = {x["doc_id"] for x in units if x["unit"] != "window"}
     got = {}
     for x in units:
@@ -224,7 +224,7 @@ def test_license_windows_against_brute_force(spark):
     left = [i for i in range(len(texts)) if i not in whole]
     assert len(left) > 100 and len(got) > 50
     for i in left:
-        assert got.get(i, []) == _best_windows(texts[i], templates, license_scan.THRESHOLD)
+        assert got.get(i, []) == _best_windows(texts[i], templates, 0.6)
 
 
 # ------------------------------------------------------------------ 7
