@@ -130,6 +130,61 @@ def test_sparse_sites_shrink_to_their_prior(spark):
     assert 0.01 < site["tiny"] < mean  # one document does not settle a site
 
 
+def test_whole_posterior_against_brute_force(spark):
+    import math
+    import random
+    r = random.Random(11)
+    rows = [(i, f"h{int(r.random() ** 3 * 9)}", r.choice(["a", "a", "a", "b"]), r.uniform(0.02, 0.98), r.random() ** 2)
+            for i in range(600)] + [(600, "alone", "a", 0.9, 0.1)]
+    scored = spark.createDataFrame(rows, "doc_id long, host string, path string, p_quality double, p_toxic double")
+    got = {x["doc_id"]: x for x in quality_bayes.combine(scored).collect()}
+    assert len(got) == len(rows)
+
+    def strength(sites, around):  # {site: (n, sum)}, {site: prior mean}
+        n, k = sum(x[0] for x in sites.values()), len(sites)
+        gap = sum(c * (s / c - around[i]) ** 2 for i, (c, s) in sites.items())
+        m = sum(s for _, s in sites.values()) / n
+        own = max((gap - (k - 1) * m * (1 - m)) / (n - sum(c * c for c, _ in sites.values()) / n), 1e-6)
+        return min(max(m * (1 - m) / own - 1, 1.0), 1e4)
+
+    logit = lambda p: math.log(p / (1 - p))
+    for column, target in ((3, "quality"), (4, "toxic")):
+        hosts, paths = {}, {}
+        for x in rows:
+            for sites, key in ((hosts, x[1]), (paths, x[1:3])):
+                c, s = sites.get(key, (0, 0.0))
+                sites[key] = (c + 1, s + x[column])
+        mean = sum(x[column] for x in rows) / len(rows)
+        a = strength(hosts, dict.fromkeys(hosts, mean))
+        post = {h: (a * mean + s) / (a + c) for h, (c, s) in hosts.items()}
+        b = strength(paths, {k: post[k[0]] for k in paths})
+        for x in rows:
+            p, (hn, hs), (pn, ps) = x[column], hosts[x[1]], paths[x[1:3]]
+            others = (a * mean + hs - p) / (a + hn - 1)
+            others = (b * others + ps - p) / (b + pn - 1)
+            want = 1 / (1 + math.exp(-(logit(p) + logit(others) - logit(mean))))
+            assert abs(got[x[0]][target] - want) < 1e-9
+            assert abs(got[x[0]][f"path_{target}"] - (b * post[x[1]] + ps) / (b + pn)) < 1e-9
+    assert abs(got[600]["quality"] - 0.9) < 1e-9  # alone on its site: its own evidence, once
+
+
+def test_hot_and_small_sites_are_joined_apart(spark):
+    """Sites on both sides of the bound of shipped sites."""
+    rows = ([(i, "hot", "x", 0.4, 0.2) for i in range(1500)] + [(1500 + i, f"s{i}", "x", 0.6, 0.2) for i in range(1500)]
+            + [(3000, "", "", 0.5, 0.5)])
+    scored = spark.createDataFrame(rows, "doc_id long, host string, path string, p_quality double, p_toxic double")
+    got = quality_bayes.combine(scored).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(3001))
+
+
+def test_site_of_a_url(spark):
+    urls = ["https://News.example.org/sports/a/b.html", "http://example.com/page.html", "http://example.com", "no url", None]
+    host, path = quality_bayes.url_site("url")
+    got = spark.createDataFrame([(u,) for u in urls], "url string").select(host, path).collect()
+    assert [tuple(r) for r in got] == [("news.example.org", "sports"), ("example.com", ""), ("example.com", ""),
+                                       (None, ""), (None, "")]
+
+
 def test_quality_edge_cases(spark, odd, empty):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality_bayes.score_quality(odd, labels).collect()
