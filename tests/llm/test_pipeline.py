@@ -18,13 +18,28 @@ def test_pipeline_against_brute_force(spark, docs, tiktoken_encoding, tmp_path):
     secret = make(spark, ["please write to some.body@mail.example.com about the words of this text today"], [500])
     bench = [(1, "which of the following seven numbers is the largest one of them all")]
     leak = make(spark, ["here it comes. " + bench[0][1] + " and some more words"], [501])
-    rows = docs.unionByName(secret).unionByName(leak)
+    own = [" ".join(f"{k}v{i}" for i in range(40)).split() for k in "abcdefghij"]
+    # one footer in ten texts of a host: above its limit of five; and a text of few own words
+    footer = "All 24 sections of this site are listed in the footer of each page of it"
+    listed = make(spark, [" ".join(w) + "\n" + footer for w in own] + [f"few own words\n{footer}"],
+                  [600 + 3 * i for i in range(11)])
+    # at a similarity between 0.80 and 0.85 (34 of 42), and below 0.80 (33 of 43)
+    copies = [" ".join(x + "z" for x in own[0]), " ".join([x + "z" for x in own[0][:38]] + ["one", "two"]),
+              " ".join([x + "z" for x in own[0][:37]] + ["t1", "t2", "t3"]),
+              " ".join(["c1", "c2"] + [x + "z" for x in own[0][2:38]] + ["c3", "c4"])]
+    near = make(spark, copies, [700, 701, 702, 703])
+    rows = docs.unionByName(secret).unionByName(leak).unionByName(listed).unionByName(near)
     rows.write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, folder).collect()}
-    kept = [r for r in rows.collect() if _expected_lines(rows.collect(), 50)[r["doc_id"]][-1]]
-    groups = _components([(r["doc_id"], r["text"]) for r in kept])
-    want = {r["doc_id"]: r["text"] for r in kept if groups[r["doc_id"]][2] and r["doc_id"] != 501}
+    lines = _expected_lines(rows.collect(), line_quality.MIN_DOCUMENTS)
+    assert sum(x[6] > 0 for x in lines.values()) == 10 and not lines[630][-1]
+    # a line goes with the line feed that ends it: the last one has none
+    left = {r["doc_id"]: (r["text"] or "").replace(footer, "" if r["doc_id"] != 600 else footer)
+            for r in rows.collect() if lines[r["doc_id"]][-1]}
+    groups = _components(list(left.items()), 80)
+    assert sum(not g[2] for g in groups.values()) > sum(not g[2] for g in _components(list(left.items())).values())
+    want = {i: text for i, text in left.items() if groups[i][2] and i != 501}
     want[500] = "please write to <EMAIL> about the words of this text today"
     assert set(got) == set(want)
     for i, text in want.items():

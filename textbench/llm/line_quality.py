@@ -4,7 +4,7 @@ Normalised lines (lower case, digits as 0, white space as one gap) are hashed;
 Spark counts for each host (``source``) and line the distinct documents that
 hold it.  A line above the limit is boilerplate: it is removed from every
 document of the host but the first (smallest ``doc_id``), so each line is kept
-once.  A document left with too few of its words is depleted and rejected.
+once; a line goes with the line feed that ends it.  A document left with too few of its words is depleted and rejected.
 The limit is ``host_share`` of the host's documents, and at least the small floor
 ``min_documents``, alike at every table size.  Exact copies of a text count as one document, because copies are
 not boilerplate.

@@ -45,6 +45,8 @@ from .substring_dedup import from_planes, planes
 
 SHINGLE = 5
 PERCENT = 85
+#: Similarity of near duplicates that ``keep_one`` drops: a pair at it shares no table with probability 5.4e-5.
+KEEP_PERCENT = 80
 ROWS = 4
 SIDE = 20
 BLOCK_BYTES = 4 << 20
@@ -326,7 +328,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
                       (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = KEEP_PERCENT) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id."""
     gone = near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("__doc_id"))
     return docs.join(gone, docs["doc_id"] == gone["__doc_id"], "left_anti")
