@@ -3,7 +3,8 @@ the next one reads.
 
 1. ``line_quality`` (operator 1): rejected documents go, lines above their host's
    limit are removed from the rest.
-2. ``near_duplicates`` (operator 3): one document of each group stays.
+2. ``near_duplicates`` (operator 3): one document of each group of five-word shingles
+   at a similarity of 0.8 or more stays.
 3. ``decontamination`` (operator 7): documents that hold a benchmark item go.
 4. ``personal_data`` (operator 9): spans are masked in the text.
 5. ``encoding`` (operator 4): ids of each text and their decoding, as digests.
