@@ -31,6 +31,38 @@ def test_words_are_those_of_the_pattern(texts):
     assert all((h[i] == h[j]) == (found[i] == found[j]) for i in range(len(h)) for j in range(i))
 
 
+def test_blocks_send_rows_in_proportion_to_the_input(monkeypatch):
+    size = 4 << 20
+    assert [common.asking_blocks(n * size, size) for n in (0, 1, 8, 64, 512)] == [1, 1, 8, 64, 512]
+    rows = [common.asking_blocks(n * size, size) ** 2 / n for n in (512, 5120, 51200, 25 * 10**6)]
+    assert max(rows) <= 512 and min(rows) > 500
+    monkeypatch.setattr(common, "SPREAD", 8)
+    assert [common.asking_blocks(n, 1) ** 2 for n in (8, 32, 128, 512)] == [64, 256, 1024, 4096]
+
+
+def test_blocks_beyond_the_spread_and_partitions_of_many_blocks(docs, monkeypatch):
+    """The same results with grown blocks, and with several blocks in a partition."""
+    figures = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    want = figures(substring_dedup.remove_repeated(docs, 50, 3000))
+    monkeypatch.setattr(common, "SPREAD", 4)
+    monkeypatch.setattr(common, "MOST_PARTITIONS", 3)
+    assert figures(substring_dedup.remove_repeated(docs, 50, 3000)) == want
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"])
+           for r in minhash.near_duplicates(docs).collect()}
+    assert got == _components([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_rows_without_an_id_go_to_many_blocks(spark):
+    from pyspark.sql import functions as F
+    texts = [f"text number {i} " * 20 for i in range(200)]
+    d = make(spark, texts).withColumn("doc_id", F.lit(None).cast("long"))
+    got = substring_dedup.remove_repeated(d, 50, 2000)
+    assert sorted(r["kept_text"] for r in got.collect()) == sorted(t.strip() for t in texts)
+    assert got.groupBy(F.spark_partition_id()).count().count() > 3
+    scored = language_model.score_documents(d, block_bytes=2000).collect()
+    assert len(scored) == 200 and len({r["score"] for r in scored}) > 1
+
+
 # ------------------------------------------------------------------ 3
 
 def _components(rows, percent=85):

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, block_count, documents, ragged, span_hashes, text_bytes, text_size, written
+from .common import U64, asking_blocks, block_of, dealt_by, documents, ragged, span_hashes, text_bytes, text_size, written
 
 #: Bytes of text in a block: larger blocks repeat fewer pieces and need more memory.
 BLOCK_BYTES = 8 << 20
@@ -341,15 +341,14 @@ def _short_plans(spark):
 
 def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int, then, schema: str,
            finish=lambda df: df) -> DataFrame:
-    blocks = block_count(text_size(docs), block_bytes)
+    blocks = asking_blocks(text_size(docs), block_bytes)
     # the text counts too: rows of one id, or of none, go to many blocks
-    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    packs = docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"),
+    packs = docs.select(block_of(blocks, "doc_id", "text").alias("block"), F.col("doc_id").cast("long").alias("doc_id"),
                         split_pieces("text", pattern).alias("pieces")).mapInArrow(
         _pack_documents, "block int, pack binary")
-    dealt = packs.repartition(blocks, "block")
-    named = dealt.groupBy("block").applyInArrow(_name(blocks), "bucket int, block int, pack binary").repartition(
-        blocks, "bucket")
+    dealt = dealt_by(packs, "block", blocks)
+    named = dealt_by(dealt.groupBy("block").applyInArrow(_name(blocks), "bucket int, block int, pack binary"),
+                     "bucket", blocks)
     asked = named.groupBy("bucket").applyInArrow(_questions, QUESTIONS)
     answers = asked.select("bucket", "pieces", F.expr(fold_sql(ranks)).alias("ids"), "packs").mapInArrow(
         _answers(ranks), "block int, bucket int, pack binary")

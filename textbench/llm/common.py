@@ -8,6 +8,7 @@ an avalanche mix; prefix sums give the hash of every span at once.
 
 from __future__ import annotations
 
+import math
 import os
 import sys
 import tempfile
@@ -32,6 +33,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text handled at once in a task (a longer document is handled alone).
 SLICE_BYTES = 2 << 20
+#: Blocks of the given size that ask each other, before blocks grow; and partitions that hold them.
+SPREAD, MOST_PARTITIONS = 512, 16_384
 
 _powers = np.ones(1, U64)
 _inverses = np.ones(1, U64)
@@ -174,9 +177,22 @@ def block_count(total_bytes: int, block_bytes: int) -> int:
     return max(1, -(-total_bytes // block_bytes))
 
 
-def block_of(key: str, blocks: int) -> Column:
-    """Block of a row by its key: the same on every run, whatever the partitions."""
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
+def asking_blocks(total_bytes: int, block_bytes: int) -> int:
+    """Blocks that ask each other: each sends a row to every hash range, of which
+    there are as many.  Up to ``SPREAD`` blocks have ``block_bytes``; beyond, blocks
+    grow with the square root of the input, and the rows sent in proportion to it."""
+    n = block_count(total_bytes, block_bytes)
+    return min(n, math.isqrt(SPREAD * n))
+
+
+def dealt_by(df: DataFrame, key: str, blocks: int) -> DataFrame:
+    """Rows of a block in one partition; a partition handles one block after the other."""
+    return df.repartition(min(blocks, MOST_PARTITIONS), key)
+
+
+def block_of(blocks: int, *keys: str | Column) -> Column:
+    """Block of a row by its keys: the same on every run, whatever the partitions."""
+    return F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int")
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

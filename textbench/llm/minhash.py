@@ -39,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (LOWER, U64, Words, block_count, block_of, documents, mix, pieces, span_hashes, text_bytes,
-                     text_size, written)
+from .common import (LOWER, U64, Words, asking_blocks, block_of, dealt_by, documents, mix, pieces, span_hashes,
+                     text_bytes, text_size, written)
 from .substring_dedup import from_planes, planes
 
 SHINGLE = 5
@@ -190,12 +190,12 @@ def linkable_sets(docs: DataFrame, candidates: DataFrame, percent: int = PERCENT
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, grams) of the candidates (doc_id) that share enough shingles with
     other candidates to be linked with any."""
-    blocks = block_count(text_size(docs), block_bytes)
-    dealt = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-             .join(candidates.hint("merge"), "doc_id")  # the same plan at every size
-             .withColumn("block", block_of("doc_id", blocks)).repartition(blocks, "block"))
+    blocks = asking_blocks(text_size(docs), block_bytes)
+    dealt = dealt_by(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+                     .join(candidates.hint("merge"), "doc_id")  # the same plan at every size
+                     .withColumn("block", block_of(blocks, "doc_id")), "block", blocks)
     sent = dealt.groupBy("block").applyInArrow(_send(shingle, blocks), "bucket int, block int, hashes binary")
-    answers = sent.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(
+    answers = dealt_by(sent, "bucket", blocks).groupBy("bucket").applyInArrow(
         _elsewhere, "block int, bucket int, shared binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _survivors(shingle, percent, blocks), "doc_id long, grams binary")

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, block_count, block_of, documents, ragged, span_hashes, text_bytes, text_size
+from .common import U64, Words, asking_blocks, block_of, dealt_by, documents, ragged, span_hashes, text_bytes, text_size
 
 WINDOW = 50
 BLOCK_BYTES = 4 << 20
@@ -161,12 +161,14 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, block_bytes: int = BL
     """A row for each document: ``n_words``, ``n_removed``, the removal intervals
     (word positions ``starts`` and ``ends``) and the kept words as ``kept_text``.
     ``doc_id`` must be integer."""
-    blocks = block_count(text_size(docs), block_bytes)
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
-                        block_of("doc_id", blocks).alias("block")).repartition(blocks, "block")
+    blocks = asking_blocks(text_size(docs), block_bytes)
+    # rows without an id ask for nothing and go to many blocks
+    block = F.when(F.col("doc_id").isNull(), block_of(blocks, "text")).otherwise(block_of(blocks, F.col("doc_id").cast("long")))
+    dealt = dealt_by(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block")),
+                     "block", blocks)
     sent = dealt.groupBy("block").applyInArrow(_send(window, blocks),
                                                "bucket int, block int, hashes binary, least binary")
-    answers = sent.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(
+    answers = dealt_by(sent, "bucket", blocks).groupBy("bucket").applyInArrow(
         _answer, "block int, bucket int, later binary")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         _apply(window, blocks),
