@@ -250,6 +250,25 @@ def _counted(spark, d):
                                "top array<long>, top_counts array<long>")
 
 
+def test_language_model_hashes_a_block_in_slices(monkeypatch):
+    """A block's task needs little beyond its text; slices change no name."""
+    import tracemalloc
+
+    import pyarrow as pa
+    texts = [" ".join(f"Word{i * k % 977}" for k in range(300)) for i in range(2000)] + [None, ""]
+    table = pa.table({"text": pa.array(texts, pa.string())})
+    size = sum(len(t or "") for t in texts)
+    tracemalloc.start()
+    names, bounds = language_model._tokens(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * size, peak / size  # 39 bytes a byte of text when hashed whole
+    monkeypatch.setattr(common.pieces, "__defaults__", ("text", 1 << 30))
+    whole = language_model._tokens(table)
+    assert (names == whole[0]).all() and (bounds == whole[1]).all()
+    assert [len(x) for x in language_model._tokens(table.slice(0, 0))] == [0, 1]
+
+
 def test_language_model_edges(odd, empty):
     out = language_model.score_documents(odd).collect()
     assert len(out) == odd.count() and all(math.isfinite(r["score"]) and r["n_tokens"] >= 1 for r in out)

@@ -32,7 +32,7 @@ SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text handled at once in a task (a longer document is handled alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Blocks of the given size that ask each other, before blocks grow; and partitions that hold them.
 SPREAD, MOST_PARTITIONS = 512, 16_384
 
@@ -64,8 +64,13 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     """Hash of ``values[start:end]`` for every span, independent of position."""
     n = len(values)
     power, inverse = _tables(n + 1)
+    # one array of eight bytes a value: a task's memory is mostly this
     sums = np.zeros(n + 1, U64)
-    np.cumsum((values.astype(U64) + U64(1)) * power[:n], out=sums[1:])
+    term = sums[1:]
+    term[:] = values
+    term += U64(1)
+    term *= power[:n]
+    np.cumsum(term, out=term)
     poly = (sums[ends] - sums[starts]) * inverse[starts]
     return mix(poly + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 

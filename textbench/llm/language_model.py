@@ -54,7 +54,14 @@ HELD_OUT_MOD, HELD_OUT = 7, 2
 
 
 def _tokens(batch) -> tuple[np.ndarray, np.ndarray]:
-    """Token names of all rows, each row closed by the end, and the rows' bounds."""
+    """Token names of all rows, each row closed by the end, and the rows' bounds;
+    hashed a slice at a time, which bounds the memory of a block's task."""
+    parts = [_tokens_of(part) for part in pieces(batch)]
+    sizes = np.concatenate([np.zeros(0, np.int64), *[np.diff(bounds) for _, bounds in parts]])
+    return np.concatenate([np.zeros(0, U64), *[names for names, _ in parts]]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _tokens_of(batch) -> tuple[np.ndarray, np.ndarray]:
     words = Words(*text_bytes(batch.column("text")))
     data, n = words.data, len(words.starts)
     last = LOWER[data[words.ends - 1]].astype(U64) if n else np.zeros(0, U64)
