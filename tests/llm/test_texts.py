@@ -151,6 +151,49 @@ def test_bpe_round_trip(spark, docs, ranks, tiktoken_encoding):
         assert bytes(r["decoded"]).decode() == texts[r["doc_id"]]
 
 
+def test_bpe_looks_pieces_up_once_for_a_block(ranks, monkeypatch):
+    """The table of a block's pieces is built once, not for each of its packs."""
+    import pyarrow as pa
+    texts = [[f"w{i * k % 97}" for k in range(20)] + [" é", "中"] for i in range(60)]
+    batches = [pa.RecordBatch.from_pydict({
+        "block": pa.array([0] * 3, pa.int32()), "doc_id": pa.array(range(i, i + 3), pa.int64()),
+        "pieces": pa.array(texts[i:i + 3], pa.list_(pa.string()))}) for i in range(0, 60, 3)]
+    table = pa.Table.from_batches([pack for b in batches for pack in byte_bpe._pack_documents([b])])
+    assert table.num_rows == 20
+    named = byte_bpe._name(4)(table)
+    asked = pa.Table.from_batches([pa.RecordBatch.from_arrays([named[c].combine_chunks() for c in named.column_names],
+                                                              named.column_names)])
+    answers = []
+    for bucket in sorted(set(asked["bucket"].to_pylist())):
+        rows = byte_bpe._questions(asked.filter(pa.compute.equal(asked["bucket"], bucket)))
+        ids = pa.array([[byte_bpe.merge(p.encode(), ranks) for p in x] for x in rows["pieces"].to_pylist()],
+                       pa.list_(pa.list_(pa.int32())))
+        answers += byte_bpe._answers(ranks)(rows.append_column("ids", ids).to_batches())
+    lookups = []
+
+    class Counted:
+        def __getattr__(self, name):
+            if name in ("index_in", "dictionary_encode", "unique"):
+                lookups.append(name)
+            return getattr(pa.compute, name)
+    monkeypatch.setattr(byte_bpe, "pc", Counted())
+    out = byte_bpe._replace(4, lambda batch: batch)(table, pa.Table.from_batches(answers))
+    assert len(lookups) == 1  # 21 when each of 20 packs had a lookup of its own
+    got = dict(zip(out["doc_id"].to_pylist(), out["ids"].to_pylist()))
+    assert got == {i: [r for p in t for r in byte_bpe.merge(p.encode(), ranks)] for i, t in enumerate(texts)}
+
+
+def test_bpe_fold_is_the_merge(spark, ranks):
+    from pyspark.sql import functions as F
+    r = np.random.default_rng(4)
+    pieces = ["".join(r.choice(list("abestring 0é中\u00ff"), n)) for n in [*range(1, 40), 61, 62] for _ in range(3)]
+    pieces = [p for p in pieces if len(p.encode()) <= 62]
+    row = spark.createDataFrame([(pieces,)], "pieces array<string>")
+    with byte_bpe._short_plans(spark):
+        got = row.select(F.expr(byte_bpe.fold_sql(ranks)).alias("ids")).first()["ids"]
+    assert got == [byte_bpe.merge(p.encode(), ranks) for p in pieces]
+
+
 def test_bpe_blocks_and_edges(docs, odd, empty, ranks):
     one = {r["doc_id"]: r["ids"] for r in byte_bpe.encode(docs, ranks, tokenizers_data.PATTERN).collect()}
     many = {r["doc_id"]: r["ids"] for r in byte_bpe.encode(docs, ranks, tokenizers_data.PATTERN, 3000).collect()}

@@ -42,7 +42,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, asking_blocks, block_of, dealt_by, documents, ragged, span_hashes, text_bytes, text_size, written
+from .common import (U64, asking_blocks, block_of, dealt_by, documents, give_back, ragged, span_hashes, text_bytes,
+                     text_size, written)
 
 #: Bytes of text in a block: larger blocks repeat fewer pieces and need more memory.
 BLOCK_BYTES = 8 << 20
@@ -71,25 +72,29 @@ def split_pieces(text: str, pattern: str) -> Column:
 
 def rank_map_sql(ranks: dict[bytes, int]) -> str:
     """The rank map as a literal: maps of hexadecimal pieces, in buckets by CRC-32
-    because a literal map is searched from its start."""
+    because a literal map is searched from its start.  Keys are binary: parts of a
+    binary are cut by place, those of a string by walking its characters."""
     buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
     for token, rank in ranks.items():
         key = token.hex().upper()
         buckets[zlib.crc32(key.encode()) % BUCKETS][key] = rank
-    return f"from_json('{json.dumps(buckets, separators=(',', ':'))}', 'array<map<string,int>>')"
+    table = json.dumps(buckets, separators=(',', ':'))
+    return f"cast(from_json('{table}', 'array<map<string,int>>') as array<map<binary,int>>)"
 
 
 def fold_sql(ranks: dict[bytes, int], pieces: str = "pieces") -> str:
-    """SQL for the ids of each piece of an array; null for one that is too long to fold."""
+    """SQL for the ids of each piece of an array; null for one that is too long to fold.
+    A span is a long: its rank, then six bits each for its start and its end."""
     table, longest = rank_map_sql(ranks), max(map(len, ranks))
 
     def rank(key: str) -> str:
         return f"get(m, cast(crc32({key}) & {BUCKETS - 1} as int))[{key}]"
 
     spans = f"""flatten(transform(sequence(0, n - 2), s ->
-        transform(sequence(s + 2, least(n, s + {longest})), e -> named_struct(
-            'r', {rank("substring(h, 2 * s + 1, 2 * (e - s))")}, 's', s, 'e', e))))"""
-    borders = f"""aggregate(array_sort(filter({spans}, c -> c.r IS NOT NULL)), -1L, (b, c) -> CASE
+        array_compact(transform(sequence(s + 2, least(n, s + {longest})), e ->
+            shiftleft(cast({rank("substring(h, 2 * s + 1, 2 * (e - s))")} as bigint), 12) | (64 * s + e)))))"""
+    borders = f"""aggregate(transform(sort_array({spans}), c -> named_struct(
+            's', cast(shiftright(c, 6) & 63 as int), 'e', cast(c & 63 as int))), -1L, (b, c) -> CASE
         WHEN shiftright(b, c.s) & shiftright(b, c.e) & 1L = 1L
         THEN b & ~shiftleft(shiftleft(1L, c.e - c.s - 1) - 1L, c.s + 1) ELSE b END)"""
     fold = f"""transform(transform(array({borders}), b -> filter(sequence(0, n),
@@ -97,7 +102,7 @@ def fold_sql(ranks: dict[bytes, int], pieces: str = "pieces") -> str:
         j -> {rank("substring(h, 2 * c[j] + 1, 2 * (c[j + 1] - c[j]))")}))[0]"""
     folded = f"transform(array(cast(octet_length(h) div 2 as int)), n -> CASE WHEN n <= {_LONGEST_BITS} THEN {fold} END)[0]"
     one = f"transform(array({rank('h')}), w -> CASE WHEN w IS NULL THEN {folded} ELSE array(w) END)[0]"
-    each = f"transform(transform({pieces}, p -> hex(cast(p as binary))), h -> {one})"
+    each = f"transform(transform({pieces}, p -> cast(hex(cast(p as binary)) as binary)), h -> {one})"
     return f"transform(array({table}), m -> {each})[0]"
 
 
@@ -195,8 +200,14 @@ def _pack_documents(batches):
             if size >= GATHER_BYTES:
                 yield from flush()
                 held, size = [], 0
+        # what waits is copied, so that the batch it came in can go
+        held = pa.Table.from_batches(held).combine_chunks().to_batches() if len(held) > 1 else held
+        batch = part = None
+        give_back()
     if held:
         yield from flush()
+    held = []
+    give_back()
 
 
 def _documents(table: pa.Table):
@@ -207,24 +218,32 @@ def _documents(table: pa.Table):
                _strings(_from_planes(row["sizes"]), row["data"]))
 
 
-def _unique(parts: list[pa.Array]) -> pa.LargeStringArray:
-    return pc.unique(pa.concat_arrays([pa.array([], pa.large_string()), *parts]))
+def _coded_once(parts: list[pa.Array]) -> tuple[pa.LargeStringArray, list[np.ndarray]]:
+    """The distinct strings of all parts, and each part's places among them: one
+    table of strings, however many parts there are."""
+    coded = pc.dictionary_encode(pa.concat_arrays([pa.array([], pa.large_string()), *parts]))
+    return coded.dictionary, np.split(coded.indices.to_numpy(), np.cumsum([len(part) for part in parts])[:-1])
 
 
-def _by_bucket(table: pa.Table, buckets: int) -> tuple[pa.LargeStringArray, np.ndarray]:
-    """A block's distinct pieces, sorted within hash buckets, and the buckets' bounds."""
-    distinct = _unique([pieces for *_, pieces in _documents(table)])
-    distinct = distinct.take(pc.sort_indices(distinct))
+def _by_bucket(parts: list[pa.Array], buckets: int) -> tuple[pa.LargeStringArray, np.ndarray, list[np.ndarray]]:
+    """A block's distinct pieces, sorted within hash buckets, the buckets' bounds, and
+    the places of each pack's pieces."""
+    distinct, places = _coded_once(parts)
+    order = pc.sort_indices(distinct).to_numpy()
     data, ends = text_bytes(distinct)
     bucket = (((span_hashes(data, ends[:-1], ends[1:]) >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return distinct.take(pa.array(order)), np.searchsorted(bucket[order], np.arange(buckets + 1))
+    order = order[np.argsort(bucket[order], kind="stable")]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return (distinct.take(pa.array(order)), np.searchsorted(bucket[order], np.arange(buckets + 1)),
+            [place[own] for own in places])
 
 
 def _name(buckets: int):
     def name(table: pa.Table) -> pa.Table:
-        pieces, cut = _by_bucket(table, buckets)
+        pieces, cut, _ = _by_bucket([own for *_, own in _documents(table)], buckets)
         sent = [b for b in range(buckets) if cut[b] < cut[b + 1]]
+        give_back()
         return pa.table({
             "bucket": pa.array(sent, pa.int32()),
             "block": pa.array([table["block"][0].as_py()] * len(sent), pa.int32()),
@@ -233,33 +252,34 @@ def _name(buckets: int):
     return name
 
 
-def _asked(table: pa.Table) -> list[pa.LargeStringArray]:
-    """The pieces of each pack of a bucket."""
-    return [_unpack(blob.as_py())["piece"].combine_chunks() for blob in table["pack"]]
-
-
-QUESTIONS = "bucket int, pieces array<string>, packs array<struct<block:int,pack:binary>>"
+QUESTIONS = "bucket int, pieces array<string>, packs array<struct<block:int,places:binary>>"
 
 
 def _questions(table: pa.Table) -> pa.Table:
-    """Rows of a bucket: its distinct pieces, then who asked for which."""
-    distinct = _unique(_asked(table)).cast(pa.string())
+    """Rows of a bucket: its distinct pieces, then who asked for which, by their places."""
+    distinct, places = _coded_once([_unpack(blob.as_py())["piece"].combine_chunks() for blob in table["pack"]])
+    distinct = distinct.cast(pa.string())
     ends = np.append(np.arange(0, len(distinct), PIECES_A_ROW), len(distinct))
     ends = np.append(ends, len(distinct))
     n = len(ends) - 1
-    asked = pa.StructArray.from_arrays([table["block"].combine_chunks(), table["pack"].combine_chunks()], ["block", "pack"])
+    asked = pa.StructArray.from_arrays([table["block"].combine_chunks(), pa.array(
+        [own.astype("<i4").tobytes() for own in places], pa.binary())], ["block", "places"])
     packs = pa.ListArray.from_arrays(pa.array(np.append(np.zeros(n, np.int32), len(asked)).astype(np.int32)), asked)
     return pa.table({"bucket": pa.array(np.full(n, table["bucket"][0].as_py()), pa.int32()),
                      "pieces": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), distinct), "packs": packs})
 
 
-def _gather(ids: pa.ListArray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lists at ``place``: their sizes and their values one after the other."""
-    flat, at = ids.flatten().to_numpy(zero_copy_only=False), np.asarray(ids.offsets)
-    at = at - at[0] if len(at) else np.zeros(1, np.int64)
-    size = (at[1:] - at[:-1])[place].astype(np.int64)
-    ends = np.concatenate([[0], np.cumsum(size)])
-    return size, flat[np.repeat(at[place] - ends[:-1], size) + np.arange(ends[-1])] if len(place) else flat[:0]
+class _Lists:
+    """Lists of numbers, to be put one after the other."""
+
+    def __init__(self, starts: np.ndarray, sizes: np.ndarray, values: np.ndarray):
+        self.starts, self.sizes, self.values = starts, sizes, values
+
+    def gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists at ``place``: their sizes and their values one after the other."""
+        size = self.sizes[place]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return size, self.values[np.repeat(self.starts[place] - ends[:-1], size) + np.arange(ends[-1])]
 
 
 def _answers(ranks: dict[bytes, int]):
@@ -275,11 +295,12 @@ def _answers(ranks: dict[bytes, int]):
             lists[i] = merge(pieces[int(i)].as_py().encode(), ranks)
         return pa.array(lists, ids.type)
 
-    def answer(pieces: pa.LargeStringArray, ids: pa.ListArray, bucket: int, packs: list) -> pa.RecordBatch:
+    def answer(ids: pa.ListArray, bucket: int, packs: list) -> pa.RecordBatch:
+        at = np.asarray(ids.offsets).astype(np.int64)
+        lists = _Lists(at[:-1] - at[0], np.diff(at), ids.flatten().to_numpy(zero_copy_only=False))
         out = []
         for pack in packs:
-            asked = _unpack(pack["pack"])["piece"].combine_chunks()
-            size, values = _gather(ids, pc.index_in(asked, value_set=pieces).to_numpy(zero_copy_only=False))
+            size, values = lists.gather(np.frombuffer(pack["places"], "<i4"))
             out.append(_pack(pa.RecordBatch.from_pydict({"sizes": pa.array([_byte_planes(size)], pa.binary()),
                                                          "ids": pa.array([_byte_planes(values)], pa.binary())})))
         return pa.RecordBatch.from_pydict({
@@ -287,38 +308,37 @@ def _answers(ranks: dict[bytes, int]):
             "bucket": pa.array([bucket] * len(packs), pa.int32()), "pack": pa.array(out, pa.binary())})
 
     def run(batches):
-        pieces, ids = [], []
+        ids = []
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                pieces.append(row.column("pieces").flatten())
-                ids.append(filled(pieces[-1], row.column("ids").flatten()))
+                ids.append(filled(row.column("pieces").flatten(), row.column("ids").flatten()))
                 packs = row.column("packs")[0].as_py()
                 if packs:
-                    yield answer(pa.concat_arrays(pieces).cast(pa.large_string()), pa.concat_arrays(ids),
-                                 batch.column("bucket")[i].as_py(), packs)
-                    pieces, ids = [], []
+                    yield answer(pa.concat_arrays(ids), batch.column("bucket")[i].as_py(), packs)
+                    ids = []
     return run
 
 
 def _replace(buckets: int, then):
     def replace(table: pa.Table, answers: pa.Table) -> pa.Table:
-        pieces, cut = _by_bucket(table, buckets)
+        packs = list(_documents(table))
+        _, _, places = _by_bucket([own for *_, own in packs], buckets)
         sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for _, blob in sorted(zip(answers["bucket"].to_pylist(), answers["pack"].to_pylist())):
             row = _unpack(blob).to_pylist()[0]
             sizes.append(_from_planes(row["sizes"]))
             ids.append(_from_planes(row["ids"]))
-        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        coded = ragged(ends, np.concatenate(ids).astype(np.int32), pa.int32())
+        sizes = np.concatenate(sizes)
+        coded = _Lists(np.cumsum(sizes) - sizes, sizes, np.concatenate(ids).astype(np.int32))
         out = []
-        for doc_ids, counts, codes, own in _documents(table):
-            place = pc.index_in(own, value_set=pieces).to_numpy(zero_copy_only=False)
-            size, values = _gather(coded, place[codes] if len(codes) else codes)
+        for (doc_ids, counts, codes, _), place in zip(packs, places):
+            size, values = coded.gather(place[codes])
             ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
             out.append(then(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), ragged(ends, values, pa.int32())],
                                                        ["doc_id", "ids"])))
-        pa.default_memory_pool().release_unused()
+        del packs, places, coded
+        give_back()
         return pa.Table.from_batches(out)
     return replace
 

@@ -8,6 +8,7 @@ an avalanche mix; prefix sums give the hash of every span at once.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import sys
@@ -101,6 +102,15 @@ def pieces(batch, column: str = "text", most: int = SLICE_BYTES):
         begin = end
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a Python worker lives on, idle or with
+    another stage's tasks, and an executor's limit counts what it holds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's, where it is used
+    if trim:
+        trim(0)
+
+
 class Words:
     """Words of a run of documents: spans, hashes, and where each document's begin."""
 
