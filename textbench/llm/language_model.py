@@ -48,6 +48,8 @@ KINDS = 3
 ROUNDS = 2
 RATE = 0.15
 STEP_TOKENS = 16384
+#: Bytes of text whose tokens make whole steps, the last one shorter.
+TRAIN_BYTES = 2 << 20
 END = (mix(np.array([0x656E64], U64))[0] & ~U64(63)) | U64(1)
 START = mix(np.array([0x7374], U64))[0]
 HELD_OUT_MOD, HELD_OUT = 7, 2
@@ -250,7 +252,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Mode
             local = Model(vocabulary, before.copy())
             squares, seen = np.zeros_like(before), np.zeros(len(before))
             for whole in batches:
-                for batch in pieces(whole):
+                for batch in pieces(whole, most=TRAIN_BYTES):
                     names, bounds = _tokens(batch)
                     if len(names):
                         local.steps(names, bounds, squares, seen)
