@@ -117,3 +117,28 @@ def test_a_metric_of_ones_own_chooses_another_model(spark):
         metrics.register_metric("f1_score", lambda: F.lit(1))
     bad = trained.run_baselines(spark, corpus, ["d"], [spec], sample_size=None, config=CONFIG | {"metric": "none"}).first()
     assert "unknown metric" in bad["error"]
+
+
+def test_fit_reads_as_many_partitions_as_cores(spark, monkeypatch):
+    """An optimiser pass sends a vector of all features for each partition: their number
+    must not grow with the input's.  Texts are read once for a dataset."""
+    read = spark.sparkContext.accumulator(0)
+    words = F.udf(lambda text: read.add(1) or text)
+    corpus = _corpus(spark).repartition(64)
+    texts = corpus.select("doc_id", words("text").alias("text"))
+    splits = trained.prepare_splits(spark, corpus.drop("text"), "d", None, CONFIG, texts)
+    assert read.value == 400  # 800 when the fit of the IDF read them on its own
+    fitted = []
+
+    class Fitted:
+        def fit(self, rows):
+            fitted.append(rows.rdd.getNumPartitions())
+    monkeypatch.setattr(trained, "classifier", lambda *a: Fitted())
+    splits["vectors"] = splits["vectors"].repartition(64)
+    splits["fit"] = splits["vectors"].where("split = 'train'")
+    for spec in (trained.DEFAULT_BASELINES[0], TREES):
+        trained.fit_classifier(spec, 0.1, splits, CONFIG)
+    assert max(fitted) <= spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(trained, "FIT_BYTES", 1 << 9)
+    more = trained.prepare_splits(spark, corpus, "d", None, CONFIG)
+    assert more["parts"] > spark.sparkContext.defaultParallelism

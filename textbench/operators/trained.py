@@ -51,6 +51,10 @@ class BaselineSpec:
 DEFAULT_BASELINES = [BaselineSpec("spark-ml/tfidf-logreg"),
                      BaselineSpec("spark-ml/tfidf-naive-bayes", "naive_bayes", reg_params=[1.0])]
 
+#: Most bytes of text whose vectors one partition of the rows to fit has, where there are enough rows.
+FIT_BYTES = 512 << 20
+
+
 def featurizer(num_features: int) -> Pipeline:
     """Whole text -> lower-case word tokens -> hashed term counts -> TF-IDF."""
     tok = RegexTokenizer(inputCol="_text", outputCol="_tokens", pattern=r"\W+", toLowercase=True, minTokenLength=1)
@@ -79,24 +83,40 @@ def prepare_splits(spark: SparkSession, corpus: DataFrame, dataset: str, sample_
     """Feature vectors of one dataset's fit, validation and test rows.
 
     The split (:func:`three_way_assignment`) is decided on keys and labels, and
-    the texts join once.  The featurizer (IDF) is fitted on the fit rows only,
-    once per dataset; keys and vectors of all three parts are persisted, never
-    the texts: every classifier and regularisation value of the dataset reads
-    them, and ML training reads its input once per optimiser pass."""
+    the texts join once: term counts are persisted before the IDF is fitted.  The
+    featurizer (IDF) is fitted on the fit rows only, once per dataset; keys and
+    vectors of all three parts are persisted, never the texts: every classifier and
+    regularisation value of the dataset reads them, and ML training reads its input
+    once per optimiser pass.
+
+    Each optimiser pass sends a vector of all features for every partition: the rows
+    to fit are read in as many partitions as there are cores, more only where one
+    would have over ``FIT_BYTES`` of text."""
     config = dict(TRAINING_CONFIG) | (config or {})
     data = corpus.where(F.col("dataset") == dataset)
     split = three_way_assignment(data if texts is None else data.select("dataset", "doc_id", "label"), sample_size,
                                  float(config["test_size"]), int(config["seed"]))
     rows = _prep(split if texts is None else attach_text(split, texts))
     t0 = time.perf_counter()
-    feat_model = featurizer(int(config["num_features"])).fit(rows.where("split = 'train'"))
-    vectors = feat_model.transform(rows).select(
-        "split", "dataset", "doc_id", "label", "_y", "features", F.xxhash64("_text").alias("_hash"),
+    *counting, idf = featurizer(int(config["num_features"])).getStages()
+    counted = PipelineModel(counting).transform(rows).select(
+        "split", "dataset", "doc_id", "label", "_y", "_tf", F.xxhash64("_text").alias("_hash"),
+        F.octet_length("_text").alias("_bytes"),
         (F.col("split") == "validation").alias("_validation")).persist(StorageLevel.MEMORY_AND_DISK)
-    digest = digests(vectors, ["doc_id", "label", "_hash"], ["split"])
+    try:
+        text_bytes = counted.agg(F.sum("_bytes")).first()[0] or 0
+        parts = max(spark.sparkContext.defaultParallelism, -(-text_bytes // FIT_BYTES))
+        idf_model = idf.fit(counted.where("split = 'train'").coalesce(parts))
+        feat_model = PipelineModel([*counting, idf_model])
+        vectors = idf_model.transform(counted).select(
+            "split", "dataset", "doc_id", "label", "_y", "features", "_hash", "_validation").persist(
+            StorageLevel.MEMORY_AND_DISK)
+        digest = digests(vectors, ["doc_id", "label", "_hash"], ["split"])  # reads all vectors
+    finally:
+        counted.unpersist()
     return {"vectors": vectors, "featurize_time": time.perf_counter() - t0, "featurizer": feat_model,
             "digest": sorted((k[0], v) for k, v in digest.items() if k[0] != "test"),
-            "fit": vectors.where("split = 'train'"), "val": vectors.where("split = 'validation'"),
+            "parts": parts, "fit": vectors.where("split = 'train'"), "val": vectors.where("split = 'validation'"),
             "test": vectors.where("split = 'test'")}
 
 
@@ -127,7 +147,7 @@ def fit_classifier(spec: BaselineSpec, reg: float, splits: dict, config: dict):
     rows = splits["fit"]
     if spec.classifier == "boosted_trees":
         rows = splits["vectors"].where("split != 'test'")
-    return classifier(spec, reg, config).fit(rows)
+    return classifier(spec, reg, config).fit(rows.coalesce(splits["parts"]))
 
 
 def fit_best(spec: BaselineSpec, splits: dict, config: dict) -> tuple:
