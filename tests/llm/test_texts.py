@@ -230,6 +230,37 @@ def test_token_files(spark, docs, monkeypatch):
     assert spark.read.parquet(f"{folder}/tokens").count() > 5
 
 
+def test_token_files_are_summed_up_where_they_are_read(spark, docs, scratch):
+    """Ids do not travel from a task to Spark and back for what is made of them."""
+    path, folder = tokenizers_data.path("word_bpe_49k.json"), f"{scratch}/token-files-once"
+    token_files.write_token_files(docs, folder, path)
+    got = token_files.read_token_files(spark, folder, token_files._checksums,
+                                       "doc_id long, start long, n_tokens long, ids_crc32 long")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # 2 before
+    want = sorted((r["doc_id"], r["start"], len(r["ids"]), zlib.crc32(np.array(r["ids"], "<u4").tobytes()))
+                  for r in token_files.read_token_files(spark, folder).collect())
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_token_files_trailing_punctuation():
+    import pyarrow as pa
+    texts = ["a. b.. c... d.... e..... f...... . .. é. é.. x?!; 12:", "", "?", "a.b. (c)."]
+    words = common.Words(*common.text_bytes(pa.array(texts)))
+    starts, ends, first = token_files._units(words, common.LOWER[words.data])
+    raw = words.data.tobytes()
+    units = [raw[a:b].decode() for a, b in zip(starts, ends)]
+    want, firsts = [], []
+    for word in [raw[a:b] for a, b in zip(words.starts, words.ends)]:
+        end = len(word)
+        for _ in range(4):
+            end -= end > 1 and word[end - 1] in b".,;:!?"
+        cut = end < len(word) and chr(word[end - 1]) in "abcdefghijklmnopqrstuvwxyz0123456789"
+        firsts.append(len(want))
+        want += [word[:end].decode(), word[end:].decode()] if cut else [word.decode()]
+    assert units == want and first.tolist() == [*firsts, len(want)]
+
+
 def test_token_files_edges(spark, odd, empty):
     path = tokenizers_data.path("word_bpe_49k.json")
     for d in (odd, empty):

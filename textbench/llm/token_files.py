@@ -47,8 +47,7 @@ END_ID = 2
 MOST_BROADCAST = 1_000_000
 
 #: Code lengths of the four codes that a control byte describes.
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
-MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
+LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1).astype(np.uint8)
 
 _tokenizers: dict = {}
 
@@ -95,8 +94,10 @@ def _units(words: Words, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     """Spans to encode, words without punctuation at their end and that
     punctuation, and each word's first unit."""
     starts, ends = words.starts, words.ends.copy()
-    for _ in range(4):
-        ends -= _TAIL[data[ends - 1]] & (ends - starts > 1)
+    going = np.arange(len(ends))
+    for _ in range(4):  # most words have no punctuation: only those that had some are looked at again
+        going = going[_TAIL[data[ends[going] - 1]] & (ends[going] - starts[going] > 1)]
+        ends[going] -= 1
     cut = (ends < words.ends) & _PLAIN[data[ends - 1]]
     ends = np.where(cut, ends, words.ends)
     first = np.arange(len(starts)) + np.cumsum(cut) - cut
@@ -111,9 +112,11 @@ class WordIds:
 
     def __init__(self, path: str, most: int = 1_000_000):
         self.tokenizer, self.most, self.words_only = _tokenizer(path), most, _words_only(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        if (path, "ends") not in _tokenizers:
+            vocabulary = self.tokenizer.get_vocab()
+            _tokenizers[path, "ends"] = ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.ends = _tokenizers[path, "ends"]
         self._forget()
 
     def _forget(self):
@@ -165,16 +168,17 @@ class WordIds:
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
         known = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
         new = np.flatnonzero(~known)
+        found = np.zeros(len(hashes), np.int64)
+        found[known] = self.place[at[known]]
         if len(new):
             sizes, ids = self._encode(texts_of(new))
-            added = np.arange(len(new)) + len(self.bounds) - 1
+            found[new] = added = np.arange(len(new)) + len(self.bounds) - 1
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
             self.ids = np.concatenate([self.ids, ids])
             merged, place = np.concatenate([self.hashes, hashes[new]]), np.concatenate([self.place, added])
             order = np.argsort(merged, kind="stable")
             self.hashes, self.place = merged[order], place[order]
-            at = np.searchsorted(self.hashes, hashes)
-        return self.place[at] if len(hashes) else np.zeros(0, np.int64)
+        return found
 
 
 def tokenize(texts: pa.Array, known: WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,17 +221,20 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     padded = np.zeros(-(-len(code) // 4) * 4, np.uint8)
     padded[:len(code)] = code
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    used = np.arange(4) <= code[:, None]
+    used = np.arange(4, dtype=np.uint8) <= code[:, None]
     return control.tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
     """Values from control and data bytes: lengths by table, bytes by offset."""
     size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:count]
-    at = np.cumsum(size) - size
-    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)]).astype(np.uint32)
-    word = raw[at] | raw[at + 1] << 8 | raw[at + 2] << 16 | raw[at + 3] << 24
-    return word & MASKS[size]
+    at = np.cumsum(size, dtype=np.int64) - size
+    raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)])
+    out = raw[at].astype(np.uint32)
+    for i in range(1, int(size.max(initial=1))):  # most codes have one byte or two
+        more = np.flatnonzero(size > i)
+        out[more] |= raw[at[more] + i].astype(np.uint32) << np.uint32(8 * i)
+    return out
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
@@ -238,17 +245,21 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         for whole in batches:
             for batch in pieces(whole, most=SEGMENT_BYTES):
                 ids, bounds = tokenize(batch.column("text"), known, end_id)
-                raw = [_planes(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
+                raw = _planes_of(ids, bounds)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())],
                                                  ["doc_id", "ids"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def _planes(ids: np.ndarray) -> bytes:
-    """Byte planes up to the highest that is used, and their number."""
-    planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    used = max((i + 1 for i in range(4) if planes[i].any()), default=1)
-    return bytes([used]) + planes[:used].tobytes()
+def _planes_of(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Byte planes of each text's ids (one at least), up to the highest that is used,
+    after their number."""
+    if len(bounds) < 2:
+        return []
+    most = np.maximum.reduceat(ids, bounds[:-1])
+    used = (1 + (most > 0xFF) + (most > 0xFFFF) + (most > 0xFFFFFF)).tolist()
+    raw, at = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4), bounds.tolist()
+    return [bytes([n]) + raw[a:b, :n].T.tobytes() for n, a, b in zip(used, at, at[1:])]
 
 
 def _from_planes(raw: bytes) -> np.ndarray:
@@ -260,9 +271,10 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     """(id, n): how often each id is in the corpus; a task sends its own sums."""
     def run(batches):
         total = np.zeros(0, np.int64)
-        for batch in batches:
-            for raw in batch.column("ids"):
-                own = np.bincount(_from_planes(raw.as_py()))
+        for whole in batches:
+            for batch in pieces(whole, "ids", SEGMENT_BYTES):
+                # many documents at a time: a count is as long as the vocabulary
+                own = np.bincount(np.concatenate([_from_planes(raw) for raw in batch.column("ids").to_pylist()]))
                 if len(own) > len(total):
                     total = np.pad(total, (0, len(own) - len(total)))
                 total[:len(own)] += own
@@ -306,9 +318,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                             "control binary, data binary").write.parquet(f"{folder}/tokens")
 
 
-def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, then=lambda batch: batch,
+                     schema: str = "doc_id long, start long, ids array<int>") -> DataFrame:
     """(doc_id, start, ids) of each document in the files, ``start`` counting the
-    ids of all documents before it."""
+    ids of all documents before it; ``then``: what to make of each batch of them, in
+    the task that reads it, and the ``schema`` of that."""
     by_rank = np.array([r["id"] for r in spark.read.parquet(f"{folder}/ranks").orderBy("rank").collect()], np.int32)
     tokens = spark.read.schema(
         "shard int, segment int, doc_ids array<long>, counts array<long>, n_tokens long, control binary, data binary"
@@ -327,29 +341,27 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
             for row in batch.to_pylist():
                 ids = by_rank[decode_ranks(row["control"], row["data"], row["n_tokens"])]
                 bounds = np.concatenate([[0], np.cumsum(row["counts"], dtype=np.int64)])
-                yield pa.RecordBatch.from_arrays(
+                yield then(pa.RecordBatch.from_arrays(
                     [pa.array(row["doc_ids"], pa.int64()), pa.array(row["start"] + bounds[:-1]),
-                     ragged(bounds, ids, pa.int32())], ["doc_id", "start", "ids"])
+                     ragged(bounds, ids, pa.int32())], ["doc_id", "start", "ids"]))
     few = segments.count() <= MOST_BROADCAST
     return tokens.join(F.broadcast(starts) if few else starts, ["shard", "segment"]).select(
         "doc_ids", "counts", "n_tokens", "control", "data", "start").mapInArrow(
-        run, "doc_id long, start long, ids array<int>")
+        run, schema)
 
 
-def _checksums(batches):
-    for batch in batches:
-        ids = batch.column("ids")
-        flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-        at = np.asarray(ids.offsets) - np.asarray(ids.offsets)[0]
-        crc = [zlib.crc32(flat[a:b]) for a, b in zip(at, at[1:])]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("start"), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())],
-            ["doc_id", "start", "n_tokens", "ids_crc32"])
+def _checksums(batch: pa.RecordBatch) -> pa.RecordBatch:
+    ids = batch.column("ids")
+    flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+    at = np.asarray(ids.offsets) - np.asarray(ids.offsets)[0]
+    crc = [zlib.crc32(flat[a:b]) for a, b in zip(at, at[1:])]
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), batch.column("start"), pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())],
+        ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def op5_token_files(spark, sf_dir):
     import public_tokenizers
     folder = shared_path(spark, "token-files")
     write_token_files(documents(spark, sf_dir), folder, public_tokenizers.path("word_bpe_49k.json"))
-    return read_token_files(spark, folder).mapInArrow(
-        _checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_files(spark, folder, _checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
