@@ -202,6 +202,24 @@ def test_bpe_blocks_and_edges(docs, odd, empty, ranks):
     assert byte_bpe.round_trip(empty).count() == 0
 
 
+def test_a_task_packs_for_few_blocks(spark, ranks, monkeypatch):
+    """Blocks are shares of the partitions: not a pack for every block in each task."""
+    words = [f"word{i}" for i in range(300)]
+    texts = [" ".join(words[(i * 7 + k * k) % 300] for k in range(60)) for i in range(200)] + [None, "", "one id twice"]
+    d = make(spark, texts, [*range(200), None, 200, 200]).repartitionByRange(5, "n_chars")
+    dealt, real = [], byte_bpe.dealt_by
+    monkeypatch.setattr(byte_bpe, "dealt_by", lambda df, key, n: dealt.append((key, n, df)) or real(df, key, n))
+    got = byte_bpe.encode(d, ranks, tokenizers_data.PATTERN, 2000).collect()
+    key, blocks, packs = dealt[0]
+    assert key == "block" and blocks > 30
+    assert packs.count() <= blocks + 5
+    assert packs.select("block").distinct().count() > blocks // 2
+    assert len(got) == len(texts)
+    monkeypatch.undo()
+    whole = byte_bpe.encode(d, ranks, tokenizers_data.PATTERN).collect()
+    assert sorted((str(r["doc_id"]), r["ids"]) for r in got) == sorted((str(r["doc_id"]), r["ids"]) for r in whole)
+
+
 # ------------------------------------------------------------------ 5
 
 @settings(max_examples=80, deadline=None)

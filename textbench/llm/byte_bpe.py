@@ -10,7 +10,9 @@ the two parts that the merge joins.
 
 Documents are dealt into blocks; each block names its distinct pieces, Spark
 encodes every distinct piece of the corpus, and each block gets the ids of its
-own pieces back.  No dictionary is broadcast or collected.  What is dealt out
+own pieces back.  A block takes its documents from one or a few input partitions, so
+that a task packs for few blocks and names a block's pieces once, not a little of
+each for all blocks.  No dictionary is broadcast or collected.  What is dealt out
 travels in compressed packs: texts as their distinct pieces and numbers into them,
 sorted pieces, and ids in the order of the pieces they answer.  The result is written
 to the shared folder and read from there.
@@ -43,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (U64, asking_blocks, block_of, dealt_by, documents, give_back, ragged, span_hashes, text_bytes,
-                     text_size, written)
+                     written)
 
 #: Bytes of text in a block: larger blocks repeat fewer pieces and need more memory.
 BLOCK_BYTES = 8 << 20
@@ -359,12 +361,33 @@ def _short_plans(spark):
             spark.conf.set(name, before)
 
 
+def in_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """(block, doc_id, text), and the number of blocks: equal shares of the text in
+    the order of the input's partitions, a row's place in its partition by hash.  A row
+    is in the same block whenever its partition has the same rows; sizes that no longer
+    hold make blocks uneven, no more."""
+    partition = F.spark_partition_id().alias("partition")
+    # one row for each partition
+    parts = docs.groupBy(partition).agg(F.sum(F.octet_length("text")).alias("size")).orderBy("partition").collect()
+    sizes = [r["size"] or 0 for r in parts]
+    starts = np.cumsum([0, *sizes]).tolist()
+    blocks = asking_blocks(starts[-1], block_bytes)
+    known = docs.sparkSession.createDataFrame(
+        [(r["partition"], start, size) for r, start, size in zip(parts, starts, sizes)],
+        "partition int, start long, size long")
+    # the text counts too: rows of one id, or of none, go to many places
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    share = F.floor((F.col("start") + F.col("size") * place) * F.lit(blocks / max(starts[-1], 1))).cast("int")
+    rows = docs.select(partition, F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.join(F.broadcast(known), "partition", "left").select(
+        F.coalesce(F.least(share, F.lit(blocks - 1)), block_of(blocks, "doc_id", "text")).alias("block"),
+        "doc_id", "text"), blocks
+
+
 def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes: int, then, schema: str,
            finish=lambda df: df) -> DataFrame:
-    blocks = asking_blocks(text_size(docs), block_bytes)
-    # the text counts too: rows of one id, or of none, go to many blocks
-    packs = docs.select(block_of(blocks, "doc_id", "text").alias("block"), F.col("doc_id").cast("long").alias("doc_id"),
-                        split_pieces("text", pattern).alias("pieces")).mapInArrow(
+    rows, blocks = in_blocks(docs, block_bytes)
+    packs = rows.select("block", "doc_id", split_pieces("text", pattern).alias("pieces")).mapInArrow(
         _pack_documents, "block int, pack binary")
     dealt = dealt_by(packs, "block", blocks)
     named = dealt_by(dealt.groupBy("block").applyInArrow(_name(blocks), "bucket int, block int, pack binary"),
