@@ -50,7 +50,7 @@ from .common import (U64, asking_blocks, block_of, dealt_by, documents, give_bac
 #: Bytes of text in a block: larger blocks repeat fewer pieces and need more memory.
 BLOCK_BYTES = 8 << 20
 #: Bytes of text that a task gathers before it packs them by block.
-GATHER_BYTES = 24 << 20
+GATHER_BYTES = 8 << 20
 #: Pieces that travel to the fold in one row.
 PIECES_A_ROW = 2000
 LEVEL = 6
@@ -202,6 +202,7 @@ def _pack_documents(batches):
             if size >= GATHER_BYTES:
                 yield from flush()
                 held, size = [], 0
+                give_back()
         # what waits is copied, so that the batch it came in can go
         held = pa.Table.from_batches(held).combine_chunks().to_batches() if len(held) > 1 else held
         batch = part = None
