@@ -220,6 +220,52 @@ def test_a_task_packs_for_few_blocks(spark, ranks, monkeypatch):
     assert sorted((str(r["doc_id"]), r["ids"]) for r in got) == sorted((str(r["doc_id"]), r["ids"]) for r in whole)
 
 
+def test_bpe_batches_of_long_texts_are_small(spark, ranks, monkeypatch):
+    """Batches are cut by their bytes: ten thousand long texts at once are held outside
+    Spark's heap and by its Python worker."""
+    real, name = byte_bpe._pack_documents, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def pack(batches):
+        def seen():
+            for batch in batches:
+                assert batch.nbytes < 3 * (4 << 20), batch.nbytes
+                yield batch
+        yield from real(seen())
+    monkeypatch.setattr(byte_bpe, "_pack_documents", pack)
+    d = make(spark, [f"{i} " + "word " * 2000 for i in range(1000)], range(1000)).coalesce(1)
+    got = byte_bpe.encode(d, ranks, tokenizers_data.PATTERN)
+    assert {r["doc_id"]: len(r["ids"]) for r in got.collect()} == {
+        i: len(byte_bpe.merge(str(i).encode(), ranks)) + 2001 for i in range(1000)}
+    assert spark.conf.get(name) == before
+
+
+def test_bpe_lists_are_joined_in_slices(ranks):
+    """Decoding holds a few bytes for each byte of text, not three long numbers."""
+    import tracemalloc
+
+    import pyarrow as pa
+    ids = [i % 50000 for i in range(1_000_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()),
+                                        "ids": pa.array([ids[:400_000], ids[400_000:]], pa.list_(pa.int32()))})
+    decode = byte_bpe._decoder(ranks)
+    tracemalloc.start()
+    out = decode(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    by_id = {rank: token for token, rank in ranks.items()}
+    got = out["decoded"].to_pylist()
+    assert got == [b"".join(by_id[i] for i in own) for own in (ids[:400_000], ids[400_000:])]
+    assert peak < 8 * sum(map(len, got))
+
+
+def test_bpe_block_lookup_needs_no_python_worker(spark):
+    """Sizes of partitions are rows of the plan: read as Python objects, they start workers
+    of their own on the executors."""
+    rows, _ = byte_bpe.in_blocks(make(spark, ["a b", "c"], [1, 2]), 1)
+    assert "LocalTableScan" in rows._jdf.queryExecution().toString().split("Physical Plan")[1].split("BroadcastExchange")[-1]
+
+
 # ------------------------------------------------------------------ 5
 
 @settings(max_examples=80, deadline=None)

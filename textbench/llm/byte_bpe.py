@@ -44,13 +44,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import (U64, asking_blocks, block_of, dealt_by, documents, give_back, ragged, span_hashes, text_bytes,
-                     written)
+from .common import (SLICE_BYTES, U64, asking_blocks, block_of, dealt_by, documents, give_back, ragged, span_hashes,
+                     text_bytes, written)
 
 #: Bytes of text in a block: larger blocks repeat fewer pieces and need more memory.
 BLOCK_BYTES = 8 << 20
 #: Bytes of text that a task gathers before it packs them by block.
 GATHER_BYTES = 8 << 20
+#: Bytes of a batch between Spark and a Python worker (a longer row is alone): both hold
+#: it whole, Spark outside its heap and in buffers that double.
+BATCH_BYTES = 4 << 20
+#: Lists that are put one after the other at once.
+LISTS_AT_ONCE = 1 << 17
 #: Pieces that travel to the fold in one row.
 PIECES_A_ROW = 2000
 LEVEL = 6
@@ -162,7 +167,7 @@ def _byte_planes(values: np.ndarray) -> bytes:
 
 
 def _from_planes(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
 def _strings(sizes: np.ndarray, data: bytes) -> pa.LargeStringArray:
@@ -184,7 +189,7 @@ def _pack_documents(batches):
             coded = pc.dictionary_encode(pieces.flatten())
             # in order of their bytes, the distinct pieces pack well
             order = pc.sort_indices(coded.dictionary)
-            place = np.empty(len(order), np.int64)
+            place = np.empty(len(order), np.int32)
             place[order.to_numpy()] = np.arange(len(order))
             data, ends = text_bytes(coded.dictionary.take(order))
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "pack": pa.array([_pack(
@@ -228,15 +233,26 @@ def _coded_once(parts: list[pa.Array]) -> tuple[pa.LargeStringArray, list[np.nda
     return coded.dictionary, np.split(coded.indices.to_numpy(), np.cumsum([len(part) for part in parts])[:-1])
 
 
+def _hashes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of texts that lie one after the other, a slice of them at a time."""
+    out, begin = np.empty(len(ends) - 1, U64), 0
+    while begin < len(out):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + SLICE_BYTES, side="right")) - 1)
+        at = ends[begin:end + 1] - ends[begin]
+        out[begin:end] = span_hashes(data[ends[begin]:ends[end]], at[:-1], at[1:])
+        begin = end
+    return out
+
+
 def _by_bucket(parts: list[pa.Array], buckets: int) -> tuple[pa.LargeStringArray, np.ndarray, list[np.ndarray]]:
     """A block's distinct pieces, sorted within hash buckets, the buckets' bounds, and
     the places of each pack's pieces."""
     distinct, places = _coded_once(parts)
     order = pc.sort_indices(distinct).to_numpy()
     data, ends = text_bytes(distinct)
-    bucket = (((span_hashes(data, ends[:-1], ends[1:]) >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
+    bucket = (((_hashes(data, ends) >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
     order = order[np.argsort(bucket[order], kind="stable")]
-    place = np.empty(len(order), np.int64)
+    place = np.empty(len(order), np.int32)
     place[order] = np.arange(len(order))
     return (distinct.take(pa.array(order)), np.searchsorted(bucket[order], np.arange(buckets + 1)),
             [place[own] for own in places])
@@ -268,6 +284,8 @@ def _questions(table: pa.Table) -> pa.Table:
     asked = pa.StructArray.from_arrays([table["block"].combine_chunks(), pa.array(
         [own.astype("<i4").tobytes() for own in places], pa.binary())], ["block", "places"])
     packs = pa.ListArray.from_arrays(pa.array(np.append(np.zeros(n, np.int32), len(asked)).astype(np.int32)), asked)
+    del places
+    give_back()
     return pa.table({"bucket": pa.array(np.full(n, table["bucket"][0].as_py()), pa.int32()),
                      "pieces": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), distinct), "packs": packs})
 
@@ -279,10 +297,18 @@ class _Lists:
         self.starts, self.sizes, self.values = starts, sizes, values
 
     def gather(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The lists at ``place``: their sizes and their values one after the other."""
-        size = self.sizes[place]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        return size, self.values[np.repeat(self.starts[place] - ends[:-1], size) + np.arange(ends[-1])]
+        """The lists at ``place``: their ends, from 0 on, and their values one after the
+        other.  A slice of the lists at a time: a value's place takes eight bytes."""
+        ends = np.zeros(len(place) + 1, np.int64)
+        np.cumsum(self.sizes[place], out=ends[1:])
+        values = np.empty(ends[-1], self.values.dtype)
+        for begin in range(0, len(place), LISTS_AT_ONCE):
+            own = place[begin:begin + LISTS_AT_ONCE]
+            first, last = ends[begin], ends[begin + len(own)]
+            at = np.repeat(self.starts[own] - ends[begin:begin + len(own)], self.sizes[own])
+            at += np.arange(first, last)
+            values[first:last] = self.values[at]
+        return ends, values
 
 
 def _answers(ranks: dict[bytes, int]):
@@ -303,8 +329,8 @@ def _answers(ranks: dict[bytes, int]):
         lists = _Lists(at[:-1] - at[0], np.diff(at), ids.flatten().to_numpy(zero_copy_only=False))
         out = []
         for pack in packs:
-            size, values = lists.gather(np.frombuffer(pack["places"], "<i4"))
-            out.append(_pack(pa.RecordBatch.from_pydict({"sizes": pa.array([_byte_planes(size)], pa.binary()),
+            ends, values = lists.gather(np.frombuffer(pack["places"], "<i4"))
+            out.append(_pack(pa.RecordBatch.from_pydict({"sizes": pa.array([_byte_planes(np.diff(ends))], pa.binary()),
                                                          "ids": pa.array([_byte_planes(values)], pa.binary())})))
         return pa.RecordBatch.from_pydict({
             "block": pa.array([p["block"] for p in packs], pa.int32()),
@@ -319,40 +345,45 @@ def _answers(ranks: dict[bytes, int]):
                 packs = row.column("packs")[0].as_py()
                 if packs:
                     yield answer(pa.concat_arrays(ids), batch.column("bucket")[i].as_py(), packs)
-                    ids = []
+                    ids, row, packs = [], None, None
+                    give_back()
     return run
 
 
 def _replace(buckets: int, then):
     def replace(table: pa.Table, answers: pa.Table) -> pa.Table:
-        packs = list(_documents(table))
-        _, _, places = _by_bucket([own for *_, own in packs], buckets)
-        sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        packs, own = [], []
+        for *numbers, pieces in _documents(table):
+            packs.append(numbers)
+            own.append(pieces)
+        _, _, places = _by_bucket(own, buckets)
+        own = pieces = None
+        sizes, ids = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
         for _, blob in sorted(zip(answers["bucket"].to_pylist(), answers["pack"].to_pylist())):
             row = _unpack(blob).to_pylist()[0]
             sizes.append(_from_planes(row["sizes"]))
             ids.append(_from_planes(row["ids"]))
         sizes = np.concatenate(sizes)
-        coded = _Lists(np.cumsum(sizes) - sizes, sizes, np.concatenate(ids).astype(np.int32))
+        coded = _Lists(np.cumsum(sizes) - sizes, sizes, np.concatenate(ids))
+        del ids
         out = []
-        for (doc_ids, counts, codes, _), place in zip(packs, places):
-            size, values = coded.gather(place[codes])
-            ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(counts)])]
+        for place in places:
+            doc_ids, counts, codes = packs.pop(0)
+            ends, values = coded.gather(place[codes])
+            ends = ends[np.concatenate([[0], np.cumsum(counts)])]
             out.append(then(pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), ragged(ends, values, pa.int32())],
                                                        ["doc_id", "ids"])))
-        del packs, places, coded
+        packs = places = place = coded = codes = ends = values = None
         give_back()
         return pa.Table.from_batches(out)
     return replace
 
 
 @contextlib.contextmanager
-def _short_plans(spark):
-    """While a job runs, plans are printed in short: the literal map makes a plan's
-    printed form megabytes long, which the driver keeps for each run of it."""
-    name = "spark.sql.maxPlanStringLength"
+def _set(spark, name: str, value: str):
+    """A setting of the session while a job runs."""
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "100000")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -362,6 +393,18 @@ def _short_plans(spark):
             spark.conf.set(name, before)
 
 
+def _short_plans(spark):
+    """While a job runs, plans are printed in short: the literal map makes a plan's
+    printed form megabytes long, which the driver keeps for each run of it."""
+    return _set(spark, "spark.sql.maxPlanStringLength", "100000")
+
+
+def _small_batches(spark):
+    """While a job runs, batches for the Python workers have few bytes, however long
+    their texts: by default it is the rows that are counted."""
+    return _set(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def in_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     """(block, doc_id, text), and the number of blocks: equal shares of the text in
     the order of the input's partitions, a row's place in its partition by hash.  A row
@@ -373,9 +416,10 @@ def in_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     sizes = [r["size"] or 0 for r in parts]
     starts = np.cumsum([0, *sizes]).tolist()
     blocks = asking_blocks(starts[-1], block_bytes)
-    known = docs.sparkSession.createDataFrame(
-        [(r["partition"], start, size) for r, start, size in zip(parts, starts, sizes)],
-        "partition int, start long, size long")
+    # from Arrow, rows need no Python worker: one more of them would wait on every executor
+    known = docs.sparkSession.createDataFrame(pa.table({
+        "partition": pa.array([r["partition"] for r in parts], pa.int32()),
+        "start": pa.array(starts[:-1], pa.int64()), "size": pa.array(sizes, pa.int64())}))
     # the text counts too: rows of one id, or of none, go to many places
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     share = F.floor((F.col("start") + F.col("size") * place) * F.lit(blocks / max(starts[-1], 1))).cast("int")
@@ -397,7 +441,7 @@ def _coded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, block_bytes:
     answers = asked.select("bucket", "pieces", F.expr(fold_sql(ranks)).alias("ids"), "packs").mapInArrow(
         _answers(ranks), "block int, bucket int, pack binary")
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_replace(blocks, then), schema)
-    with _short_plans(docs.sparkSession):
+    with _short_plans(docs.sparkSession), _small_batches(docs.sparkSession):
         return written(finish(out), "byte-bpe")
 
 
@@ -414,15 +458,13 @@ def _decoder(ranks: dict[bytes, int]):
     data = np.frombuffer(b"".join(token for token, _ in by_id), np.uint8)
     sizes = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
     sizes[[rank for _, rank in by_id]] = [len(token) for token, _ in by_id]
-    starts = np.cumsum(sizes) - sizes
+    tokens = _Lists(np.cumsum(sizes) - sizes, sizes, data)
 
     def decode_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids = batch.column("ids")
         flat, at = ids.flatten().to_numpy(zero_copy_only=False), np.asarray(ids.offsets)
         at = at - at[0]
-        size = sizes[flat]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        text = data[np.repeat(starts[flat] - ends[:-1], size) + np.arange(ends[-1])]
+        ends, text = tokens.gather(flat)
         return pa.RecordBatch.from_arrays([
             batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), _binary(4 * at.astype(np.int64), flat.astype("<u4")),
             _binary(ends[at], text)], ["doc_id", "n_tokens", "raw", "decoded"])
